@@ -1,0 +1,6 @@
+"""Queries by theme; importing this package registers all of them."""
+
+from leverframe.plans import effects  # noqa: F401
+from leverframe.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
