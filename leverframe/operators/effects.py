@@ -55,12 +55,17 @@ def _rate(cond: Column, y: str) -> Column:
     return F.avg(F.when(cond, F.col(y)))
 
 
-HIGH, LOW = F.col("level") == F.col("top"), F.col("level") == 0
+def _high() -> Column:
+    return F.col("level") == F.col("top")
+
+
+def _low() -> Column:
+    return F.col("level") == 0
 
 
 def marginal_ate(long: DataFrame, by: Sequence[str] = ("factor",), y: str = "y") -> DataFrame:
     """Difference of the rates at the top and the lowest level, with a normal interval; null where a side is empty."""
-    agg = long.groupBy(*by).agg(_rate(HIGH, y).alias("pt"), _rate(LOW, y).alias("pc"), F.count(F.when(HIGH, 1)).alias("n_treated"), F.count(F.when(LOW, 1)).alias("n_control"))
+    agg = long.groupBy(*by).agg(_rate(_high(), y).alias("pt"), _rate(_low(), y).alias("pc"), F.count(F.when(_high(), 1)).alias("n_treated"), F.count(F.when(_low(), 1)).alias("n_control"))
     se = F.sqrt(F.col("pt") * (1 - F.col("pt")) / F.nullif("n_treated", F.lit(0)) + F.col("pc") * (1 - F.col("pc")) / F.nullif("n_control", F.lit(0)))
     ate = F.col("pt") - F.col("pc")
     return agg.select(*by, ate.alias("ATE"), (ate - Z * se).alias("ci_low"), (ate + Z * se).alias("ci_high"), "n_treated", "n_control")
@@ -69,7 +74,7 @@ def marginal_ate(long: DataFrame, by: Sequence[str] = ("factor",), y: str = "y")
 def pair_differences(long: DataFrame, by: Sequence[str] = ("factor",), key: str = "pair_key", cluster: str | None = None, y: str = "y") -> DataFrame:
     """diff of each complete pair: mean at the top level minus mean at the lowest; ``cluster`` is constant in a pair."""
     extra = [F.min(cluster).alias(cluster)] if cluster else []
-    pairs = long.where(HIGH | LOW).groupBy(*by, key).agg(_rate(HIGH, y).alias("hi"), _rate(LOW, y).alias("lo"), *extra)
+    pairs = long.where(_high() | _low()).groupBy(*by, key).agg(_rate(_high(), y).alias("hi"), _rate(_low(), y).alias("lo"), *extra)
     return pairs.where("hi IS NOT NULL AND lo IS NOT NULL").withColumn("diff", F.col("hi") - F.col("lo"))
 
 
@@ -78,7 +83,7 @@ def paired_ate(long: DataFrame, by: Sequence[str] = ("factor",), key: str = "pai
 
     One aggregation by pair feeds both: the pair's own counts add up to the rows' counts.
     """
-    pairs = long.where(HIGH | LOW).groupBy(*by, key).agg(_rate(HIGH, y).alias("hi"), _rate(LOW, y).alias("lo"), F.count(F.when(HIGH, 1)).alias("nt"), F.count(F.when(LOW, 1)).alias("nc"))
+    pairs = long.where(_high() | _low()).groupBy(*by, key).agg(_rate(_high(), y).alias("hi"), _rate(_low(), y).alias("lo"), F.count(F.when(_high(), 1)).alias("nt"), F.count(F.when(_low(), 1)).alias("nc"))
     diff = F.col("hi") - F.col("lo")
     return pairs.groupBy(*by).agg(F.avg(diff).alias("ATE"), F.count(diff).alias("n_pairs"), F.sum("nt").alias("n_treated"), F.sum("nc").alias("n_control"))
 
