@@ -8,10 +8,12 @@
    their weighted Jaccard similarity. Points come in order of time, so a process stops once it is past the latest
    component: about (shingles + components x log components) draws for each text.
 3. Signatures are banded. Each text in a bucket is compared with the bucket's hub (its least digest): one pair for each
-   text, never all pairs. Then, where a bucket still holds several components, blocks of its texts are compared with
-   each other, round after round, until every pair that might still join two components has been compared. So every
-   pair that shares a bucket either is verified or lies within a component already: no link is lost to a cap.
-4. Pairs are verified on the whole texts: weighted Jaccard of the shingle multisets of at least the threshold.
+   text, never all pairs. Where a bucket then still holds several components, blocks of the texts outside its largest
+   one meet blocks of all of them in one task each; pairs whose signatures agree in at least 82 of 128 components are
+   compared there, unless links found before join them, and only links leave the task. So a pair of similarity 0.8 or
+   more that shares a bucket is compared or within a component already, but for a chance of about one in 100,000 that
+   its signatures agree in less; no link is lost to a cap.
+4. Pairs are compared on the whole texts: weighted Jaccard of the shingle multisets, at least the threshold for a link.
 5. Classes are the connected components; the largest doc_id of each stays.
 
 With 16 bands of 4 a pair of similarity 0.8 shares a bucket with probability 0.9998.
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 from leverframe.llm.common import cut, join_grouped, keep_decided, small_batches
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
-#: Texts of a bucket that are compared with each other at once in step 3.
-BLOCK = 16
+#: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
+#: them with a probability of about 1e-5.
+COMPONENTS, AGREE = 128, 82
+#: Texts of a bucket on either side of a comparison in step 3.
+BLOCK = 512
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -88,7 +93,7 @@ def shingles(texts: list[str], k: int = WORDS) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS) -> np.ndarray:
     """BagMinHash signatures, one row of ``m`` (a power of two) times for each bag; inf throughout for an empty bag."""
     sig = np.full((len(bags), m), np.inf)
     if not sum(len(h) for h, _ in bags):
@@ -117,7 +122,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS)
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    bits = sig.view(U).reshape(len(sig), bands, -1)
+    bits = np.ascontiguousarray(sig[:, : bands * ROWS]).view(U).reshape(len(sig), bands, -1)
     key = np.arange(1, bands + 1, dtype=U)[None, :] * GOLDEN
     for i in range(bits.shape[2]):
         key = mix(key * U(0x100000001B3) + bits[:, :, i])
@@ -140,16 +145,18 @@ def _slices(frame: pd.DataFrame, text: str, chars: int = 1_500_000) -> Iterator[
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """digest, doc_id and the band keys of each row (null for a text without words)."""
+    """digest, doc_id, the band keys and 16 bits of each component of each row (null for a text without words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in _slices(frame, "text"):
                 bags = shingles(list(part["text"]))
-                keys = band_keys(signatures(bags))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "bands": [list(k) if len(bag[0]) else None for k, bag in zip(keys, bags, strict=True)]})
+                sig = signatures(bags)
+                keys, short = band_keys(sig), (mix(sig.view(U)) >> U(48)).astype("<u2")
+                some = [bool(len(bag[0])) for bag in bags]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "bands": [list(k) if x else None for k, x in zip(keys, some, strict=True)], "bands_raw": [k.tobytes() if x else None for k, x in zip(keys, some, strict=True)], "sig": [k.tobytes() if x else None for k, x in zip(short, some, strict=True)]})
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), digest(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, digest binary, bands array<long>")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), digest(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, digest binary, bands array<long>, bands_raw binary, sig binary")
 
 
 def digest():
@@ -157,30 +164,32 @@ def digest():
     return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16).alias("digest")
 
 
-def verified(docs: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, bound: int = 200_000) -> DataFrame:
-    """Those pairs (a, b) of digests whose texts are similar enough. ``texts``: digest, max_id of every text."""
-    total = pairs.count()
-    named = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct().join(texts.select("digest", "max_id"), "digest")
-    named = cut(named)
+def candidates(docs: DataFrame, texts: DataFrame, members: DataFrame, bound: int = 200_000) -> DataFrame:
+    """digest and text of every text that is in a bucket with another; texts outside buckets are not shuffled."""
+    named = cut(members.select("digest").distinct().join(texts.select("digest", "max_id"), "digest"))
     few = named.limit(bound + 1).count() <= bound
     mine = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("max_id"), digest(), F.coalesce("text", F.lit("")).alias("text"))
-    found = mine.join(F.broadcast(named) if few else named, ["digest", "max_id"], "left_semi").select("digest", "text").dropDuplicates(["digest"])
-    by_hub = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    hubs = found.join(by_hub, found["digest"] == by_hub["b"]).select("b", "n", F.col("text").alias("text_b"))
-    mates = join_grouped(pairs.withColumn("b", F.hex("b")), hubs.withColumn("b", F.hex("b")), "b", "n", total)
-    # a hub's text is met once for each of its pairs, in tasks that adaptive execution may split; a text has few hubs
-    both = mates.join(found.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    found = mine.join(F.broadcast(named) if few else named, ["digest", "max_id"], "left_semi")
+    return cut(found.select("digest", "text").dropDuplicates(["digest"]))
+
+
+def similarities(bags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b and sim, the weighted Jaccard similarity of the whole texts (``bags``: digest, text), for each pair (a, b).
+
+    A text is in few pairs as a; as b, a hub may be in very many, whose rows adaptive execution splits over tasks.
+    """
+    both = pairs.join(bags.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(bags.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.assign(size=frame["text_a"].str.len() + frame["text_b"].str.len())
             for _, part in frame.groupby(frame["size"].cumsum() // 2_000_000, sort=False):
                 names = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
-                bags = dict(zip(names, shingles(names), strict=True))
-                near = [similarity(bags[x], bags[y]) >= threshold for x, y in zip(part["text_a"], part["text_b"], strict=True)]
-                yield part.loc[near, ["a", "b"]]
+                bag = dict(zip(names, shingles(names), strict=True))
+                yield part[["a", "b"]].assign(sim=[similarity(bag[x], bag[y]) for x, y in zip(part["text_a"], part["text_b"], strict=True)])
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b string").select("a", F.unhex("b").alias("b"))
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a binary, b binary, sim double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,59 +197,104 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels fall to the least label among neighbours, then to their label's label, until nothing changes.
     """
-    links = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = cut(links)
-    labels = cut(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "digest"))
+    links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "digest")
+    labels = cut(labels)
     while True:
         seen = links.join(labels.select(F.col("digest").alias("b"), F.col("comp").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
         low = labels.join(seen, labels["digest"] == seen["a"], "left").select("digest", F.col("comp").alias("was"), F.least("comp", "theirs").alias("low"))
-        low = cut(low)
-        jump = low.select(F.col("digest").alias("low"), F.col("low").alias("further"))
+        jump = labels.select(F.col("digest").alias("low"), F.col("comp").alias("further"))
         new = cut(low.join(jump, "low", "left").select("digest", "was", F.least("low", "further").alias("comp")))
         if new.where("comp <> was").limit(1).count() == 0:
             return new.select("digest", "comp")
         labels = new.select("digest", "comp")
 
 
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``comps`` after more edges: components of the graph between components, and their members renamed."""
+    old = comps.withColumnRenamed("digest", "_d").withColumnRenamed("comp", "_c")
+    ends = edges
+    for end in ("a", "b"):
+        ends = ends.join(old, ends[end] == old["_d"], "left").withColumn(end, F.coalesce("_c", end)).drop("_d", "_c")
+    joined = components(ends.where("a <> b"))
+    names = joined.select(F.col("digest").alias("comp"), F.col("comp").alias("new"))
+    moved = comps.join(names, "comp", "left").select("digest", F.coalesce("new", "comp").alias("comp"))
+    return cut(moved.unionByName(joined.join(comps.select("digest"), "digest", "left_anti")))
+
+
+def remaining(members: DataFrame, comps: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket that lie in different components.
+
+    ``members``: digest, band, bucket, bands, sig. In a bucket that still holds several components, the texts outside
+    its largest one are dealt into blocks, and so are all of its texts; a task compares a block of the ones with a block
+    of the others. Pairs are taken in order of their signatures' agreement down to AGREE, and compared on the whole texts
+    unless the links found so far join them already. A pair is left to the first band in which it shares a bucket.
+    """
+    named = cut(members.select("digest", "bucket").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
+    parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    open_ = cut(named.join(parts, "bucket").select("digest", "bucket", "comp", (F.col("comp") != F.col("main")).alias("apart"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("np")))
+    spread = lambda n, salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ones = open_.where("apart").withColumn("p", spread("np", 1)).select("digest", "bucket", "comp", "p", every("nq").alias("q"), F.lit(True).alias("one"))
+    others = open_.withColumn("q", spread("nq", 2)).select("digest", "bucket", "comp", every("np").alias("p"), "q", F.lit(False).alias("one"))
+    sketches = members.select("digest", "bucket", "band", "bands", "sig")
+    rows = ones.unionByName(others).join(sketches, ["digest", "bucket"]).join(bags, "digest")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        texts = frame.drop_duplicates("digest").set_index("digest")["text"]
+        names, band = frame["digest"].to_numpy(), int(frame["band"].iloc[0])
+        sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), -1)
+        earlier = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(len(frame), -1)[:, :band]
+        comp, one = pd.factorize(frame["comp"])[0], frame["one"].to_numpy(bool)
+        right, pairs = np.flatnonzero(~one), []
+        for x in np.flatnonzero(one):
+            some = right[comp[right] != comp[x]]
+            same = (sig[some] == sig[x]).sum(axis=1)
+            some, same = some[same >= AGREE], same[same >= AGREE]
+            first = ~(earlier[some] == earlier[x]).any(axis=1)
+            pairs += zip(same[first].tolist(), [int(x)] * int(first.sum()), some[first].tolist(), strict=True)
+        root, known, links = list(range(int(comp.max()) + 1)), {}, []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        def bag(name: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if name not in known:
+                known[name] = shingles([texts[name]])[0]
+            return known[name]
+
+        for _, x, y in sorted(pairs, reverse=True):
+            a, b = top(comp[x]), top(comp[y])
+            if a != b and similarity(bag(names[x]), bag(names[y])) >= threshold:
+                root[a] = b
+                links.append((max(names[x], names[y]), min(names[x], names[y])))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.groupBy("bucket", "p", "q").applyInPandas(run, "a binary, b binary").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, digest, class_id (the doc_id of its class that stays), class_size, kept."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = cut(sketch(docs))
-    texts = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    texts = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bands_raw").alias("bands_raw"), F.first("sig").alias("sig")))
     total = texts.count()
     banded = texts.where("bands is not null").select("digest", F.posexplode("bands").alias("band", "key"))
-    banded = banded.select("digest", F.concat_ws(":", F.col("band").cast("string"), F.col("key").cast("string")).alias("bucket"))
+    banded = banded.select("digest", "band", F.concat_ws(":", F.col("band").cast("string"), F.col("key").cast("string")).alias("bucket"))
     buckets = cut(banded.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n_in")).where("n_in > 1"))
     members = cut(join_grouped(banded, buckets, "bucket", "n_in", total * BANDS).where("hub is not null"))
-    pairs = cut(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct())
-    edges = cut(verified(docs, texts, pairs, threshold))
-    comps = components(edges)
-
-    tried, step, width = pairs, 0, 1
-    while True:
-        named = members.select("digest", "bucket", "n_in").join(comps, "digest", "left").select("digest", "bucket", "n_in", F.coalesce("comp", "digest").alias("comp"))
-        named = cut(named)
-        open_ = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        blocks = F.ceil(F.col("n_in") / BLOCK)
-        left = named.join(open_, "bucket", "left_semi").withColumn("blocks", blocks).where(F.floor(F.col("blocks") / 2) >= step)
-        left = cut(left.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))))
-        if left.limit(1).count() == 0:
-            break
-        steps = F.explode(F.sequence(F.lit(step), F.least(F.lit(step + width - 1), F.floor(F.col("blocks") / 2).cast("int"))))
-        mine = left.withColumn("s", steps).select("bucket", F.pmod(F.col("block") + F.col("s"), F.col("blocks")).alias("block"), F.col("digest").alias("a"), F.col("comp").alias("ca"))
-        theirs = left.select("bucket", "block", F.col("digest").alias("b"), F.col("comp").alias("cb"))
-        more = mine.join(theirs, (mine["bucket"] == theirs["bucket"]) & (mine["block"] == theirs["block"]) & (mine["ca"] != theirs["cb"])).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = cut(more.join(tried, ["a", "b"], "left_anti"))
-        found = cut(verified(docs, texts, more, threshold))
-        if found.limit(1).count():
-            edges = cut(edges.unionByName(found))
-            comps = components(edges)
-        tried = tried.unionByName(more)
-        step, width = step + width, 2 * width
-
-    named = texts.select("digest", "max_id", "n").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-    named = cut(named)
+    bags = candidates(docs, texts, members)
+    tried = cut(similarities(bags, members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()))
+    comps = components(tried.where(F.col("sim") >= threshold))
+    more = cut(remaining(members.join(texts.select("digest", "bands_raw", "sig"), "digest").withColumnRenamed("bands_raw", "bands"), comps, bags, threshold))
+    if more.limit(1).count():
+        comps = merged(comps, more)
+
+    named = cut(texts.select("digest", "max_id", "n").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     whole = named.groupBy("comp").agg(F.max("max_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     placed = join_grouped(named.withColumn("comp", F.hex("comp")), whole.withColumn("comp", F.hex("comp")), "comp", "n_texts", total)
     placed = placed.select(F.hex("digest").alias("digest"), F.col("n").alias("copies"), "class_id", "class_size")
