@@ -108,7 +108,12 @@ def scored(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFra
 
 
 def keep(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFrame:
-    """The documents that are kept, with their own columns only."""
+    """The documents that are kept, with their own columns only.
+
+    The row number keeps the filter above the projections: pushed below them, the verdict's expression would be written
+    out again for each use of each step, which grows beyond any plan.
+    """
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     own = docs.withColumnsRenamed(names)
-    return scored(own, labels, trusted).where("kept").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    decided = scored(own, labels, trusted).withColumn("_row", F.monotonically_increasing_id())
+    return decided.where("kept AND _row >= 0").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
