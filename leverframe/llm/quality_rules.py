@@ -1,12 +1,15 @@
 """Quality rules: base counts of a text, and a hashed n-gram log-likelihood ratio.
 
-Words and word pairs are hashed into ``BUCKETS`` buckets. Two multinomials over the buckets, with add-``ALPHA``
-smoothing, describe trusted texts (labelled good and not toxic) and the raw corpus (every document). A document's score
-is the mean over its n-grams of log p_trusted - log p_raw; a fixed threshold on it decides every document, so the same
-text gets the same verdict in the same corpus. Everything is DataFrame functions: the counts are one grouped
-aggregation, the ratio is one small table (``BUCKETS`` numbers whatever the input) in the scoring expression.
+Words and word pairs are hashed into ``BUCKETS`` buckets. The trusted texts are all that are labelled good and not
+toxic, the raw corpus is every document. Of n n-grams in trusted texts, n * p_raw are expected in a bucket; its ratio is
+log((trusted count + ``EVIDENCE``) / (expected + ``EVIDENCE``)), so a bucket in which few are expected says about 0 at
+every size of the table, and a well filled one says log p_trusted - log p_raw. A document's score is the mean over its
+n-grams. A trusted document is scored against the other trusted ones: its own n-grams are taken out of the trusted
+counts first. A fixed threshold on the score decides every document.
 
-Trusted ids are a sample of at most ``trusted`` labelled rows, the least by hash; the raw counts cover all documents.
+Everything is DataFrame functions: the counts are one grouped aggregation, the ratio is one small table (``BUCKETS``
+numbers whatever the input) in the scoring expression. ``judged`` and ``keep`` do the above and are what the queries
+use; ``scored`` is the plain form with add-``ALPHA`` smoothing over at most ``trusted`` documents, its own included.
 
 Results for odd input: null text has no words, so its counts are 0, base_failed holds and its score is null; with no
 trusted text or no documents the ratio is 0 for all, and only the base rules reject; repeated rows each get a row.
@@ -21,6 +24,10 @@ from leverframe.llm.common import words_of
 
 BUCKETS = 1 << 15
 ALPHA = 1.0
+#: Pseudo-count that draws a bucket's ratio to 0.
+EVIDENCE = 8.0
+#: Most trusted ids that are broadcast; beyond, documents and ids are shuffled.
+BROADCAST = 1_000_000
 #: Least mean log ratio of a text that is kept.
 LEAST = -0.12
 WINDOW = 8
@@ -107,7 +114,56 @@ def scored(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFra
     return out.drop("_words", "_w1", "_w2", "_grams")
 
 
-def keep(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFrame:
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with _good, whether the document is labelled good and not toxic."""
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id", F.lit(True).alias("_good"))
+    n = good.limit(BROADCAST + 1).count()
+    out = docs.join(F.broadcast(good) if n <= BROADCAST else good, "doc_id", "left")
+    return out.withColumn("_good", F.coalesce("_good", F.lit(False)))
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with the base columns, llr (mean log ratio to the other documents; null without words) and kept."""
+    marked = with_trust(docs, labels)
+    grams = hashed(marked.select("_good", "text")).select("_good", F.explode(F.concat("_w1", "_w2")).alias("h"))
+    counts = grams.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count_if("_good").alias("good"))
+    raw, best = [0] * BUCKETS, [0] * BUCKETS
+    for row in counts.collect():  # at most BUCKETS rows
+        raw[row["bucket"]], best[row["bucket"]] = row["raw"], row["good"]
+    n_raw, n_best = max(1, sum(raw)), sum(best)
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
+    trusted, share, ratios = table(best), table([r / n_raw for r in raw]), table(evidence(raw, best))
+
+    out = base_counts(marked).withColumn("_grams", F.transform(F.concat("_w1", "_w2"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    plain = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get(ratios, b))
+    others = F.lit(float(n_best)) - F.size("_grams")
+
+    def run(a: Column) -> Column:
+        """The sum with the run of ``k`` equal buckets that ends."""
+        shrunk = F.log((F.get(trusted, a["b"]) - a["k"] + EVIDENCE) / (others * F.get(share, a["b"]) + EVIDENCE))
+        return a["total"] + F.when(a["k"] > 0, a["k"] * shrunk).otherwise(0.0)
+
+    def step(a: Column, b: Column) -> Column:
+        same = a["b"] == b
+        return F.struct(b.alias("b"), F.when(same, a["k"] + 1).otherwise(1).alias("k"), F.when(same, a["total"]).otherwise(run(a)).alias("total"))
+
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("k"), F.lit(0.0).alias("total"))
+    left_out = F.aggregate(F.sort_array("_grams"), start, step, run)
+    total = F.when(F.col("_good") & (others > 0), left_out).when(F.col("_good"), 0.0).otherwise(plain)
+    out = out.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= LEAST))
+    return out.drop("_words", "_w1", "_w2", "_grams", "_good")
+
+
+def evidence(raw: list[int], best: list[int]) -> list[float]:
+    """Log of trusted count by expected count of each bucket, both with ``EVIDENCE`` added."""
+    from math import log
+
+    n_raw, n_best = max(1, sum(raw)), sum(best)
+    return [log((b + EVIDENCE) / (n_best * r / n_raw + EVIDENCE)) for r, b in zip(raw, best, strict=True)]
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns only.
 
     The row number keeps the filter above the projections: pushed below them, the verdict's expression would be written
@@ -115,5 +171,5 @@ def keep(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFrame
     """
     names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     own = docs.withColumnsRenamed(names)
-    decided = scored(own, labels, trusted).withColumn("_row", F.monotonically_increasing_id())
+    decided = judged(own, labels).withColumn("_row", F.monotonically_increasing_id())
     return decided.where("kept AND _row >= 0").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

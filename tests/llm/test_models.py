@@ -75,6 +75,49 @@ def test_ratio_matches_brute_force(spark):
         assert r["llr"] == pytest.approx(want, abs=1e-6) and r["kept"] == (not r["base_failed"] and (want or 0) >= quality_rules.LEAST)
 
 
+def shrunk(g, raw, best, own):
+    """Mean log ratio of the buckets ``g``, without ``own`` in the trusted counts."""
+    n, n_raw, c = sum(best.values()) - sum(own.values()), sum(raw.values()), quality_rules.EVIDENCE
+    return sum(math.log((best[b] - own[b] + c) / (n * raw[b] / n_raw + c)) for b in g) / len(g)
+
+
+@pytest.mark.parametrize("broadcast", [quality_rules.BROADCAST, 3])
+def test_verdicts_match_brute_force_without_own_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST", broadcast)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (None, "a b c")], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["toxic"] == 0}
+    raw = Counter(b for g in rows.values() for b in g)
+    best = Counter(b for i, g in rows.items() if i in good for b in g)
+    got = quality_rules.judged(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        g = rows[r["doc_id"]]
+        want = shrunk(g, raw, best, Counter(g if r["doc_id"] in good else ())) if g else None
+        assert r["llr"] == pytest.approx(want, abs=1e-9) and r["kept"] == (not r["base_failed"] and (want or 0) >= quality_rules.LEAST)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_verdict_depends_on_neither_size_nor_own_label(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    for shown in (0, 1):  # half of the labels are shown, the other half's rows are held out of the target
+        rows = quality_rules.judged(docs, labels.where(F.expr(f"doc_id % 2 = {shown}"))).join(labels, "doc_id").where("NOT base_failed").collect()
+        for part in (0, 1):
+            good = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0 and r["doc_id"] % 2 == part]
+            assert len(good) > 10 and len(good) - sum(good) <= 0.1 * len(good)
+        bad = [r["kept"] for r in rows if r["quality"] == 0]
+        assert sum(bad) < 0.4 * len(bad)
+
+
+def test_only_trusted_document_gives_no_ratio(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    (row,) = quality_rules.judged(docs, labels).collect()
+    assert row["llr"] == 0 and row["kept"]
+
+
 def test_rules_keep_their_columns(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("llr", F.lit("mine")).withColumn("kept", F.lit(1))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
