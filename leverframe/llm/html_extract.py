@@ -6,8 +6,10 @@ class/id word) are bad; of the others, blocks with many links are bad, long bloc
 with some are nearly good, very short ones are short, long ones without stop words are bad. Headings are kept apart.
 Second pass: nearly good and short blocks take the label of their nearest decided neighbours (good wins where one of
 the two is good for nearly good blocks; both must be good for short ones, a missing neighbour counting as the other).
-Where the page marks its article, blocks inside it start from good unless their links make them bad, since there the
-author has drawn the border already.
+Article and main elements are a border only if their blocks outside boilerplate hold more than half of the text that
+these rules keep on the whole page (where they keep none, of all text outside boilerplate and links). Then both passes
+run on the blocks inside alone: the border counts as a good neighbour, and long blocks without stop words are nearly
+good, since they may be in another language or no prose. Otherwise the rules decide on the whole page.
 
 Results for odd input: null or empty html gives an empty text; markup cut off anywhere is read as far as it goes; a page
 without any good block gives an empty text; repeated rows each get their text.
@@ -148,28 +150,26 @@ def blocks_of(html: str) -> Iterator[tuple[str, int, bool, bool, bool]]:
         yield block
 
 
-def first_pass(text: str, linked: int, heading: bool, boiler: bool, article: bool, limits=Limits) -> str:
-    """good, near (nearly good), short or bad."""
+def first_pass(text: str, linked: int, heading: bool, boiler: bool, inside: bool, limits=Limits) -> str:
+    """good, near (nearly good), short or bad; ``inside``: the block is in the border of the page's article."""
     n = len(text)
     if boiler or linked / n > limits.link_share:
         return "bad"
-    if article:
-        return "good"
     words = WORD.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if heading or n < limits.short:
         return "bad" if linked else "short"
     if stop >= limits.high_stop:
         return "good" if n > limits.long else "near"
-    return "near" if stop >= limits.low_stop else "bad"
+    return "near" if inside or stop >= limits.low_stop else "bad"
 
 
-def second_pass(labels: list[str]) -> list[bool]:
-    """Whether each block is kept, ambiguous ones by their nearest decided neighbours."""
+def second_pass(labels: list[str], edge: str = "") -> list[bool]:
+    """Whether each block is kept, ambiguous ones by their nearest decided neighbours; ``edge`` stands before and after all."""
     n = len(labels)
     before, after = [""] * n, [""] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        seen = ""
+        seen = edge
         for i in order:
             side[i] = seen
             seen = labels[i] if labels[i] in ("good", "bad") else seen
@@ -180,17 +180,25 @@ def second_pass(labels: list[str]) -> list[bool]:
     return keep
 
 
-def extract(html: str | None) -> str:
-    """The page's main text: kept blocks in order, one line each."""
-    blocks = list(blocks_of(html or ""))
-    if any(b[4] for b in blocks):
-        labels = [first_pass(*b) if b[4] else "bad" for b in blocks]
-    else:
-        labels = [first_pass(*b) for b in blocks]
-    kept = second_pass(labels)
+def passes(blocks: list[tuple], inside: bool) -> list[bool]:
+    """Both passes on a page's blocks, or on those ``inside`` its article."""
+    labels = [first_pass(*b[:4], inside) for b in blocks]
+    kept = second_pass(labels, "good" if inside else "")
     for i, b in enumerate(blocks):  # a heading right before kept text belongs to it
         if b[2] and labels[i] == "short" and not kept[i] and i + 1 < len(blocks) and kept[i + 1]:
             kept[i] = True
+    return kept
+
+
+def extract(html: str | None) -> str:
+    """The page's main text: kept blocks in order, one line each."""
+    blocks = list(blocks_of(html or ""))
+    kept = passes(blocks, False)
+    marked = [b for b in blocks if b[4] and not b[3]]
+    if marked:
+        good = [b for b, k in zip(blocks, kept, strict=True) if k] or [b for b in blocks if not b[3] and b[1] / len(b[0]) <= Limits.link_share]
+        if 2 * sum(len(b[0]) for b in good if b[4]) > sum(len(b[0]) for b in good):
+            blocks, kept = marked, passes(marked, True)
     return "\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
 
 

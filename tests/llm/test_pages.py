@@ -34,6 +34,23 @@ def test_extract(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div class=post><p>{PROSE}</p></div><section class=comments><article><p>{PROSE} no</p></article></section>", PROSE),
+        (f"<div><p>{PROSE}</p></div><aside><article><p>teaser</p></article></aside>", PROSE),
+        (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><article><p>A card.</p></article>", f"{PROSE}\n{PROSE}\nA card."),
+        (f"<div><p>{'lorem ipsum ' * 30}</p></div><article><p>card</p></article>", ""),
+        (f"<div><p>{PROSE}</p></div><article><p>{PROSE} a</p><p>b</p><p>{PROSE} c</p></article>", f"{PROSE} a\nb\n{PROSE} c"),
+        (f"<article><p>{PROSE}</p><p>{'lorem ipsum ' * 30}</p></article>", f"{PROSE}\n{('lorem ipsum ' * 30).strip()}"),
+        (f"<article><p>{PROSE}</p><p><a href=1>one of the links here</a></p><p>Read on:</p><p><a href=2>another of the links</a></p><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        (f"<main><div class=ad>x</div><p>a</p><div class=ad>{PROSE}</div><p>b</p></main>", "a\nb"),
+    ],
+)
+def test_marks_are_a_border_only_around_the_main_text(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_second_pass_takes_neighbours():
     assert html_extract.second_pass(["good", "short", "good", "short", "bad", "near", "bad"]) == [True, True, True, False, False, False, False]
     assert html_extract.second_pass(["near", "good"]) == [True, True] and html_extract.second_pass(["short"]) == [False]
