@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. First pass, on each block alone: blocks in boilerplate containers
 (menus, headers outside the article, footers, asides, forms, adverts, notices, reader comments, by tag, role or
-class/id word) are bad; of the others, blocks with many links are bad, long blocks with many stop words are good, those
+whole class/id token; ids of headings don't count) are bad; of the others, blocks with many links are bad, long blocks with many stop words are good, those
 with some are nearly good, very short ones are short, long ones without stop words are bad. Headings are kept apart.
 Second pass: nearly good and short blocks take the label of their nearest decided neighbours (good wins where one of
 the two is good for nearly good blocks; both must be good for short ones, a missing neighbour counting as the other).
@@ -38,6 +38,14 @@ BOILER_WORDS = frozenset(
     "footer header masthead sidebar side aside widget related recommended comment comments reply replies respond discussion disqus "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social toolbar pagination pager search form complementary contentinfo dialog tags copyright legal".split()
 )
+#: Words that may stand before (PLACES) or after (HOLDERS) boilerplate words in one class or id token, and other known tokens.
+PLACES = frozenset("site page main global top bottom primary secondary sticky mobile".split())
+HOLDERS = frozenset("list area box bar container wrapper wrap block inner link links button buttons icon icons item items title form slot unit".split())
+BOILER_TOKENS = frozenset(
+    "post-comments article-comments entry-comments comment-body comment-content comment-text comments-section comment-section entry-footer post-footer article-footer "
+    "related-posts related-articles related-stories related-content recommended-posts recommended-articles recommended-content sponsored-content sponsored-post "
+    "post-tags entry-tags article-tags post-share article-share post-navigation privacy-notice google-ad".split()
+)
 STOP_WORDS = frozenset(
     # English, German, French, Spanish
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so what up said about than into them can only other do new some could these two may then first any my now such like our over me even most made after also did many must before back through years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three "
@@ -47,28 +55,63 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+SIZE = re.compile(r"\d+(?:x\d+)?")
 WORD = re.compile(r"\w+")
 SPACES = re.compile(r"[\s\x00]+")
 
 
+# An opening tag first ends the open elements named here, within the nearest element of the second set.
+P_SCOPE = frozenset("button caption td th table html".split())
+ITEM_SCOPE = BLOCK_TAGS - frozenset("address div p".split())
+ENDS = {t: (frozenset(["p"]), P_SCOPE) for t in BLOCK_TAGS - frozenset("body button caption html legend optgroup option select tbody td tfoot th thead tr".split())}
+ITEM_ENDS = {"li": (frozenset(["li"]), ITEM_SCOPE), "dt": (frozenset(["dt", "dd"]), ITEM_SCOPE), "dd": (frozenset(["dt", "dd"]), ITEM_SCOPE)}
+
+
 class Limits:
     """The first pass's numbers, in code points and shares."""
 
     long, short, link_share, high_stop, low_stop = 140, 40, 0.35, 0.20, 0.10
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """A tag's attributes by lower-case name, values in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attrs):
+        if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]:
+            value = value[1:-1]
+        out.setdefault(name.lower(), value.lower())
+    return out
+
+
+def names_boilerplate(token: str) -> bool:
+    """Whether a class or id token is a boilerplate word or a known compound of such words, places and holders."""
+    if token in BOILER_WORDS:
+        return True
+    parts = [x for x in re.split(r"[_\-]+", token) if x]
+    if "-".join(parts) in BOILER_TOKENS:
+        return True
+    while parts and parts[0] in PLACES:
+        parts = parts[1:]
+    while parts and (parts[-1] in HOLDERS or SIZE.fullmatch(parts[-1])) and parts[-1] not in BOILER_WORDS:
+        parts = parts[:-1]
+    return bool(parts) and BOILER_WORDS.issuperset(parts)
+
+
 def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element holds boilerplate whatever its text."""
     if tag in BOILER_TAGS and not (tag == "header" and in_article):
         return True
     if attrs and tag not in ("html", "body", "article", "main"):
-        for name, value in NAMES.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name in ("class", "id", "role") and not BOILER_WORDS.isdisjoint(re.split(r"[\s_\-]+", value)):
-                return True
+        has = attributes(attrs)
+        if "hidden" in has or has.get("aria-hidden") == "true":
+            return True
+        if re.search(r"(?:^|;)display:none(?:!important)?(?:;|$)", re.sub(r"\s+", "", has.get("style", ""))):
+            return True
+        if not BOILER_WORDS.isdisjoint(has.get("role", "").split()):
+            return True
+        tokens = has.get("class", "").split() + (has.get("id", "").split() if tag not in HEADINGS else [])
+        return any(map(names_boilerplate, tokens))
     return False
 
 
@@ -121,11 +164,18 @@ def blocks_of(html: str) -> Iterator[tuple[str, int, bool, bool, bool]]:
                             article -= a
                         del stack[i:]
                         break
-            elif tag not in VOID_TAGS:
-                if tag == "p" and stack and stack[-1][0] == "p":
-                    _, b, a = stack.pop()
-                    boiler -= b
-                    article -= a
+            if not m[1]:
+                for ended, scope in filter(None, (ITEM_ENDS.get(tag), ENDS.get(tag))):
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] in ended:
+                            for _, b, a in stack[i:]:
+                                boiler -= b
+                                article -= a
+                            del stack[i:]
+                            break
+                        if stack[i][0] in scope:
+                            break
+            if not m[1] and tag not in VOID_TAGS:
                 entry = (tag, boilerplate(tag, m[3], article > 0), tag in ("article", "main"))
                 stack.append(entry)
                 boiler += entry[1]

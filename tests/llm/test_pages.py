@@ -51,6 +51,24 @@ def test_marks_are_a_border_only_around_the_main_text(html, want):
     assert html_extract.extract(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<main><p title='The hidden costs'>a</p><p data-hidden=false>b</p><p data-role=comment data-class='ad'>c</p><p title='x class=ad'>d</p></main>", "a\nb\nc\nd"),
+        ("<main><p hidden>a</p><p aria-hidden='true'>b</p><p STYLE='color:red; display: none'>c</p><p role=alert>d</p><p aria-hidden=false>e</p></main>", "e"),
+        ("<main><div class='x ad'>a</div><div class=site-footer>b</div><div class='comments__list'>c</div><div id=related-posts>d</div><div class=ad-300x250>e</div><p>f</p></main>", "f"),
+        (f"<div class='has-sidebar'><p>{PROSE}</p></div><div class='row no-sidebar with_comments'><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+        ("<article><section id=social-impact><p>a</p></section><div id=legal-history><p>b</p></div><h2 id=related-work>c</h2><h2 id=related>d</h2><p>e</p></article>", "a\nb\nc\nd\ne"),
+        ("<article><p class=notice>x<div>a</div><p class=notice>x<h2>b</h2>c</article>", "a\nb\nc"),
+        ("<article><p class=notice>x<p>a<table><tr><td><p class=notice>y</td><td>b</table><hr>c</article>", "a\nb\nc"),
+        ("<article><ul><li class=ad>x<li>a<ul><li class=ad>y<li>b</ul><li>c</ul><dl><dt class=ad>x<dd>d<dt>e</dl></article>", "a\nb\nc\nd\ne"),
+        ("<article><p class=notice>x <span class=ad>y<ul><li>a</ul></article>", "a"),
+    ],
+)
+def test_boilerplate_is_named_exactly_and_ends_where_html_ends_it(html, want):
+    assert html_extract.extract(html) == want
+
+
 def test_second_pass_takes_neighbours():
     assert html_extract.second_pass(["good", "short", "good", "short", "bad", "near", "bad"]) == [True, True, True, False, False, False, False]
     assert html_extract.second_pass(["near", "good"]) == [True, True] and html_extract.second_pass(["short"]) == [False]
