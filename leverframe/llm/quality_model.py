@@ -8,6 +8,10 @@ probabilities under the global prior. A host's rate is shrunk to the global one
 strengths estimated by moments from how much the rates differ beyond chance; so sparse sites stay near the prior. A
 document's posterior is its evidence with its path's shrunk rate as prior odds. It is kept from a half on.
 
+``documents`` has no url: by default the column source stands in for the host and lang for the path, so a 'path' is a
+source's documents in one language. Clean documents in a language with few rows at a bad source get a prior near that
+source's.
+
 Results for odd input: null and empty texts count as one empty text with zero shares; null hosts or paths form a group
 named ''; without labels of both kinds the evidence is 0 and all are kept; repeated rows each count and get a row.
 """

@@ -158,6 +158,10 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert rates["big/a"] < 0.1 and rates["good/a"] > 0.9 and rates["big/a"] < rates["small/a"] < 0.8 and rates["big/a"] < rates["big/new"]
 
 
+def test_levels_are_named_where_they_are_described():
+    assert "source stands in for the host and lang for the path" in " ".join(quality_model.__doc__.split())
+
+
 def test_quality_classifier_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, None), (1, "", "s", "en"), (2, "x " * 50_000, None, "en")], "doc_id long, text string, source string, lang string").withColumn("prior", F.lit(1))
     none = spark.createDataFrame([], "doc_id long, quality int")
