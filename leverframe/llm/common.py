@@ -13,19 +13,38 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none and runs on this machine alone (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as reliable checkpoint files in the shared folder; for narrow tables that are read again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder: cuts the lineage of narrow tables that are read again. ``drop`` deletes it."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing reads any more."""
+    for df in cuts:
+        delete(df.sparkSession, df.cut_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,20 +84,14 @@ def words_of(text: Column) -> Column:
 def keep_decided(keyed: DataFrame, groups: DataFrame, bound: int = 100_000) -> DataFrame:
     """Rows of ``keyed`` (with ``_digest``) without those that their group drops.
 
-    ``groups`` has a row per ``_digest`` that is in a group of several, with ``_keep``, the id that stays. Texts outside
-    groups pass in place: the groups are broadcast where a count shows that they are at most ``bound`` rows, else both
-    sides are shuffled, where adaptive execution splits a skewed digest. Of rows that repeat the kept id, one stays.
+    ``groups`` has a row per ``_digest`` that is in a group of several, with ``_keep``, the id that stays, and ``_stays``,
+    whether it stays with this digest. Texts outside groups pass in place: the groups are broadcast where a count shows
+    that they are at most ``bound`` rows, else both sides are shuffled, where adaptive execution splits a skewed digest.
+    Of rows that repeat the kept id and text, one stays.
     """
     n = groups.limit(bound + 1).count()
     named = groups.withColumn("_grouped", F.lit(True))
     out = keyed.join(F.broadcast(named) if n <= bound else named, "_digest", "left")
     plain = out.where(F.col("_grouped").isNull())
-    one = out.where(F.col("_grouped") & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_digest"])
+    one = out.where(F.col("_grouped") & F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_digest"])
     return plain.unionByName(one)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python at most ``rows`` at a time, to bound a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)

@@ -180,4 +180,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     index = cut(build_index(rows.withColumn("n", F.lit(1).cast("long"))).where("group_size > 1").select("digest", "keep_id"))
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keep_decided(keyed, index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))).select(*docs.columns)
+    return keep_decided(keyed, index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_stays"))).select(*docs.columns)

@@ -36,8 +36,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import small_batches
-
 # Which elements break a block, hold no text, or are never main text; words in class, id or role that name boilerplate.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template svg iframe textarea title".split())
@@ -255,14 +253,14 @@ def stop_share(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def first_pass(text: str, linked: int, heading: bool, boiler: bool, inside: bool, known: bool = True, limits=Limits) -> str:
-    """good, near (nearly good), short or bad; ``inside``: the block is in the page's article; ``known``: the page's language has stop words."""
+def first_pass(text: str, linked: int, heading: bool, boiler: bool, inside: bool, stops: tuple[int, int], limits=Limits) -> str:
+    """good, near (nearly good), short or bad; ``inside``: the block is in the page's article; ``stops``: its ``stop_share``."""
     n = len(text)
     if boiler or linked / n > limits.link_share:
         return "bad"
     if heading or n < limits.short:
         return "bad" if linked else "short"
-    stop, words = stop_share(text) if known else (1, 1)
+    stop, words = stops
     if stop >= limits.high_stop * words:
         return "good" if n > limits.long else "near"
     return "near" if inside or stop >= limits.low_stop * words else "bad"
@@ -293,11 +291,11 @@ def second_pass(labels: list[str], at: list[int], edges: tuple[int, int] | None
     return keep
 
 
-def passes(blocks: list[tuple], at: list[int], edges: tuple[int, int] | None = None) -> list[bool]:
+def passes(blocks: list[tuple], at: list[int], stops: list[tuple[int, int]], edges: tuple[int, int] | None = None) -> list[bool]:
     """Both passes on a page's blocks, or on those inside its article if ``edges`` are the places of that one's border."""
-    open_ = [stop_share(b[0]) for b in blocks if not b[3] and b[1] / len(b[0]) <= Limits.link_share]
+    open_ = [s for b, s in zip(blocks, stops, strict=True) if not b[3] and b[1] / len(b[0]) <= Limits.link_share]
     known = 2 * sum(s for s, _ in open_) >= Limits.low_stop * sum(w for _, w in open_)
-    labels = [first_pass(*b[:4], edges is not None, known) for b in blocks]
+    labels = [first_pass(*b[:4], edges is not None, s if known else (1, 1)) for b, s in zip(blocks, stops, strict=True)]
     if "good" not in labels:
         labels = ["good" if x == "near" else x for x in labels]
     kept = second_pass(labels, at, edges)
@@ -311,20 +309,19 @@ def extract(html: str | None) -> str:
     """The page's main text: kept blocks in order, one line each."""
     blocks = list(blocks_of(html or ""))
     at = list(accumulate(b[5] for b in blocks))
-    kept = passes(blocks, at)
+    stops = [(0, 0) if b[3] else stop_share(b[0]) for b in blocks]
+    kept = passes(blocks, at, stops)
     marked = [i for i, b in enumerate(blocks) if b[4] and not b[3]]
     if marked:
         good = [b for b, k in zip(blocks, kept, strict=True) if k] or [b for b in blocks if not b[3] and b[1] / len(b[0]) <= Limits.link_share]
         if 2 * sum(len(b[0]) for b in good if b[4]) > sum(len(b[0]) for b in good):
-            blocks, at = [blocks[i] for i in marked], [at[i] for i in marked]
-            kept = passes(blocks, at, (at[0] - 1, at[-1] + 1))
+            blocks, at, stops = [blocks[i] for i in marked], [at[i] for i in marked], [stops[i] for i in marked]
+            kept = passes(blocks, at, stops, (at[0] - 1, at[-1] + 1))
     return "\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
-    small_batches(pages.sparkSession)
-
     @F.pandas_udf("string")
     def texts(html: pd.Series) -> pd.Series:
         return html.map(extract)

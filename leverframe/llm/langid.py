@@ -22,8 +22,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import small_batches
-
 DIMS = 1 << 14
 PER_LANGUAGE = 1500
 EPOCHS, RATE, BETA, L1, L2 = 3, 0.5, 1.0, 0.01, 0.01
@@ -147,7 +145,6 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """``docs`` with lang_pred and score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

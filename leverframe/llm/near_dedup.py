@@ -7,19 +7,22 @@
    it. A component of the signature is the earliest point it gets, so two texts agree in it with a probability that is
    their weighted Jaccard similarity. Points come in order of time, so a process stops once it is past the latest
    component: about (shingles + components x log components) draws for each text.
-3. Signatures are banded. Each text in a bucket is compared with the bucket's hub (its least digest): one pair for each
-   text, never all pairs. Where a bucket then still holds several components, blocks of the texts outside its largest
-   one meet blocks of all of them in one task each; pairs whose signatures agree in at least 82 of 128 components are
-   compared there, unless links found before join them, and only links leave the task. So a pair of similarity 0.8 or
-   more that shares a bucket is compared or within a component already, but for a chance of about one in 100,000 that
-   its signatures agree in less; no link is lost to a cap.
+3. Signatures are banded. Each text in a bucket meets the bucket's hub (its least digest): one pair for each text, never
+   all pairs. Where a bucket then still holds several components, blocks of the texts outside its largest one meet
+   blocks of all of them, as signatures only. Two texts of different components are compared further if their signatures
+   agree in at least 70 of 128 components, which a pair of similarity 0.8 misses with a probability of 1e-11.
 4. Pairs are compared on the whole texts: weighted Jaccard of the shingle multisets, at least the threshold for a link.
+   A task first sends a forest of its best pairs and a few for each component, the next rounds four times as many each,
+   until no task has held any back. Pairs that links found before have joined need no comparison.
 5. Classes are the connected components; the largest doc_id of each stays.
 
 With 16 bands of 4 a pair of similarity 0.8 shares a bucket with probability 0.9998.
 
 Results for odd input: null counts as empty; texts without words are only grouped with equal texts; texts of one to
-four words have one shingle, all their words; repeated rows form a class; empty tables give empty results.
+four words have one shingle, all their words; very long texts are sketched and compared whole; repeated rows form a
+class; rows that repeat an id over different texts are told apart by their texts, and ``dedup`` keeps one row of each
+class, of rows with the kept id that with the greatest digest; empty tables give empty results. ``classes`` has columns
+of its own only; ``dedup`` keeps the columns of ``docs`` whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped, keep_decided, small_batches
+from leverframe.llm.common import cut, drop, join_grouped, keep_decided, partitions
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
-#: them with a probability of about 1e-5.
-COMPONENTS, AGREE = 128, 82
-#: Texts of a bucket on either side of a comparison in step 3.
-BLOCK = 512
+#: them with a probability of about 1e-11.
+COMPONENTS, AGREE = 128, 70
+#: Texts of a bucket on either side of a comparison in step 3, pairs that a component sends in the first round, and pairs that one copy of a hub's text meets.
+BLOCK, FIRST, COPIES = 512, 4, 500
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -145,7 +148,7 @@ def _slices(frame: pd.DataFrame, text: str, chars: int = 1_500_000) -> Iterator[
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, the band keys and 16 bits of each component of each row (null for a text without words)."""
+    """digest, doc_id, the band keys (8 bytes each) and 16 bits of each component of each row (null for a text without words)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -153,10 +156,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bags = shingles(list(part["text"]))
                 sig = signatures(bags)
                 keys, short = band_keys(sig), (mix(sig.view(U)) >> U(48)).astype("<u2")
-                some = [bool(len(bag[0])) for bag in bags]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "bands": [list(k) if x else None for k, x in zip(keys, some, strict=True)], "bands_raw": [k.tobytes() if x else None for k, x in zip(keys, some, strict=True)], "sig": [k.tobytes() if x else None for k, x in zip(short, some, strict=True)]})
+                raw = lambda rows: [k.tobytes() if len(bag[0]) else None for k, bag in zip(rows, bags, strict=True)]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "bands": raw(keys), "sig": raw(short)})
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), digest(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, digest binary, bands array<long>, bands_raw binary, sig binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), digest(), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, digest binary, bands binary, sig binary")
 
 
 def digest():
@@ -173,13 +176,37 @@ def candidates(docs: DataFrame, texts: DataFrame, members: DataFrame, bound: int
     return cut(found.select("digest", "text").dropDuplicates(["digest"]))
 
 
+def by_digest(sigs: DataFrame, name: str, *columns: str) -> DataFrame:
+    return sigs.select(F.col("digest").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+
+def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least AGREE components. ``sigs``: digest, sig."""
+
+    @F.pandas_udf("int")
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(c), "<u2").reshape(len(c), -1) if len(c) else np.empty((0, 1)) for c in (x, y))
+        return pd.Series((left == right).sum(axis=1))
+
+    both = pairs.join(by_digest(sigs, "a", "sig"), "a")
+    hubs = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).join(by_digest(sigs, "b", "sig"), "b"))
+    both = join_grouped(both, hubs, "b", "n", pairs.count())
+    return both.where(agree("sig_a", "sig_b") >= AGREE).select("a", "b")
+
+
 def similarities(bags: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b and sim, the weighted Jaccard similarity of the whole texts (``bags``: digest, text), for each pair (a, b).
 
-    A text is in few pairs as a; as b, a hub may be in very many, whose rows adaptive execution splits over tasks.
+    A text that is in many pairs on one side is copied once for every COPIES of them, to be met in different tasks.
     """
-    both = pairs.join(bags.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(bags.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    both, total = pairs.select("a", "b"), pairs.count()
+    for side in ("a", "b"):
+        other = "b" if side == "a" else "a"
+        often = cut(both.groupBy(side).agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / COPIES).cast("int")))
+        salted = join_grouped(both, often, side, "n", total).withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("n", "copies")
+        texts = often.join(bags.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}")), side)
+        copies = texts.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(f"salt_{side}"))
+        both = salted.join(copies, [side, f"salt_{side}"]).drop(f"salt_{side}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -195,19 +222,26 @@ def similarities(bags: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """digest, comp: each node of the edges (a, b) with the least digest that it is connected to.
 
-    Labels fall to the least label among neighbours, then to their label's label, until nothing changes.
+    Labels fall to the least label among neighbours, then to their label's label, until nothing changes. A node with very
+    many neighbours, and a label that very many nodes have, are joined apart from the others (``join_grouped``).
     """
     links = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "digest")
-    labels = cut(labels)
+    total = links.count()
+    labels = cut(links.groupBy(F.col("a").alias("digest")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count(F.lit(1)).alias("n")))
+    nodes = labels.count()
     while True:
-        seen = links.join(labels.select(F.col("digest").alias("b"), F.col("comp").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        low = labels.join(seen, labels["digest"] == seen["a"], "left").select("digest", F.col("comp").alias("was"), F.least("comp", "theirs").alias("low"))
-        jump = labels.select(F.col("digest").alias("low"), F.col("comp").alias("further"))
-        new = cut(low.join(jump, "low", "left").select("digest", "was", F.least("low", "further").alias("comp")))
-        if new.where("comp <> was").limit(1).count() == 0:
+        theirs = join_grouped(links, labels.select(F.col("digest").alias("b"), F.col("comp").alias("theirs"), "n"), "b", "n", total)
+        seen = theirs.groupBy("a").agg(F.min("theirs").alias("theirs"))
+        low = cut(labels.join(seen, labels["digest"] == seen["a"], "left").select("digest", "n", F.col("comp").alias("was"), F.least("comp", "theirs").alias("low")))
+        jump = low.groupBy("low").agg(F.count(F.lit(1)).alias("n_low")).join(labels.select(F.col("digest").alias("low"), F.col("comp").alias("further")), "low")
+        jump = join_grouped(low.select(F.hex("digest").alias("digest"), "n", "was", F.hex("low").alias("low")), jump.withColumn("low", F.hex("low")), "low", "n_low", nodes)
+        new = cut(jump.select(F.unhex("digest").alias("digest"), "n", "was", F.least(F.unhex("low"), F.coalesce("further", F.unhex("low"))).alias("comp")))
+        done = new.where("comp <> was").limit(1).count() == 0
+        drop(labels, low)
+        labels = new
+        if done:
+            drop(links)
             return new.select("digest", "comp")
-        labels = new.select("digest", "comp")
 
 
 def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,89 +256,143 @@ def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(moved.unionByName(joined.join(comps.select("digest"), "digest", "left_anti")))
 
 
-def remaining(members: DataFrame, comps: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of one bucket that lie in different components.
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """A sorted partition's rows, cut between groups only."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        last = (frame[keys] != frame[keys].iloc[-1]).any(axis=1).to_numpy()
+        begin = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if begin:
+            yield frame.iloc[:begin]
+        rest = frame.iloc[begin:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def remaining(members: DataFrame, comps: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket that lie in different components and whose signatures agree; a row of nulls where some are held back.
 
-    ``members``: digest, band, bucket, bands, sig. In a bucket that still holds several components, the texts outside
-    its largest one are dealt into blocks, and so are all of its texts; a task compares a block of the ones with a block
-    of the others. Pairs are taken in order of their signatures' agreement down to AGREE, and compared on the whole texts
-    unless the links found so far join them already. A pair is left to the first band in which it shares a bucket.
+    ``members``: digest, band, bucket; ``sigs``: digest, bands, sig. In a bucket that still holds several components, the
+    texts outside its largest one are dealt into blocks, and so are all of its texts; a task compares a block of the ones
+    with a block of the others. Of the pairs found, in order of agreement, go out those that join parts that the ones
+    before left apart, and the first ``most`` of each component. A pair is left to the first band in which it shares a bucket.
     """
-    named = cut(members.select("digest", "bucket").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
-    parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = cut(named.join(parts, "bucket").select("digest", "bucket", "comp", (F.col("comp") != F.col("main")).alias("apart"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("np")))
+    spark = members.sparkSession
+    named = cut(members.select("digest", "band", "bucket").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
+    parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    parts = cut(parts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    open_ = join_grouped(named, parts, "bucket", "n", named.count()).where("k > 1")
+    open_ = cut(open_.select("digest", "band", "bucket", "comp", (F.col("comp") != F.col("main")).alias("apart"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("np")))
     spread = lambda n, salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ones = open_.where("apart").withColumn("p", spread("np", 1)).select("digest", "bucket", "comp", "p", every("nq").alias("q"), F.lit(True).alias("one"))
-    others = open_.withColumn("q", spread("nq", 2)).select("digest", "bucket", "comp", every("np").alias("p"), "q", F.lit(False).alias("one"))
-    sketches = members.select("digest", "bucket", "band", "bands", "sig")
-    rows = ones.unionByName(others).join(sketches, ["digest", "bucket"]).join(bags, "digest")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = frame.drop_duplicates("digest").set_index("digest")["text"]
-        names, band = frame["digest"].to_numpy(), int(frame["band"].iloc[0])
-        sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), -1)
-        earlier = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(len(frame), -1)[:, :band]
-        comp, one = pd.factorize(frame["comp"])[0], frame["one"].to_numpy(bool)
-        right, pairs = np.flatnonzero(~one), []
-        for x in np.flatnonzero(one):
-            some = right[comp[right] != comp[x]]
-            same = (sig[some] == sig[x]).sum(axis=1)
-            some, same = some[same >= AGREE], same[same >= AGREE]
-            first = ~(earlier[some] == earlier[x]).any(axis=1)
-            pairs += zip(same[first].tolist(), [int(x)] * int(first.sum()), some[first].tolist(), strict=True)
-        root, known, links = list(range(int(comp.max()) + 1)), {}, []
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def bag(name: bytes) -> tuple[np.ndarray, np.ndarray]:
-            if name not in known:
-                known[name] = shingles([texts[name]])[0]
-            return known[name]
-
-        for _, x, y in sorted(pairs, reverse=True):
-            a, b = top(comp[x]), top(comp[y])
-            if a != b and similarity(bag(names[x]), bag(names[y])) >= threshold:
-                root[a] = b
-                links.append((max(names[x], names[y]), min(names[x], names[y])))
-        return pd.DataFrame(links, columns=["a", "b"])
+    own = open_.join(sigs, "digest")
+    ones = own.where("apart").withColumn("p", spread("np", 1)).select("digest", "band", "bucket", "comp", "bands", "sig", "p", every("nq").alias("q"), F.lit(True).alias("one"))
+    others = own.withColumn("q", spread("nq", 2)).select("digest", "band", "bucket", "comp", "bands", "sig", every("np").alias("p"), "q", F.lit(False).alias("one"))
+    keys = ["bucket", "p", "q"]
+    rows = ones.unionByName(others).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
-    return rows.groupBy("bucket", "p", "q").applyInPandas(run, "a binary, b binary").distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, keys):
+            sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), -1)
+            bands = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(len(frame), -1)
+            names, one, band = frame["digest"].to_numpy(), frame["one"].to_numpy(bool), frame["band"].to_numpy()
+            comp = pd.factorize(frame["comp"])[0]
+            change = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+            out, held = [], False
+            for begin, end in zip(change, [*change[1:], len(frame)], strict=True):
+                mine = slice(begin, end)
+                found = block_pairs(sig[mine], bands[mine, : band[begin]], comp[mine], one[mine])
+                sent, all_sent = best_pairs(found, comp[mine], most)
+                held |= not all_sent
+                out += [(max(names[begin + x], names[begin + y]), min(names[begin + x], names[begin + y])) for x, y in sent]
+            yield pd.DataFrame(out + [(None, None)] * held, columns=["a", "b"])
+
+    return rows.mapInPandas(run, "a binary, b binary")
+
+
+def block_pairs(sig: np.ndarray, earlier: np.ndarray, comp: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """agreement, x, y of the pairs of a one and another in different components that share none of the ``earlier`` band keys."""
+    right, out = np.flatnonzero(~one), []
+    for x in np.flatnonzero(one):
+        some = right[comp[right] != comp[x]]
+        same = (sig[some] == sig[x]).sum(axis=1)
+        some, same = some[same >= AGREE], same[same >= AGREE]
+        if len(some) and earlier.shape[1]:
+            first = ~(earlier[some] == earlier[x]).any(axis=1)
+            some, same = some[first], same[first]
+        if len(some):
+            out.append(np.column_stack([same, np.full(len(some), x), some]))
+    return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+
+def best_pairs(found: np.ndarray, comp: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """The pairs to compare next, and whether these are all of them."""
+    sent: list[tuple[int, int]] = []
+    count: dict[int, int] = {}
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    for _, x, y in found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))].tolist():
+        c, d = int(comp[x]), int(comp[y])
+        a, b = top(c), top(d)
+        if a != b or count.get(c, 0) < most or count.get(d, 0) < most:
+            root[a] = b
+            count[c], count[d] = count.get(c, 0) + 1, count.get(d, 0) + 1
+            sent.append((x, y))
+    return sent, len(sent) == len(found)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, digest, class_id (the doc_id of its class that stays), class_size, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = cut(sketch(docs))
-    texts = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bands_raw").alias("bands_raw"), F.first("sig").alias("sig")))
+    texts = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     total = texts.count()
-    banded = texts.where("bands is not null").select("digest", F.posexplode("bands").alias("band", "key"))
-    banded = banded.select("digest", "band", F.concat_ws(":", F.col("band").cast("string"), F.col("key").cast("string")).alias("bucket"))
+    key = lambda i: F.hex(F.substring("bands", 8 * i + 1, 8))
+    buckets_of = F.array(*[F.struct(F.lit(i).alias("band"), F.concat(F.lit(f"{i:x}:"), key(i)).alias("bucket")) for i in range(BANDS)])
+    banded = texts.where("bands is not null").select("digest", F.explode(buckets_of).alias("_b")).select("digest", "_b.band", "_b.bucket")
     buckets = cut(banded.groupBy("bucket").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n_in")).where("n_in > 1"))
     members = cut(join_grouped(banded, buckets, "bucket", "n_in", total * BANDS).where("hub is not null"))
     bags = candidates(docs, texts, members)
-    tried = cut(similarities(bags, members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()))
+    sigs = texts.select("digest", "bands", "sig")
+    pairs = cut(agreeing(cut(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()), sigs))
+    tried = cut(similarities(bags, pairs))
     comps = components(tried.where(F.col("sim") >= threshold))
-    more = cut(remaining(members.join(texts.select("digest", "bands_raw", "sig"), "digest").withColumnRenamed("bands_raw", "bands"), comps, bags, threshold))
-    if more.limit(1).count():
-        comps = merged(comps, more)
+    most = FIRST
+    while True:
+        found = cut(remaining(members, comps, sigs, most))
+        held = found.where("a is null").limit(1).count()
+        pairs = cut(found.where("a is not null").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            more = cut(similarities(bags, pairs))
+            if more.where(F.col("sim") >= threshold).limit(1).count():
+                comps = merged(comps, more.where(F.col("sim") >= threshold))
+            tried, before = cut(tried.unionByName(more)), tried
+            drop(before, more)
+        drop(found)
+        if not held:
+            break
+        most *= 4
 
     named = cut(texts.select("digest", "max_id", "n").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
-    whole = named.groupBy("comp").agg(F.max("max_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    whole = cut(named.groupBy("comp").agg(F.max(F.struct("max_id", "digest")).alias("top"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts")))
+    drop(buckets, members, bags, tried, pairs)
     placed = join_grouped(named.withColumn("comp", F.hex("comp")), whole.withColumn("comp", F.hex("comp")), "comp", "n_texts", total)
-    placed = placed.select(F.hex("digest").alias("digest"), F.col("n").alias("copies"), "class_id", "class_size")
+    placed = cut(placed.select(F.hex("digest").alias("digest"), F.col("n").alias("copies"), F.col("top.max_id").alias("class_id"), "class_size", (F.col("digest") == F.col("top.digest")).alias("stays")))
+    drop(texts, named, whole)
     out = join_grouped(rows.select("doc_id", F.hex("digest").alias("digest")), placed, "digest", "copies", rows.count())
     none = F.lit(-(2**63)).cast("long")
     real = lambda c: F.when(F.col(c) != none, F.col(c)).alias(c)
-    return out.select(real("doc_id"), F.unhex("digest").alias("digest"), real("class_id"), "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select(real("doc_id"), F.unhex("digest").alias("digest"), real("class_id"), "class_size", ((F.col("doc_id") == F.col("class_id")) & F.col("stays")).alias("kept"))
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, one of each class, with all their columns."""
-    decided = cut(classes(docs, threshold).where("class_size > 1").groupBy("digest").agg(F.max("class_id").alias("_keep")).withColumnRenamed("digest", "_digest"))
+    found = classes(docs, threshold).where("class_size > 1")
+    decided = cut(found.groupBy("digest").agg(F.max("class_id").alias("_keep"), F.max("kept").alias("_stays")).withColumnRenamed("digest", "_digest"))
     return keep_decided(docs.withColumn("_digest", digest()), decided).select(*docs.columns)

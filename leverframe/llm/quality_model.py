@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped, small_batches
+from leverframe.llm.common import cut, join_grouped
 
 LABELLED = 20_000
 #: The byte classes whose shares are features.
@@ -126,7 +126,6 @@ def site_columns(docs: DataFrame, host: str, path: str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", labelled: int = LABELLED) -> DataFrame:
     """One row per document: doc_id, evidence, prior, posterior, kept."""
-    small_batches(docs.sparkSession)
     model = train(docs, labels, labelled)
     rows = cut(site_columns(docs, host, path).select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), evidence(F.col("text"), model).alias("evidence")))
     rates = site_rates(rows, model["rate"] if model else 1 - 1e-6)
@@ -141,7 +140,6 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     Evidence is worked out once for the sites and once more where each text lies, so that texts are not shuffled; the
     paths' rates are broadcast if a count shows at most ``bound`` of them, else joined by path.
     """
-    small_batches(docs.sparkSession)
     model = train(docs, labels, labelled)
     own = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", host, path)})
     marked = site_columns(own, host, path).withColumn("_evidence", evidence(F.col("text"), model))

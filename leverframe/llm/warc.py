@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped, scratch, small_batches
+from leverframe.llm.common import cut, join_grouped, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
@@ -63,7 +63,6 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, re
 
 def write(pages: DataFrame, path: str, least_revisit: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes ``pages`` (page_id, url, html) as WARC files in the folder ``path``."""
-    small_batches(pages.sparkSession, 500)
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
     groups = cut(rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1"))

@@ -5,9 +5,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from leverframe.llm import exact_dedup, near_dedup
+from leverframe.llm.common import keep_decided
 from tests.oracle import SF
 
 
@@ -137,8 +140,9 @@ def test_word_and_shingle_rules():
     assert len(same[0][0]) == 2 and len(same[2][0]) == 1 and not len(same[4][0]) and same[5][1].max() == 2
 
 
-def test_documents_match_brute_force(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_documents_match_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert spark_classes(df) == brute_classes([tuple(r) for r in df.collect()])
 
 
@@ -173,6 +177,57 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert near_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_repeated_ids_over_near_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (7, text, "b"), (7, text + " tail", "c"), (7, text + " tail", "c"), (7, "quite another text", "d"), (None, "no id", "e"), (None, "no id", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    out = near_dedup.dedup(df).collect()
+    assert sorted((str(r["doc_id"]), r["text"] == rows[4][1]) for r in out) == [("7", False), ("7", True), ("None", False)]
+    kept = [r for r in near_dedup.classes(df).collect() if r["kept"]]
+    assert len({bytes(r["digest"]) for r in kept}) == 3
+
+
+def test_split_bucket_is_compared_in_rounds(spark, monkeypatch):
+    """Texts that share a hub which none of them is near to: all links are found, whatever goes out in a round."""
+    monkeypatch.setattr(near_dedup, "FIRST", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "COPIES", 3)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for g in range(12):
+        own = common + [f"g{g}x{i}" for i in range(rng.randint(20, 60))]
+        for j in range(5):
+            rows.append((100 * g + j, " ".join(own + [f"t{g}y{j}z{i}" for i in range(rng.randint(1, 12))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spark_classes(df) == brute_classes(rows)
+
+
+def test_best_pairs_hold_back_and_send_all():
+    found = np.array([[90 - x - y, x, y] for x in range(6) for y in range(x)], np.int64)
+    comp = np.array([0, 0, 1, 1, 2, 2])
+    found = found[comp[found[:, 1]] != comp[found[:, 2]]]
+    sent, whole = near_dedup.best_pairs(found, comp, 1)
+    assert not whole and 2 <= len(sent) < len(found)
+    assert near_dedup.best_pairs(found, comp, 100)[1] and near_dedup.best_pairs(found[:0], comp, 1) == ([], True)
+
+
+def test_whole_groups_are_never_cut():
+    frame = pd.DataFrame({"k": np.repeat(np.arange(7), [1, 5, 2, 9, 1, 1, 3]), "v": range(22)})
+    for step in (1, 2, 5, 22):
+        got = list(near_dedup.whole_groups((frame.iloc[i : i + step] for i in range(0, 22, step)), ["k"]))
+        assert pd.concat(got)["v"].tolist() == list(range(22)) and all(set(a["k"]).isdisjoint(b["k"]) for a, b in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_both_joins_of_decided_rows_agree(spark, monkeypatch, bound):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    keyed = df.withColumn("_digest", F.xxhash64("text"))
+    groups = keyed.groupBy("_digest").agg(F.max("doc_id").alias("_keep"), F.lit(True).alias("_stays"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    got = {r["doc_id"] for r in keep_decided(keyed, groups, bound).collect()}
+    assert got == {r[0] for r in df.groupBy("text").agg(F.max("doc_id")).select("max(doc_id)").collect()}
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(1, "a b c d e f")][:n], "doc_id long, text string")
