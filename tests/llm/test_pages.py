@@ -214,6 +214,25 @@ def test_url_rules_match_brute_force(spark):
     assert got == {i: brute(u) for i, u in enumerate(urls)}
 
 
+def test_url_rules_of_many_paths_match_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    path = lambda: "/" + "".join(rng.choice("ab/é") for _ in range(rng.randint(0, 9)))
+    many = sorted({(rng.choice(["net", "x.net"]), path()): rng.choice(["allow", "block"]) for _ in range(400)}.items())
+    monkeypatch.setattr("tests.llm.test_pages.RULES", [(h, q, v) for (h, q), v in many])
+    urls = [f"http://{rng.choice(['net', 'x.net', 'y.x.net'])}{path()}" for _ in range(600)] + [f"http://x.net{path()}"] * 500
+    rules = spark.createDataFrame([(h, q, v) for (h, q), v in many], "host string, path string, verdict string")
+    got = url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == {i: brute(u) for i, u in enumerate(urls)}
+
+
+def test_url_rules_replace_columns_of_their_names(spark):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame([(1, "http://a.net/", "b", "h", "p", "r", 5, "i", 2)], "page_id long, url string, best string, host string, PATH string, rule string, verdict long, _id string, n long")
+    out = url_rules.judge(df, rules)
+    assert out.columns == ["page_id", "url", "best", "_id", "n", "host", "path", "rule", "verdict"]
+    assert out.collect() == [(1, "http://a.net/", "b", "i", 2, "a.net", "/", "net/", "block")]
+
+
 def test_url_rules_without_rules_or_rows(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id long, url string")
