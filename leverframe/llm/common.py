@@ -76,6 +76,17 @@ def join_grouped(left: DataFrame, right: DataFrame, key: str, size: str, total:
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in cols])
 
 
+def set_aside(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with its columns renamed by their place, but for those ``used``, so that no name of theirs can clash; ``brought_back`` undoes it."""
+    return df.toDF(*[c if c in used else f"_own_{i}" for i, c in enumerate(df.columns)])
+
+
+def brought_back(df: DataFrame, aside: DataFrame, like: DataFrame, *results: str) -> DataFrame:
+    """``df`` with the columns of ``like``, of which ``aside`` is ``set_aside``, and then ``results``, which replace columns of their names."""
+    mine = [F.col(a).alias(c) for a, c in zip(aside.columns, like.columns, strict=True) if c.lower() not in results]
+    return df.select(*mine, *results)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped, keep_decided, partitions
+from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_decided, partitions, set_aside
 
 SALTS = 16
 NO_ID = -(2**63)
@@ -179,5 +179,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; texts are only shuffled where ``keep_decided`` must."""
     rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     index = cut(build_index(rows.withColumn("n", F.lit(1).cast("long"))).where("group_size > 1").select("digest", "keep_id"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keep_decided(keyed, index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_stays"))).select(*docs.columns)
+    aside = set_aside(docs, "doc_id", "text")
+    keyed = aside.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    kept = keep_decided(keyed, index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_stays")))
+    return brought_back(kept, aside, docs)

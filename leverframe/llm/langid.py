@@ -3,13 +3,16 @@
 Letters are lower-cased, everything else separates; the n-grams of one to three characters are hashed into ``DIMS``
 features, weighted by (1 + log tf) x idf and brought to unit length. Weights are learned by follow-the-regularised-
 leader (proximal, per-coordinate rates) with an elastic net, whose L1 part leaves most of them at exactly 0; then a
-temperature is fitted on rows that the weights have not seen, so that scores are calibrated probabilities.
+temperature is fitted on rows that the weights have not seen, so that scores are calibrated probabilities. The fit's
+targets are smoothed by as much as so few rows can tell (a right label counts (n + 1) / (n + 2) on n rows), so that rows
+which the weights tell apart without error don't sharpen the scores without end.
 
 The model is fitted in one task on a sample of at most ``per_language`` learnable rows for each language (those with the
 least hash of their id); it is a few hundred kB and is broadcast. Whole texts are scored, wherever they lie.
 
 Results for odd input: a null text or one without letters is ``und`` with score 0; so is every text if nothing can be
-learned; with one learned language all other texts get it; repeated rows each get a row.
+learned; with one learned language all other texts get it; very long texts are read whole; repeated rows each get a row;
+an empty table gives an empty result. Columns of ``docs`` called lang_pred or score are replaced by the results.
 """
 
 from __future__ import annotations
@@ -104,17 +107,19 @@ def fit(texts: list[str], langs: list[str]) -> dict | None:
 
 
 def temperature(logits: list[np.ndarray], labels: list[int]) -> float:
-    """The temperature of least log loss on held rows, from a fine grid of powers."""
-    if not logits:
+    """The temperature of least log loss on held rows with smoothed targets, from a fine grid of powers."""
+    if not logits or len(logits[0]) < 2:
         return 1.0
     z, y = np.array(logits), np.array(labels)
+    target = np.full(z.shape, 1 / (len(y) + 2) / (z.shape[1] - 1))
+    target[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
 
     def loss(t: float) -> float:
         s = z / t
-        top = s.max(axis=1)
-        return float(np.mean(top + np.log(np.exp(s - top[:, None]).sum(axis=1)) - s[np.arange(len(y)), y]))
+        top = s.max(axis=1, keepdims=True)
+        return float(np.mean((target * (top + np.log(np.exp(s - top).sum(axis=1, keepdims=True)) - s)).sum(axis=1)))
 
-    return float(min((2.0 ** (k / 8) for k in range(-32, 33)), key=loss))
+    return float(min((2.0 ** (k / 8) for k in range(-64, 65)), key=loss))
 
 
 def predict(model: dict | None, text: str | None) -> tuple[str, float]:
@@ -153,7 +158,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pd.DataFrame([predict(shared.value, t) for t in texts], columns=["lang_pred", "score"])
 
     out = docs.withColumn("_lang", run(F.col("text")))
-    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_lang.lang_pred", "_lang.score")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")], "_lang.lang_pred", "_lang.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, drop, join_grouped, keep_decided, partitions
+from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_decided, partitions, set_aside
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
@@ -395,4 +395,5 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that stay, one of each class, with all their columns."""
     found = classes(docs, threshold).where("class_size > 1")
     decided = cut(found.groupBy("digest").agg(F.max("class_id").alias("_keep"), F.max("kept").alias("_stays")).withColumnRenamed("digest", "_digest"))
-    return keep_decided(docs.withColumn("_digest", digest()), decided).select(*docs.columns)
+    aside = set_aside(docs, "doc_id", "text")
+    return brought_back(keep_decided(aside.withColumn("_digest", digest()), decided), aside, docs)

@@ -1,7 +1,10 @@
 """Quality classifier: document evidence with hierarchical empirical Bayes over sites and paths.
 
-Evidence. A ridge logistic regression on a text's character and word shares, fitted on at most ``labelled`` labelled
-documents (those with the least hash of their id), gives each document a log likelihood ratio of good to bad.
+Evidence. Words, word pairs and byte trigrams are hashed into ``DIMS`` features, weighted by log(1 + count) and brought
+to unit length; a few measures of a text's shape (distinct words and lines, runs, word length, length) go beside them. A
+logistic regression with ridge penalty, fitted by AdaGrad on at most ``labelled`` labelled ids (those with the least hash,
+one row of each), gives each document a log likelihood ratio of good to bad. The features are worked out where the texts
+lie; the fit is one task over that bounded sample.
 
 Hierarchy. Grouped aggregation over all documents gives each host and each path below it the sum of its documents'
 probabilities under the global prior. A host's rate is shrunk to the global one and a path's to its host's, with
@@ -12,83 +15,129 @@ document's posterior is its evidence with its path's shrunk rate as prior odds.
 source's documents in one language. Clean documents in a language with few rows at a bad source get a prior near that
 source's.
 
-Results for odd input: null and empty texts count as one empty text with zero shares; null hosts or paths form a group
-named ''; without labels of both kinds the evidence is 0 and all are kept; repeated rows each count and get a row.
+Results for odd input: null and empty texts count as one text without n-grams; null hosts or paths form a group named
+''; very long texts are read whole; without labels of both kinds the evidence is 0 and all are kept; of rows that repeat a
+labelled id the one with the least text hash is learned from; repeated rows each count and get a row; an empty table
+gives an empty result. ``classify`` has columns of its own only; ``keep`` keeps those of ``docs`` whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped
+from leverframe.llm.common import brought_back, cut, join_grouped, set_aside
+from leverframe.llm.near_dedup import GOLDEN, U, mix, word_hashes
 
-LABELLED = 20_000
-#: The byte classes whose shares are features.
-CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!", "|", "#*$%&<>", ".,;:?", "\n", "@/\\{}[]()=_+~^`\"'-"]
+LABELLED = 10_000
+DIMS = 1 << 13
+#: Passes over the rows: at least EPOCHS, and as many as make UPDATES steps.
+EPOCHS, UPDATES, RATE, RIDGE = 3, 20_000, 0.3, 1e-4
 
 
-def measures(text: str | None) -> list[float]:
-    """A text's features: shares of byte classes, of capital words, of distinct words and distinct lines, mean word length, log length."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n = max(1, len(raw))
-    shares = [counts[list(c.encode())].sum() / n for c in CLASSES]
-    words, lines = (text or "").split(), [x for x in (text or "").split("\n") if x]
+def shape(text: str) -> list[float]:
+    """Shares of distinct words, of runs and of distinct lines, mean word length and log length, each about 0 to 1."""
+    words, lines = text.split(), [x for x in text.split("\n") if x]
     k = max(1, len(words))
     runs = sum(map(str.__eq__, words, words[1:])) / k
-    return [*shares, len(set(words)) / k, runs, len(set(lines)) / max(1, len(lines)), min(20.0, len(raw) / k) / 20, np.log1p(len(words)) / 10]
+    return [len(set(words)) / k, runs, len(set(lines)) / max(1, len(lines)), min(20.0, len(text) / k) / 20, np.log1p(len(words)) / 10]
+
+
+SHAPE = len(shape(""))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> dict | None:
-    """Logistic regression by Newton steps on standardised features; None unless both labels occur."""
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its feature numbers and weights: hashed n-grams from 0, shape from DIMS, a constant last."""
+    words, at = word_hashes(texts)
+    pairs = mix(words[:-1] * GOLDEN + words[1:])
+    bits = U(64 - DIMS.bit_length() + 1)
+    out = []
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(U)
+        threes = mix((raw[:-2] << U(16) | raw[1:-1] << U(8) | raw[2:]) * GOLDEN + U(1)) if len(raw) > 2 else raw[:0]
+        grams = np.concatenate([mix(words[a:b]), pairs[a : max(a, b - 1)], threes]) >> bits
+        counts = np.bincount(grams.astype(np.int64), minlength=DIMS)
+        found = np.flatnonzero(counts)
+        weight = np.log1p(counts[found])
+        weight /= max(1e-9, np.sqrt(weight @ weight))
+        out.append((np.concatenate([found, np.arange(DIMS, DIMS + SHAPE + 1)]), np.concatenate([weight, shape(text), [1.0]])))
+    return out
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> dict | None:
+    """Weights of a logistic regression and the share of good rows; None unless both labels occur."""
     if len(set(y.tolist())) < 2:
         return None
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), np.clip((x - mean) / sd, -8, 8)])
-    w = np.zeros(z.shape[1])
-    penalty = np.eye(len(w)) * ridge * len(x)
-    penalty[0, 0] = 0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-z @ w))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w)), z.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    rate = y.mean()
-    return {"mean": mean, "sd": sd, "w": w, "rate": float(rate)}
+    w, past = np.zeros(DIMS + SHAPE + 1), np.full(DIMS + SHAPE + 1, 1e-6)
+    rng = np.random.default_rng(0)
+    for _ in range(max(EPOCHS, UPDATES // len(rows))):
+        for i in rng.permutation(len(rows)):
+            at, x = rows[i]
+            mine = w[at]
+            g = (1 / (1 + np.exp(-(mine @ x))) - y[i]) * x
+            g[:-1] += RIDGE * mine[:-1]
+            past[at] += g * g
+            w[at] = mine - RATE * g / np.sqrt(past[at])
+    return {"w": w, "rate": float(y.mean())}
+
+
+def _packed(texts: list[str]) -> list[bytes]:
+    return [np.concatenate([at.astype("<f4"), x.astype("<f4")]).tobytes() for at, x in features(texts)]
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, "<f4").reshape(2, -1)
+    return both[0].astype(np.int64), both[1].astype(float)
+
+
+def slices(texts: pd.Series, chars: int = 1_500_000) -> Iterator[list[str]]:
+    """A column's texts in lists of about ``chars`` characters; null counts as empty."""
+    whole = texts.fillna("")
+    for _, part in whole.groupby((whole.str.len().cumsum() // chars).to_numpy(), sort=False):
+        yield list(part)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict | None:
-    """The document classifier of the labelled rows; an id with differing labels counts as bad."""
+    """The document classifier of the labelled ids; an id with differing labels counts as bad."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("_y").cast("double").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h"), F.col("_y").cast("double").alias("y"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"x": [measures(t) for t in frame["text"]], "y": frame["y"]})
+            yield frame[["doc_id", "h", "y"]].assign(x=[x for part in slices(frame["text"]) for x in _packed(part)])
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["h", "doc_id"])
+        return pd.DataFrame({"model": [pickle.dumps(fit([_unpacked(x) for x in frame["x"]], frame["y"].to_numpy()))]})
 
-    got = rows.mapInPandas(run, "x array<double>, y double").toPandas()
-    return fit(np.array(got["x"].tolist()), got["y"].to_numpy()) if len(got) else None
+    seen = rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, y double, x binary")
+    one = seen.groupBy("doc_id").agg(F.min("h").alias("h"), F.first("y").alias("y"), F.min_by("x", "h").alias("x"))
+    got = one.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(learn, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else None
 
 
-def evidence(text: Column, model: dict | None) -> Column:
+def evidence(docs: DataFrame, text: Column, model: dict | None) -> Column:
     """Log likelihood ratio of good to bad for a text column."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series(np.zeros(len(texts)))
-        x = np.array([measures(t) for t in texts])
-        z = np.clip((x - model["mean"]) / model["sd"], -8, 8) @ model["w"][1:] + model["w"][0]
-        return pd.Series(z - np.log(model["rate"] / (1 - model["rate"])))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        for texts in batches:
+            if known is None:
+                yield pd.Series(np.zeros(len(texts)))
+            else:
+                base = np.log(known["rate"] / (1 - known["rate"]))
+                yield pd.Series([known["w"][at] @ x - base for part in slices(texts) for at, x in features(part)], dtype=float)
 
-    return run(F.coalesce(text, F.lit("")))
+    return run(text)
 
 
 def logit(p: Column) -> Column:
@@ -127,7 +176,7 @@ def site_columns(docs: DataFrame, host: str, path: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", labelled: int = LABELLED) -> DataFrame:
     """One row per document: doc_id, evidence, prior, posterior, kept."""
     model = train(docs, labels, labelled)
-    rows = cut(site_columns(docs, host, path).select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), evidence(F.col("text"), model).alias("evidence")))
+    rows = cut(site_columns(docs, host, path).select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), evidence(docs, F.col("text"), model).alias("evidence")))
     rates = site_rates(rows, model["rate"] if model else 1 - 1e-6)
     out = join_grouped(rows, rates.select("path", "n", "prior"), "path", "n", rows.count())
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + logit(F.col("prior")))))
@@ -141,8 +190,8 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     paths' rates are broadcast if a count shows at most ``bound`` of them, else joined by path.
     """
     model = train(docs, labels, labelled)
-    own = docs.withColumnsRenamed({c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", host, path)})
-    marked = site_columns(own, host, path).withColumn("_evidence", evidence(F.col("text"), model))
+    own = set_aside(docs, "doc_id", "text", host, path)
+    marked = site_columns(own, host, path).withColumn("_evidence", evidence(docs, F.col("text"), model))
     rows = marked.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence"))
     rates = cut(site_rates(rows, model["rate"] if model else 1 - 1e-6).select(F.col("path").alias("_path"), "n", F.col("prior").alias("_prior")))
     if rates.limit(bound + 1).count() <= bound:
@@ -150,4 +199,4 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     else:
         out = join_grouped(marked, rates, "_path", "n", docs.count())
     out = out.where(F.col("_evidence") + logit(F.col("_prior")) >= 0)
-    return out.select(*[F.col(a).alias(b) for a, b in zip(own.columns, docs.columns, strict=True)])
+    return brought_back(out, own, docs)

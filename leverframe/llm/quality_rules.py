@@ -8,11 +8,12 @@ n-grams. A trusted document is scored against the other trusted ones: its own n-
 counts first. A fixed threshold on the score decides every document.
 
 Everything is DataFrame functions: the counts are one grouped aggregation, the ratio is one small table (``BUCKETS``
-numbers whatever the input) in the scoring expression. ``judged`` and ``keep`` do the above and are what the queries
-use; ``scored`` is the plain form with add-``ALPHA`` smoothing over at most ``trusted`` documents, its own included.
+numbers whatever the input) in the scoring expression.
 
 Results for odd input: null text has no words, so its counts are 0, base_failed holds and its score is null; with no
-trusted text or no documents the ratio is 0 for all, and only the base rules reject; repeated rows each get a row.
+trusted text or no documents the ratio is 0 for all, and only the base rules reject; very long texts are counted whole;
+repeated rows each count and get a row; an empty table gives an empty result. Columns of ``docs`` that have the name of a
+result of ``judged`` are replaced by it, all others stay; ``keep`` keeps the columns of ``docs`` whatever their names.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import words_of
+from leverframe.llm.common import brought_back, set_aside, words_of
 
 BUCKETS = 1 << 15
-ALPHA = 1.0
 #: Pseudo-count that draws a bucket's ratio to 0.
 EVIDENCE = 8.0
 #: Most trusted ids that are broadcast; beyond, documents and ids are shuffled.
 BROADCAST = 1_000_000
-#: Least mean log ratio of a text that is kept.
+#: Least mean log ratio of a text that is kept: below the least labelled-good text that was scored against the others
+#: (-0.10 on 293 texts of sf0.01, -0.05 on 2,927 of sf0.1), above 89 and 96 % of the labelled-bad ones.
 LEAST = -0.12
+#: Results of ``judged``.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 WINDOW = 8
 #: The characters that count as symbols, and the base limits.
 SYMBOLS = "[#*$%&|<>]"
@@ -82,38 +85,6 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("_w4", "_w8", "_lines").withColumn("base_failed", failed)
 
 
-def ratio(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> list[float]:
-    """log p_trusted - log p_raw of each bucket."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("_good", F.lit(1))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("_good", F.lit(0)).alias("good"))
-    grams = hashed(marked).select("good", F.explode(F.concat("_w1", "_w2")).alias("h"))
-    counts = grams.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-    raw, best = [0] * BUCKETS, [0] * BUCKETS
-    for row in counts.collect():  # at most BUCKETS rows
-        raw[row["bucket"]], best[row["bucket"]] = row["raw"], row["good"]
-    if not sum(best):
-        return [0.0] * BUCKETS
-    return ratio_of(raw, best)
-
-
-def ratio_of(raw: list[int], best: list[int]) -> list[float]:
-    from math import log
-
-    n_raw, n_best, k = sum(raw), sum(best), len(raw)
-    return [round(log((b + ALPHA) / (n_best + ALPHA * k)) - log((r + ALPHA) / (n_raw + ALPHA * k)), 4) for r, b in zip(raw, best, strict=True)]
-
-
-def scored(docs: DataFrame, labels: DataFrame, trusted: int = 20_000) -> DataFrame:
-    """``docs`` with the base columns, llr (mean log ratio; null without words) and kept."""
-    table = F.split(F.lit(",".join(map(str, ratio(docs, labels, trusted)))), ",").cast("array<double>")
-    out = base_counts(docs).withColumn("_grams", F.concat("_w1", "_w2"))
-    total = F.aggregate("_grams", F.lit(0.0), lambda s, h: s + F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    out = out.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= LEAST))
-    return out.drop("_words", "_w1", "_w2", "_grams")
-
-
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with _good, whether the document is labelled good and not toxic."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id", F.lit(True).alias("_good"))
@@ -124,7 +95,8 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with the base columns, llr (mean log ratio to the other documents; null without words) and kept."""
-    marked = with_trust(docs, labels)
+    aside = set_aside(docs, "doc_id", "text")
+    marked = with_trust(aside, labels)
     grams = hashed(marked.select("_good", "text")).select("_good", F.explode(F.concat("_w1", "_w2")).alias("h"))
     counts = grams.groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count_if("_good").alias("good"))
     raw, best = [0] * BUCKETS, [0] * BUCKETS
@@ -152,7 +124,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     total = F.when(F.col("_good") & (others > 0), left_out).when(F.col("_good"), 0.0).otherwise(plain)
     out = out.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= LEAST))
-    return out.drop("_words", "_w1", "_w2", "_grams", "_good")
+    return brought_back(out, aside, docs, *RESULTS)
 
 
 def evidence(raw: list[int], best: list[int]) -> list[float]:
@@ -169,7 +141,6 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The row number keeps the filter above the projections: pushed below them, the verdict's expression would be written
     out again for each use of each step, which grows beyond any plan.
     """
-    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    own = docs.withColumnsRenamed(names)
-    decided = judged(own, labels).withColumn("_row", F.monotonically_increasing_id())
-    return decided.where("kept AND _row >= 0").select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    aside = set_aside(docs, "doc_id", "text")
+    decided = judged(aside, labels).withColumn("_row", F.monotonically_increasing_id())
+    return brought_back(decided.where("kept AND _row >= 0"), aside, docs)

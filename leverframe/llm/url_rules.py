@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import cut, join_grouped, partitions
+from leverframe.llm.common import brought_back, cut, join_grouped, partitions, set_aside
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -65,9 +65,9 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rules = rules.withColumns({"host_key": reversed_key(F.col("host")), "level": path_level(F.octet_length("path"))})
     deepest, levels = rules.agg(F.max(F.size(F.split("host", r"\."))), F.sort_array(F.collect_set("level"))).first()  # at most 32 levels
 
-    own = [f"_own_{i}" for i in range(len(pages.columns))]
-    host, path = host_and_path(F.col(own[pages.columns.index(url_col)]))
-    rows = pages.toDF(*own).withColumns({"_host": host, "_path": path}).withColumn("_id", F.md5(F.concat("_host", "_path").cast("binary")))
+    aside = set_aside(pages)
+    host, path = host_and_path(F.col(aside.columns[pages.columns.index(url_col)]))
+    rows = aside.withColumns({"_host": host, "_path": path}).withColumn("_id", F.md5(F.concat("_host", "_path").cast("binary")))
     urls = cut(rows.groupBy("_id", "_host", "_path").agg(F.count(F.lit(1)).alias("n")))
 
     labels = F.reverse(F.split("_host", r"\."))
@@ -107,5 +107,5 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     best = cut(found.groupBy("_id").agg(longest.alias("best"), F.max("n").alias("n")).select("_id", "best.rule", "best.verdict", "n"))
     total = urls.agg(F.sum("n")).first()[0] or 0
     out = join_grouped(rows, best, "_id", "n", total)
-    mine = [F.col(o).alias(c) for o, c in zip(own, pages.columns, strict=True) if c.lower() not in ("host", "path", "rule", "verdict")]
-    return out.select(*mine, F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    out = out.withColumns({"host": F.col("_host"), "path": F.col("_path"), "verdict": F.coalesce("verdict", F.lit(default))})
+    return brought_back(out, aside, pages, "host", "path", "rule", "verdict")
