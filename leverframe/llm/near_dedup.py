@@ -8,12 +8,13 @@
    their weighted Jaccard similarity. Points come in order of time, so a process stops once it is past the latest
    component: about (shingles + components x log components) draws for each text.
 3. Signatures are banded. Each text in a bucket meets the bucket's hub (its least digest): one pair for each text, never
-   all pairs. Where a bucket then still holds several components, blocks of the texts outside its largest one meet
-   blocks of all of them, as signatures only. Two texts of different components are compared further if their signatures
-   agree in at least 70 of 128 components, which a pair of similarity 0.8 misses with a probability of 1e-11.
+   all pairs. While a bucket has more than a block of texts outside its largest component, another of these becomes its
+   hub, up to ``HUBS`` times. Where a bucket then still holds several components, blocks of the texts outside its largest
+   one meet blocks of all of them in one task each: as signatures first, and with those texts that agree with another.
+   Two texts are compared if their signatures agree in at least 76 of 128 components, which a pair of similarity 0.8
+   misses with a probability of 3e-8; nothing is left out by a cap.
 4. Pairs are compared on the whole texts: weighted Jaccard of the shingle multisets, at least the threshold for a link.
-   A task first sends a forest of its best pairs and a few for each component, the next rounds four times as many each,
-   until no task has held any back. Pairs that links found before have joined need no comparison.
+   In a block, pairs go in order of their agreement, and not if links found before join them; only links leave the task.
 5. Classes are the connected components; the largest doc_id of each stays.
 
 With 16 bands of 4 a pair of similarity 0.8 shares a bucket with probability 0.9998.
@@ -38,10 +39,10 @@ from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_de
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
-#: them with a probability of about 1e-11.
-COMPONENTS, AGREE = 128, 70
-#: Texts of a bucket on either side of a comparison in step 3, pairs that a component sends in the first round, and pairs that one copy of a hub's text meets.
-BLOCK, FIRST, COPIES = 512, 4, 500
+#: them with a probability of 3e-8.
+COMPONENTS, AGREE = 128, 76
+#: Texts of a bucket on either side of a comparison in step 3, further hubs of a bucket, and pairs that one copy of a hub's text meets.
+BLOCK, HUBS, COPIES = 512, 8, 500
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -197,16 +198,14 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 def similarities(bags: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b and sim, the weighted Jaccard similarity of the whole texts (``bags``: digest, text), for each pair (a, b).
 
-    A text that is in many pairs on one side is copied once for every COPIES of them, to be met in different tasks.
+    A text is in few pairs as a; as b, a hub may be in very many: its text is copied once for every COPIES of them, to be
+    met in different tasks.
     """
-    both, total = pairs.select("a", "b"), pairs.count()
-    for side in ("a", "b"):
-        other = "b" if side == "a" else "a"
-        often = cut(both.groupBy(side).agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / COPIES).cast("int")))
-        salted = join_grouped(both, often, side, "n", total).withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("n", "copies")
-        texts = often.join(bags.select(F.col("digest").alias(side), F.col("text").alias(f"text_{side}")), side)
-        copies = texts.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(f"salt_{side}"))
-        both = salted.join(copies, [side, f"salt_{side}"]).drop(f"salt_{side}")
+    hubs = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / COPIES).cast("int")))
+    salted = join_grouped(pairs.select("a", "b"), hubs, "b", "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    texts = hubs.join(bags.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+    copies = texts.select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    both = salted.select("a", "b", "salt").join(bags.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "salt"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -270,45 +269,72 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd
         yield rest
 
 
-def remaining(members: DataFrame, comps: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of texts of one bucket that lie in different components and whose signatures agree; a row of nulls where some are held back.
-
-    ``members``: digest, band, bucket; ``sigs``: digest, bands, sig. In a bucket that still holds several components, the
-    texts outside its largest one are dealt into blocks, and so are all of its texts; a task compares a block of the ones
-    with a block of the others. Of the pairs found, in order of agreement, go out those that join parts that the ones
-    before left apart, and the first ``most`` of each component. A pair is left to the first band in which it shares a bucket.
-    """
-    spark = members.sparkSession
+def split(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (digest, band, bucket) of buckets that hold several components, with comp, whether they are apart from the largest one, and how many are in all and apart."""
     named = cut(members.select("digest", "band", "bucket").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     parts = cut(parts.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1"))
-    open_ = join_grouped(named, parts, "bucket", "n", named.count()).where("k > 1")
-    open_ = cut(open_.select("digest", "band", "bucket", "comp", (F.col("comp") != F.col("main")).alias("apart"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nq"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int").alias("np")))
-    spread = lambda n, salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = open_.join(sigs, "digest")
-    ones = own.where("apart").withColumn("p", spread("np", 1)).select("digest", "band", "bucket", "comp", "bands", "sig", "p", every("nq").alias("q"), F.lit(True).alias("one"))
-    others = own.withColumn("q", spread("nq", 2)).select("digest", "band", "bucket", "comp", "bands", "sig", every("np").alias("p"), "q", F.lit(False).alias("one"))
+    out = join_grouped(named, parts, "bucket", "n", named.count()).where("k > 1")
+    out = cut(out.select("digest", "band", "bucket", "comp", (F.col("comp") != F.col("main")).alias("apart"), "n", (F.col("n") - F.col("n_main")).alias("n_apart")))
+    drop(named, parts)
+    return out
+
+
+def next_hubs(open_: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket with many texts apart and another hub, one of these."""
+    many = open_.where(F.col("n_apart") > BLOCK)
+    one = F.min_by(F.struct("digest", "comp"), F.xxhash64("digest", F.lit(number)))
+    hubs = cut(many.where("apart").groupBy("bucket").agg(one.alias("hub"), F.max("n").alias("n_in")))
+    met = join_grouped(many.select("digest", "bucket", "comp"), hubs, "bucket", "n_in", many.count())
+    return met.where("comp <> hub.comp").select(F.greatest("digest", "hub.digest").alias("a"), F.least("digest", "hub.digest").alias("b")).distinct()
+
+
+def remaining(open_: DataFrame, sigs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one bucket that lie in different components.
+
+    ``open_``: ``split``; ``sigs``: digest, bands, sig. The texts outside a bucket's largest component are dealt into
+    blocks, and so are all of its texts; a task compares a block of the ones with a block of the others. A first pass
+    finds the texts that agree with another, a second one has these texts only. A pair is left to the first band in
+    which it shares a bucket.
+    """
+    spread = lambda n, salt: F.pmod(F.xxhash64("digest", F.lit(salt)), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    own = ["digest", "band", "bucket", "comp", "bands", "sig"]
+    both = cut(open_.join(sigs, "digest"))
+    ones = both.where("apart").withColumn("p", spread("n_apart", 1)).select(*own, "p", every("n").alias("q"), F.lit(True).alias("one"))
+    others = both.withColumn("q", spread("n", 2)).select(*own, every("n_apart").alias("p"), "q", F.lit(False).alias("one"))
     keys = ["bucket", "p", "q"]
-    rows = ones.unionByName(others).repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+    def groups(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row numbers of a block's rows, and agreement, x, y of its pairs by these numbers."""
+        sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), -1)
+        bands = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(len(frame), -1)
+        one, band, comp = frame["one"].to_numpy(bool), frame["band"].to_numpy(), pd.factorize(frame["comp"])[0]
+        change = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+        for begin, end in zip(change, [*change[1:], len(frame)], strict=True):
+            mine = slice(begin, end)
+            found = block_pairs(sig[mine], bands[mine, : band[begin]], comp[mine], one[mine])
+            if len(found):
+                yield np.arange(begin, end), found + np.array([0, begin, begin])
+
+    def agreeing_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, keys):
+            hit = [np.unique(found[:, 1:]) for _, found in groups(frame)]
+            yield frame.iloc[np.concatenate(hit) if hit else []]
+
+    def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, keys):
-            sig = np.frombuffer(b"".join(frame["sig"]), "<u2").reshape(len(frame), -1)
-            bands = np.frombuffer(b"".join(frame["bands"]), np.int64).reshape(len(frame), -1)
-            names, one, band = frame["digest"].to_numpy(), frame["one"].to_numpy(bool), frame["band"].to_numpy()
-            comp = pd.factorize(frame["comp"])[0]
-            change = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
-            out, held = [], False
-            for begin, end in zip(change, [*change[1:], len(frame)], strict=True):
-                mine = slice(begin, end)
-                found = block_pairs(sig[mine], bands[mine, : band[begin]], comp[mine], one[mine])
-                sent, all_sent = best_pairs(found, comp[mine], most)
-                held |= not all_sent
-                out += [(max(names[begin + x], names[begin + y]), min(names[begin + x], names[begin + y])) for x, y in sent]
-            yield pd.DataFrame(out + [(None, None)] * held, columns=["a", "b"])
-
-    return rows.mapInPandas(run, "a binary, b binary")
+            names, texts, comp, out = frame["digest"].to_numpy(), frame["text"].to_numpy(), pd.factorize(frame["comp"])[0], []
+            for _, found in groups(frame):
+                out += [(max(names[x], names[y]), min(names[x], names[y])) for x, y in linked(found, comp, texts, threshold)]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    kind = "digest binary, band int, bucket string, comp binary, bands binary, sig binary, p int, q int, one boolean"
+    near = cut(dealt(ones.unionByName(others)).mapInPandas(agreeing_rows, kind))
+    return dealt(near.join(bags, "digest")).mapInPandas(links, "a binary, b binary").distinct()
 
 
 def block_pairs(sig: np.ndarray, earlier: np.ndarray, comp: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -326,11 +352,11 @@ def block_pairs(sig: np.ndarray, earlier: np.ndarray, comp: np.ndarray, one: np.
     return np.concatenate(out) if out else np.empty((0, 3), np.int64)
 
 
-def best_pairs(found: np.ndarray, comp: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """The pairs to compare next, and whether these are all of them."""
-    sent: list[tuple[int, int]] = []
-    count: dict[int, int] = {}
+def linked(found: np.ndarray, comp: np.ndarray, texts: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Of the pairs (agreement, x, y), in order of agreement, those that link parts which the ones before left apart."""
     root: dict[int, int] = {}
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    out = []
 
     def top(i: int) -> int:
         while (up := root.get(i, i)) != i:
@@ -338,14 +364,17 @@ def best_pairs(found: np.ndarray, comp: np.ndarray, most: int) -> tuple[list[tup
             i = up
         return i
 
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in known:
+            known[i] = shingles([texts[i]])[0]
+        return known[i]
+
     for _, x, y in found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))].tolist():
-        c, d = int(comp[x]), int(comp[y])
-        a, b = top(c), top(d)
-        if a != b or count.get(c, 0) < most or count.get(d, 0) < most:
+        a, b = top(int(comp[x])), top(int(comp[y]))
+        if a != b and similarity(bag(x), bag(y)) >= threshold:
             root[a] = b
-            count[c], count[d] = count.get(c, 0) + 1, count.get(d, 0) + 1
-            sent.append((x, y))
-    return sent, len(sent) == len(found)
+            out.append((x, y))
+    return out
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -360,28 +389,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(join_grouped(banded, buckets, "bucket", "n_in", total * BANDS).where("hub is not null"))
     bags = candidates(docs, texts, members)
     sigs = texts.select("digest", "bands", "sig")
-    pairs = cut(agreeing(cut(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()), sigs))
-    tried = cut(similarities(bags, pairs))
-    comps = components(tried.where(F.col("sim") >= threshold))
-    most = FIRST
-    while True:
-        found = cut(remaining(members, comps, sigs, most))
-        held = found.where("a is null").limit(1).count()
-        pairs = cut(found.where("a is not null").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            more = cut(similarities(bags, pairs))
-            if more.where(F.col("sim") >= threshold).limit(1).count():
-                comps = merged(comps, more.where(F.col("sim") >= threshold))
-            tried, before = cut(tried.unionByName(more)), tried
-            drop(before, more)
-        drop(found)
-        if not held:
+    similar = lambda pairs: cut(similarities(bags, cut(agreeing(cut(pairs), sigs))).where(F.col("sim") >= threshold))
+    comps = components(similar(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()))
+    open_ = split(members, comps)
+    for number in range(HUBS):
+        if not open_.where(F.col("n_apart") > BLOCK).limit(1).count():
             break
-        most *= 4
+        comps = merged(comps, similar(next_hubs(open_, number)))
+        drop(open_)
+        open_ = split(members, comps)
+    more = cut(remaining(open_, sigs, bags, threshold))
+    if more.limit(1).count():
+        comps = merged(comps, more)
 
     named = cut(texts.select("digest", "max_id", "n").join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     whole = cut(named.groupBy("comp").agg(F.max(F.struct("max_id", "digest")).alias("top"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts")))
-    drop(buckets, members, bags, tried, pairs)
+    drop(buckets, members, bags, open_, more)
     placed = join_grouped(named.withColumn("comp", F.hex("comp")), whole.withColumn("comp", F.hex("comp")), "comp", "n_texts", total)
     placed = cut(placed.select(F.hex("digest").alias("digest"), F.col("n").alias("copies"), F.col("top.max_id").alias("class_id"), "class_size", (F.col("digest") == F.col("top.digest")).alias("stays")))
     drop(texts, named, whole)

@@ -187,9 +187,10 @@ def test_repeated_ids_over_near_texts(spark):
     assert len({bytes(r["digest"]) for r in kept}) == 3
 
 
-def test_split_bucket_is_compared_in_rounds(spark, monkeypatch):
-    """Texts that share a hub which none of them is near to: all links are found, whatever goes out in a round."""
-    monkeypatch.setattr(near_dedup, "FIRST", 1)
+@pytest.mark.parametrize("hubs", [0, 2])
+def test_split_buckets_lose_no_link(spark, monkeypatch, hubs):
+    """Texts that share a hub which none of them is near to: all links are found, by further hubs and by blocks."""
+    monkeypatch.setattr(near_dedup, "HUBS", hubs)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "COPIES", 3)
     rng = random.Random(9)
@@ -203,15 +204,6 @@ def test_split_bucket_is_compared_in_rounds(spark, monkeypatch):
     assert spark_classes(df) == brute_classes(rows)
 
 
-def test_best_pairs_hold_back_and_send_all():
-    found = np.array([[90 - x - y, x, y] for x in range(6) for y in range(x)], np.int64)
-    comp = np.array([0, 0, 1, 1, 2, 2])
-    found = found[comp[found[:, 1]] != comp[found[:, 2]]]
-    sent, whole = near_dedup.best_pairs(found, comp, 1)
-    assert not whole and 2 <= len(sent) < len(found)
-    assert near_dedup.best_pairs(found, comp, 100)[1] and near_dedup.best_pairs(found[:0], comp, 1) == ([], True)
-
-
 def test_whole_groups_are_never_cut():
     frame = pd.DataFrame({"k": np.repeat(np.arange(7), [1, 5, 2, 9, 1, 1, 3]), "v": range(22)})
     for step in (1, 2, 5, 22):
