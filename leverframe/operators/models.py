@@ -40,9 +40,9 @@ def fit_logit(cells: DataFrame, p: int, ridge: float = 0.0, steps: int = 25) ->
         info += ridge * np.eye(p)
         step = np.linalg.solve(info, got[:p] - ridge * beta)
         beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return beta, np.linalg.inv(info)
+        if np.abs(step).max() < 1e-10 * max(1.0, np.abs(beta).max()):
+            return beta, np.linalg.inv(info)
+    raise np.linalg.LinAlgError("no finite maximum")
 
 
 def logit_with_clusters(df: DataFrame, factors: Sequence[str], interactions: Sequence[tuple[str, str]] = (), cluster: str = "query_id", y: str = "y", position: str | None = "target_position") -> DataFrame:

@@ -51,31 +51,64 @@ def test_single_level_has_no_information(spark):
     assert I.effective_information(spark.createDataFrame([("f", 0, 0.5)], "factor string, level int, p double")).count() == 0
 
 
-def confounded(spark, n=8000):
-    rng = np.random.default_rng(0)
-    q = rng.integers(0, 2, n)
-    s = (rng.random(n) < np.where(q == 1, 0.8, 0.2)).astype(int)
-    y = (rng.random(n) < 1 / (1 + np.exp(-(-1 + s + 2 * q)))).astype(int)
-    return spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in zip(q, s, y)], "query_id int, S1 int, y int")
+#: Trials and selections of each (query, level of S2): a three-valued confounder that raises both the level and the rate.
+CELLS = {("a", 0): (60, 6), ("a", 1): (20, 6), ("b", 0): (30, 9), ("b", 1): (30, 18), ("c", 0): (10, 6), ("c", 1): (50, 40)}
 
 
-def test_stratification_removes_confounding(spark):
-    df = confounded(spark)
-    p = {r["level"]: r["p"] for r in I.stratified_do(df, "S1", ["query_id"]).collect()}
-    sig = lambda z: 1 / (1 + math.exp(-z))
-    truth = {s: (sig(-1 + s) + sig(1 + s)) / 2 for s in (0, 1)}
-    assert all(abs(p[s] - truth[s]) < 0.05 for s in (0, 1))
-    g = {r["level"]: r["p"] for r in M.gcomp(df, "S1", "query_id", [0, 1]).collect()}
-    assert all(abs(p[s] - g[s]) < 0.03 for s in (0, 1))
+def cells(spark):
+    rows = [(q, x, int(i < k)) for (q, x), (n, k) in CELLS.items() for i in range(n)]
+    return spark.createDataFrame(rows, "query_id string, S2 int, y int")
+
+
+def test_stratification_is_the_g_formula(spark):
+    """By hand: 0.4 x 0.1 + 0.3 x 0.3 + 0.3 x 0.6 at level 0, 0.4 x 0.3 + 0.3 x 0.6 + 0.3 x 0.8 at level 1; the plain rates are 0.21 and 0.64."""
+    df = cells(spark)
+    weight = {q: sum(n for (r, _), (n, _) in CELLS.items() if r == q) / 200 for q in "abc"}
+    want = {x: sum(weight[q] * CELLS[q, x][1] / CELLS[q, x][0] for q in "abc") for x in (0, 1)}
+    assert want == {0: pytest.approx(0.31), 1: pytest.approx(0.54)}
+    assert {r["level"]: r["p"] for r in I.stratified_do(df, "S2", ["query_id"]).collect()} == {x: pytest.approx(p) for x, p in want.items()}
+    plain = {r["level"]: r["p"] for r in I.stratified_do(df, "S2", []).collect()}
+    assert plain == {0: pytest.approx(0.21), 1: pytest.approx(0.64)}
+
+
+def test_gcomp_averages_the_fitted_rates(spark):
+    """Against the same model fitted by plain gradient ascent on the six cells."""
+    df = cells(spark)
+    beta = {"x": 0.0, "a": 0.0, "b": 0.0, "c": 0.0}
+    rate = lambda q, x: 1 / (1 + math.exp(-(beta[q] + beta["x"] * x)))
+    for _ in range(20_000):
+        for q in "abc":
+            beta[q] += 0.02 * sum(k - n * rate(r, x) for (r, x), (n, k) in CELLS.items() if r == q)
+        beta["x"] += 0.02 * sum(x * (k - n * rate(q, x)) for (q, x), (n, k) in CELLS.items())
+    for row in M.gcomp(df, "S2", "query_id", [0, 1]).collect():
+        want = sum(n * rate(q, row["level"]) for (q, _), (n, _) in CELLS.items()) / 200
+        assert row["p"] == pytest.approx(want, abs=1e-5)
 
 
 def test_saturated_logit_is_the_cells_log_odds(spark):
-    df = confounded(spark).withColumn("target_position", F.lit(0))
-    got = {r["term"]: r for r in M.logit_with_clusters(df, ["S1"], position=None).collect()}
-    m = {r["S1"]: r["m"] for r in df.groupBy("S1").agg(F.avg("y").alias("m")).collect()}
+    got = {r["term"]: r for r in M.logit_with_clusters(cells(spark), ["S2"], position=None).collect()}
     logit = lambda p: math.log(p / (1 - p))
-    assert abs(got["Intercept"]["coef"] - logit(m[0])) < 1e-6 and abs(got["S1"]["coef"] - (logit(m[1]) - logit(m[0]))) < 1e-6
-    assert got["S1"]["se"] > 0
+    assert got["Intercept"]["coef"] == pytest.approx(logit(0.21)) and got["S2"]["coef"] == pytest.approx(logit(0.64) - logit(0.21))
+    # the sandwich by hand: scores of each query summed before they are squared
+    x = np.array([[1.0, lv] for (_, lv), (n, _) in CELLS.items() for _ in range(n)])
+    y = np.array([float(i < k) for (n, k) in CELLS.values() for i in range(n)])
+    g = np.array([q for (q, _), (n, _) in CELLS.items() for _ in range(n)])
+    p = np.where(x[:, 1] == 1, 0.64, 0.21)
+    bread = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+    sums = np.array([((y - p)[:, None] * x)[g == q].sum(axis=0) for q in "abc"])
+    cov = bread @ sums.T @ sums @ bread * (3 / 2) * (199 / 198)
+    assert [got[t]["se"] for t in ("Intercept", "S2")] == [pytest.approx(v) for v in np.sqrt(np.diag(cov))]
+
+
+def test_logit_interaction_and_separation(spark):
+    df = cells(spark).withColumn("S3", F.when(F.col("query_id") == "c", 1).otherwise(0))
+    got = {r["term"]: r["coef"] for r in M.logit_with_clusters(df, ["S2", "S3"], [("S2", "S3")], position=None).collect()}
+    logit = lambda k, n: math.log(k / (n - k))
+    want = logit(40, 50) - logit(6, 10) - (logit(24, 50) - logit(15, 90))
+    assert got["S2:S3"] == pytest.approx(want, abs=1e-6)
+    apart = spark.createDataFrame([(str(i % 4), i % 2, i % 2) for i in range(40)], "query_id string, S2 int, y int")
+    rows = M.logit_with_clusters(apart, ["S2"], position=None).collect()
+    assert {r["method"] for r in rows} == {"ridge(separation)"} and all(math.isnan(r["se"]) for r in rows) and rows[1]["coef"] > 1
 
 
 def test_cluster_bootstrap_holds_the_mean(spark):
