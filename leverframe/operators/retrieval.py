@@ -1,20 +1,45 @@
-"""Ranked retrieval: BM25 by an inverted index, dense by dot products, their fusion, and the rank of injected targets.
+"""Ranked retrieval: BM25 with an inverted index's statistics, dense by cosine, their fusion, and the rank of injected targets.
 
-Only documents that share a term with a query are scored; a document without any scores 0 and is filled in where a
-ranking of the whole corpus needs it. Scores are rounded before ranking, so that ties are the same on every engine.
+A search takes a stated set of queries against all documents. Statistics (document frequencies, average length) come
+from one grouped aggregation; scores are matrix products in tasks, a block of queries against each batch of documents,
+and only what a ranking needs leaves a task: its best documents and, for each target, how many score more. Queries and
+targets go out in blocks of bounded size. Scores are rounded before ranking, so that ties are the same on every engine.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leverframe.sources.files import stored
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Queries and targets of a block: what is collected and broadcast at once.
+QUERIES, TARGETS = 256, 20_000
+DIGITS = 6
+SPACE, WORD, HAN = r"[ \t\n\x0B\f\r]+", re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(r"[㐀-鿿]")
 
 
 def tokens(text: Column) -> Column:
-    """Words between white space, case kept."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"\s+"), "")
+    """Words between white space, case kept; a word with Han characters gives its character pairs (a single character itself)."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(HAN.pattern) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+
+
+def words_of(text: str | None) -> list[str]:
+    """``tokens`` of one text."""
+    words = WORD.findall(text or "")
+    if not HAN.search(text or ""):
+        return words
+    return [x for w in words for x in ([w[i : i + 2] for i in range(len(w) - 1)] if len(w) > 1 and HAN.search(w) else [w])]
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -28,35 +53,123 @@ def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def idf_table(post: DataFrame, size: DataFrame) -> DataFrame:
-    """term, df, idf; where the formula is negative, a quarter of the mean idf of all terms."""
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
-    raw = df.join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one").withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def idf_table(docs: DataFrame, n_docs: int) -> DataFrame:
+    """term, df, idf; where the formula is negative, a quarter of the mean idf of all terms. A document sends each of its terms once."""
+    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean")).withColumn("_one", F.lit(1))
-    return raw.join(F.broadcast(mean), "_one").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-
-
-def gain(tf: Column, dl: Column, avgdl: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-
+    return raw.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+class Index:
+    """A corpus's statistics: its size, and the idf of its terms as a table. ``docs``: doc_id, text and, for dense search, embedding."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.dense = "embedding" in docs.columns
+        size = corpus_size(docs).first()
+        self.n_docs, self.avgdl = size["n_docs"], size["avgdl"] or 1.0
+        self.idf = stored(idf_table(docs, self.n_docs), "idf")
+
+    def block(self, queries: DataFrame) -> Block:
+        """The searcher of at most QUERIES queries (query_id, text and, for dense search, embedding)."""
+        rows = sorted(queries.collect(), key=lambda r: str(r["query_id"]))
+        vocab = sorted({w for r in rows for w in words_of(r["text"])})
+        spark = self.docs.sparkSession
+        wanted = spark.createDataFrame([(w,) for w in vocab], "term string")
+        idf = {r["term"]: r["idf"] for r in self.idf.join(F.broadcast(wanted), "term").collect()}
+        return Block(rows, {w: idf[w] for w in vocab if w in idf}, self.avgdl, self.dense)
+
+
+class Block:
+    """Queries as matrices: terms by queries for BM25, dimensions by queries for cosine."""
+
+    def __init__(self, rows: list, idf: dict[str, float], avgdl: float, dense: bool):
+        self.ids = [r["query_id"] for r in rows]
+        self.at = {q: i for i, q in enumerate(self.ids)}
+        self.vocab, self.avgdl = {w: i for i, w in enumerate(idf)}, avgdl
+        self.weights = np.zeros((len(idf), len(rows)))
+        for q, r in enumerate(rows):
+            for w, n in Counter(words_of(r["text"])).items():
+                if w in self.vocab:
+                    self.weights[self.vocab[w], q] = n * idf[w]
+        self.vectors = unit(rows, "embedding").T if dense and rows else np.zeros((1, len(rows)))
+
+    def terms(self, texts: pd.Series) -> np.ndarray:
+        """Documents by terms: BM25's weight of each term of the queries in each text."""
+        out = np.zeros((len(texts), len(self.vocab)))
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            norm = K1 * (1 - B + B * len(words) / self.avgdl)
+            for t, n in Counter(map(self.vocab.get, words)).items():
+                if t is not None:
+                    out[i, t] = n * (K1 + 1) / (n + norm)
+        return out
+
+    def channels(self, frame: pd.DataFrame, modes: tuple[str, ...]) -> list[np.ndarray]:
+        """Documents by queries: the rounded scores of each channel."""
+        out = []
+        for mode in modes:
+            raw = self.terms(frame["text"]) @ self.weights if mode == "bm25" else unit(frame.to_dict("records"), "embedding") @ self.vectors
+            out.append(np.round(raw, DIGITS) + 0.0)
+        return out
+
+
+def unit(rows: list, column: str) -> np.ndarray:
+    """A column of vectors, each brought to length 1; a null or zero vector stays 0."""
+    width = max((len(r[column]) for r in rows if r[column] is not None), default=1)
+    x = np.array([r[column] if r[column] is not None else np.zeros(width) for r in rows], float).reshape(len(rows), width)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def batches(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for i in range(0, len(frame), rows):
+            yield frame.iloc[i : i + rows]
+
+
+def in_blocks(df: DataFrame, key: str, size: int, seed: int = 0) -> Iterator[DataFrame]:
+    """``df`` in parts of about ``size`` rows by a hash of ``key``."""
+    n = max(1, ceil(df.count() / size))
+    for i in range(n):
+        yield df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)) == i)
+
+
+def one_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def ranked_scores(index: Index, queries: DataFrame, mode: str = "bm25", k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: of all documents that share a term with the query (``bm25``) or of all (``dense``).
+
+    With ``k``, a batch sends only its ``k`` best for each query, with those that are as good as the last.
+    """
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term and how often it is in the query."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    def scored(block: Block) -> DataFrame:
+        shared = index.docs.sparkSession.sparkContext.broadcast(block)
 
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b = shared.value
+            for frame in batches(frames):
+                if mode == "bm25":
+                    terms = b.terms(frame["text"])
+                    score, found = np.round(terms @ b.weights, DIGITS) + 0.0, (terms > 0) @ (b.weights != 0)
+                else:
+                    (score,) = b.channels(frame, (mode,))
+                    found = np.ones(score.shape, bool)
+                if k and len(frame) > k:
+                    least = -np.partition(np.where(found, -score, np.inf), k - 1, axis=0)[k - 1]
+                    found &= score >= least
+                doc, query = np.nonzero(found)
+                yield pd.DataFrame({"query_id": np.array(b.ids, object)[query], "doc_id": frame["doc_id"].to_numpy()[doc], "score": score[doc, query]})
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score of the documents (or of ``scored``, injected ones) that share a term with the query.
+        return index.docs.mapInPandas(run, kind)
 
-    Statistics come from ``docs`` alone. The index is cut down to the queries' terms before it meets them.
-    """
-    terms = query_terms(queries)
-    post, size = postings(docs), corpus_size(docs)
-    idf = idf_table(post, size).join(terms.select("term").distinct(), "term", "left_semi")
-    entries = (post if scored is None else postings(scored)).join(idf.select("term", "idf"), "term")
-    entries = entries.withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one")
-    weighed = entries.select("term", "doc_id", (F.col("idf") * gain(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
-    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    return one_of([scored(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
@@ -65,45 +178,161 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def scaled(value, low, high):
+    """Min-max normalisation to 0..1; 0 throughout where low and high are (nearly) equal. For columns and arrays of numpy."""
+    if isinstance(value, Column):
+        return F.when(high - low <= 1e-12, 0.0).otherwise((value - low) / (high - low))
+    return np.zeros_like(value) if high - low <= 1e-12 else (value - low) / (high - low)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score for every query vector and every document vector.
+def ranges(index: Index, queries: DataFrame, modes: tuple[str, ...]) -> DataFrame:
+    """query_id, mode, low, high, total: least, greatest and summed score over all documents, those without a common term at 0."""
 
-    ``queries`` (query_id, q) is a stated set of queries; it is joined to each block of the corpus.
-    """
-    return vectors.select("doc_id", "embedding").join(F.broadcast(queries)).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+    def found(block: Block) -> DataFrame:
+        shared = index.docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b = shared.value
+            for frame in batches(frames):
+                for mode, score in zip(modes, b.channels(frame, modes), strict=True):
+                    yield pd.DataFrame({"query_id": b.ids, "mode": mode, "low": score.min(axis=0), "high": score.max(axis=0), "total": score.sum(axis=0)})
+
+        kind = f"query_id {dict(queries.dtypes)['query_id']}, mode string, low double, high double, total double"
+        return index.docs.mapInPandas(run, kind).groupBy("query_id", "mode").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
 
+    return one_of([found(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
 
-def minmax(value: Column, w) -> Column:
-    """To 0..1 within a window; 0 throughout where all are (nearly) equal."""
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high - low <= 1e-12, 0.0).otherwise((value - low) / (high - low))
 
+def fused_scores(index: Index, queries: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """query_id, doc_id, score: both channels normalised over the corpus and mixed, dense by ``alpha``."""
+    modes = ("dense", "bm25")
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
 
-def fuse(bm25: DataFrame, dense: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """query_id, doc_id, bm25, dense and the fused score of all documents of ``dense``; no common term counts as a BM25 score of 0."""
-    both = dense.withColumnRenamed("score", "dense").join(bm25.withColumnRenamed("score", "bm25"), ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    w = Window.partitionBy("query_id")
-    fused = alpha * minmax(F.col("dense"), w) + (1 - alpha) * minmax(F.col("bm25"), w)
-    return both.withColumn("score", fused)
+    def scored(part: DataFrame) -> DataFrame:
+        block = index.block(part)
+        span = {(r["query_id"], r["mode"]): (r["low"], r["high"]) for r in ranges(index, part, modes).collect()}
+        shared = index.docs.sparkSession.sparkContext.broadcast((block, span))
 
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b, spans = shared.value
+            for frame in batches(frames):
+                dense, bm25 = b.channels(frame, modes)
+                for i, q in enumerate(b.ids):
+                    mixed = alpha * scaled(dense[:, i], *spans[q, "dense"]) + (1 - alpha) * scaled(bm25[:, i], *spans[q, "bm25"])
+                    yield pd.DataFrame({"query_id": q, "doc_id": frame["doc_id"].to_numpy(), "score": mixed})
 
-def target_rank(scores: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """query_id, target_id, target_score, target_rank (documents that score strictly more), retrieved.
+        return index.docs.mapInPandas(run, kind)
 
-    ``scores``: query_id, doc_id, score over the corpus; ``targets``: query_id, target_id, target_score.
+    return one_of([scored(part) for part in in_blocks(queries, "query_id", QUERIES)])
+
+
+def target_scores(index: Index, queries: DataFrame, targets: DataFrame, modes: tuple[str, ...] = ("bm25",)) -> DataFrame:
+    """target_id, query_id, mode, score of each target for each of its queries, by the corpus's statistics, which it doesn't change.
+
+    ``targets``: target_id, query_ids (array), text and, for dense search, embedding.
     """
-    above = scores.join(targets, "query_id").where("score > target_score").groupBy("query_id", "target_id").agg(F.count(F.lit(1)).alias("target_rank"))
-    out = targets.join(above, ["query_id", "target_id"], "left").withColumn("target_rank", F.coalesce("target_rank", F.lit(0)).cast("long"))
-    return out.withColumn("retrieved", F.when(F.col("target_rank") < k, 1).otherwise(0))
+    kinds = dict(targets.dtypes) | dict(queries.dtypes)
+
+    def found(block: Block) -> DataFrame:
+        shared = index.docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b = shared.value
+            for frame in batches(frames):
+                own = [(i, b.at[q]) for i, qs in enumerate(frame["query_ids"]) for q in qs if q in b.at]
+                row, query = np.array(own, int).reshape(-1, 2).T
+                for mode, score in zip(modes, b.channels(frame, modes), strict=True):
+                    yield pd.DataFrame({"target_id": frame["target_id"].to_numpy()[row], "query_id": np.array(b.ids, object)[query], "mode": mode, "score": score[row, query]})
+
+        return targets.mapInPandas(run, f"target_id {kinds['target_id']}, query_id {kinds['query_id']}, mode string, score double")
 
+    return one_of([found(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
 
-def natural_topk(ranked: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """query_id, target_id and the k ids of the window in which the target stands at its rank, if that is below k."""
-    ids = ranked.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("ids"))
-    rank = F.col("target_rank").cast("int")
-    spliced = F.concat(F.slice("ids", F.lit(1), rank), F.array(F.col("target_id").cast("string")), F.slice("ids", rank + 1, F.greatest(k - 1 - rank, F.lit(0))))
-    return targets.join(ids, "query_id").select("query_id", "target_id", F.when(rank < k, spliced).otherwise(F.slice("ids", 1, k)).alias("window_ids"))
+
+MODES = {"bm25": ("bm25",), "dense": ("dense",), "hybrid": ("dense", "bm25")}
+FOUND = "target_id long, target_score double, target_rank long, retrieved int, top_k_ids array<string>, competitor_ids array<string>"
+
+
+def search(index: Index, queries: DataFrame, targets: DataFrame, mode: str = "bm25", k: int = 8, alpha: float = 0.5, pool: str = "max") -> DataFrame:
+    """One row per target: target_id, target_score, target_rank (documents that score strictly more), retrieved, top_k_ids, competitor_ids.
+
+    ``queries``: query_id, text, embedding; ``targets``: target_id (long), query_ids, text, embedding. Each channel is
+    normalised for each query over all documents and the target, channels are mixed by ``alpha``, and a target with
+    several queries gets the greatest or the mean (``pool``) of its scores, as do the documents. Targets with the same
+    queries and the same ranges share a ranking: only one that lies outside the corpus's range needs its own.
+    """
+    if mode not in MODES or pool not in ("max", "mean"):
+        raise ValueError(f"no such mode or pool: {mode}, {pool}")
+    modes, spark, parts = MODES[mode], index.docs.sparkSession, []
+    share = {"bm25": 1.0, "dense": 1.0} if len(modes) == 1 else {"dense": alpha, "bm25": 1 - alpha}
+    groups = max(1, ceil(queries.count() / QUERIES))
+    first = F.pmod(F.xxhash64(F.get("query_ids", 0)), F.lit(groups))
+    for group in range(groups):
+        for part in in_blocks(targets.where(first == group), "target_id", TARGETS, seed=1):
+            ids = part.select(F.explode("query_ids").alias("query_id")).distinct()
+            mine = queries.join(ids, "query_id", "left_semi")
+            own = defaultdict(dict)
+            for r in target_scores(index, mine, part, modes).collect():  # at most TARGETS targets
+                own[r["target_id"]].setdefault(r["query_id"], {})[r["mode"]] = r["score"]
+            if not own:
+                continue
+            span = {(r["query_id"], r["mode"]): (r["low"], r["high"]) for r in ranges(index, mine, modes).collect()}
+            frames: dict[tuple, list[tuple[float, int]]] = defaultdict(list)
+            for target, scores in own.items():
+                frame, mixed = [], []
+                for q in sorted(scores):
+                    spans = [(m, min(span[q, m][0], scores[q][m]), max(span[q, m][1], scores[q][m])) for m in modes]
+                    frame.append((q, tuple(spans)))
+                    mixed.append(sum(share[m] * float(scaled(np.array(scores[q][m]), low, high)) for m, low, high in spans))
+                frames[tuple(frame)].append((round(max(mixed) if pool == "max" else sum(mixed) / len(mixed), 9), target))
+            parts.append(_placed(index, index.block(mine), {f: sorted(t) for f, t in frames.items()}, modes, share, k, pool))
+    return one_of(parts) if parts else spark.createDataFrame([], FOUND)
+
+
+def _placed(index: Index, block: Block, frames: dict[tuple, list[tuple[float, int]]], modes: tuple[str, ...], share: dict[str, float], k: int, pool: str) -> DataFrame:
+    """``search`` for a block: ``frames`` has for each (query, ranges) list the targets in order of their score."""
+    spark = index.docs.sparkSession
+    shared = spark.sparkContext.broadcast((block, list(frames), [np.array([s for s, _ in t]) for t in frames.values()]))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b, keys, limits = shared.value
+        above = [np.zeros(len(t), np.int64) for t in limits]
+        best: list[list[tuple[float, int]]] = [[] for _ in keys]
+        for frame in batches(parts):
+            channels, ids = b.channels(frame, modes), frame["doc_id"].to_numpy()
+            for i, key in enumerate(keys):
+                each = [sum(share[m] * scaled(c[:, b.at[q]], low, high) for c, (m, low, high) in zip(channels, spans, strict=True)) for q, spans in key]
+                mixed = np.round(np.max(each, axis=0) if pool == "max" else np.mean(each, axis=0), 9)
+                above[i] += len(mixed) - np.searchsorted(np.sort(mixed), limits[i], side="right")
+                order = np.lexsort((ids, -mixed))[:k]
+                best[i] = sorted([*best[i], *zip((-mixed[order]).tolist(), ids[order].tolist(), strict=True)])[:k]
+        for i in range(len(keys)):
+            yield pd.DataFrame({"frame": i, "place": np.arange(len(above[i])), "n": above[i], "doc_id": None, "score": None})
+            yield pd.DataFrame([(i, None, None, d, -s) for s, d in best[i]], columns=["frame", "place", "n", "doc_id", "score"])
+
+    kind = "frame int, place int, n long, doc_id long, score double"
+    sent = index.docs.mapInPandas(run, kind)
+    ranks = sent.where("n IS NOT NULL").groupBy("frame", "place").agg(F.sum("n").alias("target_rank"))
+    top = top_k(sent.where("doc_id IS NOT NULL"), k, ("frame",)).groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("top_k_ids"))
+    named = spark.createDataFrame([(i, j, t, s) for i, ts in enumerate(frames.values()) for j, (s, t) in enumerate(ts)], "frame int, place int, target_id long, target_score double")
+    out = named.join(ranks, ["frame", "place"], "left").join(top, "frame", "left").withColumn("target_rank", F.coalesce("target_rank", F.lit(0).cast("long")))
+    return out.select("target_id", "target_score", "target_rank", F.when(F.col("target_rank") < k, 1).otherwise(0).alias("retrieved"), "top_k_ids", F.slice("top_k_ids", 1, k - 1).alias("competitor_ids"))
+
+
+def queries_of_targets(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and targets for ``search`` from rewritten ones: blank texts are dropped; a target without any gets its own text.
+
+    ``targets``: target_id, text, embedding, rewrites (array of struct<query_id, text, embedding>).
+    """
+    own = F.array(F.struct((-F.col("target_id") - 1).alias("query_id"), "text", "embedding"))
+    said = F.filter("rewrites", lambda r: F.trim(F.coalesce(r["text"], F.lit(""))) != "")
+    chosen = targets.withColumn("_r", F.when(F.size(said) > 0, said).otherwise(own))
+    queries = chosen.select(F.explode("_r").alias("r")).select("r.*").dropDuplicates(["query_id"])
+    return queries, chosen.select("target_id", F.transform("_r", lambda r: r["query_id"]).alias("query_ids"), "text", "embedding")
+
+
+def natural_topk(found: DataFrame, k: int) -> DataFrame:
+    """target_id and the k ids of the window in which the target stands at its rank, if that is below k. ``found``: ``search``."""
+    rank, ids = F.col("target_rank").cast("int"), F.col("top_k_ids")
+    spliced = F.concat(F.slice(ids, F.lit(1), rank), F.array(F.col("target_id").cast("string")), F.slice(ids, rank + 1, F.greatest(k - 1 - rank, F.lit(0))))
+    return found.select("target_id", F.when(rank < k, spliced).otherwise(F.slice(ids, 1, k)).alias("window_ids"))

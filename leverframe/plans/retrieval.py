@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leverframe.codebook import FACTORS
@@ -11,11 +11,10 @@ from leverframe.operators import information as I
 from leverframe.operators import retrieval as R
 from leverframe.plans.effects import B1, BY_MODEL_SQL, _by_model, counted, ei_sql
 from leverframe.plans.registry import query, rounded
+from leverframe.sources.articles import ARTICLES_SQL, articles
 from leverframe.sources.tables import table
 
-K = 8
-#: The injected targets are conversation turns, each put to a benchmark question; ``ITEMS`` of them are shared out.
-ITEMS = 40
+K, ALPHA = 8, 0.5
 MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -23,16 +22,26 @@ def corpus(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def dense_corpus(spark, sf_dir) -> DataFrame:
+    """The documents that have a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.join(corpus(spark, sf_dir), "doc_id", "left")
+
+
 def questions(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
 
 
 def targets(spark, sf_dir) -> DataFrame:
-    """target_id, query_id, text and the target's place in the design: factor, role, pair, model."""
-    t = table(spark, sf_dir, "conversations")
+    """The injected targets are conversation turns, each put to a benchmark question: target_id, query_id, query_ids, text, embedding and its place in the design."""
+    t = table(spark, sf_dir, "conversations").withColumn("_one", F.lit(1))
+    items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("items")).withColumn("_one", F.lit(1))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    t = t.join(F.broadcast(items), "_one").join(vectors, "conv_id", "left")
     c = F.col("conv_id")
     return t.select(
-        (c * 1000 + F.col("turn")).alias("target_id"), (c % ITEMS).alias("query_id"), "text",
+        (c * 1000 + F.col("turn")).alias("target_id"), (c % F.col("items")).alias("query_id"), F.array(c % F.col("items")).alias("query_ids"), "text", "embedding", "conv_id", "items",
         F.element_at(F.array(*map(F.lit, FACTORS)), (c % 8 + 1).cast("int")).alias("target_dim"),
         F.when(F.col("turn") % 2 == 1, "treatment").otherwise("control").alias("role"),
         F.concat_ws("|", c.cast("string"), F.floor(F.col("turn") / 2).cast("string")).alias("pair_key"),
@@ -47,7 +56,7 @@ dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT ter
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
 bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (term) JOIN idf USING (term), sz GROUP BY 1, 2),
-tw AS (SELECT conv_id * 1000 + turn AS target_id, conv_id % {ITEMS} AS query_id, {TOK.format("coalesce(text, '')")} AS w FROM conversations),
+tw AS (SELECT conv_id * 1000 + turn AS target_id, conv_id % (SELECT count(*) FROM benchmark) AS query_id, {TOK.format("coalesce(text, '')")} AS w FROM conversations),
 tp AS (SELECT target_id, query_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT target_id, query_id, len(w) AS dl, unnest(w) AS term FROM tw) GROUP BY 1, 2, 3),
 tm AS (SELECT tp.query_id, target_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS target_score FROM tp JOIN qt ON tp.query_id = qt.query_id AND tp.term = qt.term JOIN idf ON tp.term = idf.term, sz GROUP BY 1, 2),
 ts AS (SELECT tw.target_id, tw.query_id, coalesce(tm.target_score, 0) AS target_score FROM tw JOIN (SELECT DISTINCT query_id FROM qt) USING (query_id) LEFT JOIN tm ON tm.target_id = tw.target_id AND tm.query_id = tw.query_id),
@@ -56,36 +65,40 @@ tt AS (SELECT *, CASE WHEN target_rank < {K} THEN 1 ELSE 0 END AS retrieved, (ta
 rf AS (SELECT *, list_extract({FACTORS}, CAST(conv % 8 + 1 AS BIGINT)) AS factor, CASE WHEN turn % 2 = 1 THEN 'treatment' ELSE 'control' END AS role, concat_ws('|', CAST(conv AS VARCHAR), CAST(turn // 2 AS VARCHAR)) AS pair_key, list_extract({MODELS}, CAST(conv % 5 + 1 AS BIGINT)) AS model FROM tt)"""
 
 
-def _scores(spark, sf_dir) -> DataFrame:
-    return R.bm25_scores(corpus(spark, sf_dir), questions(spark, sf_dir))
+def _scores(spark, sf_dir, k: int | None = None) -> DataFrame:
+    return R.ranked_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), k=k)
 
 
-def _target_scores(spark, sf_dir) -> DataFrame:
-    """query_id, target_id, target_score: each target against its own question, with the corpus's statistics."""
-    t = targets(spark, sf_dir)
-    own = t.select("target_id", "query_id").join(questions(spark, sf_dir).where("size(filter(split(text, '\\\\s+'), x -> x <> '')) > 0").select("query_id"), "query_id")
-    # only a target's own question can score it: the question's terms meet the target's by query and term
-    docs = corpus(spark, sf_dir)
-    terms = R.query_terms(questions(spark, sf_dir))
-    size = R.corpus_size(docs)
-    idf = R.idf_table(R.postings(docs), size).join(terms.select("term").distinct(), "term", "left_semi").select("term", "idf")
-    post = R.postings(t.select(F.col("target_id").alias("doc_id"), "text")).join(t.select(F.col("target_id").alias("doc_id"), "query_id"), "doc_id")
-    hits = post.join(terms, ["query_id", "term"]).join(idf, "term").withColumn("_one", F.lit(1)).join(F.broadcast(size.withColumn("_one", F.lit(1))), "_one")
-    got = hits.groupBy("query_id", F.col("doc_id").alias("target_id")).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * R.gain(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("target_score"))
-    return own.join(got, ["query_id", "target_id"], "left").withColumn("target_score", F.coalesce("target_score", F.lit(0.0)))
+def _found(spark, sf_dir) -> DataFrame:
+    """Every target's rank among all documents, by BM25."""
+    own = targets(spark, sf_dir).select("target_id", "query_ids", "text")
+    found = R.search(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), own, k=K)
+    return found.join(targets(spark, sf_dir).select("target_id", "query_id"), "target_id")
 
 
 def _ranked_targets(spark, sf_dir) -> DataFrame:
     """The retrieval frame: targets with their rank, factor, role, pair and model."""
-    ranks = R.target_rank(_scores(spark, sf_dir), _target_scores(spark, sf_dir), K)
+    ranks = _found(spark, sf_dir).select("target_id", "query_id", "target_rank", "retrieved")
     t = targets(spark, sf_dir).select("target_id", F.col("target_dim").alias("factor"), "role", "pair_key", "model")
     return ranks.join(t, "target_id")
 
 
-@query("bm25_index", f"{BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("bm25_index", """WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM dw) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM dw) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs), m AS (SELECT avg(raw) AS mean FROM raw)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, m""")
 def bm25_index(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    return rounded(R.idf_table(R.postings(docs), R.corpus_size(docs)))
+    return rounded(R.idf_table(docs, docs.count()))
+
+
+@query("tokenize", """WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM articles),
+t AS (SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN length(x) > 1 AND regexp_matches(x, '[㐀-鿿]') THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END)) AS t FROM a)
+SELECT doc_id, len(t) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_hash FROM t""".replace("WITH ", f"WITH {ARTICLES_SQL}, ", 1))
+def tokenize(spark, sf_dir):
+    """Words, and character pairs of Han words, of every article."""
+    t = articles(spark, sf_dir).select("doc_id", R.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_hash"))
 
 
 @query("bm25_scores", f"{BM25_SQL} SELECT query_id, doc_id, score FROM bm")
@@ -95,79 +108,147 @@ def bm25_scores(spark, sf_dir):
 
 @query("bm25_topk", f"{BM25_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= {K}")
 def bm25_topk(spark, sf_dir):
-    return R.top_k(_scores(spark, sf_dir), K)
+    return R.top_k(_scores(spark, sf_dir, K), K)
 
 
 @query("bm25_injected", f"{BM25_SQL} SELECT query_id, target_id, target_score FROM ts")
 def bm25_injected(spark, sf_dir):
-    return _target_scores(spark, sf_dir).select("query_id", "target_id", "target_score")
+    own = targets(spark, sf_dir).select("target_id", "query_ids", "text")
+    got = R.target_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), own)
+    return got.select("query_id", "target_id", F.col("score").alias("target_score"))
 
 
-@query("target_rank", f"{BM25_SQL} SELECT query_id, target_id, target_score, target_rank, retrieved FROM tt")
+@query("target_rank", f"{BM25_SQL} SELECT query_id, target_id, target_rank, retrieved FROM tt")
 def target_rank(spark, sf_dir):
-    return R.target_rank(_scores(spark, sf_dir), _target_scores(spark, sf_dir), K)
+    return _found(spark, sf_dir).select("query_id", "target_id", "target_rank", "retrieved")
+
 
+#: Ranges over all documents (0 without a common term) and the target, for each target.
+SPAN_SQL = """mb AS (SELECT query_id, min(score) AS lo, max(score) AS hi, sum(score) AS total, count(*) AS n FROM bm GROUP BY query_id),
+sp AS (SELECT query_id, CASE WHEN n < (SELECT count(*) FROM documents) THEN least(lo, 0) ELSE lo END AS lo, CASE WHEN n < (SELECT count(*) FROM documents) THEN greatest(hi, 0) ELSE hi END AS hi, total FROM mb),
+tn AS (SELECT ts.*, least(lo, target_score) AS low, greatest(hi, target_score) AS high, total FROM ts JOIN sp USING (query_id))"""
 
-@query("minmax_norm", f"{BM25_SQL} SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM bm WINDOW w AS (PARTITION BY query_id)")
+
+@query("minmax_norm", f"""{BM25_SQL}, {SPAN_SQL}, nd AS (SELECT count(*) AS n FROM documents)
+SELECT query_id, target_id, round(low, 6) AS low, round(high, 6) AS high, round(CASE WHEN high - low <= 1e-12 THEN 0 ELSE (target_score - low) / (high - low) END, 6) AS target_norm,
+ round(CASE WHEN high - low <= 1e-12 THEN 0 ELSE (total / n - low) / (high - low) END, 6) AS corpus_mean_norm FROM tn, nd""")
 def minmax_norm(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    return rounded(s.select("query_id", "doc_id", R.minmax(F.col("score"), Window.partitionBy("query_id")).alias("norm")))
+    """Each target's range over all documents and itself, its normalised score, and the mean normalised score of the documents."""
+    index = R.Index(corpus(spark, sf_dir))
+    q = questions(spark, sf_dir).select("query_id", "text")
+    own = R.target_scores(index, q, targets(spark, sf_dir).select("target_id", "query_ids", "text")).select("query_id", "target_id", "score")
+    both = own.join(R.ranges(index, q, ("bm25",)), "query_id").withColumns({"low": F.least("low", "score"), "high": F.greatest("high", "score")})
+    norm = lambda x: R.scaled(x, F.col("low"), F.col("high"))
+    return rounded(both.select("query_id", "target_id", "low", "high", norm(F.col("score")).alias("target_norm"), norm(F.col("total") / index.n_docs).alias("corpus_mean_norm")))
 
 
-DENSE_SQL = """WITH dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
-de AS (SELECT query_id, vec_id AS doc_id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6) AS score FROM embeddings, dq)"""
+def _cos(a: str, b: str) -> str:
+    dot = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+    return f"round({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 6)"
 
 
-def _dense(spark, sf_dir) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    q = questions(spark, sf_dir).select("query_id").join(vectors.withColumnRenamed("doc_id", "query_id").withColumnRenamed("embedding", "q"), "query_id")
-    return R.dense_scores(vectors, q)
+DENSE_SQL = f"""WITH dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+de AS (SELECT query_id, vec_id AS doc_id, {_cos('embedding', 'q')} AS score FROM embeddings, dq)"""
+
+
+def _dense_index(spark, sf_dir) -> R.Index:
+    return R.Index(dense_corpus(spark, sf_dir))
 
 
 @query("dense_topk", f"{DENSE_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM de QUALIFY rank <= {K}")
 def dense_topk(spark, sf_dir):
-    return R.top_k(_dense(spark, sf_dir), K)
+    return R.top_k(R.ranked_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), "dense", K), K)
 
 
 def _norm(c: str) -> str:
     return f"CASE WHEN max({c}) OVER w - min({c}) OVER w <= 1e-12 THEN 0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
 
 
-@query("hybrid_fuse", f"""{BM25_SQL}, {DENSE_SQL[5:]}, hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id)),
-hf AS (SELECT query_id, doc_id, 0.5 * {_norm('dense')} + 0.5 * {_norm('bm25')} AS score FROM hb WINDOW w AS (PARTITION BY query_id))
+#: The hybrid corpus is the documents with a vector: both channels' statistics come from these alone.
+HYBRID_SQL = BM25_SQL.replace("FROM documents)", "FROM (SELECT vec_id AS doc_id, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id))", 1) + ", " + DENSE_SQL[5:] + ", hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id))"
+
+
+@query("hybrid_fuse", f"""{HYBRID_SQL}, hf AS (SELECT query_id, doc_id, {ALPHA} * {_norm('dense')} + (1 - {ALPHA}) * {_norm('bm25')} AS score FROM hb WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, doc_id, round(score + 1e-9, 6) AS score FROM hf""")
 def hybrid_fuse(spark, sf_dir):
-    return R.fuse(_scores(spark, sf_dir), _dense(spark, sf_dir)).select("query_id", "doc_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
+    return R.fused_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), ALPHA).select("query_id", "doc_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
-@query("retrieve", f"""{BM25_SQL}, tk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {K}),
-tl AS (SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS top_k_ids, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank < {K}) AS competitor_ids FROM tk GROUP BY query_id)
-SELECT query_id, target_id, target_rank, retrieved, top_k_ids, competitor_ids FROM tt JOIN tl USING (query_id)""")
+def _fused(source: str) -> str:
+    one = lambda c: f"CASE WHEN {c}_hi - {c}_lo <= 1e-12 THEN 0 ELSE ({source}{c} - {c}_lo) / ({c}_hi - {c}_lo) END"
+    return f"({ALPHA} * {one('dense')} + (1 - {ALPHA}) * {one('bm25')})"
+
+
+def _hybrid_ranks(pairs: str, documents: str, own: str, pool: str) -> str:
+    """CTEs from ``pairs`` (target_id, query_id), ``documents`` (query_id, doc_id, dense, bm25) and ``own`` (target_id, query_id, t_dense, t_bm25) to ``hr``."""
+    return f"""hs AS (SELECT query_id, min(dense) AS dl, max(dense) AS dh, min(bm25) AS bl, max(bm25) AS bh FROM {documents} GROUP BY query_id),
+hfr AS (SELECT o.*, least(dl, t_dense) AS dense_lo, greatest(dh, t_dense) AS dense_hi, least(bl, t_bm25) AS bm25_lo, greatest(bh, t_bm25) AS bm25_hi FROM {pairs} JOIN {own} o USING (target_id, query_id) JOIN hs USING (query_id)),
+hdoc AS (SELECT target_id, doc_id, round({pool}({_fused('')}), 9) AS s FROM hfr JOIN {documents} USING (query_id) GROUP BY target_id, doc_id),
+hown AS (SELECT target_id, round({pool}({_fused('t_')}), 9) AS t FROM hfr GROUP BY target_id),
+hr AS (SELECT target_id, any_value(t) AS t, count(*) FILTER (s > t) AS target_rank, list(doc_id ORDER BY s DESC, doc_id)[1:{K}] AS ids FROM hdoc JOIN hown USING (target_id) GROUP BY target_id)"""
+
+
+TARGET_DENSE_SQL = f"td AS (SELECT conv_id * 1000 + turn AS target_id, q.query_id, {_cos('e.embedding', 'q.q')} AS t_dense FROM conversations JOIN embeddings e ON vec_id = conv_id JOIN dq q ON q.query_id = conv_id % (SELECT count(*) FROM benchmark))"
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    ids = {c: F.array_join(c, ",") for c in ("top_k_ids", "competitor_ids")}
+    return found.select("target_id", F.round("target_score", 6).alias("target_score"), "target_rank", "retrieved", *[e.alias(c) for c, e in ids.items()])
+
+
+LISTED_SQL = f"target_id, round(t, 6) AS target_score, target_rank, CASE WHEN target_rank < {K} THEN 1 ELSE 0 END AS retrieved, array_to_string(ids, ',') AS top_k_ids, array_to_string(ids[1:{K - 1}], ',') AS competitor_ids"
+
+
+@query("retrieve", f"""{HYBRID_SQL}, {TARGET_DENSE_SQL}, ow AS (SELECT ts.target_id, ts.query_id, t_dense, target_score AS t_bm25 FROM ts JOIN td USING (target_id, query_id)), pr AS (SELECT target_id, query_id FROM ow),
+{_hybrid_ranks('pr', 'hb', 'ow', 'max')} SELECT {LISTED_SQL} FROM hr""")
 def retrieve(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string"))
-    top = R.top_k(scores, K).groupBy("query_id").agg(ids.alias("ids"))
-    ranks = R.target_rank(scores, _target_scores(spark, sf_dir), K)
-    return ranks.join(top, "query_id").select("query_id", "target_id", "target_rank", "retrieved", F.array_join("ids", ",").alias("top_k_ids"), F.array_join(F.slice("ids", 1, K - 1), ",").alias("competitor_ids"))
+    """Targets among the documents with a vector, by both channels, normalised over documents and target."""
+    own = targets(spark, sf_dir).select("target_id", "query_ids", "text", "embedding")
+    return _listed(R.search(_dense_index(spark, sf_dir), questions(spark, sf_dir), own, "hybrid", K, ALPHA))
 
 
-@query("natural_topk", f"""{BM25_SQL}, tk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {K}),
-tl AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY rank) AS ids FROM tk GROUP BY query_id)
-SELECT query_id, target_id, array_to_string(CASE WHEN target_rank < {K} THEN list_concat(list_concat(ids[1:target_rank], [CAST(target_id AS VARCHAR)]), ids[target_rank + 1:{K} - 1]) ELSE ids[1:{K}] END, ',') AS window_ids FROM tt JOIN tl USING (query_id)""")
+@query("retrieve_dense", f"""{DENSE_SQL}, {TARGET_DENSE_SQL}, tl AS (SELECT query_id, list(doc_id ORDER BY score DESC, doc_id)[1:{K}] AS ids FROM de GROUP BY query_id)
+SELECT target_id, CAST(count(*) FILTER (de.score > t_dense) AS BIGINT) AS target_rank, array_to_string(any_value(ids), ',') AS top_k_ids FROM td JOIN de USING (query_id) JOIN tl USING (query_id) GROUP BY target_id""")
+def retrieve_dense(spark, sf_dir):
+    own = targets(spark, sf_dir).select("target_id", "query_ids", "text", "embedding")
+    return _listed(R.search(_dense_index(spark, sf_dir), questions(spark, sf_dir), own, "dense", K)).select("target_id", "target_rank", "top_k_ids")
+
+
+@query("natural_topk", f"""{BM25_SQL}, al AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM ts) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN bm USING (query_id, doc_id)),
+tl AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY score DESC, doc_id)[1:{K}] AS ids FROM al GROUP BY query_id)
+SELECT target_id, array_to_string(CASE WHEN target_rank < {K} THEN list_concat(list_concat(ids[1:target_rank], [CAST(target_id AS VARCHAR)]), ids[target_rank + 1:{K} - 1]) ELSE ids[1:{K}] END, ',') AS window_ids FROM tt JOIN tl USING (query_id)""")
 def natural_topk(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    got = R.natural_topk(R.top_k(scores, K), R.target_rank(scores, _target_scores(spark, sf_dir), K), K)
-    return got.select("query_id", "target_id", F.array_join("window_ids", ",").alias("window_ids"))
+    return R.natural_topk(_found(spark, sf_dir), K).select("target_id", F.array_join("window_ids", ",").alias("window_ids"))
 
 
-@query("retrieve_multi", f"""{BM25_SQL}, {DENSE_SQL[5:]}, al AS (SELECT query_id, doc_id, score FROM de UNION ALL SELECT query_id, doc_id, score FROM bm),
-n AS (SELECT query_id, doc_id, CASE WHEN src = 'd' THEN 'd' ELSE 'b' END AS src, {_norm('score')} AS s FROM (SELECT *, 'd' AS src FROM de UNION ALL SELECT *, 'b' FROM bm) WINDOW w AS (PARTITION BY query_id, src))
-SELECT query_id, doc_id, round(max(s) + 1e-9, 6) AS pooled_max FROM n GROUP BY query_id, doc_id""")
+def _rewritten(spark, sf_dir) -> DataFrame:
+    """Targets with rewritten queries: their own question and the next one; a third of the conversations have a blank instead of the second, some have blanks only."""
+    t, q = targets(spark, sf_dir), questions(spark, sf_dir)
+    c = F.col("conv_id")
+    asked = t.select("target_id", F.explode(F.array(F.struct(F.lit(0).alias("no"), (c % F.col("items")).alias("query_id"), (c % 7 != 0).alias("said")), F.struct(F.lit(1).alias("no"), ((c + 1) % F.col("items")).alias("query_id"), ((c % 7 != 0) & (c % 3 != 0)).alias("said")))).alias("a")).select("target_id", "a.*")
+    asked = asked.join(q, "query_id").select("target_id", F.struct("query_id", F.when(F.col("said"), F.col("text")).otherwise(" ").alias("text"), "embedding").alias("r"))
+    return t.select("target_id", "text", "embedding").join(asked.groupBy("target_id").agg(F.collect_list("r").alias("rewrites")), "target_id")  # two each
+
+
+@query("retrieve_multi", HYBRID_SQL + f""", items AS (SELECT count(*) AS m FROM benchmark),
+ms AS (SELECT conv_id * 1000 + turn AS target_id, conv_id, text, m FROM conversations, items WHERE conv_id IN (SELECT vec_id FROM embeddings)),
+pr AS (SELECT target_id, conv_id % m AS query_id FROM ms WHERE conv_id % 7 <> 0 UNION ALL SELECT target_id, (conv_id + 1) % m FROM ms WHERE conv_id % 7 <> 0 AND conv_id % 3 <> 0 UNION ALL SELECT target_id, -target_id - 1 FROM ms WHERE conv_id % 7 = 0),
+oq AS (SELECT DISTINCT -target_id - 1 AS query_id, text, conv_id FROM ms WHERE conv_id % 7 = 0),
+q2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format("coalesce(text, '')")}) AS term FROM oq) GROUP BY 1, 2 UNION ALL SELECT * FROM qt),
+v2 AS (SELECT oq.query_id, embedding AS q FROM oq JOIN embeddings ON vec_id = conv_id UNION ALL SELECT * FROM dq),
+g2 AS (SELECT term, doc_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post JOIN idf USING (term), sz), b2 AS (SELECT query_id, doc_id, round(sum(qtf * w), 6) AS score FROM q2 JOIN g2 USING (term) GROUP BY 1, 2),
+d2 AS (SELECT query_id, vec_id AS doc_id, {_cos('embedding', 'q')} AS dense FROM embeddings, v2), h2 AS (SELECT d2.*, coalesce(score, 0) AS bm25 FROM d2 LEFT JOIN b2 USING (query_id, doc_id)),
+ot AS (SELECT pr.target_id, pr.query_id, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf * idf AS w FROM pr JOIN tp USING (target_id) JOIN q2 ON q2.query_id = pr.query_id AND q2.term = tp.term JOIN idf ON idf.term = tp.term, sz),
+ob AS (SELECT target_id, query_id, round(sum(w), 6) AS t_bm25 FROM ot GROUP BY 1, 2),
+ow AS (SELECT pr.target_id, pr.query_id, {_cos('e.embedding', 'v2.q')} AS t_dense, coalesce(t_bm25, 0) AS t_bm25 FROM pr JOIN embeddings e ON e.vec_id = pr.target_id // 1000 JOIN v2 ON v2.query_id = pr.query_id LEFT JOIN ob ON ob.target_id = pr.target_id AND ob.query_id = pr.query_id),
+{_hybrid_ranks('pr', 'h2', 'ow', 'max')}, {_hybrid_ranks('pr', 'h2', 'ow', 'avg').replace('hs AS', 'hs2 AS').replace('JOIN hs USING', 'JOIN hs2 USING').replace('hfr', 'hfr2').replace('hdoc', 'hdoc2').replace('hown', 'hown2').replace('hr AS', 'hr2 AS')}
+SELECT 'max' AS pool, {LISTED_SQL} FROM hr UNION ALL SELECT 'mean', {LISTED_SQL} FROM hr2""")
 def retrieve_multi(spark, sf_dir):
-    """Several rankings of one question pooled per document, after each is normalised."""
-    both = _dense(spark, sf_dir).withColumn("src", F.lit("d")).unionByName(_scores(spark, sf_dir).withColumn("src", F.lit("b")))
-    normed = both.withColumn("s", R.minmax(F.col("score"), Window.partitionBy("query_id", "src")))
-    return normed.groupBy("query_id", "doc_id").agg(F.round(F.max("s") + 1e-9, 6).alias("pooled_max"))
+    """Several rewritten queries of a target, their normalised scores pooled for each document and the target."""
+    index = _dense_index(spark, sf_dir)
+    queries, own = R.queries_of_targets(_rewritten(spark, sf_dir))
+    found = [_listed(R.search(index, queries, own, "hybrid", K, ALPHA, pool)).withColumn("pool", F.lit(pool)) for pool in ("max", "mean")]
+    return found[0].unionByName(found[1])
 
 
 @query("rank_ecdf", f"""{BM25_SQL}, rs AS (SELECT unnest(range(1, {K} + 1)) AS r)
