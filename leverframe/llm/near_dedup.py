@@ -9,7 +9,7 @@
    component: about (shingles + components x log components) draws for each text.
 3. Signatures are banded. Each text in a bucket meets the bucket's hub (its least digest): one pair for each text, never
    all pairs. While a bucket has more than a block of texts outside its largest component, another of these becomes its
-   hub, up to ``HUBS`` times. Where a bucket then still holds several components, blocks of the texts outside its largest
+   hub, up to ``HUBS`` times and as long as that joins a fifth of them. Where a bucket then still holds several components, blocks of the texts outside its largest
    one meet blocks of all of them in one task each: as signatures first, and with those texts that agree with another.
    Two texts are compared if their signatures agree in at least 76 of 128 components, which a pair of similarity 0.8
    misses with a probability of 3e-8; nothing is left out by a cap.
@@ -41,7 +41,7 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
 #: them with a probability of 3e-8.
 COMPONENTS, AGREE = 128, 76
-#: Texts of a bucket on either side of a comparison in step 3, further hubs of a bucket, and pairs that one copy of a hub's text meets.
+#: Texts of a bucket on either side of a comparison in step 3, most further hubs of a bucket, and pairs that one copy of a hub's text meets.
 BLOCK, HUBS, COPIES = 512, 8, 500
 
 U = np.uint64
@@ -392,12 +392,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     similar = lambda pairs: cut(similarities(bags, cut(agreeing(cut(pairs), sigs))).where(F.col("sim") >= threshold))
     comps = components(similar(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()))
     open_ = split(members, comps)
+    many = lambda: open_.where(F.col("n_apart") > BLOCK).where("apart").count()
+    apart = many()
     for number in range(HUBS):
-        if not open_.where(F.col("n_apart") > BLOCK).limit(1).count():
+        if not apart:
             break
         comps = merged(comps, similar(next_hubs(open_, number)))
         drop(open_)
-        open_ = split(members, comps)
+        open_, before = split(members, comps), apart
+        apart = many()
+        if apart > 0.8 * before:
+            break
     more = cut(remaining(open_, sigs, bags, threshold))
     if more.limit(1).count():
         comps = merged(comps, more)
