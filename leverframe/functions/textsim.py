@@ -1,14 +1,17 @@
-"""Character n-gram metrics: clipped matches, BLEU, longest common subsequence."""
+"""Character n-gram metrics of answers: clipped matches, BLEU, longest common subsequence, with bonuses for labels and entities.
+
+A question is one row with its answer and all its references, so that everything is counted inside the row and only
+sums are shuffled.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 
 def normalize(text: Column) -> Column:
@@ -32,33 +35,117 @@ def ngram_counts(df: DataFrame, keys: Sequence[str], text: str, orders: Sequence
     return df.select(*keys, grams.alias("_g")).select(*keys, "_g.*").groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def clipped_matches(cands: DataFrame, refs: DataFrame, orders: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
-    """id, n, matched, total: n-grams of the candidate that occur in a reference, each at most as often as in the reference with most of it.
+ORDERS = (1, 2, 3, 4)
+
+
+def grams(text: str, n: int) -> Counter:
+    return Counter(text[i : i + n] for i in range(len(text) - n + 1))
+
+
+def clipped(cand: str, refs: Sequence[str], n: int) -> tuple[int, int]:
+    """n-grams of the answer that occur in a reference, each at most as often as in the reference with most of it; and all of its n-grams."""
+    have, most = grams(cand, n), Counter()
+    for ref in refs:
+        most |= grams(ref, n)
+    return (have & most).total(), max(0, len(cand) - n + 1)
+
+
+def closest_length(cand: str, refs: Sequence[str]) -> int:
+    """Length of the reference that is closest in length to the answer; the shorter of two."""
+    return min((abs(len(cand) - len(r)), len(r)) for r in refs)[1]
+
+
+def rouge_of(cand: str, refs: Sequence[str], label: str | None, labels: Sequence[str], entities: Sequence[str] | None, gamma: float, alpha: float, beta: float) -> float:
+    """F measure of the best precision and the best recall; a bonus counts above and below the line."""
+    best_p = best_r = 0.0
+    for i, ref in enumerate(refs):
+        common = lcs_length(cand, ref)
+        if label is not None:
+            extra = alpha * common if i < len(labels) and labels[i] == label else 0.0
+        else:
+            extra = beta * sum(len(e) for e in entities if e in cand) if entities else 0.0
+        p, r = len(cand) + extra, len(ref) + extra
+        best_p = max(best_p, (common + extra) / p if p > 0 else 0.0)
+        best_r = max(best_r, (common + extra) / r if r > 0 else 0.0)
+    g = gamma * gamma
+    return (1 + g) * best_p * best_r / (best_r + g * best_p) if best_p and best_r else 0.0
+
+
+SCORES = "matched array<long>, total array<long>, bonus array<double>, cand_len long, ref_len long, rouge double"
+
+
+def answer_scores(alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.2):
+    """A function of columns (answer, references, label, labels, entities) that gives ``SCORES`` of each row.
 
-    ``cands``: id, text; ``refs``: id, ref_no, text.
+    The bonus of an order is the n-grams that the answer shares with the references that have its label, or with the
+    entities where there is no label.
     """
-    have = ngram_counts(cands, ["id"], "text", orders)
-    most = ngram_counts(refs, ["id", "ref_no"], "text", orders).groupBy("id", "n", "gram").agg(F.max("c").alias("most"))
-    return have.join(most, ["id", "n", "gram"], "left").groupBy("id", "n").agg(F.sum(F.least("c", F.coalesce("most", F.lit(0)))).alias("matched"), F.sum("c").alias("total"))
+
+    @F.pandas_udf(SCORES)
+    def run(cand: pd.Series, refs: pd.Series, label: pd.Series, labels: pd.Series, entities: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, rs, y, ys, es in zip(cand, refs, label, labels, entities, strict=True):
+            c, rs = c or "", list(rs)
+            ys, es = list(ys) if ys is not None else [], list(es) if es is not None else []
+            pairs = [clipped(c, rs, n) for n in ORDERS]
+            if y is not None:
+                weight, extra = alpha, [r for r, own in zip(rs, ys, strict=False) if own == y]
+            else:
+                weight, extra = beta, es
+            bonus = [weight * clipped(c, extra, n)[0] if extra else 0.0 for n in ORDERS]
+            out.append(([m for m, _ in pairs], [t for _, t in pairs], bonus, len(c), closest_length(c, rs), rouge_of(c, rs, y, ys, es, gamma, alpha, beta)))
+        return pd.DataFrame(out, columns=["matched", "total", "bonus", "cand_len", "ref_len", "rouge"])
+
+    return run
+
+
+def questions_scored(preds: DataFrame, refs: DataFrame, alpha: float = 1.0, beta: float = 1.0, gamma: float = 1.2) -> DataFrame:
+    """id and ``SCORES`` of each question that has references.
+
+    ``preds``: id, answers, yesno_answers (arrays, the first counts); a question without one is answered by the empty
+    text. ``refs``: id, question_type, answers, yesno_answers, entity_answers (array of arrays). Only YES_NO questions
+    have a label, only ENTITY ones entities.
+    """
+    both = refs.where(F.size("answers") > 0).select("id", "question_type", F.transform("answers", normalize).alias("refs"), F.col("yesno_answers").alias("labels"), F.array_distinct(F.transform(F.flatten("entity_answers"), normalize)).alias("entities"))
+    mine = preds.select("id", normalize(F.get("answers", 0)).alias("cand"), F.get("yesno_answers", 0).alias("label"))
+    both = both.join(mine, "id", "left").withColumn("cand", F.coalesce("cand", F.lit("")))
+    label = F.when(F.col("question_type") == "YES_NO", F.col("label"))
+    entities = F.when((F.col("question_type") == "ENTITY") & (F.size("entities") > 0), F.col("entities"))
+    return both.select("id", answer_scores(alpha, beta, gamma)("cand", "refs", label, "labels", entities).alias("s")).select("id", "s.*")
+
+
+def repeated_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n_repeated: the keys that more than one row has."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n_repeated"))
 
 
-def closest_length(cand: Column, refs: Column) -> Column:
-    """Length of the reference that is closest in length to the candidate; the shorter of two."""
-    return F.array_min(F.transform(refs, lambda r: F.struct(F.abs(F.length(cand) - F.length(r)).alias("gap"), F.length(r).alias("len"))))["len"]
+def clipped_matches(scored: DataFrame) -> DataFrame:
+    """id, n, matched, total, one row for each order; none where the answer is shorter."""
+    long = scored.select("id", F.posexplode(F.arrays_zip("matched", "total")).alias("i", "m"))
+    return long.select("id", (F.col("i") + 1).alias("n"), "m.matched", "m.total").where("total > 0")
 
 
-def bleu(matches: DataFrame, lengths: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """bleu_1 .. bleu_4 of a corpus. ``matches``: n, matched, total; ``lengths``: cand_len, ref_len; ``extra``: n, bonus, added to both sides."""
-    if extra is not None:
-        matches = matches.select("n", "matched", "total").unionByName(extra.select("n", F.col("bonus").alias("matched"), F.col("bonus").alias("total")))
-    p = matches.groupBy().agg(*[(F.sum(F.when(F.col("n") == n, F.col("matched"))) / F.sum(F.when(F.col("n") == n, F.col("total")))).alias(f"p{n}") for n in (1, 2, 3, 4)])
-    bp = lengths.agg(F.exp(F.least(1 - F.sum("ref_len") / F.sum("cand_len"), F.lit(0.0))).alias("bp"))
-    both = p.withColumn("_one", F.lit(1)).join(bp.withColumn("_one", F.lit(1)), "_one")
+def bleu(scored: DataFrame, bonus: bool = False) -> DataFrame:
+    """bleu_1 .. bleu_4 of a corpus, null for orders that no answer reaches; bonuses count in numerators and denominators."""
+    extra = lambda n: F.sum(F.get("bonus", n - 1)) if bonus else F.lit(0.0)
+    rate = lambda n: F.try_divide(F.sum(F.get("matched", n - 1)) + extra(n), F.sum(F.get("total", n - 1)) + extra(n))
+    sums = scored.agg(*[rate(n).alias(f"p{n}") for n in ORDERS], F.exp(F.least(1 - F.try_divide(F.sum("ref_len"), F.sum("cand_len")), F.lit(0.0))).alias("bp"))
     product, out = F.lit(1.0), []
-    for n in (1, 2, 3, 4):
+    for n in ORDERS:
         product = product * F.col(f"p{n}")
         out.append((F.pow(product, F.lit(1.0 / n)) * F.col("bp")).alias(f"bleu_{n}"))
-    return both.select(*out)
+    return sums.select(*out)
+
+
+def rouge(scored: DataFrame) -> DataFrame:
+    """Mean over questions."""
+    return scored.agg(F.avg("rouge").alias("rouge_l"), F.count(F.lit(1)).alias("n_questions"))
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """ROUGE-L and BLEU-4 with their bonuses, times 100, in two digits."""
+    both = bleu(scored, bonus=True).select("bleu_4").withColumn("_one", F.lit(1)).join(rouge(scored).withColumn("_one", F.lit(1)), "_one")
+    return both.select(F.round(F.col("rouge_l") * 100, 2).alias("rouge_l"), F.round(F.col("bleu_4") * 100, 2).alias("bleu_4"))
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -74,17 +161,3 @@ def lcs_length(a: str, b: str) -> int:
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & full
     return len(b) - row.bit_count()
-
-
-@F.pandas_udf(LongType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((lcs_length(x or "", y or "") for x, y in zip(a, b, strict=True)), np.int64, len(a)))
-
-
-def rouge_l(pairs: DataFrame, gamma: float = 1.2) -> DataFrame:
-    """Mean over questions of the F measure of the best precision and the best recall. ``pairs``: id, cand, ref."""
-    m = pairs.withColumn("m", lcs("cand", "ref"))
-    best = m.groupBy("id").agg(F.max(F.coalesce(F.col("m") / F.nullif(F.length("cand"), F.lit(0)), F.lit(0.0))).alias("p"), F.max(F.coalesce(F.col("m") / F.nullif(F.length("ref"), F.lit(0)), F.lit(0.0))).alias("r"))
-    g = gamma * gamma
-    f = F.when((F.col("p") > 0) & (F.col("r") > 0), (1 + g) * F.col("p") * F.col("r") / (F.col("r") + g * F.col("p"))).otherwise(0.0)
-    return best.agg(F.avg(f).alias("rouge_l"), F.count(F.lit(1)).alias("n_questions"))

@@ -226,18 +226,31 @@ def power_n(spark, sf_dir):
 
 # n-gram metrics -----------------------------------------------------------------------------------------------------
 
-CANDS_SQL = "cd AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS text FROM conversations WHERE role = 'assistant'), rf AS (SELECT c.id, CASE WHEN u.turn < c.turn THEN 0 ELSE 1 END AS ref_no, regexp_replace(coalesce(u.text, ''), '\\s+', '', 'g') AS text FROM cd c JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' AND (u.turn = c.turn - 1 OR u.turn = c.turn + 1)), ca AS (SELECT * FROM cd WHERE id IN (SELECT id FROM rf))"
+CANDS_SQL = "cd AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN '' ELSE regexp_replace(coalesce(text, ''), '\\s+', '', 'g') END AS text FROM conversations WHERE role = 'assistant'), rf AS (SELECT c.id, CASE WHEN u.turn < c.turn THEN 0 ELSE 1 END AS ref_no, regexp_replace(coalesce(u.text, ''), '\\s+', '', 'g') AS text FROM cd c JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' AND (u.turn = c.turn - 1 OR u.turn = c.turn + 1)), ca AS (SELECT * FROM cd WHERE id IN (SELECT id FROM rf))"
 NG_SQL = "nc AS (SELECT id, n, gram, count(*) AS c FROM (SELECT id, n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substr(text, i, n))) AS gram FROM ca, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY 1, 2, 3), nr AS (SELECT id, n, gram, max(c) AS most FROM (SELECT id, ref_no, n, gram, count(*) AS c FROM (SELECT id, ref_no, n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substr(text, i, n))) AS gram FROM rf, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3), mt AS (SELECT id, n, CAST(sum(least(c, coalesce(most, 0))) AS BIGINT) AS matched, CAST(sum(c) AS BIGINT) AS total FROM nc LEFT JOIN nr USING (id, n, gram) GROUP BY id, n)"
 MRC_SQL = f"WITH {CANDS_SQL}, {NG_SQL}"
 
 
-def _mrc(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Assistant turns as candidates with the user turns before and after as references."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", S.normalize(F.col("text")).alias("text"))
-    cands = turns.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", "text")
-    near = cands.select("id", "conv_id", F.explode(F.array(F.struct(F.lit(0).alias("ref_no"), (F.col("turn") - 1).alias("turn")), F.struct(F.lit(1).alias("ref_no"), (F.col("turn") + 1).alias("turn")))).alias("r")).select("id", "conv_id", "r.*")
-    refs = near.join(turns.where("role = 'user'").select("conv_id", "turn", "text"), ["conv_id", "turn"]).select("id", "ref_no", "text")
-    return cands.join(refs.select("id").distinct(), "id", "left_semi").select("id", "text"), refs
+def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns as answers, the user turns before and after as references; a fifth of the conversations have no answer.
+
+    The question's type goes by its id; labels by the parity of a text's length; entities are a reference's first words.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    label = lambda t: F.when(F.length(S.normalize(t)) % 2 == 0, "Yes").otherwise("No")
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    said = turns.where("role = 'assistant'").select(i.alias("id"), "conv_id", "turn", "text")
+    preds = said.where("conv_id % 5 <> 0").select("id", F.array("text").alias("answers"), F.array(label(F.col("text"))).alias("yesno_answers"))
+    near = said.select("id", "conv_id", F.explode(F.array(F.struct(F.lit(0).alias("ref_no"), (F.col("turn") - 1).alias("turn")), F.struct(F.lit(1).alias("ref_no"), (F.col("turn") + 1).alias("turn")))).alias("r")).select("id", "conv_id", "r.*")
+    near = near.join(turns.where("role = 'user'").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    refs = near.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ref_no", "text"))), lambda x: x["text"]).alias("answers"))  # at most two
+    kind = F.element_at(F.array(F.lit("ENTITY"), F.lit("YES_NO"), F.lit("DESCRIPTION")), (F.floor(F.col("id") / 1000) % 3 + 1).cast("int"))
+    words = lambda t: F.slice(F.filter(F.split(t, r"\s+"), lambda w: w != ""), 1, 3)
+    return preds, refs.select("id", kind.alias("question_type"), "answers", F.transform("answers", label).alias("yesno_answers"), F.transform("answers", words).alias("entity_answers"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return S.questions_scored(*_answers(spark, sf_dir))
 
 
 @query("mrc_normalize", "SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS answer, count(*) OVER (PARTITION BY conv_id, turn) > 1 AS repeated FROM conversations")
@@ -255,36 +268,47 @@ def char_ngrams(spark, sf_dir):
 
 @query("clipped_match", f"{MRC_SQL} SELECT id, n, matched, total FROM mt")
 def clipped_match(spark, sf_dir):
-    return S.clipped_matches(*_mrc(spark, sf_dir))
+    return S.clipped_matches(_scored(spark, sf_dir))
 
 
 LEN_SQL = "ln AS (SELECT ca.id, any_value(length(ca.text)) AS c, arg_min(length(rf.text), (abs(length(ca.text) - length(rf.text)), length(rf.text))) AS r FROM ca JOIN rf USING (id) GROUP BY ca.id), bp AS (SELECT exp(least(1 - sum(r) / sum(c), 0)) AS bp FROM ln)"
 
 
-def _lengths(cands: DataFrame, refs: DataFrame) -> DataFrame:
-    rows = cands.join(refs.groupBy("id").agg(F.collect_list("text").alias("refs")), "id")  # at most two references
-    return rows.select(F.length("text").alias("cand_len"), S.closest_length(F.col("text"), F.col("refs")).alias("ref_len"))
-
-
 def _bleu_sql(source: str) -> str:
     return f"pv AS (SELECT {', '.join(f'sum(matched) FILTER (n = {n}) / sum(total) FILTER (n = {n}) AS p{n}' for n in range(1, 5))} FROM {source}) SELECT " + ", ".join(f"round(pow({' * '.join(f'p{i}' for i in range(1, n + 1))}, 1.0 / {n}) * bp, 6) AS bleu_{n}" for n in range(1, 5)) + " FROM pv, bp"
 
 
 @query("bleu4", f"{MRC_SQL}, {LEN_SQL}, {_bleu_sql('mt')}")
 def bleu4(spark, sf_dir):
-    cands, refs = _mrc(spark, sf_dir)
-    return rounded(S.bleu(S.clipped_matches(cands, refs), _lengths(cands, refs)))
+    return rounded(S.bleu(_scored(spark, sf_dir)))
+
 
+#: Bonus references: those with the answer's label for YES_NO questions, the entities for ENTITY ones.
+BONUS_SQL = """yb AS (SELECT ca.id, rf.ref_no, rf.text FROM ca JOIN rf USING (id) WHERE ca.id // 1000 % 3 = 1 AND ca.conv_id % 5 <> 0 AND length(ca.text) % 2 = length(rf.text) % 2
+ UNION ALL SELECT id, 10 * ref_no + pos, word FROM (SELECT c.id, CASE WHEN u.turn < c.turn THEN 0 ELSE 1 END AS ref_no, generate_subscripts(w, 1) AS pos, unnest(w) AS word
+  FROM ca c JOIN (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')[1:3] AS w FROM conversations WHERE role = 'user') u ON u.conv_id = c.conv_id AND (u.turn = c.turn - 1 OR u.turn = c.turn + 1) WHERE c.id // 1000 % 3 = 0)),
+br AS (SELECT id, n, gram, max(c) AS most FROM (SELECT id, ref_no, n, gram, count(*) AS c FROM (SELECT id, ref_no, n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substr(text, i, n))) AS gram FROM yb, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+bt AS (SELECT id, n, CAST(sum(least(c, most)) AS BIGINT) AS matched FROM nc JOIN br USING (id, n, gram) GROUP BY id, n)"""
 
-@query("bleu4_bonus", f"{MRC_SQL}, {LEN_SQL}, mb AS (SELECT n, matched, total FROM mt UNION ALL SELECT n, matched, matched FROM mt WHERE id % 2 = 0), {_bleu_sql('mb')}")
+
+@query("bleu4_bonus", f"{MRC_SQL}, {LEN_SQL}, {BONUS_SQL}, mb AS (SELECT n, matched, total FROM mt UNION ALL SELECT n, matched, matched FROM bt), {_bleu_sql('mb')}")
 def bleu4_bonus(spark, sf_dir):
-    """BLEU with a yes/no bonus: n-grams of candidates whose label agrees with the reference's (here: even ids) count again on both sides."""
-    cands, refs = _mrc(spark, sf_dir)
-    m = S.clipped_matches(cands, refs)
-    return rounded(S.bleu(m, _lengths(cands, refs), m.where("id % 2 = 0").select("n", F.col("matched").alias("bonus"))))
+    """BLEU with bonuses: n-grams shared with references of the answer's label, or with entities, count again above and below the line."""
+    return rounded(S.bleu(_scored(spark, sf_dir), bonus=True))
 
 
 @query("rouge_l")
 def rouge_l(spark, sf_dir):
-    cands, refs = _mrc(spark, sf_dir)
-    return rounded(S.rouge_l(cands.withColumnRenamed("text", "cand").join(refs.select("id", F.col("text").alias("ref")), "id")))
+    """ROUGE-L with label and entity bonuses."""
+    return rounded(S.rouge(_scored(spark, sf_dir)))
+
+
+@query("mrc_report")
+def mrc_report(spark, sf_dir):
+    return S.report(_scored(spark, sf_dir))
+
+
+@query("mrc_unique", "SELECT CAST(count(*) AS BIGINT) AS n_repeated FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1)")
+def mrc_unique(spark, sf_dir):
+    """How many question ids occur more than once: a file of answers must have none."""
+    return S.repeated_ids(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from leverframe.functions.textsim import lcs_length, rouge_l
+from leverframe.functions.textsim import bleu, lcs_length, questions_scored, report, rouge
 from leverframe.operators import effects as E
 from leverframe.operators import information as I
 from leverframe.operators import models as M
@@ -30,12 +30,39 @@ def test_lcs_matches_table():
         assert lcs_length(a, b) == lcs_table(a, b)
 
 
+def answers(spark, rows):
+    """Rows of (id, type, answers, labels, entities, predicted answer, predicted label)."""
+    refs = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in rows], "id long, question_type string, answers array<string>, yesno_answers array<string>, entity_answers array<array<string>>")
+    preds = spark.createDataFrame([(r[0], [r[5]], [r[6]] if r[6] else []) for r in rows if r[5] is not None], "id long, answers array<string>, yesno_answers array<string>")
+    return questions_scored(preds, refs)
+
+
 def test_rouge_takes_best_precision_and_recall(spark):
-    df = spark.createDataFrame([(1, "abc", "abcd"), (1, "abc", "c"), (2, "", "x")], "id long, cand string, ref string")
-    got = rouge_l(df).first()
+    got = rouge(answers(spark, [(1, "DESCRIPTION", ["abcd", "c"], [], [], "abc", None), (2, "DESCRIPTION", ["x"], [], [], "", None), (3, "DESCRIPTION", [], [], [], "x", None)])).first()
     assert got["n_questions"] == 2 and abs(got["rouge_l"] - 0.5) < 1e-9  # precision 1 and recall 1, from two references
 
 
+def test_bonuses_by_hand(spark):
+    """The answer shares ab and b with a reference of its label, and the entity bc; the third one is not predicted."""
+    rows = [(1, "YES_NO", ["ab", "bx"], ["Yes", "No"], [[]], "a b", "Yes"), (2, "ENTITY", ["bcd"], [], [["b c", "zz"], ["bc"]], "abc", None), (3, "YES_NO", ["q"], ["Yes"], [[]], None, None)]
+    got = {r["id"]: r for r in answers(spark, rows).collect()}
+    assert (got[1]["matched"], got[1]["total"], got[1]["bonus"]) == ([2, 1, 0, 0], [2, 1, 0, 0], [2.0, 1.0, 0.0, 0.0])
+    assert (got[2]["matched"], got[2]["bonus"], got[2]["ref_len"]) == ([2, 1, 0, 0], [2.0, 1.0, 0.0, 0.0], 3)
+    assert (got[3]["cand_len"], got[3]["ref_len"], got[3]["rouge"]) == (0, 1, 0.0)
+    assert got[1]["rouge"] == pytest.approx(1.0)  # both with the bonus: 4 of 4
+    p, r = (2 + 2) / (3 + 2), (2 + 2) / (3 + 2)
+    assert got[2]["rouge"] == pytest.approx((1 + 1.44) * p * r / (r + 1.44 * p))
+    whole = bleu(answers(spark, rows), bonus=True).first()
+    p1, p2 = (4 + 4) / (5 + 4), (2 + 2) / (3 + 2)
+    bp = math.exp(min(0.0, 1 - 6 / 5))
+    assert whole["bleu_1"] == pytest.approx(p1 * bp) and whole["bleu_2"] == pytest.approx(math.sqrt(p1 * p2) * bp)
+
+
+def test_report_is_in_percent(spark):
+    got = report(answers(spark, [(i, "DESCRIPTION", ["abcdef"], [], [], "abcdeg", None) for i in range(3)])).first()
+    assert got["rouge_l"] == 83.33 and got["bleu_4"] == round(100 * (5 / 6 * 4 / 5 * 3 / 4 * 2 / 3) ** 0.25, 2)
+
+
 @pytest.mark.parametrize(("do", "ei"), [([0.0, 1.0], 1.0), ([0.5, 0.5], 0.0), ([0.2, 0.8, 0.5], None)])
 def test_effective_information(spark, do, ei):
     df = spark.createDataFrame([("f", i, p) for i, p in enumerate(do)], "factor string, level int, p double")
