@@ -1,7 +1,11 @@
 """A training corpus from ``documents``: quality rules, quality classifier, exact dedup, near-dedup, packing.
 
-Each stage's result is written as Parquet and read again as the next one's documents. All stages but the last return
-the columns of documents.
+Each stage's result is written as Parquet and read again as the next one's documents; a stage's files are deleted once
+the next one's are written. All stages but the last return the columns of documents.
+
+Results for odd input: null and empty texts fail the base rules and go; of rows that repeat an id or a text one of each
+class of near copies stays; very long texts pass whole; columns of any names pass through unchanged until packing, which
+returns its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from leverframe.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules
-from leverframe.llm.common import scratch
+from leverframe.llm.common import delete, scratch
 from leverframe.llm.queries import VOCABULARY, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -45,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

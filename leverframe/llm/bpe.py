@@ -9,7 +9,8 @@ depth-first traversal carries these last-token states down, so that a prefix whi
 Special strings of the vocabulary (``added_tokens``) are cut out of a text first, as the tokenizers library does.
 
 Results for odd input: null and empty texts have no token (``n_tokens`` 0, hash of the empty string); repeated rows
-each get their row; any text length works, as a text is handled word by word.
+each get their row; any text length works, as a text is handled word by word; an empty table gives an empty result.
+The results have columns of their own and the id; other columns of ``docs``, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -7,15 +7,20 @@ bucket; an insertion that runs out of kicks doubles the table and re-inserts the
 that the index can follow a changing corpus (``apply_changes``).
 
 Copies are counted before the shuffle, per digest and salt, so a text that makes up a third of all rows reaches its
-shard as at most ``SALTS`` rows.
+shard as at most ``SALTS`` rows. There are as many shards as keep them at ``SHARD`` rows, and at least one for each
+shuffle partition, so a task's index is bounded however large the table.
 
 Results for odd input: null text counts as empty; of equal texts the row with the largest id stays, null ids last; if
-rows repeat one id, each of them is marked kept when that id is the one that stays; an empty table gives an empty result.
+rows repeat one id, each of them is marked kept when that id is the one that stays; very long texts are hashed whole; an
+empty table gives an empty result. ``groups`` has columns of its own only; ``dedup`` keeps one row of each text with the
+columns of ``docs`` whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_decided, partitions, set_aside
 
 SALTS = 16
+#: Most rows that a shard gets on average, whatever the number of shuffle partitions.
+SHARD = 250_000
 NO_ID = -(2**63)
 INDEX = "digest binary, keep_id long, group_size long"
 SLOTS = 4
@@ -116,16 +123,21 @@ def build_index(digests: DataFrame) -> DataFrame:
         for frame in frames:
             for digest, doc_id, n in zip(frame["digest"], frame["doc_id"], frame["n"], strict=True):
                 index.insert(bytes(digest), doc_id, n)
-        block: list[list] = []
-        for key in index.items():
-            block.append(key)
-            if len(block) == 20_000:
-                yield _frame(block)
-                block = []
-        if block:
-            yield _frame(block)
+        yield from _frames(index)
 
-    return _null_ids(salted.select("digest", "doc_id", "n").repartition(partitions(digests.sparkSession), "digest").mapInPandas(shard, INDEX))
+    return _null_ids(salted.select("digest", "doc_id", "n").repartition(shards(digests), "digest").mapInPandas(shard, INDEX))
+
+
+def shards(rows: DataFrame) -> int:
+    """How many shards an index of these rows gets."""
+    return max(partitions(rows.sparkSession), ceil(rows.count() / SHARD))
+
+
+def _frames(index: CuckooIndex, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The stored keys in frames of bounded size."""
+    keys = index.items()
+    while block := list(islice(keys, rows)):
+        yield _frame(block)
 
 
 def _frame(keys: list[list]) -> pd.DataFrame:
@@ -160,10 +172,9 @@ def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> D
                     live.delete(bytes(digest))
                 else:
                     live.insert(bytes(digest), doc_id, n)
-        if keys := list(live.items()):
-            yield _frame(keys)
+        yield from _frames(live)
 
-    return _null_ids(rows.repartition(partitions(index.sparkSession), "digest").sortWithinPartitions("op").mapInPandas(shard, INDEX))
+    return _null_ids(rows.repartition(shards(rows), "digest").sortWithinPartitions("op").mapInPandas(shard, INDEX))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -177,8 +188,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; texts are only shuffled where ``keep_decided`` must."""
-    rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    rows = cut(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")))
     index = cut(build_index(rows.withColumn("n", F.lit(1).cast("long"))).where("group_size > 1").select("digest", "keep_id"))
+    drop(rows)
     aside = set_aside(docs, "doc_id", "text")
     keyed = aside.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     kept = keep_decided(keyed, index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_stays")))

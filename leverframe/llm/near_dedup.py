@@ -42,7 +42,7 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: them with a probability of 3e-8.
 COMPONENTS, AGREE = 128, 76
 #: Texts of a bucket on either side of a comparison in step 3, most further hubs of a bucket, and pairs that one copy of a hub's text meets.
-BLOCK, HUBS, COPIES = 512, 8, 500
+BLOCK, HUBS, COPIES = 192, 8, 500
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)

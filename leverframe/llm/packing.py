@@ -6,7 +6,8 @@ is padded; sequences of equal length form a bucket and their ids are consecutive
 trainer reads batches of one length in order.
 
 Results for odd input: a null or empty text is the closing id alone, hence one piece of length 1; repeated rows are
-packed once each; long texts are cut like any other, with nothing dropped.
+packed once each; long texts are cut like any other, with nothing dropped; an empty table gives an empty result. The
+result has columns of its own and the id; other columns of ``docs``, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -58,8 +59,8 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, closing_id: int = 0
 
     One pass without a shuffle: sequence ids come from the task's number and a counter for each bucket.
     """
-    if size & (size - 1) or size < 1:
-        raise ValueError("size must be a power of two")
+    if size & (size - 1) or not 1 <= size <= 1 << 15:
+        raise ValueError("size must be a power of two, at most 2^15, so that a sequence id has room for its bucket")
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
     kind = dict(docs.dtypes)[id_col]
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids

@@ -13,8 +13,9 @@ is skipped by searching on. Payload length and digest are computed from the byte
 the headers.
 
 Results for odd input: null html is an empty payload; null urls leave out the target header; rows that repeat the
-largest page_id of a payload are all responses; null page_ids are written without an id and come back null; an empty
-table makes an archive without records.
+largest page_id of a payload are all responses; null page_ids are written without an id and come back null; very long
+pages are written and read whole; an empty table makes an archive without records. Only page_id, url and html are
+stored: other columns, whatever their names, are not looked at, and the reader's columns are its own.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def write(pages: DataFrame, path: str, least_revisit: int = 1000, date: str = "2
         return pd.Series([member(record(i, u, h.encode("utf-8", "surrogatepass"), d, r, date))[:-1] for i, u, h, d, r in zip(page_id, url, html, digest, refers_to, strict=True)], dtype=object)
 
     text = members(F.col("page_id").cast("string"), "url", "html", "digest", refers.cast("string")).cast("string")
-    named.select(text.alias("value")).write.option("lineSep", "\x00").text(path)
+    named.select(text.alias("value")).write.option("lineSep", "\x00").option("compression", "none").text(path)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], int] | None:

@@ -220,6 +220,19 @@ def test_both_joins_of_decided_rows_agree(spark, monkeypatch, bound):
     assert got == {r[0] for r in df.groupBy("text").agg(F.max("doc_id")).select("max(doc_id)").collect()}
 
 
+def test_shuffled_candidates_agree(spark, monkeypatch):
+    rows = planted(20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup.candidates, "__defaults__", (0,))
+    assert spark_classes(df) == brute_classes(rows)
+
+
+def test_shards_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD", 100)
+    df = spark.range(2500).selectExpr("id AS doc_id", "concat('t', id % 2000) AS text")
+    assert exact_dedup.shards(df) == 25 and sum(r["kept"] for r in exact_dedup.groups(df).collect()) == 2000
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(1, "a b c d e f")][:n], "doc_id long, text string")

@@ -84,6 +84,13 @@ def test_pack(spark, library):
             assert [i for p in sorted(parts, key=lambda p: p["start"]) for i in p["ids"]] == want
 
 
+def test_sizes_without_room_for_their_bucket(spark):
+    for size in (0, 3, 1 << 16):
+        with pytest.raises(ValueError, match="power of two"):
+            packing.pack(docs(spark), PATH, size=size)
+    assert packing.pack(docs(spark), PATH, size=1 << 15).agg({"length": "max"}).first()[0] >= 1024
+
+
 def test_empty_table(spark):
     none = docs(spark).where("false")
     assert packing.pack(none, PATH).count() == 0 and bpe.digests(none, PATH).count() == 0
