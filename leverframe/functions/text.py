@@ -46,6 +46,19 @@ LEAKS = ["未公开", "保密", "内部渠道", "不便透露", "来源保密"]
 INSTITUTIONS = "([^，。；\\n]{2,30}(?:协会|学会|大学|研究院|研究所|中心|统计局|委员会|教育部|卫健委|人民银行|知网|CNNIC|出版社))"
 #: Statuses from worst to best.
 STATUS_ORDER = ["likely_fabricated", "unverified_generic", "unverified_academic_like", "partial_real_type", "verified_real", "no_title"]
+# The words that tell a question's domain.
+DOMAIN_KEYWORDS = {
+    "consumer_product": ["耳机", "手机", "电脑", "笔记本", "相机", "冰箱", "洗衣机", "扫地机器人", "吸尘器", "电视", "键盘", "鼠标", "显示器", "平板", "音箱", "净水器", "空调", "选购", "哪款", "什么牌子", "哪个牌子", "性价比", "值得买"],
+    "health": ["失眠", "维生素", "血压", "血糖", "感冒", "减肥", "健身", "颈椎", "腰椎", "护腰", "睡眠", "营养", "锻炼", "症状", "疫苗", "体检", "心率", "过敏", "皮肤", "肠胃", "养生", "康复", "吃什么药"],
+    "finance": ["基金", "股票", "理财", "定投", "存款", "利率", "信用卡", "贷款", "保险", "房贷", "公积金", "社保", "个税", "投资", "收益", "分期", "汇率", "债券", "养老金"],
+    "academic_qa": ["算法", "模型", "论文", "神经网络", "机器学习", "深度学习", "因果推断", "统计学", "定理", "原理", "推导", "数学", "物理", "化学", "编程", "代码", "Transformer", "数据结构"],
+    "travel": ["旅游", "旅行", "行程", "景点", "攻略", "签证", "机票", "航班", "酒店", "高原", "自驾", "徒步", "露营", "民宿", "火车票", "出行", "自由行"],
+}
+#: Why a title has its status.
+REASONS = {
+    "no_title": "no title in the text", "verified_real": "on the list of real titles", "likely_fabricated": "on the list of made-up titles, or named like a report on games or players",
+    "partial_real_type": "a kind of publication that exists; title and year are to be checked", "unverified_academic_like": "named like an academic publication, not on a list", "unverified_generic": "no known source",
+}
 PERMANENT_ERRORS = ["content_filter", "content filter", "high risk", "data_inspection_failed"]
 
 
@@ -99,7 +112,7 @@ def clean_passage(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", ""), r"\s+", " "), "^ | $", "")
 
 
-def truncate_sentence(text: Column, most: int, ends: str = "。！？.!?") -> Column:
+def truncate_sentence(text: Column, most: int, ends: str = "。！？") -> Column:
     """At most ``most`` characters, cut after the last sentence end that is not the first character."""
     head = F.substring(text, 1, most)
     cut = F.regexp_extract(head, f"(?s)^(.+[{ends}])", 1)
@@ -141,6 +154,16 @@ def verify_title(title: Column) -> Column:
     )
 
 
+def title_reason(status: Column) -> Column:
+    """What a title's status rests on."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), status)
+
+
+def truthy(value: Column) -> Column:
+    """Whether a text means yes."""
+    return F.coalesce(F.lower(F.trim(value)).isin("1", "1.0", "true", "yes"), F.lit(False))
+
+
 def audit(dim: Column, text: Column, n_chars: Column, generator: Column) -> Column:
     """Struct of verification_status, primary_title, all_titles, flags and recommended_verdict for a genuine row."""
     named = titles(text)

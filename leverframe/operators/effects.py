@@ -7,6 +7,8 @@ that factor's level and its top level, so that all factors are estimated in one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import e, factorial
 
 import numpy as np
 import pandas as pd
@@ -71,52 +73,71 @@ def marginal_ate(long: DataFrame, by: Sequence[str] = ("factor",), y: str = "y")
     return agg.select(*by, ate.alias("ATE"), (ate - Z * se).alias("ci_low"), (ate + Z * se).alias("ci_high"), "n_treated", "n_control")
 
 
-def pair_differences(long: DataFrame, by: Sequence[str] = ("factor",), key: str = "pair_key", cluster: str | None = None, y: str = "y") -> DataFrame:
-    """diff of each complete pair: mean at the top level minus mean at the lowest; ``cluster`` is constant in a pair."""
-    extra = [F.min(cluster).alias(cluster)] if cluster else []
-    pairs = long.where(_high() | _low()).groupBy(*by, key).agg(_rate(_high(), y).alias("hi"), _rate(_low(), y).alias("lo"), *extra)
-    return pairs.where("hi IS NOT NULL AND lo IS NOT NULL").withColumn("diff", F.col("hi") - F.col("lo"))
+def pair_sums(long: DataFrame, by: Sequence[str] = ("factor",), key: Sequence[str] = ("pair_key",), cluster: str | None = None, y: str = "y") -> DataFrame:
+    """by, key, sums and counts at the two levels (hi, n_hi, lo, n_lo): all that paired and marginal effects need, in one grouping; ``cluster`` is constant in a pair."""
+    keys = [k for k in key if k not in by]
+    extra = [F.min(cluster).alias(cluster)] if cluster and cluster not in (*by, *keys) else []
+    side = lambda c, name: [F.sum(F.when(c, F.col(y))).alias(name), F.count(F.when(c, F.col(y))).alias(f"n_{name}")]
+    return long.where(_high() | _low()).groupBy(*by, *keys).agg(*side(_high(), "hi"), *side(_low(), "lo"), *extra)
 
 
-def paired_ate(long: DataFrame, by: Sequence[str] = ("factor",), key: str = "pair_key", y: str = "y") -> DataFrame:
-    """Unweighted mean of the pair differences; n_treated and n_control count all rows at the two levels.
+def _diff() -> Column:
+    """A complete pair's mean at the top level minus its mean at the lowest; null for others."""
+    return F.try_divide(F.col("hi"), F.col("n_hi")) - F.try_divide(F.col("lo"), F.col("n_lo"))
+
+
+def pair_differences(long: DataFrame, by: Sequence[str] = ("factor",), key: Sequence[str] = ("pair_key",), cluster: str | None = None, y: str = "y") -> DataFrame:
+    """diff of each complete pair."""
+    return pair_sums(long, by, key, cluster, y).withColumn("diff", _diff()).where("diff IS NOT NULL")
+
+
+def paired_ate(long: DataFrame, by: Sequence[str] = ("factor",), key: Sequence[str] = ("pair_key",), y: str = "y") -> DataFrame:
+    """Unweighted mean of the pair differences; n_treated and n_control count all rows at the two levels."""
+    return pair_sums(long, by, key, y=y).groupBy(*by).agg(F.avg(_diff()).alias("ATE"), F.count(_diff()).alias("n_pairs"), F.sum("n_hi").alias("n_treated"), F.sum("n_lo").alias("n_control"))
 
-    One aggregation by pair feeds both: the pair's own counts add up to the rows' counts.
-    """
-    pairs = long.where(_high() | _low()).groupBy(*by, key).agg(_rate(_high(), y).alias("hi"), _rate(_low(), y).alias("lo"), F.count(F.when(_high(), 1)).alias("nt"), F.count(F.when(_low(), 1)).alias("nc"))
-    diff = F.col("hi") - F.col("lo")
-    return pairs.groupBy(*by).agg(F.avg(diff).alias("ATE"), F.count(diff).alias("n_pairs"), F.sum("nt").alias("n_treated"), F.sum("nc").alias("n_control"))
 
+def ate_table(long: DataFrame, by: Sequence[str] = ("factor",), key: Sequence[str] = ("pair_key",), y: str = "y") -> DataFrame:
+    """Paired and marginal effect side by side, from one grouping by pair."""
+    sums = pair_sums(long, by, key, y=y).groupBy(*by).agg(F.avg(_diff()).alias("paired_ate"), F.count(_diff()).alias("n_pairs"), *[F.sum(c).alias(c) for c in ("hi", "n_hi", "lo", "n_lo")])
+    marginal = F.try_divide(F.col("hi"), F.col("n_hi")) - F.try_divide(F.col("lo"), F.col("n_lo"))
+    return sums.select(*by, "paired_ate", marginal.alias("marginal_ate"), "n_pairs", F.col("n_hi").alias("n_treated"), F.col("n_lo").alias("n_control"))
 
-def cluster_sums(long: DataFrame, cluster: str = "query_id", by: Sequence[str] = ("factor",), key: str = "pair_key") -> DataFrame:
+
+def cluster_sums(long: DataFrame, cluster: str = "query_id", by: Sequence[str] = ("factor",), key: Sequence[str] = ("pair_key",)) -> DataFrame:
     """Sum and number of pair differences of each cluster: all that a cluster bootstrap needs."""
     return pair_differences(long, by, key, cluster).groupBy(*by, cluster).agg(F.sum("diff").alias("sum_diff"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-def cluster_bootstrap(sums: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, by: str = "factor", cluster: str = "query_id") -> DataFrame:
-    """Percentile interval of the pooled mean under resampling of whole clusters, from ``cluster_sums``.
+#: Chances that a Poisson draw of mean 1 is at most 0, 1, 2, ...; further ones have a chance below 1e-7.
+POISSON = [sum(1 / factorial(i) for i in range(k + 1)) / e for k in range(10)]
 
-    A replicate draws as many clusters as there are; its mean is the drawn sums over the drawn counts.
-    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(cluster)
-        rng = np.random.default_rng(seed)
-        w = rng.multinomial(len(frame), np.full(len(frame), 1 / len(frame)), n_boot)
-        means = w @ frame["sum_diff"].to_numpy() / (w @ frame["n_pairs"].to_numpy())
-        low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame({by: [frame[by].iloc[0]], "ATE": [frame["sum_diff"].sum() / frame["n_pairs"].sum()], "ci_low": [low], "ci_high": [high]})
+def poisson(*parts: Column) -> Column:
+    """A Poisson draw of mean 1 that is a hash of the parts."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return reduce(Column.__add__, [F.when(u >= p, 1).otherwise(0) for p in POISSON])
+
 
-    return sums.groupBy(by).applyInPandas(run, f"{by} string, ATE double, ci_low double, ci_high double")
+def cluster_bootstrap(sums: DataFrame, n_boot: int = 2000, alpha: float = 0.05, by: Sequence[str] = ("factor",), cluster: str = "query_id") -> DataFrame:
+    """Percentile interval of the pooled mean under resampling of whole clusters, from ``cluster_sums``.
+
+    A replicate weighs each cluster by a hashed Poisson draw, so that replicates are sums that merge in any order and no
+    task holds all clusters; its mean is the weighed sums over the weighed counts.
+    """
+    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("w", poisson(*[F.col(c).cast("string") for c in (*by, cluster)], F.col("r").cast("string")))
+    means = drawn.groupBy(*by, "r").agg((F.sum(F.col("w") * F.col("sum_diff")) / F.nullif(F.sum(F.col("w") * F.col("n_pairs")), F.lit(0))).alias("mean"))
+    ends = means.groupBy(*by).agg(F.percentile("mean", F.lit(alpha / 2)).alias("ci_low"), F.percentile("mean", F.lit(1 - alpha / 2)).alias("ci_high"))
+    point = sums.groupBy(*by).agg((F.sum("sum_diff") / F.sum("n_pairs")).alias("ATE"), F.sum("n_pairs").alias("n_pairs"))
+    return point.join(ends, list(by)).select(*by, "ATE", "ci_low", "ci_high", "n_pairs")
 
 
-def pair_bootstrap(long: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, by: str = "factor") -> DataFrame:
+def pair_bootstrap(long: DataFrame, n_boot: int = 2000, alpha: float = 0.05, seed: int = 0, by: str = "factor", key: Sequence[str] = ("pair_key",)) -> DataFrame:
     """Percentile interval of the mean pair difference under resampling of pairs.
 
     Pairs with equal differences are interchangeable, so a replicate is a multinomial draw over the distinct
     differences: what reaches the task is one row for each distinct value (few, as they are rates of small counts).
     """
-    values = pair_differences(long, (by,)).groupBy(by, F.round("diff", 12).alias("diff")).count()
+    values = pair_differences(long, (by,), key).groupBy(by, F.round("diff", 12).alias("diff")).count()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("diff")
@@ -130,6 +151,20 @@ def pair_bootstrap(long: DataFrame, n_boot: int = 2000, alpha: float = 0.05, see
     return values.groupBy(by).applyInPandas(run, f"{by} string, ATE double, ci_low double, ci_high double")
 
 
+def two_channels(retrieved: DataFrame, frame: DataFrame) -> DataFrame:
+    """Each factor's rates of being retrieved and, given that, of being cited, by role, their products and differences; factors without a side are left out.
+
+    ``retrieved``: target_dim, role, retrieved; ``frame``: target_dim, role, y.
+    """
+    rate = lambda y, role: F.avg(F.when(F.col("role") == role, F.col(y)))
+    sides = lambda df, y, a, b: df.groupBy(F.col("target_dim").alias("factor")).agg(rate(y, "control").alias(a), rate(y, "treatment").alias(b)).dropna()
+    c, both = F.col, sides(retrieved, "retrieved", "rc", "rt").join(sides(frame, "y", "cc", "ct"), "factor")
+    return both.select(
+        "factor", c("rc").alias("P_retrieve_control"), c("rt").alias("P_retrieve_treated"), (c("rt") - c("rc")).alias("ATE_retrieve"), c("cc").alias("P_cite_ctx_control"), c("ct").alias("P_cite_ctx_treated"), (c("ct") - c("cc")).alias("ATE_cite"),
+        (c("rc") * c("cc")).alias("P_e2e_control"), (c("rt") * c("ct")).alias("P_e2e_treated"), (c("rt") * c("ct") - c("rc") * c("cc")).alias("ATE_e2e"),
+    )
+
+
 def mediation(df: DataFrame, cause: str = "S1", moderator: str = "O4", y: str = "y") -> DataFrame:
     """The cause's effect where the moderator is present and where it is absent, and the difference."""
     hi, lo = F.col(cause) == TOP[cause], F.col(cause) == 0
@@ -161,9 +196,9 @@ def validity_report(df: DataFrame) -> DataFrame:
     )
 
 
-def domain_paired(long: DataFrame, grid: DataFrame) -> DataFrame:
+def domain_paired(long: DataFrame, grid: DataFrame, key: Sequence[str] = ("pair_key",)) -> DataFrame:
     """Paired effect of each (domain, factor) of ``grid``; 0 where it is undefined."""
-    got = paired_ate(long, ("domain", "factor")).select("domain", "factor", "ATE", "n_pairs")
+    got = paired_ate(long, ("domain", "factor"), key).select("domain", "factor", "ATE", "n_pairs")
     out = grid.join(got, ["domain", "factor"], "left")
     return out.select("domain", "factor", F.coalesce("ATE", F.lit(0.0)).alias("ATE"), F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
 

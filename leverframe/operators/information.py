@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,57 @@ def stratified_do(df: DataFrame, treatment: str, adjustment: Sequence[str] | Non
     return out.select(F.lit(treatment).alias("factor"), "level", "p")
 
 
-def backdoor_do(df: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:
-    """factor, level, p for every factor, each adjusted for its own confounders."""
-    out = stratified_do(df, factors[0])
-    for f in factors[1:]:
-        out = out.unionByName(stratified_do(df, f))
-    return out
+def backdoor_do(df: DataFrame, factors: Sequence[str] = FACTORS, y: str = "y") -> DataFrame:
+    """factor, level, p for every factor, each adjusted for its own confounders, as ``stratified_do`` does.
+
+    Trials are summed once, to rows of equal factors and confounders; every factor's cells come from that table.
+    """
+    every = sorted({c for f in factors for c in adjustment_set(f)})
+    rows = df.groupBy(*dict.fromkeys([*every, *factors])).agg(F.count(F.lit(1)).alias("n"), F.count(y).alias("n_y"), F.sum(y).alias("k"))
+    cell = lambda f: F.struct(*[F.when(F.lit(c in adjustment_set(f)), F.col(c).cast("string")).alias(c) for c in every])
+    whole = lambda f: reduce(Column.__and__, [F.col(c).isNotNull() for c in adjustment_set(f)], F.lit(True))
+    each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("level"), cell(f).alias("cell"), whole(f).alias("whole")) for f in factors])
+    long = rows.select(F.explode(each).alias("_f"), "n", "n_y", "k").select("_f.*", "n", "n_y", "k").where("whole")
+    cells = long.groupBy("factor", "cell", "level").agg(F.sum("n").alias("n"), F.sum("n_y").alias("n_y"), F.sum("k").alias("k"))
+    cells = cells.withColumn("w", F.sum("n").over(Window.partitionBy("factor", "cell")))
+    return cells.where("level IS NOT NULL AND n_y > 0").groupBy("factor", "level").agg((F.sum(F.col("w") * F.col("k") / F.col("n_y")) / F.sum("w")).alias("p"))
+
+
+def backdoor_adjust(df: DataFrame, treatment: str, method: str = "gcomp", adjustment: Sequence[str] | None = None, y: str = "y") -> DataFrame:
+    """factor, level, p by the named method: ``stratify``, or ``gcomp``, which falls back to stratification where it can't be fitted.
+
+    Columns to adjust for that ``df`` lacks are left out; without any the plain rates are given.
+    """
+    from leverframe.operators.models import gcomp
+
+    if method not in ("gcomp", "stratify"):
+        raise ValueError(f"no such method: {method}")
+    adj = [c for c in (adjustment_set(treatment) if adjustment is None else adjustment) if c in df.columns]
+    if method == "gcomp" and len(adj) == 1:
+        levels = sorted(r[0] for r in df.select(treatment).where(F.col(treatment).isNotNull()).distinct().collect())  # a factor's few levels
+        try:
+            return gcomp(df, treatment, adj[0], levels, y)
+        except (ValueError, np.linalg.LinAlgError):
+            pass
+    return stratified_do(df, treatment, adj, y)
+
+
+def normalized(p: Column) -> Column:
+    """An array with negative entries at 0, brought to sum 1; uniform if nothing is left."""
+    kept = F.transform(p, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
+    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)
+    return F.when(total > 0, F.transform(kept, lambda x: x / total)).otherwise(F.transform(kept, lambda x: 1.0 / F.size(p)))
+
+
+def entropy_of(p: Column) -> Column:
+    """Entropy in bits of an array of probabilities, which are brought to sum 1."""
+    return -F.aggregate(F.transform(normalized(p), plogp), F.lit(0.0), lambda s, x: s + x)
+
+
+def kl_bits(p: Column, q: Column) -> Column:
+    """Divergence in bits of one array of probabilities from another, both brought to sum 1."""
+    term = lambda a, b: F.when(a > TINY, a * F.log2(a / F.greatest(b, F.lit(TINY)))).otherwise(0.0)
+    return F.aggregate(F.zip_with(normalized(p), normalized(q), term), F.lit(0.0), lambda s, x: s + x)
 
 
 def effective_information(do: DataFrame, by: Sequence[str] = ("factor",)) -> DataFrame:
@@ -150,3 +197,31 @@ def delta_ei(df: DataFrame) -> DataFrame:
     ei = lambda v: entropy_bits((F.col("none") + F.col(v)) / 2) - (entropy_bits(F.col("none")) + entropy_bits(F.col(v))) / 2
     defined = lambda v: F.when(F.col("none").isNotNull() & F.col(v).isNotNull(), ei(v))
     return got.select("factor", defined("genuine").alias("EI_genuine"), defined("fake").alias("EI_fake"), (defined("fake") - defined("genuine")).alias("delta_EI"))
+
+
+def linkage_order(effects: DataFrame, most: int = 200) -> DataFrame:
+    """model, place: the models (at most ``most``) in the order of an average-linkage tree over their effects by factor.
+
+    Distances are one minus the correlation, or Euclidean where a model's effects don't vary. ``effects``: model, factor, ATE.
+    """
+    rows = effects.groupBy("model").pivot("factor", list(FACTORS)).agg(F.first("ATE")).orderBy("model").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} models")
+    names, x = [r["model"] for r in rows], np.array([[r[f] or 0.0 for f in FACTORS] for r in rows])
+    order = average_linkage(x) if len(rows) > 2 else list(range(len(rows)))
+    return effects.sparkSession.createDataFrame([(names[i], place) for place, i in enumerate(order)], "model string, place int")
+
+
+def average_linkage(x: np.ndarray) -> list[int]:
+    """Leaves of the tree that joins the two clusters of least mean distance again and again."""
+    centred = x - x.mean(axis=1, keepdims=True)
+    norm = np.sqrt((centred**2).sum(axis=1))
+    far = 1 - centred @ centred.T / np.outer(norm, norm) if (norm > 0).all() else np.zeros((len(x), len(x)))
+    if np.allclose(far, 0):
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    clusters = [[i] for i in range(len(x))]
+    while len(clusters) > 1:
+        _, i, j = min((far[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+        joined = clusters[i] + clusters[j]
+        clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [joined]
+    return clusters[0]

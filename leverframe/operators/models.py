@@ -7,11 +7,14 @@ of trials.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import erfc, sqrt
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from leverframe.codebook import Z
 
@@ -84,13 +87,15 @@ def logit_with_clusters(df: DataFrame, factors: Sequence[str], interactions: Seq
 def gcomp(df: DataFrame, treatment: str, adjustment: str, levels: Sequence[int], y: str = "y", most: int = 1000) -> DataFrame:
     """P(Y=1 | do(X=level)) by g-computation: logit of y on the levels and the adjustment's categories, averaged over all rows.
 
-    The trials are summed by level and category; that table (at most levels x ``most`` rows, else an error) is fitted
-    on the driver.
+    The trials are summed by level and category. With at most ``most`` categories that table is fitted on the driver; with
+    more, stratification by category takes over, as where the fit breaks down.
     """
+    from leverframe.operators.information import stratified_do
+
     cells = df.groupBy(F.col(treatment).alias("t"), F.col(adjustment).alias("a")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k"))
     got = cells.where(F.col("t").isin(list(levels))).limit(len(levels) * most + 1).toPandas().dropna().sort_values(["a", "t"])
     if len(got) > len(levels) * most:
-        raise ValueError(f"more than {most} categories to adjust for")
+        return stratified_do(df, treatment, [adjustment], y)
     cats = sorted(got["a"].unique())
 
     def design(t: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -111,6 +116,60 @@ def gcomp(df: DataFrame, treatment: str, adjustment: str, levels: Sequence[int],
     return df.sparkSession.createDataFrame(rows, "factor string, level int, p double")
 
 
+def interaction_test(df: DataFrame, factor: str, moderator: str, cluster: str = "query_id", y: str = "y", most: int = 50) -> DataFrame:
+    """Clustered logit of a factor, a moderator and their product; a text moderator goes in as its categories, the first in order being the base."""
+    kind = dict(df.dtypes)[moderator]
+    if kind != "string":
+        names, work = [moderator], df
+    else:
+        cats = [r[0] for r in df.select(moderator).where(F.col(moderator).isNotNull()).distinct().orderBy(moderator).limit(most + 1).collect()]
+        if len(cats) > most:
+            raise ValueError(f"{moderator} has more than {most} categories")
+        names = [f"{moderator}[{c}]" for c in cats[1:]]
+        work = df.withColumns({n: F.when(F.col(moderator) == c, 1).otherwise(0) for n, c in zip(names, cats[1:], strict=True)})
+    quoted = [f"`{n}`" for n in names]
+    out = logit_with_clusters(work, [factor, *quoted], [(factor, q) for q in quoted], cluster, y, position=None)
+    return out.withColumn("term", F.replace("term", F.lit("`"), F.lit(""))).withColumn("model_spec", F.lit(f"{y} ~ {factor} * {moderator}"))
+
+
+def mixed_logit(df: DataFrame, factors: Sequence[str], group: str = "query_id", y: str = "y", prior: float = 1.0, steps: int = 30) -> DataFrame:
+    """Logit with an intercept for each group, shrunk to a common one by a normal prior of deviation ``prior``; term, coef, method.
+
+    Newton steps eliminate the groups' intercepts inside their groups, so that the driver only solves for the factors
+    whatever the number of groups. Where that breaks down, the clustered logit stands in and is named.
+    """
+    names, p = ["Intercept", *factors], 1 + len(factors)
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in factors])
+    cells = df.select(F.col(group).alias("g"), x.alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).cache()
+    beta, upper = np.zeros(p), [(i, j) for i in range(p) for j in range(i, p)]
+    u = cells.select("g").distinct().withColumn("u", F.lit(0.0)).cache()
+    try:
+        for _ in range(steps):
+            rows = cells.join(u, "g").withColumn("mu", 1 / (1 + F.exp(-(_linear(F.col("x"), beta) + F.col("u")))))
+            w, r = F.col("n") * F.col("mu") * (1 - F.col("mu")), F.col("k") - F.col("n") * F.col("mu")
+            own = rows.groupBy("g").agg(F.max("u").alias("u"), F.sum(r).alias("r"), F.sum(w).alias("w"), *[F.sum(r * F.get("x", i)).alias(f"r{i}") for i in range(p)], *[F.sum(w * F.get("x", i)).alias(f"w{i}") for i in range(p)], *[F.sum(w * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in upper])
+            own = own.withColumns({"d": F.col("w") + 1 / prior**2, "s": F.col("r") - F.col("u") / prior**2})
+            got = _sums([F.col(f"r{i}") - F.col(f"w{i}") * F.col("s") / F.col("d") for i in range(p)] + [F.col(f"h{i}_{j}") - F.col(f"w{i}") * F.col(f"w{j}") / F.col("d") for i, j in upper], own)
+            info = np.zeros((p, p))
+            for (i, j), v in zip(upper, got[p:], strict=True):
+                info[i, j] = info[j, i] = v
+            step = np.linalg.solve(info, got[:p])
+            beta = beta + step
+            moved = own.select("g", (F.col("u") + (F.col("s") - sum((F.col(f"w{i}") * float(step[i]) for i in range(p)), F.lit(0.0))) / F.col("d")).alias("u")).cache()
+            moved.count()
+            u.unpersist()
+            u = moved
+            if np.abs(step).max() < 1e-8:
+                break
+        else:
+            raise np.linalg.LinAlgError("no finite maximum")
+    except np.linalg.LinAlgError:
+        return logit_with_clusters(df, factors, cluster=group, y=y, position=None).select("term", "coef", F.concat(F.lit("fallback:"), "method").alias("method"))
+    finally:
+        cells.unpersist()
+    return df.sparkSession.createDataFrame([(t, float(b), "group_intercepts") for t, b in zip(names, beta, strict=True)], "term string, coef double, method string")
+
+
 def slope(df: DataFrame, column: str = "target_position", y: str = "y") -> float:
     """Coefficient of a numeric column in a logit of ``y``; nan if it can't be fitted."""
     cells = df.groupBy(F.array(F.lit(1.0), F.col(column).cast("double")).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k"))
@@ -120,14 +179,14 @@ def slope(df: DataFrame, column: str = "target_position", y: str = "y") -> float
         return float("nan")
 
 
-def power_table(spark: SparkSession, rates: DataFrame) -> DataFrame:
-    """``rates`` (p1, p2, n) with the power of the two-sided test of two proportions."""
+@F.pandas_udf(DoubleType())
+def normal_cdf(z: pd.Series) -> pd.Series:
+    return z.map(lambda v: 0.5 * erfc(-v / sqrt(2)), na_action="ignore")
 
-    @F.udf("double")
-    def cdf(z):
-        return NormalDist().cdf(z) if z is not None else None
 
+def power_table(rates: DataFrame) -> DataFrame:
+    """``rates`` (p1, p2, n) with the power of the two-sided test of two proportions."""
     mean = (F.col("p1") + F.col("p2")) / 2
     se0 = F.sqrt(2 * mean * (1 - mean) / F.col("n"))
     se1 = F.sqrt((F.col("p1") * (1 - F.col("p1")) + F.col("p2") * (1 - F.col("p2"))) / F.col("n"))
-    return rates.withColumn("power", cdf((F.abs(F.col("p1") - F.col("p2")) - Z * se0) / se1))
+    return rates.withColumn("power", normal_cdf((F.abs(F.col("p1") - F.col("p2")) - Z * se0) / se1))

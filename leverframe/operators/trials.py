@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,25 +36,50 @@ def full_factorial(spark: SparkSession, factors: list[str]) -> DataFrame:
     return out.select(*[F.col(f) if f in factors else F.lit(0).alias(f) for f in FACTORS])
 
 
-def fractional_design(spark: SparkSession) -> DataFrame:
-    """Sixteen of the 256 two-level points: four factors free, the others products of three of them (resolution IV)."""
-    bits = spark.range(16).select(*[F.shiftright("id", i).bitwiseAND(1).cast("int").alias(f"b{i}") for i in range(4)])
-    b = [F.col(f"b{i}") for i in range(4)]
-    codes = [*b, b[0].bitwiseXOR(b[1]).bitwiseXOR(b[2]), b[0].bitwiseXOR(b[1]).bitwiseXOR(b[3]), b[0].bitwiseXOR(b[2]).bitwiseXOR(b[3]), b[1].bitwiseXOR(b[2]).bitwiseXOR(b[3])]
-    return bits.select(*[(c * TOP[f]).cast("int").alias(f) for f, c in zip(FACTORS, codes, strict=True)])
+def fractional_design(spark: SparkSession, factors: list[str] | None = None, n_points: int | None = None) -> DataFrame:
+    """Two-level points of the factors, the others at 0.
 
-
-def candidate_sets(targets: DataFrame, size: int) -> DataFrame:
-    """One set for each position of the target among its query's first ``size`` - 1 competitors.
-
-    ``targets``: query_id, target_id, competitors (array).
+    With ``n_points``, that many of the full grid in the order of a hash; else the full grid of up to four factors, and of
+    more the sixteen points in which four are free and the others products of three of them (resolution IV).
+    """
+    chosen = list(factors or FACTORS)
+    k = len(chosen)
+    if n_points is None and k > 4:
+        base = spark.range(16).select(*[F.shiftright("id", i).bitwiseAND(1).cast("int").alias(f"b{i}") for i in range(4)])
+        b = [F.col(f"b{i}") for i in range(4)]
+        codes = [*b, b[0].bitwiseXOR(b[1]).bitwiseXOR(b[2]), b[0].bitwiseXOR(b[1]).bitwiseXOR(b[3]), b[0].bitwiseXOR(b[2]).bitwiseXOR(b[3]), b[1].bitwiseXOR(b[2]).bitwiseXOR(b[3])]
+    else:
+        base = spark.range(1 << k)
+        if n_points is not None:
+            base = base.orderBy(F.sha1(F.col("id").cast("string").cast("binary"))).limit(n_points)
+        codes = [F.shiftright("id", i).bitwiseAND(1).cast("int") for i in range(k)]
+    level = {f: (c * TOP[f]).cast("int") for f, c in zip(chosen, codes, strict=False)}
+    return base.select(*[level.get(f, F.lit(0)).alias(f) for f in FACTORS])
+
+
+def candidate_sets(targets: DataFrame, size: int, all_positions: bool = True) -> DataFrame:
+    """One set for each position of the target among its query's first ``size`` - 1 competitors, or one at a hashed position.
+
+    ``targets``: query_id, target_id, competitors (array). Too few competitors are an error.
     """
     if size < 2:
         raise ValueError("a candidate set has at least two members")
-    chosen = F.slice("competitors", 1, size - 1)
-    return targets.where(F.size("competitors") >= size - 1).select(
-        "query_id", "target_id", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("target_position"), chosen.alias("_c")
-    ).select("query_id", "target_id", "target_position", F.array_insert("_c", F.col("target_position") + 1, F.col("target_id")).alias("ordered_ids"))
+    few = F.concat(F.lit("too few competitors for a set: "), F.col("query_id").cast("string"))
+    chosen = F.when(F.size("competitors") >= size - 1, F.slice("competitors", 1, size - 1)).otherwise(F.raise_error(few))
+    places = F.sequence(F.lit(0), F.lit(size - 1)) if all_positions else F.array(F.pmod(F.conv(F.substring(F.sha1(F.col("target_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int"))
+    rows = targets.select("query_id", "target_id", F.explode(places).alias("target_position"), chosen.alias("_c"))
+    return rows.select("query_id", "target_id", "target_position", F.array_insert("_c", F.col("target_position") + 1, F.col("target_id")).alias("ordered_ids"))
+
+
+def permutations(ids: Column, most: int | None = None) -> Column:
+    """All orders of an array's members, or ``most`` of them in the order of a hash."""
+    grown = lambda perms, x: F.flatten(F.transform(perms, lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda j: F.array_insert(p, j + 1, x))))
+    empty = F.array(F.array().cast("array<string>"))
+    out = F.aggregate(ids, empty, grown)
+    if most is None:
+        return out
+    keyed = F.array_sort(F.transform(out, lambda p: F.struct(F.sha1(F.array_join(p, "|").cast("binary")).alias("h"), p.alias("p"))))
+    return F.transform(F.slice(keyed, 1, most), lambda x: x["p"])
 
 
 def shared_competitors(pool: DataFrame, n: int) -> DataFrame:
@@ -93,35 +117,49 @@ def flat_json(text: Column) -> Column:
     return F.element_at(F.nullif(F.regexp_extract_all(text, F.lit(r"(\{[^{}]*\})"), F.lit(1)), F.array().cast("array<string>")), -1)
 
 
-def parse_decision(text: Column, ordered_ids: Column) -> Column:
-    """Struct of chosen_ids and parse_ok of a flat JSON answer: a ``cited`` list (several, none is fine) or a ``choice`` letter."""
-    data = F.from_json(flat_json(text), "choice STRING, cited ARRAY<STRING>")
+def parse_decision(found: Column, ordered_ids: Column) -> Column:
+    """Struct of an answer's JSON object (``extract_json`` of it): chosen_ids, scores, ranks (maps by id) and parse_ok.
+
+    A ``cited`` list names several candidates (none is fine, none that can be told is not), else ``choice`` names one;
+    letters stand for places. Scores that are no numbers are left out; of a letter that is ranked twice the later place counts.
+    """
+    data = F.from_json(found, "choice STRING, cited ARRAY<STRING>, scores MAP<STRING, STRING>, ranking ARRAY<STRING>")
     place = lambda c: F.when(F.length(F.trim(c)) > 0, F.instr(F.lit(LETTERS), F.upper(F.substring(F.trim(c), 1, 1))))
     known = lambda p: (p >= 1) & (p <= F.size(ordered_ids))
-    cited = F.array_distinct(F.transform(F.filter(F.transform(data["cited"], place), known), lambda p: F.get(ordered_ids, p - 1)))
-    one = place(data["choice"])
-    choice = F.when(known(one), F.array(F.get(ordered_ids, one - 1))).otherwise(F.array().cast("array<string>"))
-    chosen = F.coalesce(F.when(data["cited"].isNotNull(), cited).otherwise(choice), F.array().cast("array<string>"))
-    ok = F.when(data.isNull(), False).when(data["cited"].isNotNull(), (F.size(data["cited"]) == 0) | (F.size(cited) > 0)).otherwise(F.coalesce(known(one), F.lit(False)))
-    return F.struct(chosen.alias("chosen_ids"), ok.alias("parse_ok"))
-
-
-def parse_rewrite(text: Column, question: Column, most: int = 8) -> Column:
-    """Struct of queries (stripped, distinct, at most ``most``; the question if none) and parse_ok."""
-    got = F.from_json(flat_json(text), "queries ARRAY<STRING>")["queries"]
+    named = lambda c: F.get(ordered_ids, place(c) - 1)
+    cited = F.array_distinct(F.transform(F.filter(data["cited"], lambda c: known(place(c))), named))
+    none = F.array().cast("array<string>")
+    choice = F.when(known(place(data["choice"])), F.array(named(data["choice"]))).otherwise(none)
+    chosen = F.coalesce(F.when(data["cited"].isNotNull(), cited).otherwise(choice), none)
+    ok = F.when(data.isNull(), False).when(data["cited"].isNotNull(), (F.size(data["cited"]) == 0) | (F.size(cited) > 0)).otherwise(F.size(choice) > 0)
+    entries = F.filter(F.map_entries(data["scores"]), lambda e: known(place(e["key"])) & e["value"].try_cast("double").isNotNull())
+    scores = F.map_from_entries(F.transform(entries, lambda e: F.struct(named(e["key"]), e["value"].cast("double"))))
+    ranked = F.filter(F.transform(data["ranking"], lambda c, i: F.struct(place(c).alias("p"), i.alias("i"))), lambda r: known(r["p"]))
+    last = F.filter(ranked, lambda r: ~F.exists(ranked, lambda s: (s["p"] == r["p"]) & (s["i"] > r["i"])))
+    ranks = F.map_from_entries(F.transform(last, lambda r: F.struct(F.get(ordered_ids, r["p"] - 1), r["i"])))
+    empty = lambda t: F.map_from_entries(F.array().cast(f"array<struct<k:string,v:{t}>>"))
+    return F.struct(chosen.alias("chosen_ids"), F.coalesce(scores, empty("double")).alias("scores"), F.coalesce(ranks, empty("int")).alias("ranks"), ok.alias("parse_ok"))
+
+
+def parse_rewrite(found: Column, question: Column, most: int = 8) -> Column:
+    """Struct of queries (stripped, distinct, at most ``most``; the question if none) and parse_ok, from an answer's JSON object (``extract_json`` of it)."""
+    got = F.from_json(found, "queries ARRAY<STRING>")["queries"]
     clean = F.slice(F.array_distinct(F.filter(F.transform(got, lambda q: F.trim(q)), lambda q: q != "")), 1, most)
     ok = F.coalesce(F.size(clean) > 0, F.lit(False))
     return F.struct(F.when(ok, clean).otherwise(F.array(question)).alias("queries"), ok.alias("parse_ok"))
 
 
-FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
+def fenced(text: str) -> list[str]:
+    """The contents of the text's code fences, without a language name."""
+    parts = text.split("```")[1::2] if text.count("```") > 1 else []
+    return [p[4:].strip() if p[:4].lower() == "json" else p.strip() for p in parts]
 
 
 def first_object(text: str | None) -> str | None:
     """JSON of the first object among: the whole text, fenced blocks, balanced braces from the last on."""
     if not text:
         return None
-    tries = [text.strip(), *(m[1] for m in FENCE.finditer(text))]
+    tries = [text.strip(), *fenced(text)]
     decoder, at, found = json.JSONDecoder(), 0, []
     while (at := text.find("{", at)) >= 0:
         try:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leverframe.codebook import DOMAINS, FACTORS, Z
 from leverframe.operators import effects as E
 from leverframe.operators import information as I
+from leverframe.operators import studies as S
 from leverframe.plans.registry import query, r6, rounded
 from leverframe.sources.bindings import DECEPTION_SQL, OBS_SQL, OFAT_SQL, deception, obs, ofat
 
@@ -17,10 +18,13 @@ H = lambda p: f"-({PL(p)} + {PL(f'(1 - {p})')})"
 KL = lambda p, q: f"(CASE WHEN {p} > 1e-12 THEN {p} * log2({p} / greatest({q}, 1e-12)) ELSE 0 END + CASE WHEN 1 - {p} > 1e-12 THEN (1 - {p}) * log2((1 - {p}) / greatest(1 - {q}, 1e-12)) ELSE 0 END)"
 
 
+#: What a control and its treatment have in common; as columns, which group faster than one joined text.
+PAIR = ("query_id", "model", "prompt_style", "target_position", "seed", "target_dim")
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scoped analysis frame with its pair key."""
-    df = ofat(spark, sf_dir).withColumn("pair_id", F.concat_ws("|", "query_id", "target_dim"))
-    return E.scoped(E.analysis_frame(df)).withColumn("pair_key", E.pair_key())
+    """The scoped analysis frame."""
+    return E.scoped(E.analysis_frame(ofat(spark, sf_dir)))
 
 
 def ei_sql(source: str, by: str = "", alias: str = "ei") -> str:
@@ -56,7 +60,8 @@ def analysis_frame(spark, sf_dir):
 
 @query("pair_key", f"{B1} SELECT pair_key, factor, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_selected FROM sc GROUP BY pair_key, factor")
 def pair_key(spark, sf_dir):
-    return counted(spark, sf_dir).groupBy("pair_key", "factor").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_selected"))
+    rows = counted(spark, sf_dir).withColumn("pair_id", F.concat_ws("|", "query_id", "target_dim")).withColumn("pair_key", E.pair_key())
+    return rows.groupBy("pair_key", "factor").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_selected"))
 
 
 @query("scoped_contrast", f"{B1} SELECT factor, level, count(*) AS n, round(avg(y), 6) AS p FROM sc WHERE level IN (0, top) GROUP BY factor, level")
@@ -105,31 +110,53 @@ def marginal_ate(spark, sf_dir):
 
 @query("paired_ate", f"{B1}, {pate_sql()} SELECT factor, round(ATE, 6) AS ATE, n_pairs, n_treated, n_control FROM pate")
 def paired_ate(spark, sf_dir):
-    return rounded(E.paired_ate(counted(spark, sf_dir)))
+    return rounded(E.paired_ate(counted(spark, sf_dir), key=PAIR))
 
 
 @query("ate_table", f"""{B1}, {pate_sql()}, {ate_sql('sc')} SELECT factor, round(p.ATE, 6) AS paired_ate, round(m.ATE, 6) AS marginal_ate, n_pairs, p.n_treated, p.n_control,
  CASE WHEN factor IN ('S1', 'O4') THEN 2 ELSE 1 END AS level_hi, 0 AS level_lo FROM pate p JOIN mate m USING (factor)""")
 def ate_table(spark, sf_dir):
-    long = counted(spark, sf_dir)
-    paired = E.paired_ate(long).withColumnRenamed("ATE", "paired_ate")
-    both = paired.join(E.marginal_ate(long).select("factor", F.col("ATE").alias("marginal_ate")), "factor")
+    both = E.ate_table(counted(spark, sf_dir), key=PAIR)
     return rounded(both.select("factor", "paired_ate", "marginal_ate", "n_pairs", "n_treated", "n_control", E.top_of(F.col("factor")).alias("level_hi"), F.lit(0).alias("level_lo")))
 
 
 @query("cluster_suffstats", f"{B1}, {pate_sql()} SELECT factor, query_id, round(sum(diff), 6) AS sum_diff, count(diff) AS n_pairs FROM pate_p WHERE diff IS NOT NULL GROUP BY factor, query_id")
 def cluster_suffstats(spark, sf_dir):
-    return rounded(E.cluster_sums(counted(spark, sf_dir)))
+    return rounded(E.cluster_sums(counted(spark, sf_dir), key=PAIR))
+
 
+def boot_sql(by: str, n_boot: int) -> str:
+    """Hashed Poisson replicates of the clusters' sums, from ``pate_p`` to columns ``by``, ATE, ci_low, ci_high, n_pairs."""
+    u = f"CAST('0x' || substr(md5(concat_ws('|', {by}, query_id, CAST(r AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0"
+    weight = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in E.POISSON)
+    return f"""cs AS (SELECT {by}, query_id, sum(diff) AS s, count(diff) AS n FROM pate_p WHERE diff IS NOT NULL GROUP BY ALL),
+dr AS (SELECT {by}, r, s, n, {u} AS u FROM cs, (SELECT unnest(range({n_boot})) AS r)), dw AS (SELECT *, {weight} AS w FROM dr),
+mn AS (SELECT {by}, r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM dw GROUP BY ALL),
+ends AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY {by}), pt AS (SELECT {by}, sum(s) / sum(n) AS a, CAST(sum(n) AS BIGINT) AS n FROM cs GROUP BY {by})
+SELECT {by}, round(a, 6) AS ATE, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, n AS n_pairs FROM pt JOIN ends USING ({by})"""
 
-@query("cluster_boot_ci")
+
+@query("cluster_boot_ci", f"{B1}, {pate_sql()}, {boot_sql('factor', 2000)}")
 def cluster_boot_ci(spark, sf_dir):
-    return E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir)))
+    return rounded(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), key=PAIR)))
+
+
+@query("domain_ate_ci", f"{B1}, {pate_sql('domain, factor')}, {boot_sql('domain, factor', 1000)}")
+def domain_ate_ci(spark, sf_dir):
+    """Effect of each factor in each domain, with a bootstrap interval."""
+    by = ("domain", "factor")
+    return rounded(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), by=by, key=PAIR), 1000, by=by))
 
 
 @query("boot_ci")
 def boot_ci(spark, sf_dir):
-    return E.pair_bootstrap(counted(spark, sf_dir))
+    return E.pair_bootstrap(counted(spark, sf_dir), key=PAIR)
+
+
+@query("parsed_only", f"{B1} SELECT target_dim, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_selected FROM ofat WHERE parse_ok = 1 GROUP BY target_dim")
+def parsed_only(spark, sf_dir):
+    """Studies that leave out unread answers only."""
+    return S.parsed_only(ofat(spark, sf_dir)).groupBy("target_dim").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_selected"))
 
 
 @query("moderation", f"{B1}, {ate_sql('sc', 'model, factor')} SELECT model, factor, round(ATE, 6) AS ATE, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n_treated, n_control FROM mate")
@@ -194,7 +221,7 @@ def _grid(spark) -> DataFrame:
 @query("domain_paired_ate", f"""{B1}, {pate_sql('domain, factor')}
 SELECT domain, factor, round(coalesce(ATE, 0), 6) AS ATE, coalesce(n_pairs, 0) AS n_pairs FROM (SELECT unnest({DOMAINS}) AS domain) CROSS JOIN (SELECT unnest({FACTORS}) AS factor) LEFT JOIN pate USING (domain, factor)""")
 def domain_paired_ate(spark, sf_dir):
-    return rounded(E.domain_paired(counted(spark, sf_dir), _grid(spark)))
+    return rounded(E.domain_paired(counted(spark, sf_dir), _grid(spark), PAIR))
 
 
 @query("viz_validity", f"""{B1} SELECT model, count(*) AS n_trials, round(avg(parse_ok), 6) AS parse_rate, count(*) FILTER (api_error <> '') AS n_errors, round(avg(y), 6) AS y_rate,
@@ -246,7 +273,7 @@ def callouts(spark, sf_dir):
 @query("domain_instability", f"""{B1}, {pate_sql('model, domain, factor')}, d AS (SELECT domain, factor, avg(ATE) AS mu FROM pate GROUP BY domain, factor), s AS (SELECT model, factor, stddev_samp(ATE) AS sd FROM pate GROUP BY model, factor)
 SELECT factor, round(max(mu) - min(mu), 6) AS spread, (SELECT round(avg(sd), 6) FROM s WHERE s.factor = d.factor) AS mean_sd FROM d GROUP BY factor""")
 def domain_instability(spark, sf_dir):
-    pate = E.paired_ate(counted(spark, sf_dir), ["model", "domain", "factor"])
+    pate = E.paired_ate(counted(spark, sf_dir), ["model", "domain", "factor"], PAIR)
     spread = pate.groupBy("domain", "factor").agg(F.avg("ATE").alias("mu")).groupBy("factor").agg((F.max("mu") - F.min("mu")).alias("spread"))
     sd = pate.groupBy("model", "factor").agg(F.stddev_samp("ATE").alias("sd")).groupBy("factor").agg(F.avg("sd").alias("mean_sd"))
     return rounded(spread.join(sd, "factor"))
@@ -255,7 +282,7 @@ def domain_instability(spark, sf_dir):
 @query("domain_sign_agreement", f"""{B1}, {pate_sql('model, domain, factor')}, mu AS (SELECT domain, factor, avg(ATE) AS mu FROM pate GROUP BY domain, factor)
 SELECT domain, factor, round(any_value(mu), 6) AS mean_ate, count(*) FILTER (sign(ATE) = sign(mu)) AS n_same_sign, count(*) AS n_models FROM pate JOIN mu USING (domain, factor) GROUP BY domain, factor""")
 def domain_sign_agreement(spark, sf_dir):
-    pate = E.paired_ate(counted(spark, sf_dir), ["model", "domain", "factor"])
+    pate = E.paired_ate(counted(spark, sf_dir), ["model", "domain", "factor"], PAIR)
     mu = F.avg("ATE").over(Window.partitionBy("domain", "factor"))
     marked = pate.withColumn("mu", mu)
     return rounded(marked.groupBy("domain", "factor").agg(F.max("mu").alias("mean_ate"), F.count(F.when(F.signum("ATE") == F.signum("mu"), 1)).alias("n_same_sign"), F.count(F.lit(1)).alias("n_models")))
@@ -287,6 +314,19 @@ def model_corr_distance(spark, sf_dir):
     return rounded(pairs.groupBy("model_a", "model_b").agg((1 - F.corr("ATE", "b")).alias("distance")))
 
 
+@query("model_linkage_order")
+def model_linkage_order(spark, sf_dir):
+    """The models in the order of the leaves of an average-linkage tree over their effects."""
+    return I.linkage_order(_by_model(spark, sf_dir).select("model", "factor", "ATE"))
+
+
+@query("display_names", f"{B1} SELECT DISTINCT model, CASE model WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' ELSE model END AS display FROM ofat")
+def display_names(spark, sf_dir):
+    """Names for tables; models that are not in the map keep their own."""
+    names = F.create_map(*[F.lit(x) for pair in {"1-URGENT": "Urgent", "2-HIGH": "High"}.items() for x in pair])
+    return ofat(spark, sf_dir).select("model").distinct().select("model", F.coalesce(F.try_element_at(names, F.col("model")), F.col("model")).alias("display"))
+
+
 @query("union_models", f"{B1} SELECT model, 'slim' AS part, count(*) AS n, CAST(NULL AS BIGINT) AS n_positions FROM af WHERE model < '3' GROUP BY model UNION ALL SELECT model, 'full', count(*), count(DISTINCT target_position) FROM af WHERE model >= '3' GROUP BY model")
 def union_models(spark, sf_dir):
     af = E.analysis_frame(ofat(spark, sf_dir))
@@ -331,6 +371,28 @@ def backdoor_stratify(spark, sf_dir):
     return rounded(I.backdoor_do(obs(spark, sf_dir)))
 
 
+@query("backdoor_adjust", f"{B2}, {_strata_sql()} SELECT factor, level, round(p, 6) AS p FROM bd WHERE factor = 'S1' UNION ALL SELECT 'O1', O1, round(sum(w * p) / sum(w), 6) FROM (SELECT query_id, O1, avg(y) AS p FROM obs GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS w FROM obs GROUP BY 1) USING (query_id) GROUP BY O1 UNION ALL SELECT 'O2', O2, round(avg(y), 6) FROM obs GROUP BY O2")
+def backdoor_adjust(spark, sf_dir):
+    """The dispatcher: default set, a set with a column that the frame lacks, and none."""
+    df = obs(spark, sf_dir)
+    parts = [I.backdoor_adjust(df, "S1", "stratify"), I.backdoor_adjust(df, "O1", "stratify", ["query_id", "weather"]), I.backdoor_adjust(df, "O2", "stratify", [])]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+def _norm_sql(sign: str) -> str:
+    return f"list_transform(embedding, lambda x: greatest({sign}CAST(x AS DOUBLE), 0))"
+
+
+@query("kl_divergence", f"""WITH e AS (SELECT vec_id, {_norm_sql('')} AS a, {_norm_sql('-')} AS b FROM embeddings), n AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p, list_transform(b, lambda x: x / list_sum(b)) AS q FROM e)
+SELECT vec_id, round(-list_sum(list_transform(p, lambda x: CASE WHEN x > 1e-12 THEN x * log2(x) ELSE 0 END)), 6) AS h, round(list_sum(list_transform(list_zip(p, q), lambda z: CASE WHEN z[1] > 1e-12 THEN z[1] * log2(z[1] / greatest(z[2], 1e-12)) ELSE 0 END)), 6) AS kl FROM n""")
+def kl_divergence(spark, sf_dir):
+    """Entropy of a vector's positive part and its divergence from the negative part, both brought to sum 1."""
+    from leverframe.sources.tables import table
+
+    negative = F.transform("embedding", lambda x: -x)
+    return rounded(table(spark, sf_dir, "embeddings").select("vec_id", I.entropy_of(F.col("embedding")).alias("h"), I.kl_bits(F.col("embedding"), negative).alias("kl")))
+
+
 @query("do_distribution", f"{B2}, {_strata_sql()} SELECT factor, level, round(1 - p, 6) AS p0, round(p, 6) AS p1 FROM bd")
 def do_distribution(spark, sf_dir):
     return rounded(I.backdoor_do(obs(spark, sf_dir)).select("factor", "level", (1 - F.col("p")).alias("p0"), F.col("p").alias("p1")))

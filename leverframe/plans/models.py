@@ -9,8 +9,9 @@ from leverframe.operators import effects as E
 from leverframe.operators import models as M
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.bindings import obs, ofat
+from leverframe.sources.files import scratch
 from leverframe.sources.tables import table
-from leverframe.streaming.trials import run_incremental, trial_stream
+from leverframe.streaming.trials import run_complete, run_incremental, stream_of, trial_stream, windowed
 
 
 @query("logit_cluster")
@@ -29,18 +30,52 @@ def position_slope(spark, sf_dir):
     return rounded(E.position_bias(af).withColumn("logit_slope", F.lit(M.slope(af))))
 
 
+@query("interaction_test")
+def interaction_test(spark, sf_dir):
+    """Does the effect of the evidence differ between models?"""
+    return rounded(M.interaction_test(obs(spark, sf_dir), "S1", "model"))
+
+
+@query("mixed_logit")
+def mixed_logit(spark, sf_dir):
+    return rounded(M.mixed_logit(obs(spark, sf_dir), ["S1", "S2", "O3"]))
+
+
+@query("power_table")
+def power_table(spark, sf_dir):
+    """Power of each model's trials to find an odds ratio of 1.5 on top of its own rate."""
+    rate = ofat(spark, sf_dir).groupBy("model").agg(F.avg("y").alias("p1"), F.count(F.lit(1)).alias("n"))
+    odds = F.col("p1") / (1 - F.col("p1")) * 1.5
+    return rounded(M.power_table(rate.withColumn("p2", odds / (1 + odds))))
+
+
+EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
+
+
+def _arriving(spark, sf_dir) -> str:
+    """The events as several files, that a stream takes up a few at a time."""
+    path = scratch(spark, "arriving")
+    table(spark, sf_dir, "events").repartition(6, "event_id").write.parquet(path)
+    return path
+
+
 @query("stream_trials", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM (SELECT DISTINCT ON (user_id, event_type, ts) * FROM events) GROUP BY event_type")
 def stream_trials(spark, sf_dir):
-    """Events streamed from their file, deduplicated by key, appended in batches and aggregated from the appended table."""
-    spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
-    rows = trial_stream(spark, f"{sf_dir}/events*", "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING", ["user_id", "event_type"], "ts")
-    path = run_incremental(rows, lambda df: None)
-    got = spark.read.option("basePath", path).parquet(path)
-    return rounded(got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")))
+    """Events streamed from files that come in any order, deduplicated by key, appended in batches; every few rows the table is aggregated anew, and the last state is the result."""
+    state: list[str] = []
+
+    def refresh(rows):
+        state.append(scratch(spark, "trials-table"))
+        rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")).write.parquet(state[-1])
+
+    rows = trial_stream(spark, _arriving(spark, sf_dir), EVENTS, ["user_id", "event_type"], "ts", delay="3650 days", files=2)
+    run_incremental(rows, refresh, every_rows=100)
+    return rounded(spark.read.parquet(state[-1]))
 
 
 @query("event_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    return rows.groupBy(day.alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Tumbling windows of a stream, kept complete from batch to batch."""
+    rows = stream_of(spark, _arriving(spark, sf_dir), EVENTS, "ts", files=3)
+    got = spark.read.parquet(run_complete(windowed(rows)))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -268,23 +268,24 @@ SELECT factor, round(rc, 6) AS P_retrieve_control, round(rt, 6) AS P_retrieve_tr
 def e2e_decomposition(spark, sf_dir):
     from leverframe.sources.bindings import ofat
 
-    rate = lambda y, role: F.avg(F.when(F.col("role") == role, F.col(y)))
-    got = _ranked_targets(spark, sf_dir).groupBy("factor").agg(rate("retrieved", "control").alias("rc"), rate("retrieved", "treatment").alias("rt"))
-    gen = ofat(spark, sf_dir).groupBy(F.col("target_dim").alias("factor")).agg(rate("y", "control").alias("cc"), rate("y", "treatment").alias("ct"))
-    c = F.col
-    return rounded(
-        got.join(gen, "factor").select(
-            "factor", c("rc").alias("P_retrieve_control"), c("rt").alias("P_retrieve_treated"), (c("rt") - c("rc")).alias("ATE_retrieve"), c("cc").alias("P_cite_ctx_control"), c("ct").alias("P_cite_ctx_treated"), (c("ct") - c("cc")).alias("ATE_cite"),
-            (c("rc") * c("cc")).alias("P_e2e_control"), (c("rt") * c("ct")).alias("P_e2e_treated"), (c("rt") * c("ct") - c("rc") * c("cc")).alias("ATE_e2e"),
-        )
-    )
+    return rounded(E.two_channels(_ranked_targets(spark, sf_dir).withColumnRenamed("factor", "target_dim"), ofat(spark, sf_dir)))
+
+
+@query("rank_ecdf_gap", f"""{BM25_SQL}, rs AS (SELECT unnest(range(1, {K} + 1)) AS r), e AS (SELECT factor, r, role, avg(CASE WHEN retrieved = 1 AND target_rank <= r - 1 THEN 1.0 ELSE 0 END) AS s FROM rf, rs GROUP BY ALL)
+SELECT factor, round(avg(t.s - c.s), 6) AS mean_gap FROM e t JOIN e c USING (factor, r) WHERE t.role = 'treatment' AND c.role = 'control' GROUP BY factor""")
+def rank_ecdf_gap(spark, sf_dir):
+    """How much more of the treated targets lie within the first r places, averaged over r."""
+    r = F.explode(F.sequence(F.lit(1), F.lit(K)))
+    share = lambda role: F.avg(F.when(F.col("role") == role, F.when((F.col("retrieved") == 1) & (F.col("target_rank") <= F.col("r") - 1), 1.0).otherwise(0.0)))
+    by = _ranked_targets(spark, sf_dir).select("factor", "role", "retrieved", "target_rank", r.alias("r")).groupBy("factor", "r").agg((share("treatment") - share("control")).alias("gap"))
+    return rounded(by.where("gap IS NOT NULL").groupBy("factor").agg(F.avg("gap").alias("mean_gap")))
 
 
 @query("retrieval_by_model", f"""{BM25_SQL}, pp AS (SELECT model, factor, pair_key, avg(retrieved) FILTER (role = 'treatment') - avg(retrieved) FILTER (role = 'control') AS diff FROM rf GROUP BY 1, 2, 3)
 SELECT model, factor, round(avg(diff), 6) AS ATE, count(diff) AS n_pairs, (SELECT round(avg(retrieved), 6) FROM rf WHERE rf.model = pp.model) AS recall FROM pp GROUP BY model, factor""")
 def retrieval_by_model(spark, sf_dir):
     rows = _ranked_targets(spark, sf_dir).withColumns({"level": F.when(F.col("role") == "treatment", E.top_of(F.col("factor"))).otherwise(0), "top": E.top_of(F.col("factor"))})
-    ate = E.paired_ate(rows, ["model", "factor"], y="retrieved").select("model", "factor", "ATE", "n_pairs")
+    ate = E.paired_ate(rows, ["model", "factor"], ["pair_key"], "retrieved").select("model", "factor", "ATE", "n_pairs")
     recall = rows.groupBy("model").agg(F.avg("retrieved").alias("recall"))
     return rounded(ate.join(F.broadcast(recall), "model"))
 

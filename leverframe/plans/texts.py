@@ -10,7 +10,7 @@ from leverframe.functions import text as T
 from leverframe.operators.effects import dedup_keep_first
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
-from leverframe.sources.files import jsonl_round_trip
+from leverframe.sources.files import jsonl_round_trip, parse_records, read_csv, read_lines, scan_records, scratch, write_csv
 from leverframe.sources.tables import table
 
 A = f"WITH {ARTICLES_SQL}"
@@ -100,10 +100,11 @@ def verify_sql(t: str) -> str:
  WHEN regexp_matches({t}, '{T.REPORT_PATTERN}|{T.GUIDE_PATTERN}') THEN 'partial_real_type' WHEN regexp_matches(lower({t}), '{T.ACADEMIC_PATTERN}') THEN 'unverified_academic_like' ELSE 'unverified_generic' END"""
 
 
-@query("verify_title", f"{A}, t AS (SELECT unnest({TITLE_LIST}) AS title FROM articles) SELECT title, {verify_sql('title')} AS status, count(*) AS n FROM t GROUP BY 1, 2")
+@query("verify_title", f"{A}, t AS (SELECT unnest({TITLE_LIST}) AS title FROM articles), s AS (SELECT title, {verify_sql('title')} AS status, count(*) AS n FROM t GROUP BY 1, 2) SELECT *, CASE status {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.REASONS.items())} END AS reason FROM s")
 def verify_title(spark, sf_dir):
     named = articles(spark, sf_dir).select(F.explode(T.titles(F.col("text"))).alias("title"))
-    return named.groupBy("title").agg(F.count(F.lit(1)).alias("n")).select("title", T.verify_title(F.col("title")).alias("status"), "n")
+    found = named.groupBy("title").agg(F.count(F.lit(1)).alias("n")).select("title", T.verify_title(F.col("title")).alias("status"), "n")
+    return found.withColumn("reason", T.title_reason(F.col("status")))
 
 
 AUDIT_SQL = f"""{A}, g AS (SELECT article_id, query_id, domain, dim, generator, n_chars, text, {TITLE_LIST} AS ts FROM articles WHERE variant = 'genuine'),
@@ -139,8 +140,10 @@ def audit_join(spark, sf_dir):
 @query("audit_group_no", f"{A}, g AS (SELECT DISTINCT domain, query_id FROM articles), n AS (SELECT *, row_number() OVER (ORDER BY domain, query_id) AS group_no FROM g) SELECT a.article_id, CAST(n.group_no AS INTEGER) AS group_no FROM articles a JOIN n USING (domain, query_id)")
 def audit_group_no(spark, sf_dir):
     rows = articles(spark, sf_dir).select("article_id", "domain", "query_id")
-    # numbering runs over the distinct groups, which are few beside the articles
-    groups = rows.select("domain", "query_id").distinct().withColumn("group_no", F.row_number().over(Window.orderBy("domain", "query_id")))
+    groups = rows.select("domain", "query_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy("query_id")))
+    sizes = groups.groupBy("domain").agg(F.count(F.lit(1)).alias("size"))  # one row for each domain
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("domain")) - F.col("size")).select("domain", "before")
+    groups = groups.join(F.broadcast(before), "domain").withColumn("group_no", (F.col("place") + F.col("before")).cast("int"))
     return rows.join(groups, ["domain", "query_id"]).select("article_id", "group_no")
 
 
@@ -261,23 +264,19 @@ def api_error_classify(spark, sf_dir):
 # passage pool -------------------------------------------------------------------------------------------------------
 
 CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), '^ | $', '', 'g')"
-KEYWORDS = {
-    "consumer_product": ["price", "entre", "thing"], "health": ["heal", "ment", "eron"], "finance": ["rate", "cion", "tion"], "academic_qa": ["theor", "heit", "ound"], "travel": ["ville", "ung ", "stan"],
-}
-HITS_SQL = ", ".join("(" + " + ".join(f"CAST(contains(text, '{k}') AS INTEGER)" for k in ks) + f") AS {d}" for d, ks in KEYWORDS.items())
-
-
 @query("clean_passage", f"SELECT page_id, {CLEAN_SQL} AS passage FROM pages")
 def clean_passage(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_passage(F.col("html")).alias("passage"))
 
 
-TRUNC_SQL = "CASE WHEN length(t) <= 500 THEN t WHEN regexp_extract(substr(t, 1, 500), '(?s)^(.+[。！？.!?])', 1) <> '' THEN regexp_extract(substr(t, 1, 500), '(?s)^(.+[。！？.!?])', 1) ELSE substr(t, 1, 500) END"
+TRUNC_SQL = "CASE WHEN length(t) <= 500 THEN t WHEN regexp_extract(substr(t, 1, 500), '(?s)^(.+[。！？])', 1) <> '' THEN regexp_extract(substr(t, 1, 500), '(?s)^(.+[。！？])', 1) ELSE substr(t, 1, 500) END"
 
 
-@query("truncate_sentence", f"WITH c AS (SELECT page_id, {CLEAN_SQL} AS t FROM pages) SELECT page_id, {TRUNC_SQL} AS passage FROM c")
+@query("truncate_sentence", f"WITH b AS (SELECT page_id, {CLEAN_SQL} AS t FROM pages), c AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(t, '.', '。') ELSE t END AS t FROM b) SELECT page_id, {TRUNC_SQL} AS passage FROM c")
 def truncate_sentence(spark, sf_dir):
+    """Every other page with the full-width marks at which a passage may end."""
     cleaned = table(spark, sf_dir, "pages").select("page_id", T.clean_passage(F.col("html")).alias("t"))
+    cleaned = cleaned.withColumn("t", F.when(F.col("page_id") % 2 == 0, F.replace("t", F.lit("."), F.lit("。"))).otherwise(F.col("t")))
     return cleaned.select("page_id", T.truncate_sentence(F.col("t"), 500).alias("passage"))
 
 
@@ -312,18 +311,121 @@ def build_corpus(spark, sf_dir):
     return first.groupBy(F.col("query_id").alias("domain")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("passage")).alias("n_chars"))
 
 
-@query("classify_domain", f"WITH h AS (SELECT doc_id, {HITS_SQL} FROM documents), b AS (SELECT *, greatest({', '.join(DOMAINS)}) AS best FROM h) SELECT doc_id, CASE WHEN best = 0 OR {' + '.join(f'CAST({d} = best AS INTEGER)' for d in DOMAINS)} > 1 THEN NULL {' '.join(f'WHEN {d} = best THEN {chr(39)}{d}{chr(39)}' for d in DOMAINS)} END AS domain FROM b")
+#: Questions of every domain and of none; a second one beside every third makes ties.
+ASKED = ["耳机和音箱怎么选购", "失眠怎么锻炼", "基金定投的收益", "因果推断的数学原理", "高原自驾的行程", "随便问问", "手机分期值得买吗"]
+HITS_SQL = ", ".join("(" + " + ".join(f"CAST(contains(asked, '{k}') AS INTEGER)" for k in ks) + f") AS {d}" for d, ks in T.DOMAIN_KEYWORDS.items())
+
+
+@query("classify_domain", f"WITH q AS (SELECT doc_id, list_extract([{_quoted(ASKED)}], CAST(doc_id % {len(ASKED)} + 1 AS BIGINT)) || CASE WHEN doc_id % 3 = 0 THEN list_extract([{_quoted(ASKED)}], CAST((doc_id // 3) % {len(ASKED)} + 1 AS BIGINT)) ELSE '' END || coalesce(text, '') AS asked FROM documents), h AS (SELECT doc_id, {HITS_SQL} FROM q), b AS (SELECT *, greatest({', '.join(DOMAINS)}) AS best FROM h) SELECT doc_id, CASE WHEN best = 0 OR {' + '.join(f'CAST({d} = best AS INTEGER)' for d in DOMAINS)} > 1 THEN NULL {' '.join(f'WHEN {d} = best THEN {chr(39)}{d}{chr(39)}' for d in DOMAINS)} END AS domain FROM b")
 def classify_domain(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.classify_domain(F.col("text"), KEYWORDS).alias("domain"))
+    one = lambda i: F.element_at(F.array(*map(F.lit, ASKED)), (i % len(ASKED) + 1).cast("int"))
+    d = F.col("doc_id")
+    asked = F.concat(one(d), F.when(d % 3 == 0, one(F.floor(d / 3))).otherwise(""), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.classify_domain(asked, T.DOMAIN_KEYWORDS).alias("domain"))
 
 
-@query("pool_parse_record", """WITH c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user') AS question, list(text ORDER BY turn) FILTER (role = 'assistant') AS passages FROM conversations GROUP BY conv_id)
-SELECT conv_id, length(question) AS question_chars, len(passages) AS n_passages FROM c WHERE coalesce(question, '') <> '' AND len(passages) > 0""")
-def pool_parse_record(spark, sf_dir):
+def _records(spark, sf_dir) -> DataFrame:
+    """Lines of a dataset in both schemas: documents of paragraphs, passages as texts or objects, both at once, neither, and lines that are no JSON."""
     turn = F.struct("turn", "text")
-    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("role") == "user", turn))).alias("u"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", turn))).alias("a"))
-    parsed = grouped.select("conv_id", F.array_join(F.transform("u", lambda x: x["text"]), " ").alias("question"), F.transform("a", lambda x: x["text"]).alias("passages"))
-    return parsed.where("question <> '' AND size(passages) > 0").select("conv_id", F.length("question").cast("long").alias("question_chars"), F.size("passages").cast("long").alias("n_passages"))
+    said = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, turn))), lambda x: x["text"])
+    conv = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(said("user"), " ").alias("question"), said("assistant").alias("a"))  # a conversation's few turns
+    paragraphs = F.transform("a", lambda t: F.struct(F.split(t, "\n").alias("paragraphs")))
+    objects = F.to_json(F.struct("conv_id", "question", F.transform("a", lambda t: F.struct(t.alias("text"))).alias("passages")))
+    texts = F.to_json(F.struct("conv_id", "question", F.col("a").alias("passages")))
+    both = F.to_json(F.struct("conv_id", "question", paragraphs.alias("documents"), F.array(F.lit("not this")).alias("passages")))
+    neither = F.to_json(F.struct("conv_id", "question"))
+    k = F.col("conv_id") % 5
+    return conv.select("conv_id", F.when(k == 0, objects).when(k == 1, texts).when(k == 2, both).when(k == 3, neither).otherwise(F.concat(F.lit("oops "), texts)).alias("line"))
+
+
+POOL_SQL = """c AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS question, list(text ORDER BY turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id),
+pr AS (SELECT conv_id, question, CASE conv_id % 5 WHEN 2 THEN flatten(list_transform(a, lambda t: string_split(t, chr(10)))) ELSE a END AS passages FROM c WHERE conv_id % 5 < 3 AND question <> '' AND len(a) > 0)"""
+
+
+def _pool(spark, sf_dir) -> DataFrame:
+    """Parsed records: conv_id, question, passages."""
+    return parse_records(_records(spark, sf_dir).select("line"), "conv_id LONG")
+
+
+@query("pool_parse_record", f"WITH {POOL_SQL} SELECT conv_id, length(question) AS question_chars, len(passages) AS n_passages, sha256(array_to_string(passages, '|')) AS passages_hash FROM pr")
+def pool_parse_record(spark, sf_dir):
+    return _pool(spark, sf_dir).select("conv_id", F.length("question").cast("long").alias("question_chars"), F.size("passages").cast("long").alias("n_passages"), F.sha2(F.array_join("passages", "|"), 256).alias("passages_hash"))
+
+
+def _stored_pool(spark, sf_dir) -> DataFrame:
+    """The pool written as JSON by domain, among records without id or question, and scanned again."""
+    rows = _pool(spark, sf_dir).select(F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("q"), F.col("conv_id").cast("string"))).alias("id"), (F.col("conv_id") % 5 == 0).alias("validated"), "question", "passages", F.concat(F.lit("d"), (F.col("conv_id") % 3).cast("string")).alias("domain"))
+    path = scratch(spark, "pool")
+    rows.write.partitionBy("domain").json(path)
+    return scan_records(spark, path, "id STRING, question STRING, validated BOOLEAN, passages ARRAY<STRING>, domain STRING")
+
+
+STORED_SQL = f"{POOL_SQL}, sp AS (SELECT 'q' || CAST(conv_id AS VARCHAR) AS id, conv_id % 5 = 0 AS validated, question, passages, 'd' || CAST(conv_id % 3 AS VARCHAR) AS domain FROM pr WHERE conv_id % 7 <> 0)"
+
+
+@query("pool_scan", f"WITH {STORED_SQL} SELECT id, domain, length(question) AS question_chars FROM sp")
+def pool_scan(spark, sf_dir):
+    return _stored_pool(spark, sf_dir).select("id", "domain", F.length("question").cast("long").alias("question_chars"))
+
+
+@query("pool_passages", f"WITH {STORED_SQL} SELECT id AS query_id, CAST(generate_subscripts(passages, 1) - 1 AS INTEGER) AS pos, sha256(unnest(passages)) AS passage_hash FROM sp")
+def pool_passages(spark, sf_dir):
+    return _stored_pool(spark, sf_dir).select(F.col("id").alias("query_id"), F.posexplode("passages").alias("pos", "p")).select("query_id", "pos", F.sha2("p", 256).alias("passage_hash"))
+
+
+@query("base_articles_validated", f"WITH {STORED_SQL} SELECT id, domain FROM sp WHERE validated")
+def base_articles_validated(spark, sf_dir):
+    return _stored_pool(spark, sf_dir).where("validated").select("id", "domain")
+
+
+@query("src_json_array", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def src_json_array(spark, sf_dir):
+    """Lines that are one JSON array each, among lines that are one record."""
+    rows = table(spark, sf_dir, "conversations")
+    fields = F.struct("conv_id", "turn", "role", "text")
+    whole = rows.where("conv_id % 2 = 0").groupBy("conv_id").agg(F.to_json(F.collect_list(fields)).alias("line")).select("line")  # a conversation's few turns
+    back = read_lines(whole.unionByName(rows.where("conv_id % 2 <> 0").select(F.to_json(fields).alias("line"))), "conv_id LONG, turn LONG, role STRING, text STRING")
+    return back.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
+SLUG_SQL = "trim(regexp_replace(replace(model, '/', '__'), '[: ]', '_', 'g'))"
+
+
+@query("persist_per_model", f"{MODELS_SQL} SELECT {SLUG_SQL} AS model_dir, model, count(*) AS n FROM m GROUP BY 1, 2")
+def persist_per_model(spark, sf_dir):
+    """A folder of CSV files for each model, read again as text with the model from its folder's name."""
+    rows = _models(spark, sf_dir).withColumn("model_dir", T.model_slug(F.col("model")))
+    path = scratch(spark, "by-model")
+    write_csv(rows, path, "model_dir")
+    return read_csv(spark, path, "model STRING, o_orderkey STRING, model_dir STRING").groupBy("model_dir", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("coerce_number", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN props ELSE regexp_replace(props, '[^0-9]', '', 'g') END AS DOUBLE) AS number FROM events")
+def coerce_number(spark, sf_dir):
+    """Numbers out of texts; what is none becomes null."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.regexp_replace("props", "[^0-9]", ""))
+    return table(spark, sf_dir, "events").select("event_id", raw.try_cast("double").alias("number"))
+
+
+@query("truthy", "SELECT o_orderkey, coalesce(lower(trim(CASE o_orderkey % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN '1.0' WHEN 2 THEN 'TRUE ' WHEN 3 THEN o_orderstatus WHEN 4 THEN '0' END)) IN ('1', '1.0', 'true', 'yes'), false) AS said FROM orders")
+def truthy(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    value = F.when(k == 0, " Yes").when(k == 1, "1.0").when(k == 2, "TRUE ").when(k == 3, F.col("o_orderstatus")).when(k == 4, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.truthy(value).alias("said"))
+
+
+@query("institutions", f"{A}, t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '据中国营养学会和北京大学，' WHEN 1 THEN '国家统计局；某某研究所。' ELSE '' END || text AS t FROM articles) SELECT doc_id, array_to_string(regexp_extract_all(t, '([^，。；\\n]{{2,30}}(?:协会|学会|大学|研究院|研究所|中心|统计局|委员会|教育部|卫健委|人民银行|知网|CNNIC|出版社))', 1)[1:5], '; ') AS institutions FROM t")
+def institutions(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    said = F.concat(F.when(k == 0, "据中国营养学会和北京大学，").when(k == 1, "国家统计局；某某研究所。").otherwise(""), "text")
+    return articles(spark, sf_dir).select("doc_id", F.array_join(T.institutions(said), "; ").alias("institutions"))
+
+
+@query("abnormal_scan", f"{A}, v AS (SELECT article_id, generator, trim(text, ' ') AS t, length(base_text) AS nb FROM articles), r AS (SELECT article_id, length(t) AS n_chars, {{REASON}} AS reason FROM v) SELECT article_id, reason, n_chars, CAST(row_number() OVER (PARTITION BY reason ORDER BY n_chars, article_id) AS INTEGER) AS place FROM r WHERE reason IS NOT NULL".replace("{REASON}", """CASE WHEN generator <> 'llm' THEN 'generator=' || generator WHEN length(t) = 0 THEN 'empty' WHEN length(t) < 50 THEN 'short(' || length(t) || '<50)' WHEN nb > 0 AND length(t) < floor(nb * 0.15) THEN 'truncated(' || length(t) || '/' || nb || ')' END"""))
+def abnormal_scan(spark, sf_dir):
+    """Abnormal variants by the default limits, the shortest of each kind first."""
+    v = articles(spark, sf_dir).select("article_id", F.length(F.trim("text")).cast("long").alias("n_chars"), T.variant_reason(F.col("generator"), F.col("text"), F.col("base_text")).alias("reason")).where("reason IS NOT NULL")
+    return v.select("article_id", "reason", "n_chars", F.row_number().over(Window.partitionBy("reason").orderBy("n_chars", "article_id")).alias("place"))
 
 
 @query("pool_topn_per_domain", "SELECT lang AS domain, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 100")
@@ -364,9 +466,10 @@ def json_null_records(spark, sf_dir):
     return rows.select("vec_id", F.to_json(F.struct("vec_id", "label"), {"ignoreNullFields": "false"}).alias("record"))
 
 
-@query("embedding_fingerprint", "SELECT label, sha256('model-a|' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS fingerprint, count(*) AS n FROM embeddings GROUP BY label")
+@query("embedding_fingerprint", "WITH b AS (SELECT label, vec_id // 1000 AS part, sha256(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS h, count(*) AS n FROM embeddings GROUP BY ALL) SELECT label, sha256('model-a|' || string_agg(h, ',' ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY label")
 def embedding_fingerprint(spark, sf_dir):
-    ids = F.sort_array(F.collect_list("vec_id"))
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sha2(F.concat(F.lit("model-a|"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
-
-
+    """In two levels: a digest of each range of a thousand ids, then one of these in order, so that no task holds all ids of a label."""
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
+    parts = table(spark, sf_dir, "embeddings").groupBy("label", F.floor(F.col("vec_id") / 1000).alias("part")).agg(F.sha2(ids, 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ",")
+    return parts.groupBy("label").agg(F.sha2(F.concat(F.lit("model-a|"), whole), 256).alias("fingerprint"), F.sum("n").alias("n"))

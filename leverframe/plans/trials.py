@@ -9,6 +9,7 @@ from leverframe.codebook import FACTORS, TOP
 from leverframe.functions import text as T
 from leverframe.functions import textsim as S
 from leverframe.operators import trials as D
+from leverframe.operators.studies import with_points
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
 from leverframe.sources.tables import table
@@ -32,21 +33,29 @@ OFAT_POINTS_SQL = f"""WITH {DIMS_SQL}, pts AS (SELECT 'pair_' || d AS label, CAS
 @query("ofat_design", f"{OFAT_POINTS_SQL} SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, pts.* FROM benchmark, pts")
 def ofat_design(spark, sf_dir):
     """Every question with every design point."""
-    return _questions(spark, sf_dir).select("query_id").join(F.broadcast(D.ofat_design(spark)))
+    return with_points(_questions(spark, sf_dir).select("query_id"), D.ofat_design(spark)).drop("point")
 
 
 @query("full_factorial", "SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, CAST(a AS INTEGER) AS S1, CAST(b AS INTEGER) AS S2, 0 AS S3, 0 AS S4, 0 AS O1, 0 AS O2, 0 AS O3, CAST(c AS INTEGER) AS O4 FROM benchmark, (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1, 2]) AS c)")
 def full_factorial(spark, sf_dir):
-    return _questions(spark, sf_dir).select("query_id").join(F.broadcast(D.full_factorial(spark, ["S1", "S2", "O4"])))
+    return with_points(_questions(spark, sf_dir).select("query_id"), D.full_factorial(spark, ["S1", "S2", "O4"])).drop("point")
 
 
 @query("fractional_design", """WITH b AS (SELECT i & 1 AS a, (i >> 1) & 1 AS b, (i >> 2) & 1 AS c, (i >> 3) & 1 AS d FROM (SELECT unnest(range(16)) AS i))
 SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, CAST(2 * a AS INTEGER) AS S1, CAST(b AS INTEGER) AS S2, CAST(c AS INTEGER) AS S3, CAST(d AS INTEGER) AS S4, CAST((a + b + c) % 2 AS INTEGER) AS O1, CAST((a + b + d) % 2 AS INTEGER) AS O2, CAST((a + c + d) % 2 AS INTEGER) AS O3, CAST(2 * ((b + c + d) % 2) AS INTEGER) AS O4 FROM benchmark, b""")
 def fractional_design(spark, sf_dir):
-    return _questions(spark, sf_dir).select("query_id").join(F.broadcast(D.fractional_design(spark)))
+    return with_points(_questions(spark, sf_dir).select("query_id"), D.fractional_design(spark)).drop("point")
 
 
-TOPICS = {"health": ["改善轻度失眠的非药物方法", "成年人补充维生素D的方案", "久坐人群的护腰锻炼"], "finance": ["指数基金定投策略", "应急备用金的配置", "信用卡分期是否划算"]}
+# The built-in topics of each domain, and the prompt styles.
+TOPICS = {
+    "consumer_product": ["选购千元价位无线耳机", "挑选家用扫地机器人", "选择入门级单反相机"],
+    "health": ["改善轻度失眠的非药物方法", "成年人补充维生素D的方案", "久坐人群的护腰锻炼"],
+    "finance": ["指数基金定投策略", "应急备用金的配置", "信用卡分期是否划算"],
+    "academic_qa": ["Transformer 推理加速方法", "因果推断中的后门调整", "对比学习的负样本选择"],
+    "travel": ["雨季去云南的行程安排", "带老人出行的航班选择", "高原旅行的准备清单"],
+}
+STYLES = ["neutral", "cite_source", "critical_eval", "persona"]
 TOPICS_SQL = "(VALUES " + ", ".join(f"('{d}', {i}, '{t}')" for d, ts in TOPICS.items() for i, t in enumerate(ts)) + ") AS t(domain, i, topic)"
 
 
@@ -107,9 +116,6 @@ def run_trials(spark, sf_dir):
     return rows.groupBy("target_position", (F.col("target_id").cast("long") % 8).alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("chosen_id") == F.col("target_id"), 1)).alias("n_selected"))
 
 
-STYLES = ["neutral", "cite_source", "critical_eval", "persona"]
-
-
 @query("trial_grid", f"{SETS_SQL} SELECT query_id, style, seed, count(*) AS n_trials FROM st, (SELECT unnest({STYLES}) AS style), (SELECT unnest([0, 1]) AS seed) GROUP BY ALL")
 def trial_grid(spark, sf_dir):
     """Sets x styles x seeds; the small sides are literal lists."""
@@ -153,56 +159,80 @@ def trial_flatten(spark, sf_dir):
     return nested.select("query_id", "target_id", "target_position", at("y", 0).alias("y"), at("rank", -1).alias("target_rank"))
 
 
-REPLIES = ['{"choice": "A"}', '{"choice": " b"}', '{"choice": "Z"}', 'I would say:\n{"choice": "C"} as it is best', '```json\n{"cited": ["A", "C", "A"]}\n```', "no idea", '{"cited": []}', '<think>{"choice": "B"}</think>\n{"choice": "A"}']
-REWRITES = ['{"queries": ["a", " b ", "a", ""]}', "```\n{\"queries\": [\"x\"]}\n```", '{"queries": []}', "garbage"]
-
-
 def _replies(spark, sf_dir) -> DataFrame:
-    k = F.col("event_id")
+    """Conversation turns wrapped as answers in every form that the parsers know: id, ids (three candidates), reply, question."""
+    k = F.col("conv_id") * 8 + F.col("turn")
+    prose = F.translate(F.coalesce("text", F.lit("")), '{}`"\\', "")
+    words = F.filter(F.split(prose, r"\s+"), lambda w: w != "")
+    q1, q2 = F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, 2), " ")
+    with_prose = lambda before, after: F.concat(F.lit(before), prose, F.lit(after))
+    forms = [
+        F.lit('{"choice": "A"}'),
+        F.concat(prose, F.lit('\n{"choice": " b", "scores": {"A": 0.25, "B": "x", "C": 7}, "ranking": ["C", "A", "C"]}')),
+        F.concat(F.lit('{"choice": "Z"} '), prose),
+        F.concat(F.lit('I would say:\n{"choice": "C", "reason": "'), q1, F.lit('"} as it is best. '), prose),
+        F.concat(F.lit('```json\n{"cited": ["A", "C", "A"]}\n```\n'), prose),
+        prose,
+        F.lit('{"cited": [], "scores": {"c": "1.5", "D": 2}}'),
+        with_prose("<think>", ' {"choice": "B"}</think>\n{"choice": "A"}'),
+        F.concat(F.lit('{"queries": ["'), q1, F.lit('", " '), q2, F.lit(' ", "'), q1, F.lit('", ""]}')),
+        F.concat(prose, F.lit('\n{"cited": ["Q"]}')),
+    ]
     ids = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("c"), (k + i).cast("string")))
-    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", ids.alias("ids"), pick(REPLIES).alias("reply"), pick(REWRITES).alias("rewrite"))
-
-
-def _lit_list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(k.alias("id"), ids.alias("ids"), F.element_at(F.array(*forms), (k % 10 + 1).cast("int")).alias("reply"), F.concat(F.lit("question "), k.cast("string")).alias("question"))
 
 
-REPLIES_SQL = f"""WITH e AS (SELECT event_id, ['c' || CAST(event_id AS VARCHAR), 'c' || CAST(event_id + 1 AS VARCHAR), 'c' || CAST(event_id + 2 AS VARCHAR)] AS ids, list_extract({_lit_list(REPLIES)}, CAST(event_id % {len(REPLIES)} + 1 AS BIGINT)) AS reply, list_extract({_lit_list(REWRITES)}, CAST(event_id % {len(REWRITES)} + 1 AS BIGINT)) AS rewrite FROM events)"""
+REPLIES_SQL = """WITH w AS (SELECT conv_id * 8 + turn AS id, translate(coalesce(text, ''), '{}`"\\', '') AS prose FROM conversations),
+v AS (SELECT *, list_filter(regexp_split_to_array(prose, '\\s+'), lambda x: x <> '') AS ws, chr(10) AS nl FROM w), q AS (SELECT *, array_to_string(ws[1:3], ' ') AS q1, array_to_string(ws[4:5], ' ') AS q2 FROM v),
+e AS (SELECT id, 'question ' || CAST(id AS VARCHAR) AS question, ['c' || CAST(id AS VARCHAR), 'c' || CAST(id + 1 AS VARCHAR), 'c' || CAST(id + 2 AS VARCHAR)] AS ids, CASE id % 10 WHEN 0 THEN '{"choice": "A"}'
+ WHEN 1 THEN prose || nl || '{"choice": " b", "scores": {"A": 0.25, "B": "x", "C": 7}, "ranking": ["C", "A", "C"]}' WHEN 2 THEN '{"choice": "Z"} ' || prose WHEN 3 THEN 'I would say:' || nl || '{"choice": "C", "reason": "' || q1 || '"} as it is best. ' || prose
+ WHEN 4 THEN '```json' || nl || '{"cited": ["A", "C", "A"]}' || nl || '```' || nl || prose WHEN 5 THEN prose WHEN 6 THEN '{"cited": [], "scores": {"c": "1.5", "D": 2}}' WHEN 7 THEN '<think>' || prose || ' {"choice": "B"}</think>' || nl || '{"choice": "A"}'
+ WHEN 8 THEN '{"queries": ["' || q1 || '", " ' || q2 || ' ", "' || q1 || '", ""]}' ELSE prose || nl || '{"cited": ["Q"]}' END AS reply FROM q),
+sr AS (SELECT id, ids, question, regexp_replace(regexp_replace(reply, '<think>.*?</think>\\s*', '', 'gs'), '^\\s+|\\s+$', '', 'g') AS r FROM e),
+js AS (SELECT *, nullif(regexp_extract(r, '(?s)(\\{"(?:choice|cited|queries)".*\\})', 1), '') AS j FROM sr)"""
 
 
-@query("strip_thinking", f"{REPLIES_SQL} SELECT event_id, regexp_replace(regexp_replace(reply, '<think>.*?</think>\\s*', '', 'gs'), '^\\s+|\\s+$', '', 'g') AS reply FROM e")
+@query("strip_thinking", f"{REPLIES_SQL} SELECT id, r AS reply FROM sr")
 def strip_thinking(spark, sf_dir):
-    return _replies(spark, sf_dir).select("event_id", T.strip_thinking(F.col("reply")).alias("reply"))
+    return _replies(spark, sf_dir).select("id", T.strip_thinking(F.col("reply")).alias("reply"))
 
 
 FLAT_SQL = "list_extract(regexp_extract_all({}, '(\\{{[^{{}}]*\\}})', 1), -1)"
 
 
-@query("extract_json_flat", f"{REPLIES_SQL} SELECT event_id, {FLAT_SQL.format('reply')} AS flat FROM e")
+@query("extract_json_flat", f"{REPLIES_SQL} SELECT id, {FLAT_SQL.format('reply')} AS flat FROM e")
 def extract_json_flat(spark, sf_dir):
-    return _replies(spark, sf_dir).select("event_id", D.flat_json(F.col("reply")).alias("flat"))
+    return _replies(spark, sf_dir).select("id", D.flat_json(F.col("reply")).alias("flat"))
 
 
-@query("extract_json")
+@query("extract_json", f"{REPLIES_SQL} SELECT id, coalesce(json_extract_string(j, '$.choice'), '') AS choice, coalesce(CAST(json_array_length(j, '$.cited') AS INTEGER), -1) AS n_cited, j IS NOT NULL AS found FROM js")
 def extract_json(spark, sf_dir):
-    """Any nested object, by the brace scanner."""
-    return _replies(spark, sf_dir).select("event_id", D.extract_json(F.col("reply")).alias("object"))
-
-
-@query("parse_decision", f"""{REPLIES_SQL}, j AS (SELECT event_id, ids, {FLAT_SQL.format('reply')} AS flat FROM e),
-p AS (SELECT event_id, ids, flat, CASE WHEN flat IS NOT NULL AND contains(flat, 'cited') THEN regexp_extract_all(regexp_extract(flat, '\\[(.*)\\]', 1), '"\\s*([A-Za-z])', 1) END AS cited, upper(regexp_extract(coalesce(flat, ''), '"choice": "\\s*([A-Za-z])', 1)) AS choice FROM j)
-SELECT event_id, CASE WHEN cited IS NOT NULL THEN array_to_string(list_transform(list_sort(list_distinct(cited)), lambda x: ids[ascii(x) - 64]), ',') WHEN choice IN ('A', 'B', 'C') THEN ids[ascii(choice) - 64] ELSE '' END AS chosen_ids,
- flat IS NOT NULL AND (cited IS NOT NULL OR choice IN ('A', 'B', 'C')) AS parse_ok FROM p""")
+    """Any nested object, by the brace scanner; shown by two of its fields."""
+    got = _replies(spark, sf_dir).select("id", D.extract_json(T.strip_thinking(F.col("reply"))).alias("o"))
+    data = F.from_json("o", "choice STRING, cited ARRAY<STRING>")
+    return got.select("id", F.coalesce(data["choice"], F.lit("")).alias("choice"), F.coalesce(F.size(data["cited"]), F.lit(-1)).alias("n_cited"), F.col("o").isNotNull().alias("found"))
+
+
+@query("parse_decision", f"""{REPLIES_SQL}, p AS (SELECT *, json_type(j, '$.cited') = 'ARRAY' AS many, json_extract_string(j, '$.cited[*]') AS cited, upper(substr(trim(json_extract_string(j, '$.choice')), 1, 1)) AS choice, coalesce(json_keys(j, '$.scores'), []) AS ks, json_extract_string(j, '$.ranking[*]') AS rk FROM js),
+n AS (SELECT *, list_filter(list_distinct(cited), lambda x: x IN ('A', 'B', 'C')) AS named, list_filter(list_transform(ks, lambda k: struct_pack(p := ascii(upper(k)) - 64, v := TRY_CAST(json_extract_string(j, '$.scores.' || k) AS DOUBLE))), lambda z: z.p <= 3 AND z.v IS NOT NULL) AS sc FROM p)
+SELECT id, array_to_string(list_sort(CASE WHEN many THEN list_transform(named, lambda x: ids[ascii(x) - 64]) WHEN choice IN ('A', 'B', 'C') THEN [ids[ascii(choice) - 64]] ELSE [] END), ',') AS chosen_ids,
+ array_to_string(list_sort(list_transform(sc, lambda z: ids[z.p] || '=' || CAST(z.v AS VARCHAR))), ',') AS scores,
+ array_to_string(list_sort(list_transform(list_filter(['A', 'B', 'C'], lambda x: list_contains(rk, x)), lambda x: ids[ascii(x) - 64] || '=' || CAST(len(rk) - list_position(list_reverse(rk), x) AS VARCHAR))), ',') AS ranks,
+ j IS NOT NULL AND CASE WHEN many THEN len(cited) = 0 OR len(named) > 0 ELSE coalesce(choice IN ('A', 'B', 'C'), false) END AS parse_ok FROM n""")
 def parse_decision(spark, sf_dir):
-    got = _replies(spark, sf_dir).select("event_id", D.parse_decision(F.col("reply"), F.col("ids")).alias("d"))
-    return got.select("event_id", F.array_join("d.chosen_ids", ",").alias("chosen_ids"), F.col("d.parse_ok").alias("parse_ok"))
+    found = _replies(spark, sf_dir).select("id", "ids", D.extract_json(T.strip_thinking(F.col("reply"))).alias("o"))
+    d = found.select("id", D.parse_decision(F.col("o"), F.col("ids")).alias("d"))
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return d.select("id", F.array_join(F.array_sort("d.chosen_ids"), ",").alias("chosen_ids"), shown("d.scores").alias("scores"), shown("d.ranks").alias("ranks"), F.col("d.parse_ok").alias("parse_ok"))
 
 
-@query("parse_rewrite", f"""{REPLIES_SQL} SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a;b' WHEN 1 THEN 'x' ELSE 'fallback ' || CAST(event_id AS VARCHAR) END AS queries, event_id % 4 < 2 AS parse_ok FROM e""")
+@query("parse_rewrite", f"""{REPLIES_SQL}, p AS (SELECT id, question, list_filter(list_transform(json_extract_string(j, '$.queries[*]'), lambda x: trim(x)), lambda x: x <> '') AS qs FROM js),
+d AS (SELECT id, question, list_filter(qs, lambda x, i: list_position(qs, x) = i)[1:8] AS qs FROM p) SELECT id, CASE WHEN len(qs) > 0 THEN array_to_string(qs, ';') ELSE question END AS queries, coalesce(len(qs) > 0, false) AS parse_ok FROM d""")
 def parse_rewrite(spark, sf_dir):
-    got = _replies(spark, sf_dir).select("event_id", D.parse_rewrite(F.col("rewrite"), F.concat(F.lit("fallback "), F.col("event_id").cast("string"))).alias("d"))
-    return got.select("event_id", F.array_join("d.queries", ";").alias("queries"), F.col("d.parse_ok").alias("parse_ok"))
+    found = _replies(spark, sf_dir).select("id", "question", D.extract_json(T.strip_thinking(F.col("reply"))).alias("o"))
+    got = found.select("id", D.parse_rewrite(F.col("o"), F.col("question")).alias("d"))
+    return got.select("id", F.array_join("d.queries", ";").alias("queries"), F.col("d.parse_ok").alias("parse_ok"))
 
 
 @query("rewrite_reuse", "WITH w AS (SELECT DISTINCT user_id, event_type FROM events), d AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90) SELECT user_id, event_type, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.user_id = w.user_id AND d.event_type = w.event_type) THEN 'reuse' ELSE 'send' END AS action FROM w")

@@ -33,9 +33,49 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return got.where("_bad IS NULL").drop("_bad")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of files that each hold one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Records of lines (column line) that are one JSON object or one array of them each; others are skipped."""
+    line = F.ltrim("line")
+    many = F.from_json(line, f"ARRAY<STRUCT<{_fields(schema)}>>")
+    one = F.array(F.from_json(line, f"STRUCT<{_fields(schema)}, _bad: STRING>", {"columnNameOfCorruptRecord": "_bad"}))
+    good = F.transform(F.filter(one, lambda r: r["_bad"].isNull()), lambda r: F.struct(*[r[n].alias(n) for n in _names(schema)]))
+    return lines.select(F.explode(F.when(line.startswith("["), many).otherwise(good)).alias("r")).where("r IS NOT NULL").select("r.*")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _fields(schema: str) -> str:
+    return ", ".join(f"{c.split()[0]}: {' '.join(c.split()[1:])}" for c in schema.split(", "))
+
+
+def parse_records(lines: DataFrame, keys: str) -> DataFrame:
+    """Question records of lines (column line) with their ``keys``, question and passages (array of texts).
+
+    Passages are all paragraphs of all documents, or, in records without a list of documents, the list ``passages`` of
+    texts or of objects with a text.
+    Lines that are no JSON, and records without a question or without passages, are left out.
+    """
+    names = _names(keys)
+    data = F.from_json("line", f"{keys}, question STRING, documents ARRAY<STRUCT<paragraphs: ARRAY<STRING>>>, passages ARRAY<STRING>, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select(data.alias("d")).where("d._bad IS NULL")
+    text = lambda p: F.when(p.startswith("{"), F.get_json_object(p, "$.text")).otherwise(p)
+    listed = F.filter(F.transform("d.passages", text), lambda p: p.isNotNull())
+    paragraphs = F.flatten(F.filter(F.transform("d.documents", lambda d: d["paragraphs"]), lambda p: p.isNotNull()))
+    passages = F.when(F.col("d.documents").isNotNull(), paragraphs).otherwise(listed)
+    out = rows.select(*[F.col(f"d.{n}").alias(n) for n in names], F.col("d.question").alias("question"), passages.alias("passages"))
+    return out.where("trim(coalesce(question, '')) <> '' AND size(passages) > 0")
+
+
+def scan_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored records of a folder that have an id and a question; unreadable ones are skipped."""
+    return read_jsonl(spark, path, schema).where("id IS NOT NULL AND trim(coalesce(question, '')) <> ''")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV files with a header, a byte order mark or not, by the given schema; folder names are columns."""
+    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def jsonl_round_trip(df: DataFrame, schema: str, by: str | None = None) -> DataFrame:

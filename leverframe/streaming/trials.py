@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time as clock
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,38 +11,67 @@ from pyspark.sql import functions as F
 
 from leverframe.sources.files import scratch
 
+LOG = logging.getLogger(__name__)
 
-def trial_stream(spark: SparkSession, path: str, schema: str, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
-    """Rows of a folder of parquet files as they arrive; of rows with equal keys the first is kept, within the delay of the watermark."""
-    rows = spark.readStream.schema(schema).parquet(path)
-    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicates([*keys, time])
 
+def stream_of(spark: SparkSession, path: str, schema: str, time: str, files: int | None = None) -> DataFrame:
+    """Rows of a folder of parquet files as they arrive, at most ``files`` in a batch."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path).withColumn(time, F.col(time).cast("timestamp"))
 
-def run_incremental(rows: DataFrame, refresh: Callable[[DataFrame], None], every_rows: int = 100, least_rows: int = 4) -> str:
-    """Appends each micro-batch to a table and calls ``refresh`` with the whole table once ``every_rows`` new rows have come.
 
-    Batches are written under their own number, so a replayed batch replaces itself. Refreshing waits for at least
-    ``least_rows`` rows; the last state is refreshed at the end. Returns the table's path.
+def trial_stream(spark: SparkSession, path: str, schema: str, keys: list[str], time: str, delay: str = "1 hour", files: int | None = None) -> DataFrame:
+    """A stream's rows; of rows with equal keys the first is kept, within the delay of the watermark."""
+    return stream_of(spark, path, schema, time, files).withWatermark(time, delay).dropDuplicates([*keys, time])
+
+
+def run_incremental(rows: DataFrame, refresh: Callable[[DataFrame], None], every_rows: int = 100, every_seconds: float = 300.0, least_rows: int = 4) -> str:
+    """Appends each micro-batch to a table and calls ``refresh`` with the whole table after ``every_rows`` new rows or ``every_seconds``.
+
+    Batches are written under their own number, so a replayed batch replaces itself. Only rows with parse_ok = 1 count
+    where there is such a column, and refreshing waits for ``least_rows`` of them. A refresh that fails is logged, the
+    last one at the end raises. Returns the table's path.
     """
     spark = rows.sparkSession
-    out, state = scratch(spark, "trials"), {"new": 0, "all": 0}
+    out, state = scratch(spark, "trials"), {"new": 0, "all": 0, "at": clock.monotonic()}
+    whole = lambda: spark.read.option("basePath", out).parquet(out)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        n = spark.read.parquet(f"{out}/batch={number}").count()
+        done = spark.read.parquet(f"{out}/batch={number}")
+        n = (done.where("parse_ok = 1") if "parse_ok" in done.columns else done).count()
         state["new"] += n
         state["all"] += n
-        if state["new"] >= every_rows and state["all"] >= least_rows:
-            state["new"] = 0
-            refresh(spark.read.option("basePath", out).parquet(out))
+        if state["all"] >= least_rows and (state["new"] >= every_rows or clock.monotonic() - state["at"] >= every_seconds):
+            state.update(new=0, at=clock.monotonic())
+            try:
+                refresh(whole())
+            except Exception:
+                LOG.exception("refresh failed; the next one will try again")
 
     query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", scratch(spark, "trials-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     if state["all"] >= least_rows:
-        refresh(spark.read.option("basePath", out).parquet(out))
+        refresh(whole())
     return out
 
 
-def event_windows(rows: DataFrame, time: str = "ts", size: str = "1 day") -> DataFrame:
+def windowed(rows: DataFrame, time: str = "ts", size: str = "1 day") -> DataFrame:
     """Counts and sums of a stream by tumbling window and event type."""
     return rows.groupBy(F.window(time, size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def run_complete(aggregated: DataFrame) -> str:
+    """Runs an aggregated stream over what is there and writes its whole result after each batch; returns the path of the last."""
+    spark = aggregated.sparkSession
+    paths: list[str] = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        paths.append(scratch(spark, "windows"))
+        batch.write.parquet(paths[-1])
+
+    query = aggregated.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", scratch(spark, "windows-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return paths[-1]

@@ -164,7 +164,10 @@ def test_candidate_set_needs_two(spark):
     with pytest.raises(ValueError):
         D.candidate_sets(df, 1)
     assert [r["ordered_ids"] for r in D.candidate_sets(df, 2).orderBy("target_position").collect()] == [["t", "a"], ["a", "t"]]
-    assert D.candidate_sets(df, 3).count() == 0
+    with pytest.raises(Exception, match="too few competitors for a set: q"):
+        D.candidate_sets(df, 3).collect()
+    (one,) = D.candidate_sets(df, 2, all_positions=False).collect()
+    assert one["ordered_ids"][one["target_position"]] == "t"
 
 
 def test_fractional_design_is_balanced_and_orthogonal(spark):
