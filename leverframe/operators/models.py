@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from leverframe.codebook import Z
+from leverframe.sources.files import stored
 
 
 def _linear(x: Column, beta: np.ndarray) -> Column:
@@ -140,33 +141,28 @@ def mixed_logit(df: DataFrame, factors: Sequence[str], group: str = "query_id",
     """
     names, p = ["Intercept", *factors], 1 + len(factors)
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in factors])
-    cells = df.select(F.col(group).alias("g"), x.alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).cache()
+    cells = stored(df.select(F.col(group).alias("g"), x.alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")), "cells")
     beta, upper = np.zeros(p), [(i, j) for i in range(p) for j in range(i, p)]
-    u = cells.select("g").distinct().withColumn("u", F.lit(0.0)).cache()
+    u = cells.select("g").distinct().withColumn("u", F.lit(0.0))
     try:
         for _ in range(steps):
             rows = cells.join(u, "g").withColumn("mu", 1 / (1 + F.exp(-(_linear(F.col("x"), beta) + F.col("u")))))
             w, r = F.col("n") * F.col("mu") * (1 - F.col("mu")), F.col("k") - F.col("n") * F.col("mu")
             own = rows.groupBy("g").agg(F.max("u").alias("u"), F.sum(r).alias("r"), F.sum(w).alias("w"), *[F.sum(r * F.get("x", i)).alias(f"r{i}") for i in range(p)], *[F.sum(w * F.get("x", i)).alias(f"w{i}") for i in range(p)], *[F.sum(w * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in upper])
-            own = own.withColumns({"d": F.col("w") + 1 / prior**2, "s": F.col("r") - F.col("u") / prior**2})
+            own = stored(own.withColumns({"d": F.col("w") + 1 / prior**2, "s": F.col("r") - F.col("u") / prior**2}), "groups")
             got = _sums([F.col(f"r{i}") - F.col(f"w{i}") * F.col("s") / F.col("d") for i in range(p)] + [F.col(f"h{i}_{j}") - F.col(f"w{i}") * F.col(f"w{j}") / F.col("d") for i, j in upper], own)
             info = np.zeros((p, p))
             for (i, j), v in zip(upper, got[p:], strict=True):
                 info[i, j] = info[j, i] = v
             step = np.linalg.solve(info, got[:p])
             beta = beta + step
-            moved = own.select("g", (F.col("u") + (F.col("s") - sum((F.col(f"w{i}") * float(step[i]) for i in range(p)), F.lit(0.0))) / F.col("d")).alias("u")).cache()
-            moved.count()
-            u.unpersist()
-            u = moved
+            u = own.select("g", (F.col("u") + (F.col("s") - sum((F.col(f"w{i}") * float(step[i]) for i in range(p)), F.lit(0.0))) / F.col("d")).alias("u"))
             if np.abs(step).max() < 1e-8:
                 break
         else:
             raise np.linalg.LinAlgError("no finite maximum")
     except np.linalg.LinAlgError:
         return logit_with_clusters(df, factors, cluster=group, y=y, position=None).select("term", "coef", F.concat(F.lit("fallback:"), "method").alias("method"))
-    finally:
-        cells.unpersist()
     return df.sparkSession.createDataFrame([(t, float(b), "group_intercepts") for t, b in zip(names, beta, strict=True)], "term string, coef double, method string")
 
 

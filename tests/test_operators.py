@@ -1,16 +1,21 @@
 """Small cases of the operators that have no SQL, and of special rules."""
 
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
 
+from leverframe.codebook import FACTORS
 from leverframe.functions.textsim import bleu, lcs_length, questions_scored, report, rouge
 from leverframe.operators import effects as E
 from leverframe.operators import information as I
 from leverframe.operators import models as M
+from leverframe.operators import retrieval as R
+from leverframe.operators import studies as S
 from leverframe.operators import trials as D
+from leverframe.sources.files import parse_records, read_csv, read_lines, write_csv
 from pyspark.sql import functions as F
 
 
@@ -138,15 +143,201 @@ def test_logit_interaction_and_separation(spark):
     assert {r["method"] for r in rows} == {"ridge(separation)"} and all(math.isnan(r["se"]) for r in rows) and rows[1]["coef"] > 1
 
 
-def test_cluster_bootstrap_holds_the_mean(spark):
-    sums = spark.createDataFrame([("S1", f"q{i}", float(i % 3), 2) for i in range(30)], "factor string, query_id string, sum_diff double, n_pairs long")
+def test_cluster_bootstrap_has_the_ratio_estimators_spread(spark):
+    """Against the linearised variance of a ratio of sums over clusters."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 6, 400)
+    total = n * 0.3 + rng.normal(0, 1, 400)
+    sums = spark.createDataFrame([("S1", f"q{i}", float(t), int(k)) for i, (t, k) in enumerate(zip(total, n, strict=True))], "factor string, query_id string, sum_diff double, n_pairs long")
     got = E.cluster_bootstrap(sums).first()
-    assert got["ci_low"] < got["ATE"] < got["ci_high"] and abs(got["ATE"] - 0.5) < 1e-9
+    mean = total.sum() / n.sum()
+    se = math.sqrt(((total - mean * n) ** 2).sum()) / n.sum()
+    assert got["ATE"] == pytest.approx(mean) and got["n_pairs"] == n.sum()
+    assert got["ci_low"] == pytest.approx(mean - 1.96 * se, abs=0.25 * se) and got["ci_high"] == pytest.approx(mean + 1.96 * se, abs=0.25 * se)
+
+
+def test_poisson_draws_have_mean_and_variance_one(spark):
+    got = spark.range(20_000).select(E.poisson(F.col("id").cast("string")).alias("w")).agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
+    assert abs(got["m"] - 1) < 0.03 and abs(got["v"] - 1) < 0.05
+
+
+def test_pair_bootstrap_has_the_means_spread(spark):
+    rng = np.random.default_rng(6)
+    rows = [("f", f"p{i}", lv, 1, int(rng.random() < (0.7 if lv else 0.4))) for i in range(600) for lv in (0, 1)]
+    df = spark.createDataFrame(rows, "factor string, pair_key string, level int, top int, y int")
+    diffs = np.array([rows[2 * i + 1][4] - rows[2 * i][4] for i in range(600)])
+    got, se = E.pair_bootstrap(df).first(), diffs.std() / math.sqrt(600)
+    assert got["ATE"] == pytest.approx(diffs.mean())
+    assert got["ci_low"] == pytest.approx(diffs.mean() - 1.96 * se, abs=0.3 * se) and got["ci_high"] == pytest.approx(diffs.mean() + 1.96 * se, abs=0.3 * se)
+
+
+def test_one_pass_adjustment_is_the_factor_by_factor_one(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), *[rng.choice([0, 1, None, 1, 0]) for _ in range(8)], rng.choice([0, 1, 1, None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "query_id string, S1 int, S2 int, S3 int, S4 int, O1 int, O2 int, O3 int, O4 int, y int")
+    got = {(r["factor"], r["level"]): r["p"] for r in I.backdoor_do(df).collect()}
+    want = {(r["factor"], r["level"]): r["p"] for f in ("S1", "S3", "O2", "O4") for r in I.stratified_do(df, f).collect()}
+    assert all(got[k] == pytest.approx(p) for k, p in want.items()) and {f for f, _ in got} == set(FACTORS)
+
+
+def test_adjustment_dispatch(spark):
+    df = cells(spark)
+    by = lambda d: {r["level"]: pytest.approx(r["p"]) for r in d.collect()}
+    assert by(I.backdoor_adjust(df, "S2", "stratify")) == by(I.stratified_do(df, "S2", ["query_id"]))
+    assert by(I.backdoor_adjust(df, "S2")) == by(M.gcomp(df, "S2", "query_id", [0, 1]))
+    assert by(I.backdoor_adjust(df, "S2", adjustment=["weather"])) == by(I.stratified_do(df, "S2", []))
+    with pytest.raises(ValueError, match="no such method"):
+        I.backdoor_adjust(df, "S2", "magic")
+    assert by(M.gcomp(df, "S2", "query_id", [0, 1], most=1)) == by(I.stratified_do(df, "S2", ["query_id"]))
+
+
+def test_slope_is_the_logits(spark):
+    """Two places saturate the model: the slope is the difference of the log odds."""
+    df = spark.createDataFrame([(p, int(i < k)) for p, n, k in ((0, 50, 30), (1, 40, 10)) for i in range(n)], "target_position int, y int")
+    assert M.slope(df) == pytest.approx(math.log(10 / 30) - math.log(30 / 20))
+    assert math.isnan(M.slope(df.where("y = 1")))
+
+
+def test_interaction_with_categories_is_saturated(spark):
+    df = cells(spark)
+    got = {r["term"]: r["coef"] for r in M.interaction_test(df, "S2", "query_id", cluster="query_id").collect()}
+    odds = {k: math.log(s / (n - s)) for k, (n, s) in CELLS.items()}
+    assert got["S2"] == pytest.approx(odds["a", 1] - odds["a", 0], abs=1e-6)
+    assert got["S2:query_id[c]"] == pytest.approx(odds["c", 1] - odds["c", 0] - odds["a", 1] + odds["a", 0], abs=1e-6)
+
+
+def test_mixed_logit_lies_between_pooled_and_separate(spark):
+    """With a tight prior the groups' intercepts vanish, with a wide one they are free."""
+    df = cells(spark)
+    coef = lambda d: {r["term"]: r["coef"] for r in d.collect()}["S2"]
+    pooled = coef(M.logit_with_clusters(df, ["S2"], position=None))
+    free = coef(M.logit_with_clusters(df.withColumns({"b": (F.col("query_id") == "b").cast("int"), "c": (F.col("query_id") == "c").cast("int")}), ["S2", "b", "c"], position=None))
+    tight, wide, mid = (coef(M.mixed_logit(df, ["S2"], prior=p)) for p in (0.001, 100.0, 1.0))
+    assert tight == pytest.approx(pooled, abs=1e-3) and wide == pytest.approx(free, abs=1e-3) and free < mid < pooled
+    apart = spark.createDataFrame([(str(i % 4), i % 2, i % 2) for i in range(40)], "query_id string, S2 int, y int")
+    assert {r["method"] for r in M.mixed_logit(apart, ["S2"]).collect()} == {"fallback:ridge(separation)"}
+
+
+def test_power_closed_form(spark):
+    df = spark.createDataFrame([(0.2, 0.2727272727), (0.5, 0.45), (0.5, 0.5), (None, 0.5)], "p1 double, p2 double")
+    sized = df.withColumn("n", F.when(F.col("p1") != F.col("p2"), D.n_for_power(F.col("p1"), F.col("p2"))).otherwise(100))
+    got = [r["power"] for r in M.power_table(sized).collect()]
+    assert 0.8 <= got[0] < 0.802 and 0.8 <= got[1] < 0.802 and got[2] == pytest.approx(0.025, abs=1e-6) and got[3] is None
+
+
+def test_average_linkage_keeps_close_models_together():
+    x = np.array([[1, 2, 3, 4.0], [4, 3, 2, 1.0], [1.1, 2, 3, 4.2], [4, 3.1, 2, 0.9]])
+    order = I.average_linkage(x)
+    assert sorted(order) == [0, 1, 2, 3] and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+    assert sorted(I.average_linkage(np.zeros((3, 4)))) == [0, 1, 2]
+
+
+def test_normalized_arrays(spark):
+    df = spark.createDataFrame([([1.0, 3.0, -2.0],), ([-1.0, 0.0],)], "p array<double>")
+    assert [r[0] for r in df.select(I.normalized(F.col("p"))).collect()] == [[0.25, 0.75, 0.0], [0.5, 0.5]]
+
+
+def test_assembled_articles_show_their_levels(spark):
+    """Every point of the full factorial is detected as it was asked for."""
+    from leverframe.functions.text import detect_profile
+
+    q = spark.createDataFrame([("q1", "health", "Than heor onera"), ("q2", "travel", "Et laou")], "query_id string, domain string, core string")
+    points = D.full_factorial(spark, ["S1", "S2", "S3", "S4"]).unionByName(D.fractional_design(spark)).unionByName(D.full_factorial(spark, ["O1", "O2", "O3", "O4"]))
+    points = points.select(F.lit("x").alias("label"), F.lit("point").alias("role"), F.lit(None).cast("string").alias("target_dim"), F.lit("fake").alias("authenticity"), *FACTORS)
+    for authenticity in ("fake", "genuine"):
+        rows = S.build_targets(q, points.withColumn("authenticity", F.lit(authenticity))).withColumn("p", detect_profile(F.col("text"))).collect()
+        assert len(rows) == 2 * points.count() and all([r["p"][f] for f in FACTORS] == [r[f] for f in FACTORS] for r in rows)
+
+
+def test_distractors_fill_up_what_passages_lack(spark):
+    q = spark.createDataFrame([("q1", "d", "one"), ("q2", "d", "two")], "query_id string, domain string, core string")
+    passages = spark.createDataFrame([("q1", f"passage {i}") for i in range(6)] + [("q2", "only one")], "query_id string, text string")
+    rows = S.distractor_pool(q, 4, passages).collect()
+    real = {k: sum(r["text"].startswith(("passage", "only")) for r in rows if r["query_id"] == k) for k in ("q1", "q2")}
+    assert real == {"q1": 4, "q2": 1} and len(rows) == 8 and len({r["article_id"] for r in rows}) == 8
+
+
+def test_studies_five_and_six(spark):
+    """Their tables against the frames that they come from."""
+    words = [f"w{i}" for i in range(60)]
+    rng = random.Random(2)
+    corpus = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(f"q{i}", "health", f"w{i} w{i + 7}") for i in range(4)], "query_id string, domain string, core string")
+    found, frame, tables = S.run_study5(q, corpus, ["m"], k=4)
+    assert found.count() == 64 and frame.count() == 64 * 4
+    e2e = {r["factor"]: r for r in tables["e2e"].collect()}
+    rows, trials = found.collect(), frame.collect()
+    rate = lambda rs, y, f, role: np.mean([r[y] for r in rs if r["target_dim"] == f and r["role"] == role])
+    assert len(e2e) == 8 and all(e2e[f]["P_e2e_treated"] == pytest.approx(rate(rows, "retrieved", f, "treatment") * rate(trials, "y", f, "treatment")) for f in e2e)
+    rewrites = q.selectExpr("query_id", "array(core, ' ', concat(core, ' w3')) AS texts").where("query_id <> 'q3'")
+    found6, frame6, tables6 = S.run_study6(q, corpus, rewrites, ["m"], k=4)
+    rows6, trials6 = {r["article_id"]: r for r in found6.collect()}, frame6.collect()
+    assert len(rows6) == 64 and tables6["ate_e2e"].count() == 8
+    assert all(t["y"] == 0 for t in trials6 if not rows6[t["target_id"]]["retrieved"]) and any(t["y"] for t in trials6)
+    assert all((t["target_position"] >= 0) == bool(rows6[t["target_id"]]["retrieved"]) for t in trials6)
+
+
+def test_single_rewrite_is_plain_retrieval_and_ties_favour_the_target(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "a b c"), (2, "x y"), (3, "z a d e f g")], "doc_id long, text string")
+    queries = spark.createDataFrame([(5, "a b", None)], "query_id long, text string, embedding array<float>")
+    targets = spark.createDataFrame([(9, [5], "a b c", None), (10, [5], "", None)], "target_id long, query_ids array<long>, text string, embedding array<float>")
+    index = R.Index(docs)
+    plain = {r["target_id"]: r for r in R.search(index, queries.drop("embedding"), targets.drop("embedding"), k=2).collect()}
+    assert plain[9]["target_rank"] == 0 and plain[9]["top_k_ids"] == ["0", "1"] and plain[10]["target_rank"] == 3 and plain[10]["retrieved"] == 0
+    one = "array<struct<query_id:bigint,text:string,embedding:array<float>>>"
+    rewritten = targets.select("target_id", "text", "embedding", F.when(F.col("target_id") == 9, F.array(F.struct(F.lit(5).cast("long").alias("query_id"), F.lit("a b").alias("text"), F.lit(None).cast("array<float>").alias("embedding")), F.struct(F.lit(6).cast("long").alias("query_id"), F.lit("  ").alias("text"), F.lit(None).cast("array<float>").alias("embedding")))).otherwise(F.array().cast(one)).alias("rewrites"))
+    asked, own = R.queries_of_targets(rewritten)
+    multi = {r["target_id"]: r for r in R.search(index, asked.select("query_id", "text"), own.drop("embedding"), k=2, pool="mean").collect()}
+    assert multi[9]["target_rank"] == plain[9]["target_rank"] and multi[9]["top_k_ids"] == plain[9]["top_k_ids"]
+    assert {r["query_id"]: r["text"] for r in asked.collect()} == {5: "a b", -11: ""}
+    with pytest.raises(ValueError, match="no such mode"):
+        R.search(index, queries, targets, mode="sparse")
+
+
+def test_tokens_agree_with_their_python_form(spark):
+    texts = ["a  b\tc", "中文 分词x y", "字", "", None, "mixed中"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert {r["i"]: r["w"] for r in df.select("i", R.tokens(F.col("t")).alias("w")).collect()} == {i: R.words_of(t) for i, t in enumerate(texts)}
+
+
+def test_parsing_of_scores_and_ranking(spark):
+    replies = ['x {"choice": "b", "scores": {"A": 1, "b": "2.5", "C": null, "Z": 1}, "ranking": ["B", "A", "B", "?"]} y', '{"cited": ["A", "q", "a"]}', '{"cited": ["q"]}', '{"cited": []}', "none", '{"choice": ""}']
+    df = spark.createDataFrame([(i, r, ["k1", "k2", "k3"]) for i, r in enumerate(replies)], "i long, r string, ids array<string>").withColumn("o", D.extract_json(F.col("r")))
+    got = {r["i"]: r["d"] for r in df.select("i", D.parse_decision(F.col("o"), F.col("ids")).alias("d")).collect()}
+    assert (got[0]["chosen_ids"], got[0]["scores"], got[0]["ranks"], got[0]["parse_ok"]) == (["k2"], {"k1": 1.0, "k2": 2.5}, {"k2": 2, "k1": 1}, True)
+    assert [(got[i]["chosen_ids"], got[i]["parse_ok"]) for i in range(1, 6)] == [(["k1"], True), ([], False), ([], True), ([], False), ([], False)]
+
+
+def test_permutations_and_designs(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],)], "ids array<string>")
+    assert sorted(df.select(D.permutations(F.col("ids"))).first()[0]) == sorted(map(list, itertools.permutations("abc")))
+    assert len({tuple(p) for p in df.select(D.permutations(F.col("ids"), 4)).first()[0]}) == 4
+    assert D.fractional_design(spark, ["S1", "S2", "O1"]).count() == 8 and D.fractional_design(spark, n_points=20).distinct().count() == 20
+    assert D.fractional_design(spark, ["S1", "S2"]).agg({"O4": "max"}).first()[0] == 0
+
+
+def test_records_of_both_schemas(spark):
+    lines = ['{"k": 1, "question": "q", "documents": [{"paragraphs": ["a", "b"]}, {"paragraphs": null}], "passages": ["no"]}', '{"k": 2, "question": " q ", "passages": ["a", {"text": "b", "x": 1}]}', '{"k": 3, "question": "", "passages": ["a"]}', '{"k": 4, "question": "q", "documents": []}', "no json", '{"k": 5, "question": "q"}']
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r["k"]: r["passages"] for r in parse_records(df, "k LONG").collect()} == {1: ["a", "b"], 2: ["a", "b"]}
+    mixed = spark.createDataFrame([('[{"k": 1}, {"k": 2}]',), (' {"k": 3}',), ("{oops",), ("[]",)], "line string")
+    assert sorted(r["k"] for r in read_lines(mixed, "k LONG").collect()) == [1, 2, 3]
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    (tmp_path / "f" / "model=m 1").mkdir(parents=True)
+    (tmp_path / "f" / "model=m 1" / "x.csv").write_text("\ufeffa,b\n1,x\n", encoding="utf-8")
+    assert read_csv(spark, str(tmp_path / "f"), "a STRING, b STRING, model STRING").collect() == [("1", "x", "m 1")]
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, m string")
+    write_csv(df, str(tmp_path / "g"), "m")
+    assert sorted(read_csv(spark, str(tmp_path / "g"), "a STRING, m STRING").collect()) == [("1", "x"), ("2", "y")]
 
 
 def test_paired_ate_needs_both_sides(spark):
     rows = [("f", "a", 0, 1, 0), ("f", "a", 1, 1, 1), ("f", "b", 1, 1, 1)]
     df = spark.createDataFrame(rows, "factor string, pair_key string, level int, top int, y int")
+    both = E.ate_table(df).first()
+    assert both["paired_ate"] == 1.0 and both["marginal_ate"] == 1.0
     got = E.paired_ate(df).first()
     assert (got["ATE"], got["n_pairs"], got["n_treated"], got["n_control"]) == (1.0, 1, 2, 1)
 
@@ -180,9 +371,25 @@ def test_stream_refreshes(spark, tmp_path):
     from leverframe.streaming.trials import run_incremental, trial_stream
 
     src = str(tmp_path / "in")
-    rows = [(i % 50, "x", f"2024-01-01 00:00:{i % 50:02d}") for i in range(200)]
-    df = spark.createDataFrame(rows, "k long, v string, t string")
-    df.withColumn("t", F.col("t").cast("timestamp_ntz")).write.parquet(src)
+    rows = [(i % 50, i % 3, f"2024-01-01 00:00:{i % 50:02d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, parse_ok int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    df.where("k < 20").coalesce(1).write.parquet(src)
+    df.where("k >= 20").coalesce(1).write.mode("append").parquet(src)
     seen = []
-    path = run_incremental(trial_stream(spark, src, "k LONG, v STRING, t TIMESTAMP_NTZ", ["k"], "t"), lambda d: seen.append(d.count()))
-    assert spark.read.parquet(path).count() == 50 and seen[-1] == 50
+
+    def refresh(d):
+        seen.append(d.count())
+        if len(seen) == 1:
+            raise RuntimeError("logged, not raised")
+
+    stream = lambda: trial_stream(spark, src, "k LONG, parse_ok INT, t TIMESTAMP_NTZ", ["k"], "t", files=1)
+    path = run_incremental(stream(), refresh, every_rows=1)
+    assert spark.read.parquet(path).count() == 50 and seen[-1] == 50 and len(seen) >= 3
+    with pytest.raises(RuntimeError):
+        run_incremental(stream(), lambda d: 1 / 0 if False else (_ for _ in ()).throw(RuntimeError("last")), every_rows=10**6)
+    timed = []
+    run_incremental(stream(), lambda d: timed.append(1), every_rows=10**6, every_seconds=0)
+    assert len(timed) >= 3
+    none = []
+    run_incremental(stream(), lambda d: none.append(1), least_rows=10**6)
+    assert not none
