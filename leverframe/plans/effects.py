@@ -133,19 +133,24 @@ def boot_sql(by: str, n_boot: int) -> str:
 dr AS (SELECT {by}, r, s, n, {u} AS u FROM cs, (SELECT unnest(range({n_boot})) AS r)), dw AS (SELECT *, {weight} AS w FROM dr),
 mn AS (SELECT {by}, r, sum(w * s) / nullif(sum(w * n), 0) AS m FROM dw GROUP BY ALL),
 ends AS (SELECT {by}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY {by}), pt AS (SELECT {by}, sum(s) / sum(n) AS a, CAST(sum(n) AS BIGINT) AS n FROM cs GROUP BY {by})
-SELECT {by}, round(a, 6) AS ATE, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, n AS n_pairs FROM pt JOIN ends USING ({by})"""
+SELECT {by}, round(a, 6) AS ATE, round(lo + 1e-9, 6) AS ci_low, round(hi + 1e-9, 6) AS ci_high, n AS n_pairs FROM pt JOIN ends USING ({by})"""
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    """Rounded off the halves: a quantile of few clusters is a fraction that may lie on one."""
+    return rounded(df.withColumns({c: F.col(c) + 1e-9 for c in ("ci_low", "ci_high")}))
 
 
 @query("cluster_boot_ci", f"{B1}, {pate_sql()}, {boot_sql('factor', 2000)}")
 def cluster_boot_ci(spark, sf_dir):
-    return rounded(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), key=PAIR)))
+    return _ends(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), key=PAIR)))
 
 
 @query("domain_ate_ci", f"{B1}, {pate_sql('domain, factor')}, {boot_sql('domain, factor', 1000)}")
 def domain_ate_ci(spark, sf_dir):
     """Effect of each factor in each domain, with a bootstrap interval."""
     by = ("domain", "factor")
-    return rounded(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), by=by, key=PAIR), 1000, by=by))
+    return _ends(E.cluster_bootstrap(E.cluster_sums(counted(spark, sf_dir), by=by, key=PAIR), 1000, by=by))
 
 
 @query("boot_ci")

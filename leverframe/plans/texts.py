@@ -414,11 +414,11 @@ def truthy(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.truthy(value).alias("said"))
 
 
-@query("institutions", f"{A}, t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '据中国营养学会和北京大学，' WHEN 1 THEN '国家统计局；某某研究所。' ELSE '' END || text AS t FROM articles) SELECT doc_id, array_to_string(regexp_extract_all(t, '([^，。；\\n]{{2,30}}(?:协会|学会|大学|研究院|研究所|中心|统计局|委员会|教育部|卫健委|人民银行|知网|CNNIC|出版社))', 1)[1:5], '; ') AS institutions FROM t")
+@query("institutions", "WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '据中国营养学会和北京大学，' WHEN 1 THEN '国家统计局；某某研究所。' ELSE '' END || coalesce(text, '') AS t FROM conversations) SELECT conv_id, turn, array_to_string(regexp_extract_all(t, '([^，。；\\n]{2,30}(?:协会|学会|大学|研究院|研究所|中心|统计局|委员会|教育部|卫健委|人民银行|知网|CNNIC|出版社))', 1)[1:5], '; ') AS institutions FROM t")
 def institutions(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    said = F.concat(F.when(k == 0, "据中国营养学会和北京大学，").when(k == 1, "国家统计局；某某研究所。").otherwise(""), "text")
-    return articles(spark, sf_dir).select("doc_id", F.array_join(T.institutions(said), "; ").alias("institutions"))
+    k = F.col("turn") % 3
+    said = F.concat(F.when(k == 0, "据中国营养学会和北京大学，").when(k == 1, "国家统计局；某某研究所。").otherwise(""), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.institutions(said), "; ").alias("institutions"))
 
 
 @query("abnormal_scan", f"{A}, v AS (SELECT article_id, generator, trim(text, ' ') AS t, length(base_text) AS nb FROM articles), r AS (SELECT article_id, length(t) AS n_chars, {{REASON}} AS reason FROM v) SELECT article_id, reason, n_chars, CAST(row_number() OVER (PARTITION BY reason ORDER BY n_chars, article_id) AS INTEGER) AS place FROM r WHERE reason IS NOT NULL".replace("{REASON}", """CASE WHEN generator <> 'llm' THEN 'generator=' || generator WHEN length(t) = 0 THEN 'empty' WHEN length(t) < 50 THEN 'short(' || length(t) || '<50)' WHEN nb > 0 AND length(t) < floor(nb * 0.15) THEN 'truncated(' || length(t) || '/' || nb || ')' END"""))
