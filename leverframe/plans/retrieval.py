@@ -12,14 +12,14 @@ from leverframe.operators import retrieval as R
 from leverframe.plans.effects import B1, BY_MODEL_SQL, _by_model, counted, ei_sql
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
-from leverframe.sources.tables import table
+from leverframe.sources.tables import spread, table
 
 K, ALPHA = 8, 0.5
 MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def dense_corpus(spark, sf_dir) -> DataFrame:

@@ -12,7 +12,7 @@ from leverframe.operators import trials as D
 from leverframe.operators.studies import with_points
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
-from leverframe.sources.tables import table
+from leverframe.sources.tables import spread, table
 
 A = f"WITH {ARTICLES_SQL}"
 DIMS_SQL = "dims AS (SELECT unnest(" + str(FACTORS) + ") AS d)"
@@ -266,7 +266,7 @@ def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
     The question's type goes by its id; labels by the parity of a text's length; entities are a reference's first words.
     """
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     label = lambda t: F.when(F.length(S.normalize(t)) % 2 == 0, "Yes").otherwise("No")
     i = F.col("conv_id") * 1000 + F.col("turn")
     said = turns.where("role = 'assistant'").select(i.alias("id"), "conv_id", "turn", "text")
