@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leverframe.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules
 from leverframe.llm.common import delete, scratch
 from leverframe.llm.queries import VOCABULARY, table
+from leverframe.sources.tables import spread
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = spread(table(spark, sf_dir, "documents")), None
     for name, stage in STAGES:
         path = scratch(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leverframe.llm import bpe, exact_dedup, html_extract, langid, near_dedup, packing, quality_model, quality_rules, url_rules, warc
+from leverframe.sources.tables import spread
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -21,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extract.main_text(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality_rules.judged(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
@@ -44,25 +45,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return near_dedup.classes(spread(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.where("NOT held_out").select("doc_id", "text", "lang"))
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_model.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
