@@ -5,6 +5,8 @@ encoding; the encoding of the prefix of length d is the encoding of the prefix o
 token. A suffix token is the last token of a prefix exactly if BPE would keep the pair (last token before it, it)
 apart, which the merge table decides without encoding anything. The distinct words of a batch go into a trie, whose
 depth-first traversal carries these last-token states down, so that a prefix which many words share is computed once.
+Which tokens end a prefix at all is a second state, the longest suffix that begins a token; its few steps and the tokens
+that end it are remembered as they are met.
 
 Special strings of the vocabulary (``added_tokens``) are cut out of a text first, as the tokenizers library does.
 
@@ -63,7 +65,8 @@ class TrieEncoder:
         self.id_of = [vocab[name] for name in names]
         self.bytes_of = [raw(name) for name in names]
         self.rank_of = {b: i for i, b in enumerate(self.bytes_of)}
-        self.longest = max(map(len, self.bytes_of))
+        self.begins = {b[:i] for b in self.bytes_of for i in range(1, len(b) + 1)}
+        self.nodes: dict[bytes, tuple[bytes, dict[int, tuple], list[tuple[int, int]]]] = {}
         self.id_bytes = dict(zip(self.id_of, self.bytes_of, strict=True))
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.id_bytes |= {i: s.encode() for s, i in self.special.items()}
@@ -121,34 +124,52 @@ class TrieEncoder:
             known = self.whole_memo[token] = seq == [token]
         return known
 
+    def node(self, suffix: bytes) -> tuple[bytes, dict[int, tuple], list[tuple[int, int]]]:
+        """A suffix that begins a token, the steps on from it, and the tokens that end it, longest first, each with its length."""
+        if suffix not in self.nodes:
+            n = len(suffix)
+            ends = [(n - i, self.rank_of[suffix[i:]]) for i in range(n) if suffix[i:] in self.rank_of]
+            self.nodes[suffix] = (suffix, {}, ends)
+        return self.nodes[suffix]
+
+    def step(self, node: tuple[bytes, dict[int, tuple], list[tuple[int, int]]], byte: int) -> tuple:
+        """The node after one more byte."""
+        suffix = node[0] + bytes([byte])
+        while suffix not in self.begins:
+            suffix = suffix[1:]
+        node[1][byte] = out = self.node(suffix)
+        return out
+
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of distinct words: one depth-first traversal of their trie.
 
         The trie lies in the sorted list of the words, whose order is the depth-first one; ``states`` is the path from
-        the root: states[d] is the last token of the first d bytes. Going to the next word pops what the two don't share.
+        the root: states[d] is the last token of the first d bytes, nodes[d] the node of their longest suffix that begins a
+        token. Going to the next word pops what the two don't share.
         """
-        ranks, memo, longest, id_of, bytes_of = self.rank_of.get, self.apart_memo.get, self.longest, self.id_of, self.bytes_of
+        memo, id_of, bytes_of = self.apart_memo.get, self.id_of, self.bytes_of
         out: dict[str, list[int]] = {}
-        states, last, token = [-1], b"", -1
+        states, nodes, last, token = [-1], [self.node(b"")], b"", -1
         for word in sorted(words, key=str.encode):
             path = word.encode()
             shared, n = 0, min(len(last), len(path))
             while shared < n and last[shared] == path[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del states[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[-1]
             for d in range(shared + 1, len(path) + 1):
-                for at in range(max(0, d - longest), d):
-                    token = ranks(path[at:d])
-                    if token is not None:
-                        if not at:
-                            fits = self.whole(token)
-                        else:
-                            fits = memo((states[at], token))
-                            if fits is None:
-                                fits = self.apart(states[at], token)
-                        if fits:
-                            break
+                node = node[1].get(path[d - 1]) or self.step(node, path[d - 1])
+                for size, token in node[2]:
+                    if size == d:
+                        fits = self.whole(token)
+                    else:
+                        fits = memo((states[d - size], token))
+                        if fits is None:
+                            fits = self.apart(states[d - size], token)
+                    if fits:
+                        break
                 states.append(token)
+                nodes.append(node)
             ids, d = [], len(path)
             while d:
                 ids.append(id_of[states[d]])
