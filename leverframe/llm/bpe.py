@@ -65,7 +65,7 @@ class TrieEncoder:
         self.id_of = [vocab[name] for name in names]
         self.bytes_of = [raw(name) for name in names]
         self.rank_of = {b: i for i, b in enumerate(self.bytes_of)}
-        self.begins = {b[:i] for b in self.bytes_of for i in range(1, len(b) + 1)}
+        self.begins: set[bytes] = set()
         self.nodes: dict[bytes, tuple[bytes, dict[int, tuple], list[tuple[int, int]]]] = {}
         self.id_bytes = dict(zip(self.id_of, self.bytes_of, strict=True))
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
@@ -147,6 +147,8 @@ class TrieEncoder:
         the root: states[d] is the last token of the first d bytes, nodes[d] the node of their longest suffix that begins a
         token. Going to the next word pops what the two don't share.
         """
+        if not self.begins:
+            self.begins = {b[:i] for b in self.bytes_of for i in range(1, len(b) + 1)}
         memo, id_of, bytes_of = self.apart_memo.get, self.id_of, self.bytes_of
         out: dict[str, list[int]] = {}
         states, nodes, last, token = [-1], [self.node(b"")], b"", -1

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Within the block, whole texts go to Python at most ``rows`` at a time, to bound a worker's memory; for tables that are written inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    if before > rows or before <= 0:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(*cuts: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote and that nothing reads any more."""
     for df in cuts:

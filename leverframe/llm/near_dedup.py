@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_decided, partitions, set_aside
+from leverframe.llm.common import brought_back, cut, drop, join_grouped, keep_decided, partitions, set_aside, small_batches
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 #: Components of a signature; the first BANDS x ROWS are banded. Texts of similarity 0.8 agree in fewer than AGREE of
@@ -379,6 +379,11 @@ def linked(found: np.ndarray, comp: np.ndarray, texts: np.ndarray, threshold: fl
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, digest, class_id (the doc_id of its class that stays), class_size, kept."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, threshold)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     rows = cut(sketch(docs))
     texts = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("max_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     total = texts.count()

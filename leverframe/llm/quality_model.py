@@ -32,10 +32,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.common import brought_back, cut, join_grouped, set_aside
+from leverframe.llm.common import brought_back, cut, join_grouped, set_aside, small_batches
 from leverframe.llm.near_dedup import GOLDEN, U, mix, word_hashes
 
-LABELLED = 10_000
+LABELLED = 5_000
 DIMS = 1 << 13
 #: Passes over the rows: at least EPOCHS, and as many as make UPDATES steps.
 EPOCHS, UPDATES, RATE, RIDGE = 3, 20_000, 0.3, 1e-4
@@ -70,15 +70,15 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> dict | None:
-    """Weights of a logistic regression and the share of good rows; None unless both labels occur."""
+def fit(rows: list[bytes], y: np.ndarray) -> dict | None:
+    """Weights of a logistic regression and the share of good rows, from packed features; None unless both labels occur."""
     if len(set(y.tolist())) < 2:
         return None
     w, past = np.zeros(DIMS + SHAPE + 1), np.full(DIMS + SHAPE + 1, 1e-6)
     rng = np.random.default_rng(0)
     for _ in range(max(EPOCHS, UPDATES // len(rows))):
         for i in rng.permutation(len(rows)):
-            at, x = rows[i]
+            at, x = _unpacked(rows[i])
             mine = w[at]
             g = (1 / (1 + np.exp(-(mine @ x))) - y[i]) * x
             g[:-1] += RIDGE * mine[:-1]
@@ -88,15 +88,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> dict | None
 
 
 def _packed(texts: list[str]) -> list[bytes]:
-    return [np.concatenate([at.astype("<f4"), x.astype("<f4")]).tobytes() for at, x in features(texts)]
+    return [at.astype("<u2").tobytes() + x.astype("<f4").tobytes() for at, x in features(texts)]
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(raw, "<f4").reshape(2, -1)
-    return both[0].astype(np.int64), both[1].astype(float)
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u2", n).astype(np.int64), np.frombuffer(raw, "<f4", n, 2 * n).astype(float)
 
 
-def slices(texts: pd.Series, chars: int = 1_500_000) -> Iterator[list[str]]:
+def slices(texts: pd.Series, chars: int = 500_000) -> Iterator[list[str]]:
     """A column's texts in lists of about ``chars`` characters; null counts as empty."""
     whole = texts.fillna("")
     for _, part in whole.groupby((whole.str.len().cumsum() // chars).to_numpy(), sort=False):
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "doc_id"])
-        return pd.DataFrame({"model": [pickle.dumps(fit([_unpacked(x) for x in frame["x"]], frame["y"].to_numpy()))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(list(frame["x"]), frame["y"].to_numpy()))]})
 
     seen = rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, y double, x binary")
     one = seen.groupBy("doc_id").agg(F.min("h").alias("h"), F.first("y").alias("y"), F.min_by("x", "h").alias("x"))
@@ -175,7 +175,8 @@ def site_columns(docs: DataFrame, host: str, path: str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", labelled: int = LABELLED) -> DataFrame:
     """One row per document: doc_id, evidence, prior, posterior, kept."""
-    model = train(docs, labels, labelled)
+    with small_batches(docs.sparkSession):
+        model = train(docs, labels, labelled)
     rows = cut(site_columns(docs, host, path).select("doc_id", F.col("_host").alias("host"), F.col("_path").alias("path"), evidence(docs, F.col("text"), model).alias("evidence")))
     rates = site_rates(rows, model["rate"] if model else 1 - 1e-6)
     out = join_grouped(rows, rates.select("path", "n", "prior"), "path", "n", rows.count())
@@ -189,11 +190,14 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     Evidence is worked out once for the sites and once more where each text lies, so that texts are not shuffled; the
     paths' rates are broadcast if a count shows at most ``bound`` of them, else joined by path.
     """
-    model = train(docs, labels, labelled)
+    with small_batches(docs.sparkSession):
+        model = train(docs, labels, labelled)
     own = set_aside(docs, "doc_id", "text", host, path)
     marked = site_columns(own, host, path).withColumn("_evidence", evidence(docs, F.col("text"), model))
     rows = marked.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_evidence").alias("evidence"))
-    rates = cut(site_rates(rows, model["rate"] if model else 1 - 1e-6).select(F.col("path").alias("_path"), "n", F.col("prior").alias("_prior")))
+    with small_batches(docs.sparkSession):
+        rates = site_rates(rows, model["rate"] if model else 1 - 1e-6)
+    rates = cut(rates.select(F.col("path").alias("_path"), "n", F.col("prior").alias("_prior")))
     if rates.limit(bound + 1).count() <= bound:
         out = marked.join(F.broadcast(rates.drop("n")), "_path", "left")
     else:

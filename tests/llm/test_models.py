@@ -269,8 +269,12 @@ def test_repeated_labelled_ids_are_learned_once(spark):
     rows = [(i, f"word{i % 7} good text {i}") for i in range(40)] + [(i, "$$ ## %% junk " * 3) for i in range(40, 60)]
     docs = spark.createDataFrame(rows + [(40, "zz")] * 50 + [(41, "$$ ## %% junk " * 3)] * 50, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(60)], "doc_id long, quality int")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
     model = quality_model.train(docs, labels)
     assert model["rate"] == pytest.approx(40 / 60)
+    quality_model.keep(docs.withColumns({"source": F.lit("s"), "lang": F.lit("l")}), labels).count()
+    assert spark.conf.get(key) == before
 
 
 def test_levels_are_named_where_they_are_described():
