@@ -8,7 +8,7 @@
    their weighted Jaccard similarity. Points come in order of time, so a process stops once it is past the latest
    component: about (shingles + components x log components) draws for each text.
 3. Signatures are banded. Each text in a bucket meets the bucket's hub (its least digest): one pair for each text, never
-   all pairs. While a bucket has more than a block of texts outside its largest component, another of these becomes its
+   all pairs. While a bucket has more than ``HUB_FROM`` texts outside its largest component, another of these becomes its
    hub, up to ``HUBS`` times and as long as that joins a fifth of them. Where a bucket then still holds several components, blocks of the texts outside its largest
    one meet blocks of all of them in one task each: as signatures first, and with those texts that agree with another.
    Two texts are compared if their signatures agree in at least 76 of 128 components, which a pair of similarity 0.8
@@ -43,6 +43,8 @@ WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 4
 COMPONENTS, AGREE = 128, 76
 #: Texts of a bucket on either side of a comparison in step 3, most further hubs of a bucket, and pairs that one copy of a hub's text meets.
 BLOCK, HUBS, COPIES = 192, 8, 500
+#: From how many texts apart on a bucket gets further hubs before it is compared in blocks.
+HUB_FROM = 4096
 
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -282,7 +284,7 @@ def split(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def next_hubs(open_: DataFrame, number: int) -> DataFrame:
     """Pairs (a, b) of each member of a bucket with many texts apart and another hub, one of these."""
-    many = open_.where(F.col("n_apart") > BLOCK)
+    many = open_.where(F.col("n_apart") > HUB_FROM)
     one = F.min_by(F.struct("digest", "comp"), F.xxhash64("digest", F.lit(number)))
     hubs = cut(many.where("apart").groupBy("bucket").agg(one.alias("hub"), F.max("n").alias("n_in")))
     met = join_grouped(many.select("digest", "bucket", "comp"), hubs, "bucket", "n_in", many.count())
@@ -397,7 +399,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     similar = lambda pairs: cut(similarities(bags, cut(agreeing(cut(pairs), sigs))).where(F.col("sim") >= threshold))
     comps = components(similar(members.where("digest <> hub").select(F.col("digest").alias("a"), F.col("hub").alias("b")).distinct()))
     open_ = split(members, comps)
-    many = lambda: open_.where(F.col("n_apart") > BLOCK).where("apart").count()
+    many = lambda: open_.where(F.col("n_apart") > HUB_FROM).where("apart").count()
     apart = many()
     for number in range(HUBS):
         if not apart:

@@ -7,7 +7,7 @@ every size of the table, and a well filled one says log p_trusted - log p_raw. A
 n-grams. A trusted document is scored against the other trusted ones: its own n-grams are taken out of the trusted
 counts first. A fixed threshold on the score decides every document.
 
-Everything is DataFrame functions: the counts are one grouped aggregation, the ratio is one small table (``BUCKETS``
+Everything is DataFrame functions: the counts are one grouped aggregation; they are two small tables (``BUCKETS``
 numbers whatever the input) in the scoring expression.
 
 Results for odd input: null text has no words, so its counts are 0, base_failed holds and its score is null; with no
@@ -103,16 +103,18 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for row in counts.collect():  # at most BUCKETS rows
         raw[row["bucket"]], best[row["bucket"]] = row["raw"], row["good"]
     n_raw, n_best = max(1, sum(raw)), sum(best)
-    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<double>")
-    trusted, share, ratios = table(best), table([r / n_raw for r in raw]), table(evidence(raw, best))
+    # whole numbers, which keep the plan small; ratios are worked out where they are used
+    table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    trusted, every = table(best), table(raw)
 
     out = base_counts(marked).withColumn("_grams", F.transform(F.concat("_w1", "_w2"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    plain = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get(ratios, b))
+    ratio = lambda b: F.log((F.get(trusted, b) + EVIDENCE) / (F.get(every, b) * (n_best / n_raw) + EVIDENCE))
+    plain = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + ratio(b))
     others = F.lit(float(n_best)) - F.size("_grams")
 
     def run(a: Column) -> Column:
         """The sum with the run of ``k`` equal buckets that ends."""
-        shrunk = F.log((F.get(trusted, a["b"]) - a["k"] + EVIDENCE) / (others * F.get(share, a["b"]) + EVIDENCE))
+        shrunk = F.log((F.get(trusted, a["b"]) - a["k"] + EVIDENCE) / (others * (F.get(every, a["b"]) / n_raw) + EVIDENCE))
         return a["total"] + F.when(a["k"] > 0, a["k"] * shrunk).otherwise(0.0)
 
     def step(a: Column, b: Column) -> Column:
@@ -127,14 +129,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return brought_back(out, aside, docs, *RESULTS)
 
 
-def evidence(raw: list[int], best: list[int]) -> list[float]:
-    """Log of trusted count by expected count of each bucket, both with ``EVIDENCE`` added."""
-    from math import log
-
-    n_raw, n_best = max(1, sum(raw)), sum(best)
-    return [log((b + EVIDENCE) / (n_best * r / n_raw + EVIDENCE)) for r, b in zip(raw, best, strict=True)]
-
-
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns only.
 

@@ -191,6 +191,7 @@ def test_repeated_ids_over_near_texts(spark):
 def test_split_buckets_lose_no_link(spark, monkeypatch, hubs):
     """Texts that share a hub which none of them is near to: all links are found, by further hubs and by blocks."""
     monkeypatch.setattr(near_dedup, "HUBS", hubs)
+    monkeypatch.setattr(near_dedup, "HUB_FROM", 8)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "COPIES", 3)
     rng = random.Random(9)
