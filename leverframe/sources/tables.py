@@ -16,5 +16,5 @@ def spread(df: DataFrame, core_bytes: int = 8 << 20) -> DataFrame:
     work on. Larger tables have splits enough and stay where they lie. The size is the optimizer's estimate; nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * core_bytes else df
