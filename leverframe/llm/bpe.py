@@ -21,7 +21,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,11 +257,11 @@ def encoder(spec: str, use: str) -> TrieEncoder:
     return _ENCODERS[key]
 
 
-def batches(text: pd.Series, chars: int = 2_000_000) -> Iterator[list[str]]:
+def batches(text: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
     """Slices of a column of about ``chars`` characters, so that a worker never holds the words of many long texts."""
     out, n = [], 0
     for t in text:
-        out.append(t if isinstance(t, str) else "")
+        out.append(t.as_py() or "")
         n += len(out[-1])
         if n >= chars:
             yield out
@@ -274,17 +274,18 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """Each row's id, its token ids and the text that these decode to (columns id_col, ids, decoded)."""
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, "list")
-        for frame in frames:
+        for batch in given:
             at = 0
-            for texts in batches(frame["t"]):
+            for texts in batches(batch.column(1)):
                 ids = [[i for part in parts for i in part] for parts in enc.texts(texts, list)]
-                yield pd.DataFrame({"k": frame["k"].iloc[at : at + len(texts)].to_numpy(), "ids": ids, "decoded": [enc.decode(x) for x in ids]})
+                own = batch.column(0).slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], ["k", "ids", "decoded"])
                 at += len(texts)
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", id_col)
 
 
 def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,19 +296,19 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, "digest")
         pack = lambda ids: (",".join(map(str, ids)), len(ids), b"".join([enc.id_bytes[i] for i in ids]))
-        for frame in frames:
-            rows = []
-            for texts in batches(frame["t"]):
+        for batch in given:
+            rows: tuple[list, list, list] = ([], [], [])
+            for texts in batches(batch.column(1)):
                 for parts in enc.texts(texts, pack):
-                    said = ",".join([p[0] for p in parts if p[1]])
-                    text = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
-                    rows.append((sum([p[1] for p in parts]), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "k", frame["k"].to_numpy())
-            yield out
+                    said, sizes, raw = zip(*parts, strict=True) if parts else ((), (), ())
+                    whole = b"".join(raw).decode("utf-8", "replace").encode()
+                    rows[0].append(sum(sizes))
+                    rows[1].append(hashlib.sha256(",".join(filter(None, said)).encode()).hexdigest())
+                    rows[2].append(hashlib.sha256(whole).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", id_col)

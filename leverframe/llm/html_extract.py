@@ -2,14 +2,15 @@
 
 A page is cut into blocks at block-level tags; inline elements never cut. First pass, on each block alone: blocks in
 boilerplate containers (menus, headers outside the article, footers, asides, forms, adverts, notices, reader comments,
-by tag, role or whole class/id token; ids of headings don't count) are bad; of the others, blocks with many links are
-bad, long blocks with many stop words are good, those with some are nearly good, very short ones and headings are
-short, those without stop words are bad. On a page whose text has hardly any of the known stop words, its language is
-not among the lists: there length decides alone. If no block is good, the nearly good ones are.
+by tag, role or whole class/id token; ids of headings don't count) are bad; of the others, blocks that are links
+throughout are bad, those with words beside many links are linked, long blocks with many stop words are good, those
+with some are nearly good, very short ones and headings are short, those without stop words are bad. On a page whose
+text has hardly any of the known stop words, its language is not among the lists: there length decides alone. If no block is good, the nearly good ones are, and if there are none of
+these either, the short ones.
 
-Second pass: nearly good and short blocks inherit from the nearest decided block on either side, near being counted in
-element borders that lie between. A nearly good block is kept if either of the two is good, a short one if the nearer
-is (of two as near, both must be).
+Second pass: nearly good, short and linked blocks inherit from the nearest decided block on either side, near being
+counted in element borders that lie between. A nearly good block is kept if either of the two is good, a linked one if
+both are, a short one if the nearer is (of two as near, both must be).
 
 Article and main elements are a prior: only if their blocks outside boilerplate hold more than half of the text that
 these rules keep on the whole page (where they keep none, of all text outside boilerplate and links), blocks outside are
@@ -18,10 +19,10 @@ block between neighbours as near to it is kept if either is good, and blocks wit
 than bad, since they may be tables, lists or quotes.
 
 Results for odd input: null or empty html gives an empty text; markup cut off anywhere is read as far as it goes; an
-attribute's quote that never closes is a character like others, so the tag ends at the next ``>``; a page without any
-good or nearly good block gives an empty text; repeated rows each get their text; an empty table gives an empty result.
+attribute's quote that never closes is a character like others, so the tag ends at the next ``>``; a page with nothing
+but boilerplate and links gives an empty text; repeated rows each get their text; an empty table gives an empty result.
 Very long pages are read whole, in time that grows with their length, whatever their nesting. Columns of ``pages`` called
-text or n_chars are replaced by the results; all others but the html stay.
+text or n_chars, in upper or lower case, are replaced by the results; all others but the html stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leverframe.llm.common import brought_back, set_aside
+
 # Which elements break a block, hold no text, or are never main text; words in class, id or role that name boilerplate.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template svg iframe textarea title".split())
@@ -254,10 +257,12 @@ def stop_share(text: str) -> tuple[int, int]:
 
 
 def first_pass(text: str, linked: int, heading: bool, boiler: bool, inside: bool, stops: tuple[int, int], limits=Limits) -> str:
-    """good, near (nearly good), short or bad; ``inside``: the block is in the page's article; ``stops``: its ``stop_share``."""
+    """good, near (nearly good), short, linked or bad; ``inside``: the block is in the page's article; ``stops``: its ``stop_share``."""
     n = len(text)
-    if boiler or linked / n > limits.link_share:
+    if boiler:
         return "bad"
+    if linked / n > limits.link_share:
+        return "linked" if WORD.search(text) and linked < n else "bad"
     if heading or n < limits.short:
         return "bad" if linked else "short"
     stop, words = stops
@@ -287,7 +292,8 @@ def second_pass(labels: list[str], at: list[int], edges: tuple[int, int] | None
         near = [(abs(at[i] - place), seen) for seen, place in filter(None, (sides[0][i], sides[1][i]))]
         least = min(near, default=(0, ""))[0]
         said = [seen == "good" for d, seen in near if d == least]
-        keep.append(label == "good" or label == "near" and any(seen == "good" for _, seen in near) or label == "short" and (any(said) if edges else bool(said) and all(said)))
+        either = [seen == "good" for _, seen in near]
+        keep.append(label == "good" or label == "near" and any(either) or label == "linked" and len(either) == 2 and all(either) or label == "short" and (any(said) if edges else bool(said) and all(said)))
     return keep
 
 
@@ -297,7 +303,8 @@ def passes(blocks: list[tuple], at: list[int], stops: list[tuple[int, int]], edg
     known = 2 * sum(s for s, _ in open_) >= Limits.low_stop * sum(w for _, w in open_)
     labels = [first_pass(*b[:4], edges is not None, s if known else (1, 1)) for b, s in zip(blocks, stops, strict=True)]
     if "good" not in labels:
-        labels = ["good" if x == "near" else x for x in labels]
+        standing = "near" if "near" in labels else "short"
+        labels = ["good" if x == standing else x for x in labels]
     kept = second_pass(labels, at, edges)
     for i, b in enumerate(blocks):  # a heading right before kept text belongs to it
         if b[2] and labels[i] == "short" and not kept[i] and i + 1 < len(blocks) and kept[i + 1]:
@@ -322,10 +329,11 @@ def extract(html: str | None) -> str:
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with text and n_chars."""
+
     @F.pandas_udf("string")
     def texts(html: pd.Series) -> pd.Series:
         return html.map(extract)
 
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    out = pages.withColumn("text", texts(F.coalesce(html_col, F.lit(""))))
-    return out.select(*rest, "text", F.length("text").cast("long").alias("n_chars"))
+    aside = set_aside(pages, html_col)
+    out = aside.withColumn("text", texts(F.coalesce(html_col, F.lit("")))).withColumn("n_chars", F.length("text").cast("long"))
+    return brought_back(out, aside.drop(html_col), pages.drop(html_col), "text", "n_chars")

@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -65,14 +65,15 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, closing_id: int = 0
     kind = dict(docs.dtypes)[id_col]
     schema = f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(spec.value)
         tokens = _TOKENS.get(key) or _TOKENS.setdefault(key, Tokens(spec.value))
         task = TaskContext.get().partitionId()
         counts = [0] * size.bit_length()
-        for frame in frames:
+        names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
+        for batch in given:
             at = 0
-            for texts in batches(frame["t"], 1_000_000):
+            for texts in batches(batch.column(1), 1_000_000):
                 rows, ids_out, owners = [], [], []
                 for i, text in enumerate(texts):
                     ids = np.array([*tokens(text), closing_id], dtype="<u4")
@@ -86,14 +87,14 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, closing_id: int = 0
                         if with_ids:
                             ids_out.append(ids[start : start + length].astype("int32"))
                         start += length
-                out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"])
-                out.insert(0, "k", frame["k"].iloc[owners].to_numpy())
+                figures = dict(zip(names, zip(*rows, strict=True), strict=True))
+                out = {"k": batch.column(0).take(pa.array(owners)), **{c: pa.array(v, pa.int32() if c == "bucket" else pa.int64()) for c, v in figures.items()}}
                 if with_ids:
-                    out["ids"] = ids_out
-                yield out
+                    out["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
                 at += len(texts)
 
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", id_col)
 
 
 def bucket_sizes(pieces: DataFrame) -> DataFrame:

@@ -103,27 +103,30 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for row in counts.collect():  # at most BUCKETS rows
         raw[row["bucket"]], best[row["bucket"]] = row["raw"], row["good"]
     n_raw, n_best = max(1, sum(raw)), sum(best)
-    # whole numbers, which keep the plan small; ratios are worked out where they are used
+    # Whole numbers in one literal each, which ``scored`` binds once: ratios are worked out where they are used.
     table = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    trusted, every = table(best), table(raw)
-
-    out = base_counts(marked).withColumn("_grams", F.transform(F.concat("_w1", "_w2"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
-    ratio = lambda b: F.log((F.get(trusted, b) + EVIDENCE) / (F.get(every, b) * (n_best / n_raw) + EVIDENCE))
-    plain = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + ratio(b))
     others = F.lit(float(n_best)) - F.size("_grams")
 
-    def run(a: Column) -> Column:
-        """The sum with the run of ``k`` equal buckets that ends."""
-        shrunk = F.log((F.get(trusted, a["b"]) - a["k"] + EVIDENCE) / (others * (F.get(every, a["b"]) / n_raw) + EVIDENCE))
-        return a["total"] + F.when(a["k"] > 0, a["k"] * shrunk).otherwise(0.0)
+    def scored(t: Column) -> Column:
+        """The sum of a document's log ratios by the two tables ``t``."""
+        ratio = lambda b: F.log((F.get(t["good"], b) + EVIDENCE) / (F.get(t["raw"], b) * (n_best / n_raw) + EVIDENCE))
+
+        def run(a: Column) -> Column:
+            """The sum with the run of ``k`` equal buckets that ends."""
+            shrunk = F.log((F.get(t["good"], a["b"]) - a["k"] + EVIDENCE) / (others * (F.get(t["raw"], a["b"]) / n_raw) + EVIDENCE))
+            return a["total"] + F.when(a["k"] > 0, a["k"] * shrunk).otherwise(0.0)
 
-    def step(a: Column, b: Column) -> Column:
-        same = a["b"] == b
-        return F.struct(b.alias("b"), F.when(same, a["k"] + 1).otherwise(1).alias("k"), F.when(same, a["total"]).otherwise(run(a)).alias("total"))
+        def step(a: Column, b: Column) -> Column:
+            same = a["b"] == b
+            return F.struct(b.alias("b"), F.when(same, a["k"] + 1).otherwise(1).alias("k"), F.when(same, a["total"]).otherwise(run(a)).alias("total"))
 
-    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("k"), F.lit(0.0).alias("total"))
-    left_out = F.aggregate(F.sort_array("_grams"), start, step, run)
-    total = F.when(F.col("_good") & (others > 0), left_out).when(F.col("_good"), 0.0).otherwise(plain)
+        start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("k"), F.lit(0.0).alias("total"))
+        left_out = F.aggregate(F.sort_array("_grams"), start, step, run)
+        plain = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + ratio(b))
+        return F.when(F.col("_good") & (others > 0), left_out).when(F.col("_good"), 0.0).otherwise(plain)
+
+    out = base_counts(marked).withColumn("_grams", F.transform(F.concat("_w1", "_w2"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")))
+    total = F.transform(F.array(F.struct(table(best).alias("good"), table(raw).alias("raw"))), scored)[0]
     out = out.withColumn("llr", F.when(F.size("_grams") > 0, total / F.size("_grams")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= LEAST))
     return brought_back(out, aside, docs, *RESULTS)

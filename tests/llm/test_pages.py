@@ -28,9 +28,9 @@ PROSE = "This is the kind of text that one would want to keep because it has man
         ("<article><p>a</p><div class='comments'><p>no</p></div><aside>s</aside><form>f</form><p>b</p></article>", "a\nb"),
         ("<article><p>a<script>var t='</p>';</script> b</p></article><div class=ad>z</div>", "a b"),
         ("<article><header><h1>H</h1></header><p>x &#x41;&#66; &am", "H\nx AB &am"),
-        ("<p>no article, short</p>", ""),
+        ("<p>no article, short</p>", "no article, short"),
         (f"<ul><li><a href=1>Home</a></li></ul><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p><p>(c) us</p><div><a href=2>more links here</a></div>", f"{PROSE}\nShort one.\n{PROSE}"),
-        ("plain < text", ""),
+        ("plain < text", "plain < text"),
         ("<div class='cookie-notice'>We use cookies</div><main><p>m</p></main>", "m"),
     ],
 )
@@ -182,6 +182,75 @@ def test_main_text_columns(spark):
     assert html_extract.main_text(df).columns == ["page_id", "url", "text", "n_chars"] and html_extract.main_text(df.where("false")).count() == 0
 
 
+def test_main_text_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "<p>Hello world</p>", "mine", 2, 3)], ["page_id", "html", "Text", "a.b", "N_CHARS2"])
+    out = html_extract.main_text(df)
+    assert out.columns == ["page_id", "a.b", "N_CHARS2", "text", "n_chars"]
+    assert tuple(out.first()) == (1, 2, 3, "Hello world", 11)
+
+
+PROSE = "This is a good paragraph with the words that we all know and it is long enough to be good, so that it counts as one of the good ones that are here."
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_linked_and_short_blocks_follow_their_neighbours(tag):
+    cited, menu = "See <a href=1>the first of these long reports</a> and <a href=2>the second of them</a>", "<p><a href=3>One</a> | <a href=4>Two</a></p>"
+    html = f"<{tag}><p>{PROSE}</p><p>{cited}</p><p>{PROSE}</p></{tag}>{menu}"
+    assert html_extract.extract(html) == f"{PROSE}\nSee the first of these long reports and the second of them\n{PROSE}"
+    assert html_extract.extract(f"<{tag}><p>Hello world</p></{tag}>{menu}") == "Hello world"
+    assert html_extract.extract("<h1>Only title</h1><nav><a href=1>x</a></nav>") == "Only title" and html_extract.extract(menu) == ""
+
+
+def plain_passes(blocks, at, inside):
+    """Both passes written out block by block, for a page of known language: text, linked, heading, boilerplate."""
+    share = lambda t: html_extract.stop_share(t)[0] / max(1, html_extract.stop_share(t)[1])
+    labels = []
+    for text, linked, heading, boiler in blocks:
+        if boiler or linked == len(text):
+            labels.append("bad")
+        elif linked > 0.35 * len(text):
+            labels.append("linked")
+        elif heading or len(text) < 40:
+            labels.append("bad" if linked else "short")
+        elif share(text) >= 0.2:
+            labels.append("good" if len(text) > 140 else "near")
+        else:
+            labels.append("near" if inside or share(text) >= 0.1 else "bad")
+    for weaker in ("near", "short"):
+        if "good" not in labels:
+            labels = ["good" if x == weaker else x for x in labels]
+    kept = []
+    for i, label in enumerate(labels):
+        decided = [j for j, x in enumerate(labels) if x in ("good", "bad")]
+        sides = [max((j for j in decided if j < i), default=None), min((j for j in decided if j > i), default=None)]
+        seen = [(abs(at[i] - at[j]), labels[j] == "good") for j in sides if j is not None]
+        if inside:
+            seen += [(abs(at[i] - place), True) for j, place in zip(sides, (at[0] - 1, at[-1] + 1), strict=True) if j is None]
+        nearest = [good for d, good in seen if d == min(seen)[0]]
+        good = [g for _, g in seen]
+        kept.append(label == "good" or label == "near" and any(good) or label == "linked" and len(good) == 2 and all(good) or label == "short" and bool(nearest) and (any if inside else all)(nearest))
+    for i, (_, _, heading, _) in enumerate(blocks[:-1]):
+        kept[i] |= heading and labels[i] == "short" and kept[i + 1]
+    return kept
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_passes_against_their_rules_written_out(inside):
+    rng = random.Random(8)
+    words = "the of and in that house river blue seven walking lantern".split()
+    for _ in range(400):
+        blocks, at = [], []
+        for _ in range(rng.randint(1, 9)):
+            text = " ".join(rng.choices(words, weights=[rng.choice([1, 4])] * 5 + [3] * 6, k=rng.choice([1, 3, 9, 15, 40])))
+            blocks.append((text, rng.choice([0, 0, 0, len(text) // 2, len(text), min(3, len(text))]), rng.random() < 0.2, rng.random() < 0.15))
+            at.append((at[-1] if at else 0) + rng.randint(1, 4))
+        stops = [(0, 0) if b[3] else html_extract.stop_share(b[0]) for b in blocks]
+        shown = [s for b, s in zip(blocks, stops, strict=True) if not b[3] and b[1] / len(b[0]) <= 0.35]
+        if 2 * sum(s for s, _ in shown) < 0.1 * sum(w for _, w in shown):
+            continue
+        assert html_extract.passes(blocks, at, stops, (at[0] - 1, at[-1] + 1) if inside else None) == plain_passes(blocks, at, inside)
+
+
 def test_very_long_page_is_read_whole(spark):
     html = f"<article>{f'<p>{PROSE}</p>' * 20_000}<p>end</p></article>"
     (row,) = html_extract.main_text(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()

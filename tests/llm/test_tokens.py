@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,23 @@ def test_sizes_without_room_for_their_bucket(spark):
     assert packing.pack(docs(spark), PATH, size=1 << 15).count() > 0
 
 
+def test_ids_stay_as_they_are_beside_nulls_and_clashing_columns(spark, library):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string").coalesce(1).selectExpr("doc_id", "text", "1 AS k", "2 AS ids", "3 AS `T`")
+    want = Counter([big, None, big + 2])
+    for out in (packing.pack(df, PATH), bpe.digests(df, PATH), bpe.encode_decode(df, PATH)):
+        assert Counter({r["doc_id"] for r in out.collect()}) == want
+    names = df.selectExpr("cast(doc_id AS string) AS doc_id", "text")
+    assert {r["doc_id"] for r in packing.pack(names, PATH, with_ids=True).collect()} == {str(big), None, str(big + 2)}
+
+
+def test_long_text(spark, library):
+    text = "the then thentien 12,345 \n" * 40_000
+    row = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_empty_table(spark):
     none = docs(spark).where("false")
     assert packing.pack(none, PATH).count() == 0 and bpe.digests(none, PATH).count() == 0
