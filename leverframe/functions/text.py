@@ -125,13 +125,16 @@ def dedup_key(text: Column, n: int = 60) -> Column:
 
 def classify_domain(text: Column, keywords: dict[str, Sequence[str]]) -> Column:
     """The domain with most of its keywords present, if it is the only one with so many and there is any; else null."""
-    hits = {d: reduce(Column.__add__, [F.contains(text, F.lit(k)).cast("int") for k in ks]) for d, ks in keywords.items()}
-    best = F.greatest(*hits.values())
-    tied = reduce(Column.__add__, [(h == best).cast("int") for h in hits.values()])
-    out = F.lit(None).cast("string")
-    for d, h in hits.items():
-        out = F.when(h == best, d).otherwise(out)
-    return F.when((best > 0) & (tied == 1), out)
+    lists = F.array(*[F.struct(F.lit(d).alias("domain"), F.array(*map(F.lit, ks)).alias("words")) for d, ks in keywords.items()])
+
+    def decided(hits: Column) -> Column:
+        best = F.array_max(F.transform(hits, lambda h: h["n"]))
+        top = F.filter(hits, lambda h: h["n"] == best)
+        return F.when((best > 0) & (F.size(top) == 1), top[0]["domain"])
+
+    # The text and its hits are each bound once, as the element of an array of one.
+    count = lambda t: F.transform(lists, lambda k: F.struct(F.size(F.filter(k["words"], lambda w: F.contains(t, w))).alias("n"), k["domain"].alias("domain")))
+    return F.transform(F.transform(F.array(text), count), decided)[0]
 
 
 def titles(text: Column) -> Column:

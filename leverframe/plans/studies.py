@@ -19,10 +19,10 @@ MODELS = ["model-a", "model-b"]
 
 
 def questions(spark, sf_dir) -> DataFrame:
-    """The benchmark's items as questions: query_id, domain, core (their first characters)."""
+    """The benchmark's items as questions: query_id, domain, core (their whole text)."""
     i = F.col("item_id")
     domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (i % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), i.cast("string")).alias("query_id"), domain.alias("domain"), F.substring("text", 1, 24).alias("core"))
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), i.cast("string")).alias("query_id"), domain.alias("domain"), F.col("text").alias("core"))
 
 
 def _list(values) -> str:
@@ -73,7 +73,7 @@ def frame_sql(points: list[tuple], styles=("neutral",), models=MODELS) -> str:
     suffix = "label || '-' || role || '-' || CAST(point AS VARCHAR)"
     distract = "'distract' || CAST(i AS VARCHAR)"
     genuine = "'genuine'"
-    return f"""WITH qs AS (SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, list_extract({_list(DOMAINS)}, item_id % 5 + 1) AS domain, substr(text, 1, 24) AS core FROM benchmark),
+    return f"""WITH qs AS (SELECT 'q' || CAST(item_id AS VARCHAR) AS query_id, list_extract({_list(DOMAINS)}, item_id % 5 + 1) AS domain, text AS core FROM benchmark),
 tg0 AS (SELECT qs.*, t.* FROM qs, {_points(points)}), {text_ctes('tg0', 'query_id', "authenticity = 'fake'", 'tgt')},
 tg AS (SELECT *, {_id(suffix, 'authenticity')} AS target_id, query_id || '|' || label AS pair_id FROM tgt),
 ds0 AS (SELECT *, query_id || '|distract' || CAST(i AS VARCHAR) AS seed FROM qs, (SELECT unnest([0, 1, 2, 3]) AS i)), ds1 AS (SELECT *, {flips} FROM ds0), {text_ctes('ds1', 'seed', 'false', 'dst')},
