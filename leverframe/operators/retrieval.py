@@ -1,29 +1,44 @@
-"""Ranked retrieval: BM25 with an inverted index's statistics, dense by cosine, their fusion, and the rank of injected targets.
-
-A search takes a stated set of queries against all documents. Statistics (document frequencies, average length) come
-from one grouped aggregation; scores are matrix products in tasks, a block of queries against each batch of documents,
-and only what a ranking needs leaves a task: its best documents and, for each target, how many score more. Queries and
-targets go out in blocks of bounded size. Scores are rounded before ranking, so that ties are the same on every engine.
+"""Ranked retrieval within domains: BM25 on a stored inverted index, dense by cosine, their fusion, and the rank of injected targets.
+
+The index is written once for any number of searches, in one pass over the documents without a shuffle: shards of at most
+``SHARD`` documents of one domain, each with a block of postings for every term (places of its documents, counts, lengths,
+and the greatest count and least length, which bound the block's weights) and a header with its ids and vectors. Document
+frequencies, average lengths and idf are grouped sums over the blocks, by domain.
+
+A search takes a stated set of queries, each against its own domain. Queries go in blocks; a block meets a shard in one
+cell, which gets the postings of the block's terms by a join on domain and term and works out all scores as matrix
+products. Only what a search needs leaves a cell: its best documents, its ranges, or counts of documents by score. A search
+for the k best first scores each query's most promising shard and then only shards whose bound reaches the k-th score
+found there. Nothing is collected by the driver. Scores are rounded before ranking, so that ties are the same on every
+engine.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import chain
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leverframe.sources.files import stored
+from leverframe.sources.files import arrow_rows, stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Queries and targets of a block: what is collected and broadcast at once.
-QUERIES, TARGETS = 256, 20_000
+#: Documents of a shard, queries (or frames of targets) of a block, copies of a block for the join with headers, and rows of a table that is small enough to be broadcast.
+SHARD, QUERIES, SALTS, SMALL = 512, 128, 16, 50_000
+#: Up to how many shards a domain is searched whole: bounds then cost more than they save.
+FEW = 64
 DIGITS = 6
+#: Ranks count scores in units of 1e-9; a bin has BIN of them, so a bin has at most so many different scores.
+UNITS, BIN = 10**9, 10**6
 SPACE, WORD, HAN = r"[ \t\n\x0B\f\r]+", re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(r"[㐀-鿿]")
 
 
@@ -42,134 +57,235 @@ def words_of(text: str | None) -> list[str]:
     return [x for w in words for x in ([w[i : i + 2] for i in range(len(w) - 1)] if len(w) > 1 and HAN.search(w) else [w])]
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, dl, term, tf of a corpus (doc_id, text)."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-
-
-def corpus_size(docs: DataFrame) -> DataFrame:
-    """One row: n_docs and avgdl."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def unit(vectors: list) -> np.ndarray:
+    """Vectors brought to length 1 as rows; a null or zero vector is 0."""
+    width = max((len(v) for v in vectors if v is not None), default=1)
+    x = np.array([v if v is not None else np.zeros(width) for v in vectors], float).reshape(len(vectors), width)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def idf_table(docs: DataFrame, n_docs: int) -> DataFrame:
-    """term, df, idf; where the formula is negative, a quarter of the mean idf of all terms. A document sends each of its terms once."""
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean")).withColumn("_one", F.lit(1))
-    return raw.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one").select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def in_domain(df: DataFrame, **empty: str) -> DataFrame:
+    """``df`` with a domain ('' if it has none) and with null columns of the given types where they are missing."""
+    out = df.withColumn("domain", F.coalesce(F.col("domain").cast("string"), F.lit("")) if "domain" in df.columns else F.lit(""))
+    return out.withColumns({c: F.lit(None).cast(t) for c, t in empty.items() if c not in df.columns})
+
+
+def with_small(rows: DataFrame, small: DataFrame, on: str | list[str]) -> DataFrame:
+    """Inner join with a table that is broadcast only if a count shows that it has at most SMALL rows."""
+    return rows.join(F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small, on)
+
+
+#: A posting is three 32-bit numbers: the document's place in the shard, the term's count in it, its length.
+ROWS = "domain string, shard string, term string, n int, post binary, tf_max int, dl_min int, words long, docs array<{kind}>, vectors array<double>"
+
+
+def shards(docs: DataFrame) -> DataFrame:
+    """The rows of an index (``ROWS``): of each shard a header, without a term, and a block for each term."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, schema = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            domains, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            schema = schema or pa.schema([("domain", pa.string()), ("shard", pa.string()), ("term", pa.string()), ("n", pa.int32()), ("post", pa.binary()), ("tf_max", pa.int32()), ("dl_min", pa.int32()), ("words", pa.int64()), ("docs", pa.list_(ids.type)), ("vectors", pa.list_(pa.float64()))])
+            for domain in dict.fromkeys(domains):
+                mine = np.flatnonzero(domains == domain)
+                for begin in range(0, len(mine), SHARD):
+                    part = mine[begin : begin + SHARD]
+                    words = [words_of(t) for t in batch.column(2).take(pa.array(part)).to_pylist()]
+                    vectors = batch.column(3).take(pa.array(part)).to_pylist()
+                    length = np.array([len(w) for w in words], np.int32)
+                    some = any(v is not None for v in vectors)
+                    head = {"n": [len(part)], "words": [int(length.sum())], "docs": [ids.take(pa.array(part))], "vectors": [unit(vectors).ravel() if some else None]}
+                    code, names = pd.factorize(np.array(list(chain.from_iterable(words)), object))
+                    pair, tf = np.unique(code * SHARD + np.repeat(np.arange(len(part)), length), return_counts=True)
+                    term, at = pair // SHARD, pair % SHARD
+                    starts = np.searchsorted(term, np.arange(len(names) + 1)).astype(np.int32)
+                    post = np.stack([at, tf, length[at]], axis=1).astype("<i4")
+                    blocks = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(12 * starts), pa.py_buffer(post.tobytes())])
+                    terms = {"term": pa.array(names, pa.string()), "n": np.diff(starts), "post": blocks}
+                    if len(names):
+                        terms |= {"tf_max": np.maximum.reduceat(tf, starts[:-1]).astype(np.int32), "dl_min": np.minimum.reduceat(length[at], starts[:-1])}
+                    for have, n in ((head, 1), (terms, len(names))):
+                        same = {"domain": [domain] * n, "shard": [f"{task}-{k}"] * n}
+                        if n:
+                            columns = {**same, **have}
+                            yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+                    k += 1
+
+    given = in_domain(docs, text="string", embedding="array<double>")
+    return given.select("domain", "doc_id", "text", F.col("embedding").cast("array<double>")).mapInArrow(run, ROWS.format(kind=kind))
 
 
 class Index:
-    """A corpus's statistics: its size, and the idf of its terms as a table. ``docs``: doc_id, text and, for dense search, embedding."""
+    """A corpus (doc_id and, each if it is there, domain, text, embedding) as a stored index and what follows from it, each worked out once and when it is needed."""
 
     def __init__(self, docs: DataFrame):
         self.docs = docs
-        self.dense = "embedding" in docs.columns
-        size = corpus_size(docs).first()
-        self.n_docs, self.avgdl = size["n_docs"], size["avgdl"] or 1.0
-        self.idf = stored(idf_table(docs, self.n_docs), "idf")
-
-    def block(self, queries: DataFrame) -> Block:
-        """The searcher of at most QUERIES queries (query_id, text and, for dense search, embedding)."""
-        rows = sorted(queries.collect(), key=lambda r: str(r["query_id"]))
-        vocab = sorted({w for r in rows for w in words_of(r["text"])})
-        spark = self.docs.sparkSession
-        wanted = spark.createDataFrame([(w,) for w in vocab], "term string")
-        idf = {r["term"]: r["idf"] for r in self.idf.join(F.broadcast(wanted), "term").collect()}
-        return Block(rows, {w: idf[w] for w in vocab if w in idf}, self.avgdl, self.dense)
-
-
-class Block:
-    """Queries as matrices: terms by queries for BM25, dimensions by queries for cosine."""
-
-    def __init__(self, rows: list, idf: dict[str, float], avgdl: float, dense: bool):
-        self.ids = [r["query_id"] for r in rows]
-        self.at = {q: i for i, q in enumerate(self.ids)}
-        self.vocab, self.avgdl = {w: i for i, w in enumerate(idf)}, avgdl
-        self.weights = np.zeros((len(idf), len(rows)))
-        for q, r in enumerate(rows):
-            for w, n in Counter(words_of(r["text"])).items():
-                if w in self.vocab:
-                    self.weights[self.vocab[w], q] = n * idf[w]
-        self.vectors = unit(rows, "embedding").T if dense and rows else np.zeros((1, len(rows)))
-
-    def terms(self, texts: pd.Series) -> np.ndarray:
-        """Documents by terms: BM25's weight of each term of the queries in each text."""
-        out = np.zeros((len(texts), len(self.vocab)))
-        for i, text in enumerate(texts):
-            words = words_of(text)
-            norm = K1 * (1 - B + B * len(words) / self.avgdl)
-            for t, n in Counter(map(self.vocab.get, words)).items():
-                if t is not None:
-                    out[i, t] = n * (K1 + 1) / (n + norm)
-        return out
-
-    def channels(self, frame: pd.DataFrame, modes: tuple[str, ...]) -> list[np.ndarray]:
-        """Documents by queries: the rounded scores of each channel."""
-        out = []
-        for mode in modes:
-            raw = self.terms(frame["text"]) @ self.weights if mode == "bm25" else unit(frame.to_dict("records"), "embedding") @ self.vectors
-            out.append(np.round(raw, DIGITS) + 0.0)
-        return out
 
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """``queries`` with domain, text and embedding; the documents of a corpus without domains are open to all queries."""
+        return in_domain(queries if "domain" in self.docs.columns else queries.drop("domain"), text="string", embedding="array<double>")
 
-def unit(rows: list, column: str) -> np.ndarray:
-    """A column of vectors, each brought to length 1; a null or zero vector stays 0."""
-    width = max((len(r[column]) for r in rows if r[column] is not None), default=1)
-    x = np.array([r[column] if r[column] is not None else np.zeros(width) for r in rows], float).reshape(len(rows), width)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    @cached_property
+    def rows(self) -> DataFrame:
+        with arrow_rows(self.docs.sparkSession, 2000):
+            return stored(shards(self.docs), "index")
 
+    @property
+    def headers(self) -> DataFrame:
+        return self.rows.where("term IS NULL").select("domain", "shard", "docs", "vectors")
 
-def batches(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for i in range(0, len(frame), rows):
-            yield frame.iloc[i : i + rows]
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.where("term IS NOT NULL").select("domain", "shard", "term", "n", "post", "tf_max", "dl_min")
 
+    @cached_property
+    def stats(self) -> DataFrame:
+        """n_docs, n_shards and avgdl of each domain."""
+        sums = self.rows.where("term IS NULL").groupBy("domain").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_shards"), F.sum("words").alias("words"))
+        return stored(sums.select("domain", "n_docs", "n_shards", F.when(F.col("words") > 0, F.col("words") / F.col("n_docs")).otherwise(1.0).alias("avgdl")), "stats")
 
-def in_blocks(df: DataFrame, key: str, size: int, seed: int = 0) -> Iterator[DataFrame]:
-    """``df`` in parts of about ``size`` rows by a hash of ``key``."""
-    n = max(1, ceil(df.count() / size))
-    for i in range(n):
-        yield df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n)) == i)
+    @cached_property
+    def terms(self) -> DataFrame:
+        """domain, term, df, idf; where the formula is negative, a quarter of the mean idf of all of the domain's terms."""
+        df = self.postings.groupBy("domain", "term").agg(F.sum("n").alias("df"))
+        raw = stored(with_small(df, self.stats, "domain").select("domain", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")), "terms")
+        return with_small(raw, raw.groupBy("domain").agg(F.avg("raw").alias("mean")), "domain").select("domain", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
+    def weighted(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (domain, query_id, text and others) by term: weight (count in the query x idf) and the domain's avgdl."""
+        rest = [c for c in asked.columns if c != "text"]
+        words = asked.select(*rest, F.explode(tokens(F.col("text"))).alias("term")).groupBy(*rest, "term").agg(F.count(F.lit(1)).alias("qtf"))
+        return with_small(words.join(self.terms, ["domain", "term"]), self.stats.select("domain", "avgdl"), "domain").select(*rest, "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
 
-def one_of(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
 
+def in_blocks(index: Index, queries: DataFrame, *more: str) -> DataFrame:
+    """domain, block, queries (query_id, text, embedding and the columns ``more``): about QUERIES of them in each."""
+    n = max(1, ceil(queries.count() / QUERIES))
+    asked = index.asked(queries).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
+    return asked.groupBy("domain", "block").agg(F.collect_list(F.struct("query_id", "text", F.col("embedding").cast("array<double>").alias("embedding"), *more)).alias("queries"))
 
-def ranked_scores(index: Index, queries: DataFrame, mode: str = "bm25", k: int | None = None) -> DataFrame:
-    """query_id, doc_id, score: of all documents that share a term with the query (``bm25``) or of all (``dense``).
 
-    With ``k``, a batch sends only its ``k`` best for each query, with those that are as good as the last.
-    """
-    kind = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
+CELL = ["domain", "shard", "block"]
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}
+
+
+def cells(index: Index, blocks: DataFrame, modes: tuple[str, ...], work: Callable[[Cell], dict], kind: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``work`` on every cell of a shard and a block of queries of its domain, or on those ``wanted`` (CELL and ids, the queries that want it)."""
+    spark = index.docs.sparkSession
+    p = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = index.headers.withColumn("_s", F.pmod(F.xxhash64("shard"), F.lit(SALTS)).cast("int"))
+    copies = blocks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(copies, ["domain", "_s"]).drop("_s")
+    if wanted is not None:
+        met = met.join(wanted, CELL)
+    types = {c.split()[0]: ARROW[c.split()[1]] for c in kind.split(", ")}
+
+    def run(hits: pa.Table, place: pa.Table) -> pa.Table:
+        out = work(Cell(hits, place, modes)) if place.num_rows else {}
+        n = len(next(iter(out.values()))) if out else 0
+        return pa.table({c: pa.array(out[c], t, from_pandas=True) if c in out else pa.nulls(n, t) for c, t in types.items()})
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from run(pa.table({}), pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    if "bm25" not in modes:
+        return met.repartition(p, *CELL).mapInArrow(alone, kind)
+    asked = blocks.select("domain", "block", F.explode("queries").alias("q")).select("domain", "block", "q.query_id", "q.text")
+    by_term = index.weighted(asked).groupBy("domain", "block", "term").agg(F.collect_list(F.struct("query_id", "weight")).alias("x"), F.first("avgdl").alias("avgdl"))
+    by_term = by_term.select("domain", "block", "term", "avgdl", F.transform("x", lambda x: x["query_id"]).alias("by"), F.transform("x", lambda x: x["weight"]).alias("weights"))
+    hits = index.postings.drop("tf_max", "dl_min").join(by_term, ["domain", "term"]).drop("term")
+    if wanted is not None:
+        hits = hits.join(wanted.select(*CELL), CELL, "left_semi")
+    hits = hits.select(*[F.col(c).alias(f"_{c}") for c in CELL], "n", "post", "by", "weights", "avgdl")
+    mine = [f"_{c}" for c in CELL]
+    return hits.repartition(p, *mine).groupBy(*mine).cogroup(met.repartition(p, *CELL).groupBy(*CELL)).applyInArrow(run, kind)
+
+
+class Cell:
+    """A shard's documents and a block's queries: ids, and documents by queries the rounded scores of each channel."""
+
+    def __init__(self, hits: pa.Table, place: pa.Table, modes: tuple[str, ...]):
+        row = lambda c: place[c][0].as_py()
+        self.ids = place["docs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        queries = row("queries")
+        if "ids" in place.column_names:
+            wanted = set(row("ids"))
+            queries = [q for q in queries if q["query_id"] in wanted]
+        self.asked, self.queries = queries, np.array([q["query_id"] for q in queries])
+        self.at = {q: i for i, q in enumerate(self.queries.tolist())}
+        self.frames = row("frames") if "frames" in place.column_names else []
+        shape = (len(self.ids), len(queries))
+        self.score, self.found = {}, np.ones(shape, bool)
+        for mode in modes:
+            raw = np.zeros(shape)
+            if mode == "dense" and place["vectors"][0].is_valid and len(queries):
+                vectors = place["vectors"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(self.ids), -1)
+                asked = unit([q["embedding"] for q in queries])
+                raw = vectors @ asked.T if asked.shape[1] == vectors.shape[1] else raw
+            elif mode == "bm25":
+                raw, self.found = self.bm25(hits)
+            self.score[mode] = np.round(raw, DIGITS) + 0.0
+
+    def bm25(self, hits: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        flat = lambda c: pc.list_flatten(hits[c].combine_chunks()).to_numpy(zero_copy_only=False)
+        terms, queries = np.zeros((len(self.ids), hits.num_rows)), np.zeros((hits.num_rows, len(self.queries)))
+        if hits.num_rows and len(self.queries):
+            owner = np.repeat(np.arange(hits.num_rows), hits["n"].to_numpy())
+            at, tf, length = np.frombuffer(b"".join(hits["post"].to_pylist()), "<i4").reshape(-1, 3).T
+            terms[at, owner] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / hits["avgdl"].to_numpy()[owner]))
+            by = pc.list_parent_indices(hits["by"].combine_chunks()).to_numpy(zero_copy_only=False)
+            to = np.array([self.at.get(q, -1) for q in flat("by").tolist()], int)
+            queries[by[to >= 0], to[to >= 0]] = flat("weights")[to >= 0]
+        return terms @ queries, (terms > 0).astype(np.float32) @ (queries != 0).astype(np.float32) > 0
+
+
+def _types(index: Index, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
+
 
-    def scored(block: Block) -> DataFrame:
-        shared = index.docs.sparkSession.sparkContext.broadcast(block)
+def _listed(k: int | None) -> Callable[[Cell], dict]:
+    """Each query's scores in a cell, or its ``k`` best with those that are as good as the last."""
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            for frame in batches(frames):
-                if mode == "bm25":
-                    terms = b.terms(frame["text"])
-                    score, found = np.round(terms @ b.weights, DIGITS) + 0.0, (terms > 0) @ (b.weights != 0)
-                else:
-                    (score,) = b.channels(frame, (mode,))
-                    found = np.ones(score.shape, bool)
-                if k and len(frame) > k:
-                    least = -np.partition(np.where(found, -score, np.inf), k - 1, axis=0)[k - 1]
-                    found &= score >= least
-                doc, query = np.nonzero(found)
-                yield pd.DataFrame({"query_id": np.array(b.ids, object)[query], "doc_id": frame["doc_id"].to_numpy()[doc], "score": score[doc, query]})
+    def work(c: Cell) -> dict:
+        (score,), found = c.score.values(), c.found
+        if k and len(c.ids) > k and score.size:
+            found = found & (score >= -np.partition(np.where(found, -score, np.inf), k - 1, axis=0)[k - 1])
+        doc, query = np.nonzero(found)
+        return {"query_id": c.queries[query], "doc_id": c.ids[doc], "score": score[doc, query]}
 
-        return index.docs.mapInPandas(run, kind)
+    return work
 
-    return one_of([scored(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
+
+def ranked_scores(index: Index, queries: DataFrame, mode: str = "bm25", k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: of all of its domain's documents that share a term with the query (``bm25``) or of all (``dense``).
+
+    With ``k`` at least the ``k`` best of each query: those of each shard or, for ``bm25`` where a domain has more than FEW
+    shards, of each shard that can have one.
+    """
+    blocks, kind = in_blocks(index, queries), _types(index, queries)
+    if not k or mode != "bm25" or (index.stats.agg(F.max("n_shards")).first()[0] or 0) <= FEW:
+        return cells(index, blocks, (mode,), _listed(k), kind)
+    bounds = stored(shard_bounds(index, queries, blocks), "bounds")
+    first = bounds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard"))).where("r = 1").drop("r")
+    grouped = lambda pairs: pairs.groupBy(*CELL).agg(F.collect_list("query_id").alias("ids"))
+    best = stored(cells(index, blocks, (mode,), _listed(k), kind, grouped(first)), "first")
+    least = top_k(best, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.join(first.select("query_id", F.col("shard").alias("first")), "query_id").join(least, "query_id", "left")
+    rest = rest.where("shard <> first AND (least IS NULL OR bound >= least)")
+    return best.unionByName(cells(index, blocks, (mode,), _listed(k), kind, grouped(rest)))
+
+
+def shard_bounds(index: Index, queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """domain, shard, block, query_id, bound: what no document of the shard can exceed, from each block's greatest count and least length."""
+    asked = blocks.select("domain", "block", F.explode("queries").alias("q")).select("domain", "block", "q.query_id", "q.text")
+    tf, norm = F.col("tf_max"), K1 * (1 - B + B * F.col("dl_min") / F.col("avgdl"))
+    most = F.greatest("weight", F.lit(0.0)) * tf * (K1 + 1) / (tf + norm)
+    met = index.postings.select("domain", "shard", "term", "tf_max", "dl_min").join(index.weighted(asked), ["domain", "term"])
+    return met.groupBy(*CELL, "query_id").agg((F.sum(most) + 10.0**-DIGITS).alias("bound"))
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
@@ -186,148 +302,156 @@ def scaled(value, low, high):
 
 
 def ranges(index: Index, queries: DataFrame, modes: tuple[str, ...]) -> DataFrame:
-    """query_id, mode, low, high, total: least, greatest and summed score over all documents, those without a common term at 0."""
-
-    def found(block: Block) -> DataFrame:
-        shared = index.docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            for frame in batches(frames):
-                for mode, score in zip(modes, b.channels(frame, modes), strict=True):
-                    yield pd.DataFrame({"query_id": b.ids, "mode": mode, "low": score.min(axis=0), "high": score.max(axis=0), "total": score.sum(axis=0)})
-
-        kind = f"query_id {dict(queries.dtypes)['query_id']}, mode string, low double, high double, total double"
-        return index.docs.mapInPandas(run, kind).groupBy("query_id", "mode").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
-
-    return one_of([found(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
+    """query_id, mode, low, high, total, n: least, greatest and summed score over all of the domain's documents, those without a common term at 0."""
 
+    def work(c: Cell) -> dict:
+        if not c.asked:
+            return {}
+        out = [{"query_id": c.queries, "mode": np.full(len(c.queries), m, object), "low": s.min(axis=0), "high": s.max(axis=0), "total": s.sum(axis=0), "n": np.full(len(c.queries), len(c.ids))} for m, s in c.score.items()]
+        return {name: np.concatenate([x[name] for x in out]) for name in out[0]}
 
-def fused_scores(index: Index, queries: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """query_id, doc_id, score: both channels normalised over the corpus and mixed, dense by ``alpha``."""
-    modes = ("dense", "bm25")
-    kind = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.docs.dtypes)['doc_id']}, score double"
+    kind = f"query_id {dict(queries.dtypes)['query_id']}, mode string, low double, high double, total double, n long"
+    return cells(index, in_blocks(index, queries), modes, work, kind).groupBy("query_id", "mode").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("n").alias("n"))
 
-    def scored(part: DataFrame) -> DataFrame:
-        block = index.block(part)
-        span = {(r["query_id"], r["mode"]): (r["low"], r["high"]) for r in ranges(index, part, modes).collect()}
-        shared = index.docs.sparkSession.sparkContext.broadcast((block, span))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, spans = shared.value
-            for frame in batches(frames):
-                dense, bm25 = b.channels(frame, modes)
-                for i, q in enumerate(b.ids):
-                    mixed = alpha * scaled(dense[:, i], *spans[q, "dense"]) + (1 - alpha) * scaled(bm25[:, i], *spans[q, "bm25"])
-                    yield pd.DataFrame({"query_id": q, "doc_id": frame["doc_id"].to_numpy(), "score": mixed})
+def fused_scores(index: Index, queries: DataFrame, alpha: float = 0.5, k: int | None = None) -> DataFrame:
+    """query_id, doc_id, score: both channels normalised over the domain and mixed, dense by ``alpha``; of all documents or the ``k`` best of each shard."""
+    span = ranges(index, queries, ("dense", "bm25")).groupBy("query_id").agg(*[F.max(F.when(F.col("mode") == m, F.struct("low", "high"))).alias(m) for m in ("dense", "bm25")])
+    blocks = in_blocks(index, queries.join(span, "query_id"), "dense", "bm25")
 
-        return index.docs.mapInPandas(run, kind)
+    def work(c: Cell) -> dict:
+        out: dict[str, list] = {"query_id": [], "doc_id": [], "score": []}
+        for i, q in enumerate(c.asked):
+            dense, bm25 = (scaled(c.score[m][:, i], q[m]["low"], q[m]["high"]) for m in ("dense", "bm25"))
+            score = np.round(alpha * dense + (1 - alpha) * bm25 + 1e-9, DIGITS)
+            best = np.lexsort((c.ids, -score))[: k or len(score)]
+            out["query_id"].append(np.full(len(best), q["query_id"]))
+            out["doc_id"].append(c.ids[best])
+            out["score"].append(score[best])
+        return {name: np.concatenate(x) for name, x in out.items()} if c.asked else {}
 
-    return one_of([scored(part) for part in in_blocks(queries, "query_id", QUERIES)])
+    return cells(index, blocks, ("dense", "bm25"), work, _types(index, queries))
 
 
 def target_scores(index: Index, queries: DataFrame, targets: DataFrame, modes: tuple[str, ...] = ("bm25",)) -> DataFrame:
-    """target_id, query_id, mode, score of each target for each of its queries, by the corpus's statistics, which it doesn't change.
+    """target_id, query_id, mode, score of each target for each of its queries, by the statistics of the query's domain, which it doesn't change.
 
     ``targets``: target_id, query_ids (array), text and, for dense search, embedding.
     """
-    kinds = dict(targets.dtypes) | dict(queries.dtypes)
-
-    def found(block: Block) -> DataFrame:
-        shared = index.docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            for frame in batches(frames):
-                own = [(i, b.at[q]) for i, qs in enumerate(frame["query_ids"]) for q in qs if q in b.at]
-                row, query = np.array(own, int).reshape(-1, 2).T
-                for mode, score in zip(modes, b.channels(frame, modes), strict=True):
-                    yield pd.DataFrame({"target_id": frame["target_id"].to_numpy()[row], "query_id": np.array(b.ids, object)[query], "mode": mode, "score": score[row, query]})
-
-        return targets.mapInPandas(run, f"target_id {kinds['target_id']}, query_id {kinds['query_id']}, mode string, score double")
-
-    return one_of([found(index.block(part)) for part in in_blocks(queries, "query_id", QUERIES)])
+    asked = index.asked(queries)
+    pairs = targets.select("target_id", F.explode("query_ids").alias("query_id")).join(asked.select("query_id"), "query_id", "left_semi")
+    out = []
+    for mode in modes:
+        if mode == "bm25":
+            words = targets.select("target_id", tokens(F.col("text")).alias("w")).select("target_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("target_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+            wanted = pairs.join(index.weighted(asked.select("domain", "query_id", "text")), "query_id")
+            weight = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+            sums = wanted.join(words, ["target_id", "term"]).groupBy("target_id", "query_id").agg(F.sum(weight).alias("raw"))
+        else:
+            dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+            own = targets.select("target_id", F.col("embedding").cast("array<double>").alias("a"))
+            both = pairs.join(own, "target_id").join(asked.select("query_id", F.col("embedding").cast("array<double>").alias("b")), "query_id")
+            a, b = F.col("a"), F.col("b")
+            sums = both.select("target_id", "query_id", (dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-24))).alias("raw"))
+        out.append(pairs.join(sums, ["target_id", "query_id"], "left").select("target_id", "query_id", F.lit(mode).alias("mode"), (F.round(F.coalesce("raw", F.lit(0.0)), DIGITS) + 0.0).alias("score")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 MODES = {"bm25": ("bm25",), "dense": ("dense",), "hybrid": ("dense", "bm25")}
-FOUND = "target_id long, target_score double, target_rank long, retrieved int, top_k_ids array<string>, competitor_ids array<string>"
 
 
 def search(index: Index, queries: DataFrame, targets: DataFrame, mode: str = "bm25", k: int = 8, alpha: float = 0.5, pool: str = "max") -> DataFrame:
     """One row per target: target_id, target_score, target_rank (documents that score strictly more), retrieved, top_k_ids, competitor_ids.
 
-    ``queries``: query_id, text, embedding; ``targets``: target_id (long), query_ids, text, embedding. Each channel is
-    normalised for each query over all documents and the target, channels are mixed by ``alpha``, and a target with
-    several queries gets the greatest or the mean (``pool``) of its scores, as do the documents. Targets with the same
-    queries and the same ranges share a ranking: only one that lies outside the corpus's range needs its own.
+    ``queries``: query_id, domain, text, embedding; ``targets``: target_id, query_ids (of one domain), text, embedding. Each
+    channel is normalised for each query over all of the domain's documents and the target, channels are mixed by
+    ``alpha``, and a target with several queries gets the greatest or the mean (``pool``) of its scores, as do the
+    documents. Targets whose domain has no documents are left out.
+
+    Targets with the same queries and the same ranges share a frame, hence a ranking: only one that lies outside the
+    corpus's range needs its own. A cell counts its documents by bins of a frame's score, and by single scores in bins
+    that hold a target. A target's rank is the sum over the bins above its own and over the greater scores inside it: two
+    running sums, over a frame's bins and over a bin's scores, both of bounded length.
     """
     if mode not in MODES or pool not in ("max", "mean"):
         raise ValueError(f"no such mode or pool: {mode}, {pool}")
-    modes, spark, parts = MODES[mode], index.docs.sparkSession, []
+    modes = MODES[mode]
     share = {"bm25": 1.0, "dense": 1.0} if len(modes) == 1 else {"dense": alpha, "bm25": 1 - alpha}
-    groups = max(1, ceil(queries.count() / QUERIES))
-    first = F.pmod(F.xxhash64(F.get("query_ids", 0)), F.lit(groups))
-    for group in range(groups):
-        for part in in_blocks(targets.where(first == group), "target_id", TARGETS, seed=1):
-            ids = part.select(F.explode("query_ids").alias("query_id")).distinct()
-            mine = queries.join(ids, "query_id", "left_semi")
-            own = defaultdict(dict)
-            for r in target_scores(index, mine, part, modes).collect():  # at most TARGETS targets
-                own[r["target_id"]].setdefault(r["query_id"], {})[r["mode"]] = r["score"]
-            if not own:
-                continue
-            span = {(r["query_id"], r["mode"]): (r["low"], r["high"]) for r in ranges(index, mine, modes).collect()}
-            frames: dict[tuple, list[tuple[float, int]]] = defaultdict(list)
-            for target, scores in own.items():
-                frame, mixed = [], []
-                for q in sorted(scores):
-                    spans = [(m, min(span[q, m][0], scores[q][m]), max(span[q, m][1], scores[q][m])) for m in modes]
-                    frame.append((q, tuple(spans)))
-                    mixed.append(sum(share[m] * float(scaled(np.array(scores[q][m]), low, high)) for m, low, high in spans))
-                frames[tuple(frame)].append((round(max(mixed) if pool == "max" else sum(mixed) / len(mixed), 9), target))
-            parts.append(_placed(index, index.block(mine), {f: sorted(t) for f, t in frames.items()}, modes, share, k, pool))
-    return one_of(parts) if parts else spark.createDataFrame([], FOUND)
-
-
-def _placed(index: Index, block: Block, frames: dict[tuple, list[tuple[float, int]]], modes: tuple[str, ...], share: dict[str, float], k: int, pool: str) -> DataFrame:
-    """``search`` for a block: ``frames`` has for each (query, ranges) list the targets in order of their score."""
-    spark = index.docs.sparkSession
-    shared = spark.sparkContext.broadcast((block, list(frames), [np.array([s for s, _ in t]) for t in frames.values()]))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, keys, limits = shared.value
-        above = [np.zeros(len(t), np.int64) for t in limits]
-        best: list[list[tuple[float, int]]] = [[] for _ in keys]
-        for frame in batches(parts):
-            channels, ids = b.channels(frame, modes), frame["doc_id"].to_numpy()
-            for i, key in enumerate(keys):
-                each = [sum(share[m] * scaled(c[:, b.at[q]], low, high) for c, (m, low, high) in zip(channels, spans, strict=True)) for q, spans in key]
-                mixed = np.round(np.max(each, axis=0) if pool == "max" else np.mean(each, axis=0), 9)
-                above[i] += len(mixed) - np.searchsorted(np.sort(mixed), limits[i], side="right")
-                order = np.lexsort((ids, -mixed))[:k]
-                best[i] = sorted([*best[i], *zip((-mixed[order]).tolist(), ids[order].tolist(), strict=True)])[:k]
-        for i in range(len(keys)):
-            yield pd.DataFrame({"frame": i, "place": np.arange(len(above[i])), "n": above[i], "doc_id": None, "score": None})
-            yield pd.DataFrame([(i, None, None, d, -s) for s, d in best[i]], columns=["frame", "place", "n", "doc_id", "score"])
-
-    kind = "frame int, place int, n long, doc_id long, score double"
-    sent = index.docs.mapInPandas(run, kind)
-    ranks = sent.where("n IS NOT NULL").groupBy("frame", "place").agg(F.sum("n").alias("target_rank"))
-    top = top_k(sent.where("doc_id IS NOT NULL"), k, ("frame",)).groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("top_k_ids"))
-    named = spark.createDataFrame([(i, j, t, s) for i, ts in enumerate(frames.values()) for j, (s, t) in enumerate(ts)], "frame int, place int, target_id long, target_score double")
-    out = named.join(ranks, ["frame", "place"], "left").join(top, "frame", "left").withColumn("target_rank", F.coalesce("target_rank", F.lit(0).cast("long")))
+    queries = index.asked(queries)
+    placed = stored(_framed(index, queries, targets, modes, share, pool), "frames")
+    sent = stored(_counted(index, queries, placed, modes, share, k, pool), "counts")
+
+    bins = sent.where("doc_id IS NULL").groupBy("frame", "bin").agg(F.sum("n").alias("n"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("frame").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = sent.where("units IS NOT NULL AND doc_id IS NULL").select("frame", "bin", "units", "n")
+    own = placed.select("frame", "bin", "units").distinct().withColumn("n", F.lit(0).cast("long"))
+    within = values.unionByName(own).groupBy("frame", "bin", "units").agg(F.sum("n").alias("n"))
+    greater = F.coalesce(F.sum("n").over(Window.partitionBy("frame", "bin").orderBy(F.desc("units")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = placed.select("target_id", "target_score", "frame", "bin", "units").join(within.withColumn("greater", greater).drop("n"), ["frame", "bin", "units"])
+    # A target's bin may hold no document: it then follows the nearest bin above that does.
+    all_bins = bins.unionByName(own.select("frame", "bin", "n").distinct()).groupBy("frame", "bin").agg(F.sum("n").alias("n")).withColumn("above", above).drop("n")
+    ranks = ranks.join(all_bins, ["frame", "bin"]).withColumn("target_rank", F.col("above") + F.col("greater"))
+    top = top_k(sent.where("doc_id IS NOT NULL"), k, ("frame",), "units").groupBy("frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("top_k_ids"))
+    out = ranks.join(top, "frame")
     return out.select("target_id", "target_score", "target_rank", F.when(F.col("target_rank") < k, 1).otherwise(0).alias("retrieved"), "top_k_ids", F.slice("top_k_ids", 1, k - 1).alias("competitor_ids"))
 
 
+def _framed(index: Index, queries: DataFrame, targets: DataFrame, modes: tuple[str, ...], share: dict[str, float], pool: str) -> DataFrame:
+    """target_id, domain, frame (a hash of spans), spans, target_score, units, bin."""
+    own = target_scores(index, queries, targets, modes).join(ranges(index, queries, modes).drop("total", "n"), ["query_id", "mode"])
+    own = own.withColumns({"low": F.least("low", "score"), "high": F.greatest("high", "score")})
+    part = F.when(F.col("mode") == "dense", share["dense"]).otherwise(share["bm25"]) * scaled(F.col("score"), F.col("low"), F.col("high"))
+    by_query = own.groupBy("target_id", "query_id").agg(F.sum(part).alias("mixed"), F.sort_array(F.collect_list(F.struct("mode", "low", "high"))).alias("modes"))
+    one = F.max("mixed") if pool == "max" else F.avg("mixed")
+    by_target = by_query.groupBy("target_id").agg(F.round(one, 9).alias("target_score"), F.sort_array(F.collect_list(F.struct("query_id", "modes"))).alias("spans"))
+    units = F.rint(F.col("target_score") * UNITS).cast("long")
+    named = by_target.withColumn("frame", F.sha2(F.to_json("spans"), 256)).withColumn("units", units).withColumn("bin", F.floor(F.col("units") / BIN).cast("int"))
+    return named.withColumn("_q", F.get("spans", 0)["query_id"]).join(queries.select(F.col("query_id").alias("_q"), "domain"), "_q").drop("_q")
+
+
+def _counted(index: Index, queries: DataFrame, placed: DataFrame, modes: tuple[str, ...], share: dict[str, float], k: int, pool: str) -> DataFrame:
+    """frame, doc_id, bin, units, n: a cell's k best documents (with doc_id) and how many documents have which score of a bin with targets, or lie in another bin."""
+    frames = placed.groupBy("domain", "frame").agg(F.first("spans").alias("spans"), F.array_distinct(F.collect_set("bin")).alias("bins"))
+    n = max(1, ceil(placed.select("frame").distinct().count() / QUERIES))
+    frames = frames.withColumn("block", F.pmod(F.xxhash64("frame"), F.lit(n)).cast("int"))
+    asked = frames.select("domain", "block", F.explode("spans").alias("s")).select("domain", "block", "s.query_id").distinct().join(queries.drop("domain"), "query_id")
+    blocks = asked.groupBy("domain", "block").agg(F.collect_list(F.struct("query_id", "text", F.col("embedding").cast("array<double>").alias("embedding"))).alias("queries"))
+    blocks = blocks.join(frames.groupBy("domain", "block").agg(F.collect_list(F.struct("frame", "spans", "bins")).alias("frames")), ["domain", "block"])
+
+    def work(c: Cell) -> dict:
+        out: dict[str, list] = {"frame": [], "doc_id": [], "bin": [], "units": [], "n": []}
+
+        def add(frame: str, m: int, **have) -> None:
+            for name, column in out.items():
+                column.append(have[name] if name in have else np.full(m, None, object))
+            out["frame"][-1] = np.full(m, frame, object)
+
+        for f in c.frames:
+            each = [sum(share[s["mode"]] * scaled(c.score[s["mode"]][:, c.at[q["query_id"]]], s["low"], s["high"]) for s in q["modes"]) for q in f["spans"]]
+            units = np.rint(np.round(np.max(each, axis=0) if pool == "max" else np.mean(each, axis=0), 9) * UNITS).astype(np.int64)
+            best = np.lexsort((c.ids, -units))[:k]
+            add(f["frame"], len(best), doc_id=c.ids[best], units=units[best])
+            held = np.isin(units // BIN, f["bins"])
+            value, count = np.unique(units[held], return_counts=True)
+            add(f["frame"], len(value), bin=value // BIN, units=value, n=count)
+            other, count = np.unique(units[~held] // BIN, return_counts=True)
+            add(f["frame"], len(other), bin=other, n=count)
+        return {name: np.concatenate([x.astype(object) for x in columns]) for name, columns in out.items()} if c.frames else {}
+
+    return cells(index, blocks, modes, work, f"frame string, doc_id {dict(index.docs.dtypes)['doc_id']}, bin int, units long, n long")
+
+
 def queries_of_targets(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries and targets for ``search`` from rewritten ones: blank texts are dropped; a target without any gets its own text.
 
-    ``targets``: target_id, text, embedding, rewrites (array of struct<query_id, text, embedding>).
+    ``targets``: target_id, domain (which its queries are put to), text, embedding, rewrites (array of struct<query_id,
+    text, embedding>, whose ids tell texts and domains apart).
     """
+    targets = in_domain(targets)
     own = F.array(F.struct((-F.col("target_id") - 1).alias("query_id"), "text", "embedding"))
     said = F.filter("rewrites", lambda r: F.trim(F.coalesce(r["text"], F.lit(""))) != "")
     chosen = targets.withColumn("_r", F.when(F.size(said) > 0, said).otherwise(own))
-    queries = chosen.select(F.explode("_r").alias("r")).select("r.*").dropDuplicates(["query_id"])
+    queries = chosen.select("domain", F.explode("_r").alias("r")).select("domain", "r.*").dropDuplicates(["query_id"])
     return queries, chosen.select("target_id", F.transform("_r", lambda r: r["query_id"]).alias("query_ids"), "text", "embedding")
 
 

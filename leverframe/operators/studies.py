@@ -260,12 +260,12 @@ def _retrieval_frame(found: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _search_targets(targets: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Queries and targets with numbers for names, as a search wants them."""
-    asked = queries.select(F.xxhash64("query_id").alias("query_id"), F.col("core").alias("text"))
+    asked = queries.select(F.xxhash64("query_id").alias("query_id"), "domain", F.col("core").alias("text"))
     return asked, targets.select(F.xxhash64("article_id").alias("target_id"), F.array(F.xxhash64("query_id")).alias("query_ids"), "text")
 
 
 def run_study5(queries: DataFrame, corpus: DataFrame, models: Sequence[str], k: int = 8, **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Is a target retrieved, and is it cited among its competitors wherever it stands? ``corpus``: doc_id, text."""
+    """Is a target retrieved from its domain, and is it cited among its competitors wherever it stands? ``corpus``: doc_id, domain, text."""
     targets = build_targets(queries, D.ofat_design(queries.sparkSession))
     asked, own = _search_targets(targets, queries)
     found = _retrieval_frame(R.search(R.Index(corpus), asked, own, k=k), targets)
@@ -278,11 +278,11 @@ def run_study5(queries: DataFrame, corpus: DataFrame, models: Sequence[str], k:
 def run_study6(queries: DataFrame, corpus: DataFrame, rewrites: DataFrame, models: Sequence[str], k: int = 8, pool: str = "max", **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Retrieval by rewritten queries (query_id, texts), then citation within the natural window: a target outside it can't be cited."""
     targets = build_targets(queries, D.ofat_design(queries.sparkSession))
-    asked = rewrites.select("query_id", F.explode(F.transform("texts", lambda t: F.struct(F.xxhash64(t).alias("query_id"), t.alias("text"), F.lit(None).cast("array<float>").alias("embedding")))).alias("r"))
+    asked = rewrites.join(queries.select("query_id", "domain"), "query_id").select("query_id", F.explode(F.transform("texts", lambda t: F.struct(F.xxhash64("domain", t).alias("query_id"), t.alias("text"), F.lit(None).cast("array<float>").alias("embedding")))).alias("r"))
     asked = asked.groupBy("query_id").agg(F.collect_list("r").alias("rewrites"))  # as many as a question has rewrites
-    mine = targets.join(asked, "query_id", "left").select(F.xxhash64("article_id").alias("target_id"), "text", F.lit(None).cast("array<float>").alias("embedding"), F.coalesce("rewrites", F.array().cast("array<struct<query_id:bigint,text:string,embedding:array<float>>>")).alias("rewrites"))
+    mine = targets.join(asked, "query_id", "left").select(F.xxhash64("article_id").alias("target_id"), "domain", "text", F.lit(None).cast("array<float>").alias("embedding"), F.coalesce("rewrites", F.array().cast("array<struct<query_id:bigint,text:string,embedding:array<float>>>")).alias("rewrites"))
     searched, own = R.queries_of_targets(mine)
-    found = _retrieval_frame(R.search(R.Index(corpus), searched.select("query_id", "text"), own, k=k, pool=pool), targets)
+    found = _retrieval_frame(R.search(R.Index(corpus), searched.select("query_id", "domain", "text"), own, k=k, pool=pool), targets)
     rank = F.col("target_rank").cast("int")
     window = F.when(rank < k, F.concat(F.slice("top_k_ids", F.lit(1), rank), F.array("article_id"), F.slice("top_k_ids", rank + 1, F.greatest(k - 1 - rank, F.lit(0))))).otherwise(F.col("top_k_ids"))
     sets = found.select("query_id", F.col("article_id").alias("target_id"), (F.array_position(window, F.col("article_id")) - 1).cast("int").alias("target_position"), window.alias("ordered_ids")).where(F.size("ordered_ids") >= 2)

@@ -18,19 +18,28 @@ K, ALPHA = 8, 0.5
 MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+#: The domains that the questions are put to, in turn: the documents' languages.
+LANGS = ["en", "de", "fr", "es"]
+
+
 def corpus(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents in the domain of their language."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("domain"), "text"))
 
 
 def dense_corpus(spark, sf_dir) -> DataFrame:
-    """The documents that have a vector."""
+    """The documents that have a vector; a vector without a document is in the domain that its id gives."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vectors.join(corpus(spark, sf_dir), "doc_id", "left")
+    return vectors.join(corpus(spark, sf_dir), "doc_id", "left").withColumn("domain", F.coalesce("domain", _lang("doc_id")))
+
+
+def _lang(number: str) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, LANGS)), (F.col(number) % len(LANGS) + 1).cast("int"))
 
 
 def questions(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors, "query_id", "left")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _lang("item_id").alias("domain"), "text").join(vectors, "query_id", "left")
 
 
 def targets(spark, sf_dir) -> DataFrame:
@@ -41,7 +50,7 @@ def targets(spark, sf_dir) -> DataFrame:
     t = t.join(F.broadcast(items), "_one").join(vectors, "conv_id", "left")
     c = F.col("conv_id")
     return t.select(
-        (c * 1000 + F.col("turn")).alias("target_id"), (c % F.col("items")).alias("query_id"), F.array(c % F.col("items")).alias("query_ids"), "text", "embedding", "conv_id", "items",
+        (c * 1000 + F.col("turn")).alias("target_id"), (c % F.col("items")).alias("query_id"), F.element_at(F.array(*map(F.lit, LANGS)), ((c % F.col("items")) % len(LANGS) + 1).cast("int")).alias("domain"), F.array(c % F.col("items")).alias("query_ids"), "text", "embedding", "conv_id", "items",
         F.element_at(F.array(*map(F.lit, FACTORS)), (c % 8 + 1).cast("int")).alias("target_dim"),
         F.when(F.col("turn") % 2 == 1, "treatment").otherwise("control").alias("role"),
         F.concat_ws("|", c.cast("string"), F.floor(F.col("turn") / 2).cast("string")).alias("pair_key"),
@@ -50,15 +59,16 @@ def targets(spark, sf_dir) -> DataFrame:
 
 
 TOK = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
-BM25_SQL = f"""WITH dw AS (SELECT doc_id, {TOK.format("coalesce(text, '')")} AS w FROM documents), sz AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM dw),
-post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dw) GROUP BY doc_id, term),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, sz),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (term) JOIN idf USING (term), sz GROUP BY 1, 2),
+DOM = f"list_extract({LANGS}, CAST({{}} % {len(LANGS)} + 1 AS BIGINT))"
+BM25_SQL = f"""WITH docs AS (SELECT doc_id, coalesce(lang, '') AS domain, text FROM documents), dw AS (SELECT doc_id, domain, {TOK.format("coalesce(text, '')")} AS w FROM docs), sz AS (SELECT domain, count(*) AS n_docs, avg(len(w)) AS avgdl FROM dw GROUP BY domain),
+post AS (SELECT domain, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT domain, doc_id, len(w) AS dl, unnest(w) AS term FROM dw) GROUP BY domain, doc_id, term),
+dfs AS (SELECT domain, term, count(*) AS df FROM post GROUP BY domain, term), raw AS (SELECT domain, term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs JOIN sz USING (domain)),
+idf AS (SELECT domain, term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY domain) ELSE raw END AS idf FROM raw),
+bq AS (SELECT item_id AS query_id, {DOM.format("item_id")} AS domain, text FROM benchmark), qt AS (SELECT query_id, domain, term, count(*) AS qtf FROM (SELECT query_id, domain, unnest({TOK.format('text')}) AS term FROM bq) GROUP BY 1, 2, 3),
+bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (domain, term) JOIN idf USING (domain, term) JOIN sz USING (domain) GROUP BY 1, 2),
 tw AS (SELECT conv_id * 1000 + turn AS target_id, conv_id % (SELECT count(*) FROM benchmark) AS query_id, {TOK.format("coalesce(text, '')")} AS w FROM conversations),
 tp AS (SELECT target_id, query_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT target_id, query_id, len(w) AS dl, unnest(w) AS term FROM tw) GROUP BY 1, 2, 3),
-tm AS (SELECT tp.query_id, target_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS target_score FROM tp JOIN qt ON tp.query_id = qt.query_id AND tp.term = qt.term JOIN idf ON tp.term = idf.term, sz GROUP BY 1, 2),
+tm AS (SELECT tp.query_id, target_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS target_score FROM tp JOIN qt ON tp.query_id = qt.query_id AND tp.term = qt.term JOIN idf ON tp.term = idf.term AND qt.domain = idf.domain JOIN sz ON sz.domain = qt.domain GROUP BY 1, 2),
 ts AS (SELECT tw.target_id, tw.query_id, coalesce(tm.target_score, 0) AS target_score FROM tw JOIN (SELECT DISTINCT query_id FROM qt) USING (query_id) LEFT JOIN tm ON tm.target_id = tw.target_id AND tm.query_id = tw.query_id),
 tr AS (SELECT target_id, ts.query_id, target_score, count(bm.doc_id) AS target_rank FROM ts LEFT JOIN bm ON bm.query_id = ts.query_id AND bm.score > target_score GROUP BY ALL),
 tt AS (SELECT *, CASE WHEN target_rank < {K} THEN 1 ELSE 0 END AS retrieved, (target_id // 1000) AS conv, target_id % 1000 AS turn FROM tr),
@@ -66,13 +76,13 @@ rf AS (SELECT *, list_extract({FACTORS}, CAST(conv % 8 + 1 AS BIGINT)) AS factor
 
 
 def _scores(spark, sf_dir, k: int | None = None) -> DataFrame:
-    return R.ranked_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), k=k)
+    return R.ranked_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "domain", "text"), k=k)
 
 
 def _found(spark, sf_dir) -> DataFrame:
     """Every target's rank among all documents, by BM25."""
     own = targets(spark, sf_dir).select("target_id", "query_ids", "text")
-    found = R.search(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), own, k=K)
+    found = R.search(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "domain", "text"), own, k=K)
     return found.join(targets(spark, sf_dir).select("target_id", "query_id"), "target_id")
 
 
@@ -83,13 +93,12 @@ def _ranked_targets(spark, sf_dir) -> DataFrame:
     return ranks.join(t, "target_id")
 
 
-@query("bm25_index", """WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
-dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM dw) GROUP BY term),
-raw AS (SELECT term, df, ln((SELECT count(*) FROM dw) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs), m AS (SELECT avg(raw) AS mean FROM raw)
-SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END, 6) AS idf FROM raw, m""")
+@query("bm25_index", f"{BM25_SQL} SELECT domain, df, count(*) AS n_terms, round(max(idf), 6) AS idf, CAST(sum(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT)) AS BIGINT) AS terms FROM idf GROUP BY domain, df")
 def bm25_index(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    return rounded(R.idf_table(docs, docs.count()))
+    """By domain and document frequency: how many terms have it, their idf, and a sum over their hashes that tells the sets of terms apart."""
+    terms = R.Index(corpus(spark, sf_dir)).terms
+    number = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long")
+    return rounded(terms.groupBy("domain", "df").agg(F.count(F.lit(1)).alias("n_terms"), F.max("idf").alias("idf"), F.sum(number).alias("terms")))
 
 
 @query("tokenize", """WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM articles),
@@ -101,9 +110,9 @@ def tokenize(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_hash"))
 
 
-@query("bm25_scores", f"{BM25_SQL} SELECT query_id, doc_id, score FROM bm")
+@query("bm25_scores", f"{BM25_SQL} SELECT domain, query_id, doc_id, score FROM bm JOIN bq USING (query_id)")
 def bm25_scores(spark, sf_dir):
-    return _scores(spark, sf_dir)
+    return _scores(spark, sf_dir).join(questions(spark, sf_dir).select("query_id", "domain"), "query_id").select("domain", "query_id", "doc_id", "score")
 
 
 @query("bm25_topk", f"{BM25_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= {K}")
@@ -114,7 +123,7 @@ def bm25_topk(spark, sf_dir):
 @query("bm25_injected", f"{BM25_SQL} SELECT query_id, target_id, target_score FROM ts")
 def bm25_injected(spark, sf_dir):
     own = targets(spark, sf_dir).select("target_id", "query_ids", "text")
-    got = R.target_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "text"), own)
+    got = R.target_scores(R.Index(corpus(spark, sf_dir)), questions(spark, sf_dir).select("query_id", "domain", "text"), own)
     return got.select("query_id", "target_id", F.col("score").alias("target_score"))
 
 
@@ -125,21 +134,21 @@ def target_rank(spark, sf_dir):
 
 #: Ranges over all documents (0 without a common term) and the target, for each target.
 SPAN_SQL = """mb AS (SELECT query_id, min(score) AS lo, max(score) AS hi, sum(score) AS total, count(*) AS n FROM bm GROUP BY query_id),
-sp AS (SELECT query_id, CASE WHEN n < (SELECT count(*) FROM documents) THEN least(lo, 0) ELSE lo END AS lo, CASE WHEN n < (SELECT count(*) FROM documents) THEN greatest(hi, 0) ELSE hi END AS hi, total FROM mb),
-tn AS (SELECT ts.*, least(lo, target_score) AS low, greatest(hi, target_score) AS high, total FROM ts JOIN sp USING (query_id))"""
+sp AS (SELECT query_id, CASE WHEN coalesce(n, 0) < n_docs THEN least(coalesce(lo, 0), 0) ELSE lo END AS lo, CASE WHEN coalesce(n, 0) < n_docs THEN greatest(coalesce(hi, 0), 0) ELSE hi END AS hi, coalesce(total, 0) AS total, n_docs FROM bq JOIN sz USING (domain) LEFT JOIN mb USING (query_id)),
+tn AS (SELECT ts.*, least(lo, target_score) AS low, greatest(hi, target_score) AS high, total, n_docs AS n FROM ts JOIN sp USING (query_id))"""
 
 
-@query("minmax_norm", f"""{BM25_SQL}, {SPAN_SQL}, nd AS (SELECT count(*) AS n FROM documents)
+@query("minmax_norm", f"""{BM25_SQL}, {SPAN_SQL}
 SELECT query_id, target_id, round(low, 6) AS low, round(high, 6) AS high, round(CASE WHEN high - low <= 1e-12 THEN 0 ELSE (target_score - low) / (high - low) END, 6) AS target_norm,
- round(CASE WHEN high - low <= 1e-12 THEN 0 ELSE (total / n - low) / (high - low) END, 6) AS corpus_mean_norm FROM tn, nd""")
+ round(CASE WHEN high - low <= 1e-12 THEN 0 ELSE (total / n - low) / (high - low) END, 6) AS corpus_mean_norm FROM tn""")
 def minmax_norm(spark, sf_dir):
-    """Each target's range over all documents and itself, its normalised score, and the mean normalised score of the documents."""
+    """Each target's range over all documents of its domain and itself, its normalised score, and the mean normalised score of the documents."""
     index = R.Index(corpus(spark, sf_dir))
-    q = questions(spark, sf_dir).select("query_id", "text")
+    q = questions(spark, sf_dir).select("query_id", "domain", "text")
     own = R.target_scores(index, q, targets(spark, sf_dir).select("target_id", "query_ids", "text")).select("query_id", "target_id", "score")
     both = own.join(R.ranges(index, q, ("bm25",)), "query_id").withColumns({"low": F.least("low", "score"), "high": F.greatest("high", "score")})
     norm = lambda x: R.scaled(x, F.col("low"), F.col("high"))
-    return rounded(both.select("query_id", "target_id", "low", "high", norm(F.col("score")).alias("target_norm"), norm(F.col("total") / index.n_docs).alias("corpus_mean_norm")))
+    return rounded(both.select("query_id", "target_id", "low", "high", norm(F.col("score")).alias("target_norm"), norm(F.col("total") / F.col("n")).alias("corpus_mean_norm")))
 
 
 def _cos(a: str, b: str) -> str:
@@ -147,8 +156,9 @@ def _cos(a: str, b: str) -> str:
     return f"round({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})), 6)"
 
 
-DENSE_SQL = f"""WITH dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
-de AS (SELECT query_id, vec_id AS doc_id, {_cos('embedding', 'q')} AS score FROM embeddings, dq)"""
+VECTORS = f"(SELECT vec_id AS doc_id, coalesce(domain, {DOM.format('vec_id')}) AS domain, text, embedding FROM embeddings LEFT JOIN (SELECT doc_id, coalesce(lang, '') AS domain, text FROM documents) ON doc_id = vec_id)"
+DENSE_SQL = f"""WITH dq AS (SELECT item_id AS query_id, {DOM.format('item_id')} AS domain, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id), dv AS {VECTORS},
+de AS (SELECT query_id, doc_id, {_cos('embedding', 'q')} AS score FROM dv JOIN dq USING (domain))"""
 
 
 def _dense_index(spark, sf_dir) -> R.Index:
@@ -165,13 +175,14 @@ def _norm(c: str) -> str:
 
 
 #: The hybrid corpus is the documents with a vector: both channels' statistics come from these alone.
-HYBRID_SQL = BM25_SQL.replace("FROM documents)", "FROM (SELECT vec_id AS doc_id, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id))", 1) + ", " + DENSE_SQL[5:] + ", hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id))"
+HYBRID_SQL = BM25_SQL.replace("SELECT doc_id, coalesce(lang, '') AS domain, text FROM documents", f"SELECT * FROM {VECTORS}", 1) + ", " + DENSE_SQL[5:] + ", hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id))"
 
 
-@query("hybrid_fuse", f"""{HYBRID_SQL}, hf AS (SELECT query_id, doc_id, {ALPHA} * {_norm('dense')} + (1 - {ALPHA}) * {_norm('bm25')} AS score FROM hb WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, doc_id, round(score + 1e-9, 6) AS score FROM hf""")
+@query("hybrid_fuse", f"""{HYBRID_SQL}, hf AS (SELECT query_id, doc_id, round({ALPHA} * {_norm('dense')} + (1 - {ALPHA}) * {_norm('bm25')} + 1e-9, 6) AS score FROM hb WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM hf QUALIFY rank <= {K}""")
 def hybrid_fuse(spark, sf_dir):
-    return R.fused_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), ALPHA).select("query_id", "doc_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
+    """The best documents of each question by both channels."""
+    return R.top_k(R.fused_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), ALPHA, K), K)
 
 
 def _fused(source: str) -> str:
@@ -214,7 +225,7 @@ def retrieve_dense(spark, sf_dir):
     return _listed(R.search(_dense_index(spark, sf_dir), questions(spark, sf_dir), own, "dense", K)).select("target_id", "target_rank", "top_k_ids")
 
 
-@query("natural_topk", f"""{BM25_SQL}, al AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM ts) CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN bm USING (query_id, doc_id)),
+@query("natural_topk", f"""{BM25_SQL}, al AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM (SELECT query_id, domain FROM bq WHERE query_id IN (SELECT query_id FROM ts)) JOIN dw USING (domain) LEFT JOIN bm USING (query_id, doc_id)),
 tl AS (SELECT query_id, list(CAST(doc_id AS VARCHAR) ORDER BY score DESC, doc_id)[1:{K}] AS ids FROM al GROUP BY query_id)
 SELECT target_id, array_to_string(CASE WHEN target_rank < {K} THEN list_concat(list_concat(ids[1:target_rank], [CAST(target_id AS VARCHAR)]), ids[target_rank + 1:{K} - 1]) ELSE ids[1:{K}] END, ',') AS window_ids FROM tt JOIN tl USING (query_id)""")
 def natural_topk(spark, sf_dir):
@@ -222,23 +233,23 @@ def natural_topk(spark, sf_dir):
 
 
 def _rewritten(spark, sf_dir) -> DataFrame:
-    """Targets with rewritten queries: their own question and the next one; a third of the conversations have a blank instead of the second, some have blanks only."""
+    """Targets with rewritten queries: their own question and the next one of its domain; a third of the conversations have a blank instead of the second, some have blanks only."""
     t, q = targets(spark, sf_dir), questions(spark, sf_dir)
     c = F.col("conv_id")
-    asked = t.select("target_id", F.explode(F.array(F.struct(F.lit(0).alias("no"), (c % F.col("items")).alias("query_id"), (c % 7 != 0).alias("said")), F.struct(F.lit(1).alias("no"), ((c + 1) % F.col("items")).alias("query_id"), ((c % 7 != 0) & (c % 3 != 0)).alias("said")))).alias("a")).select("target_id", "a.*")
+    asked = t.select("target_id", F.explode(F.array(F.struct(F.lit(0).alias("no"), (c % F.col("items")).alias("query_id"), (c % 7 != 0).alias("said")), F.struct(F.lit(1).alias("no"), ((c + len(LANGS)) % F.col("items")).alias("query_id"), ((c % 7 != 0) & (c % 3 != 0)).alias("said")))).alias("a")).select("target_id", "a.*")
     asked = asked.join(q, "query_id").select("target_id", F.struct("query_id", F.when(F.col("said"), F.col("text")).otherwise(" ").alias("text"), "embedding").alias("r"))
-    return t.select("target_id", "text", "embedding").join(asked.groupBy("target_id").agg(F.collect_list("r").alias("rewrites")), "target_id")  # two each
+    return t.select("target_id", "domain", "text", "embedding").join(asked.groupBy("target_id").agg(F.collect_list("r").alias("rewrites")), "target_id")  # two each
 
 
 @query("retrieve_multi", HYBRID_SQL + f""", items AS (SELECT count(*) AS m FROM benchmark),
 ms AS (SELECT conv_id * 1000 + turn AS target_id, conv_id, text, m FROM conversations, items WHERE conv_id IN (SELECT vec_id FROM embeddings)),
-pr AS (SELECT target_id, conv_id % m AS query_id FROM ms WHERE conv_id % 7 <> 0 UNION ALL SELECT target_id, (conv_id + 1) % m FROM ms WHERE conv_id % 7 <> 0 AND conv_id % 3 <> 0 UNION ALL SELECT target_id, -target_id - 1 FROM ms WHERE conv_id % 7 = 0),
-oq AS (SELECT DISTINCT -target_id - 1 AS query_id, text, conv_id FROM ms WHERE conv_id % 7 = 0),
-q2 AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format("coalesce(text, '')")}) AS term FROM oq) GROUP BY 1, 2 UNION ALL SELECT * FROM qt),
-v2 AS (SELECT oq.query_id, embedding AS q FROM oq JOIN embeddings ON vec_id = conv_id UNION ALL SELECT * FROM dq),
-g2 AS (SELECT term, doc_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post JOIN idf USING (term), sz), b2 AS (SELECT query_id, doc_id, round(sum(qtf * w), 6) AS score FROM q2 JOIN g2 USING (term) GROUP BY 1, 2),
-d2 AS (SELECT query_id, vec_id AS doc_id, {_cos('embedding', 'q')} AS dense FROM embeddings, v2), h2 AS (SELECT d2.*, coalesce(score, 0) AS bm25 FROM d2 LEFT JOIN b2 USING (query_id, doc_id)),
-ot AS (SELECT pr.target_id, pr.query_id, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf * idf AS w FROM pr JOIN tp USING (target_id) JOIN q2 ON q2.query_id = pr.query_id AND q2.term = tp.term JOIN idf ON idf.term = tp.term, sz),
+pr AS (SELECT target_id, conv_id % m AS query_id FROM ms WHERE conv_id % 7 <> 0 UNION ALL SELECT target_id, (conv_id + 4) % m FROM ms WHERE conv_id % 7 <> 0 AND conv_id % 3 <> 0 UNION ALL SELECT target_id, -target_id - 1 FROM ms WHERE conv_id % 7 = 0),
+oq AS (SELECT DISTINCT -target_id - 1 AS query_id, {DOM.format('(conv_id % m)')} AS domain, text, conv_id FROM ms WHERE conv_id % 7 = 0),
+q2 AS (SELECT query_id, domain, term, count(*) AS qtf FROM (SELECT query_id, domain, unnest({TOK.format("coalesce(text, '')")}) AS term FROM oq) GROUP BY 1, 2, 3 UNION ALL SELECT * FROM qt),
+v2 AS (SELECT oq.query_id, oq.domain, embedding AS q FROM oq JOIN embeddings ON vec_id = conv_id UNION ALL SELECT * FROM dq),
+g2 AS (SELECT domain, term, doc_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post JOIN idf USING (domain, term) JOIN sz USING (domain)), b2 AS (SELECT query_id, doc_id, round(sum(qtf * w), 6) AS score FROM q2 JOIN g2 USING (domain, term) GROUP BY 1, 2),
+d2 AS (SELECT query_id, doc_id, {_cos('embedding', 'q')} AS dense FROM dv JOIN v2 USING (domain)), h2 AS (SELECT d2.*, coalesce(score, 0) AS bm25 FROM d2 LEFT JOIN b2 USING (query_id, doc_id)),
+ot AS (SELECT pr.target_id, pr.query_id, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf * idf AS w FROM pr JOIN tp USING (target_id) JOIN q2 ON q2.query_id = pr.query_id AND q2.term = tp.term JOIN idf ON idf.term = tp.term AND idf.domain = q2.domain JOIN sz ON sz.domain = q2.domain),
 ob AS (SELECT target_id, query_id, round(sum(w), 6) AS t_bm25 FROM ot GROUP BY 1, 2),
 ow AS (SELECT pr.target_id, pr.query_id, {_cos('e.embedding', 'v2.q')} AS t_dense, coalesce(t_bm25, 0) AS t_bm25 FROM pr JOIN embeddings e ON e.vec_id = pr.target_id // 1000 JOIN v2 ON v2.query_id = pr.query_id LEFT JOIN ob ON ob.target_id = pr.target_id AND ob.query_id = pr.query_id),
 {_hybrid_ranks('pr', 'h2', 'ow', 'max')}, {_hybrid_ranks('pr', 'h2', 'ow', 'avg').replace('hs AS', 'hs2 AS').replace('JOIN hs USING', 'JOIN hs2 USING').replace('hfr', 'hfr2').replace('hdoc', 'hdoc2').replace('hown', 'hown2').replace('hr AS', 'hr2 AS')}

@@ -13,7 +13,7 @@ from leverframe.operators import studies as S
 from leverframe.operators import trials as D
 from leverframe.plans.effects import BD_EI, KL, _strata_sql, ate_sql, ei_sql, pate_sql
 from leverframe.plans.registry import query, rounded
-from leverframe.sources.tables import table
+from leverframe.sources.tables import spread, table
 
 MODELS = ["model-a", "model-b"]
 
@@ -174,7 +174,9 @@ def audit_sheet(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """The documents, dealt to the questions' domains by id."""
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", domain.alias("domain"), "text")
 
 
 @query("study5")
