@@ -63,17 +63,17 @@ def backdoor_do(df: DataFrame, factors: Sequence[str] = FACTORS, y: str = "y") -
 def backdoor_adjust(df: DataFrame, treatment: str, method: str = "gcomp", adjustment: Sequence[str] | None = None, y: str = "y") -> DataFrame:
     """factor, level, p by the named method: ``stratify``, or ``gcomp``, which falls back to stratification where it can't be fitted.
 
-    Columns to adjust for that ``df`` lacks are left out; without any the plain rates are given.
+    The treatment itself and columns to adjust for that ``df`` lacks are left out; without any the plain rates are given.
     """
     from leverframe.operators.models import gcomp
 
     if method not in ("gcomp", "stratify"):
         raise ValueError(f"no such method: {method}")
-    adj = [c for c in (adjustment_set(treatment) if adjustment is None else adjustment) if c in df.columns]
-    if method == "gcomp" and len(adj) == 1:
+    adj = [c for c in (adjustment_set(treatment) if adjustment is None else adjustment) if c in df.columns and c != treatment]
+    if method == "gcomp" and adj:
         levels = sorted(r[0] for r in df.select(treatment).where(F.col(treatment).isNotNull()).distinct().collect())  # a factor's few levels
         try:
-            return gcomp(df, treatment, adj[0], levels, y)
+            return gcomp(df, treatment, adj, levels, y)
         except (ValueError, np.linalg.LinAlgError):
             pass
     return stratified_do(df, treatment, adj, y)

@@ -6,7 +6,7 @@ of trials.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import erfc, sqrt
 from statistics import NormalDist
 
@@ -85,36 +85,113 @@ def logit_with_clusters(df: DataFrame, factors: Sequence[str], interactions: Seq
     return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double, odds_ratio double, or_low double, or_high double, method string")
 
 
-def gcomp(df: DataFrame, treatment: str, adjustment: str, levels: Sequence[int], y: str = "y", most: int = 1000) -> DataFrame:
-    """P(Y=1 | do(X=level)) by g-computation: logit of y on the levels and the adjustment's categories, averaged over all rows.
+class Groups:
+    """Trials summed to rows of equal covariates, one row for each group: logits with an intercept for each group, eliminated inside the groups.
 
-    The trials are summed by level and category. With at most ``most`` categories that table is fitted on the driver; with
-    more, stratification by category takes over, as where the fit breaks down.
+    ``cells``: g, x (array of ``p``), n, k (successes). A pass over the groups finds each group's intercept for given
+    coefficients by Newton steps of its own; what leaves a task are sums of ``p`` x ``p`` size, whatever the number of
+    groups. With ``precision`` 0 intercepts are free: those of groups in which all or none succeed are infinite, so these
+    groups say nothing of the coefficients and their rates are 1 and 0. Else they have a normal prior of that precision.
     """
-    from leverframe.operators.information import stratified_do
-
-    cells = df.groupBy(F.col(treatment).alias("t"), F.col(adjustment).alias("a")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("k"))
-    got = cells.where(F.col("t").isin(list(levels))).limit(len(levels) * most + 1).toPandas().dropna().sort_values(["a", "t"])
-    if len(got) > len(levels) * most:
-        return stratified_do(df, treatment, [adjustment], y)
-    cats = sorted(got["a"].unique())
-
-    def design(t: np.ndarray, a: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(t)), *[(t == v).astype(float) for v in levels[1:]], *[(a == c).astype(float) for c in cats[1:]]])
-
-    x, n, k = design(got["t"].to_numpy(), got["a"].to_numpy()), got["n"].to_numpy(float), got["k"].to_numpy(float)
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        mu = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.lstsq((x * (n * mu * (1 - mu))[:, None]).T @ x, x.T @ (k - n * mu), rcond=None)[0]
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    rows = []
-    for level in levels:
-        p = 1 / (1 + np.exp(-design(np.full(len(got), level), got["a"].to_numpy()) @ beta))
-        rows.append((treatment, int(level), float((n * p).sum() / n.sum())))
-    return df.sparkSession.createDataFrame(rows, "factor string, level int, p double")
+
+    def __init__(self, cells: DataFrame, p: int):
+        self.p = p
+        each = lambda name: F.transform("c", lambda c: c[name])
+        whole = cells.groupBy("g").agg(F.collect_list(F.struct("x", "n", "k")).alias("c"))
+        self.rows = stored(whole.select("g", each("n").alias("n"), each("k").alias("k"), F.flatten(each("x")).alias("x")), "groups")
+
+    @staticmethod
+    def solved(frame: pd.DataFrame, p: int, beta: np.ndarray, precision: float) -> tuple[np.ndarray, ...]:
+        """x, n, k and rate of each cell, where groups begin, their intercepts and the curvature in them."""
+        sizes = frame["n"].map(len).to_numpy()
+        n, k = (np.concatenate(frame[c].to_list()).astype(float) for c in "nk")
+        x = np.concatenate(frame["x"].to_list()).reshape(len(n), p) if p else np.zeros((len(n), 0))
+        begin = np.cumsum(sizes) - sizes
+        add = lambda v: np.add.reduceat(v, begin)
+        total, good = add(n), add(k)
+        pure = (precision == 0) & ((good == 0) | (good == total))
+        base, u = x @ beta, np.zeros(len(frame))
+        for _ in range(100):
+            mu = 1 / (1 + np.exp(-(base + np.repeat(u, sizes))))
+            d = add(n * mu * (1 - mu)) + precision
+            step = np.where(pure, 0.0, np.clip((add(k - n * mu) - precision * u) / np.maximum(d, 1e-300), -3, 3))
+            u = u + step
+            if np.abs(step).max() < 1e-11:
+                break
+        u = np.where(pure, np.where(good > 0, np.inf, -np.inf), u)
+        mu = 1 / (1 + np.exp(-(base + np.repeat(u, sizes))))
+        return x, n, k, mu, begin, u, np.where(pure, np.inf, add(n * mu * (1 - mu)) + precision)
+
+    def sums(self, of: Callable[..., np.ndarray], beta: np.ndarray, precision: float) -> np.ndarray:
+        """``of`` what ``solved`` gives, summed over all groups."""
+        p = self.p
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    with np.errstate(over="ignore"):
+                        values = of(*Groups.solved(frame, p, beta, precision))
+                    yield pd.DataFrame({"i": np.arange(len(values)), "v": values})
+
+        got = self.rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # p x p sums
+        return np.array([r["v"] for r in got])
+
+    def fit(self, precision: float = 0.0, estimate: bool = False, steps: int = 60) -> tuple[np.ndarray, float]:
+        """Coefficients and precision. With ``estimate`` the prior's variance is found too: it is the groups' mean of squared intercept plus its variance (EM by Laplace's approximation)."""
+        p, beta, last = self.p, np.zeros(self.p), None
+
+        def of(x, n, k, mu, begin, u, d):
+            w = n * mu * (1 - mu)
+            wx = np.add.reduceat(w[:, None] * x, begin, axis=0) if p else np.zeros((len(begin), 0))
+            info = (x * w[:, None]).T @ x - (wx / d[:, None]).T @ wx
+            return np.concatenate([[len(u), np.where(np.isfinite(u), u * u + 1 / d, 0).sum()], x.T @ (k - n * mu), info.ravel()])
+
+        for _ in range(steps):
+            got = self.sums(of, beta, precision)
+            step = np.linalg.solve(got[2 + p :].reshape(p, p), got[2 : 2 + p]) if p else np.zeros(0)
+            if not np.isfinite(step).all() or np.abs(beta).max(initial=0) > 30:
+                raise np.linalg.LinAlgError("no finite maximum")
+            beta = beta + np.clip(step, -4, 4)
+            moved = np.abs(step).max(initial=0)
+            if estimate:
+                here, target = -np.log(precision), np.log(max(got[1] / got[0], 1e-8))
+                if last is not None and here != last[0] and (slope := (target - here - last[1]) / (here - last[0])) < 0:
+                    new = here + np.clip(-(target - here) / slope, -1.5, 1.5)
+                else:
+                    new = target
+                last = (here, target - here)
+                moved = max(moved, abs(new - here) if new > np.log(1e-7) else 0)
+                precision = float(np.exp(-max(new, np.log(1e-8))))
+            if moved < 1e-6 * max(1.0, np.abs(beta).max(initial=0)):
+                return beta, precision
+        raise np.linalg.LinAlgError("no finite maximum")
+
+
+def gcomp(df: DataFrame, treatment: str, adjustment: str | Sequence[str], levels: Sequence[int], y: str = "y") -> DataFrame:
+    """P(Y=1 | do(X=level)) by g-computation: logit of y on the levels and the adjustment, averaged over all rows.
+
+    Text columns of the adjustment go in as categories, numbers as they are. The text column with most categories is
+    eliminated inside its groups (``Groups``), however many it has; the categories of further text columns are
+    coefficients. Raises LinAlgError where there is no finite fit.
+    """
+    adj = [adjustment] if isinstance(adjustment, str) else list(adjustment)
+    work = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [treatment, y, *adj])).where(F.col(treatment).isin(list(levels)))
+    texts = [c for c in adj if dict(df.dtypes)[c] == "string"]
+    sizes = work.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first() if texts else {}
+    own = max(texts, key=lambda c: sizes[c], default=None)
+    named = {c: [r[0] for r in work.select(c).distinct().orderBy(c).collect()] for c in texts if c != own}
+    parts = [(F.col(treatment) == v).cast("double") for v in levels[1:]] + [F.col(c).cast("double") for c in adj if c not in texts] + [(F.col(c) == v).cast("double") for c, vs in named.items() for v in vs[1:]]
+    group = F.col(own) if own else F.lit("")
+    cells = work.select(group.alias("g"), F.array(*parts).alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
+    fitted, n_levels = Groups(cells, len(parts)), len(levels)
+    beta, _ = fitted.fit()
+
+    def rates(x, n, k, mu, begin, u, d):
+        base = x[:, n_levels - 1 :] @ beta[n_levels - 1 :] + np.repeat(u, np.diff(np.append(begin, len(n))))
+        return np.array([n.sum(), *[(n / (1 + np.exp(-(base + b)))).sum() for b in (0.0, *beta[: n_levels - 1])]])
+
+    total, *sums = fitted.sums(rates, beta, 0.0)
+    return df.sparkSession.createDataFrame([(treatment, int(v), float(p / total)) for v, p in zip(levels, sums, strict=True)], "factor string, level int, p double")
 
 
 def interaction_test(df: DataFrame, factor: str, moderator: str, cluster: str = "query_id", y: str = "y", most: int = 50) -> DataFrame:
@@ -133,37 +210,20 @@ def interaction_test(df: DataFrame, factor: str, moderator: str, cluster: str =
     return out.withColumn("term", F.replace("term", F.lit("`"), F.lit(""))).withColumn("model_spec", F.lit(f"{y} ~ {factor} * {moderator}"))
 
 
-def mixed_logit(df: DataFrame, factors: Sequence[str], group: str = "query_id", y: str = "y", prior: float = 1.0, steps: int = 30) -> DataFrame:
-    """Logit with an intercept for each group, shrunk to a common one by a normal prior of deviation ``prior``; term, coef, method.
+def mixed_logit(df: DataFrame, factors: Sequence[str], group: str = "query_id", y: str = "y", prior: float | None = None) -> DataFrame:
+    """Logit with an intercept for each group, shrunk to a common one by a normal prior; term, coef, group_sd, method.
 
-    Newton steps eliminate the groups' intercepts inside their groups, so that the driver only solves for the factors
-    whatever the number of groups. Where that breaks down, the clustered logit stands in and is named.
+    The prior's deviation is estimated (``Groups``), or ``prior`` if that is given. Where the fit breaks down, the clustered
+    logit stands in and is named.
     """
-    names, p = ["Intercept", *factors], 1 + len(factors)
+    names = ["Intercept", *factors]
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in factors])
-    cells = stored(df.select(F.col(group).alias("g"), x.alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")), "cells")
-    beta, upper = np.zeros(p), [(i, j) for i in range(p) for j in range(i, p)]
-    u = cells.select("g").distinct().withColumn("u", F.lit(0.0))
+    cells = df.select(F.col(group).alias("g"), x.alias("x"), F.col(y).alias("y")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
     try:
-        for _ in range(steps):
-            rows = cells.join(u, "g").withColumn("mu", 1 / (1 + F.exp(-(_linear(F.col("x"), beta) + F.col("u")))))
-            w, r = F.col("n") * F.col("mu") * (1 - F.col("mu")), F.col("k") - F.col("n") * F.col("mu")
-            own = rows.groupBy("g").agg(F.max("u").alias("u"), F.sum(r).alias("r"), F.sum(w).alias("w"), *[F.sum(r * F.get("x", i)).alias(f"r{i}") for i in range(p)], *[F.sum(w * F.get("x", i)).alias(f"w{i}") for i in range(p)], *[F.sum(w * F.get("x", i) * F.get("x", j)).alias(f"h{i}_{j}") for i, j in upper])
-            own = stored(own.withColumns({"d": F.col("w") + 1 / prior**2, "s": F.col("r") - F.col("u") / prior**2}), "groups")
-            got = _sums([F.col(f"r{i}") - F.col(f"w{i}") * F.col("s") / F.col("d") for i in range(p)] + [F.col(f"h{i}_{j}") - F.col(f"w{i}") * F.col(f"w{j}") / F.col("d") for i, j in upper], own)
-            info = np.zeros((p, p))
-            for (i, j), v in zip(upper, got[p:], strict=True):
-                info[i, j] = info[j, i] = v
-            step = np.linalg.solve(info, got[:p])
-            beta = beta + step
-            u = own.select("g", (F.col("u") + (F.col("s") - sum((F.col(f"w{i}") * float(step[i]) for i in range(p)), F.lit(0.0))) / F.col("d")).alias("u"))
-            if np.abs(step).max() < 1e-8:
-                break
-        else:
-            raise np.linalg.LinAlgError("no finite maximum")
+        beta, precision = Groups(cells, len(names)).fit(1.0 if prior is None else prior**-2, prior is None)
     except np.linalg.LinAlgError:
-        return logit_with_clusters(df, factors, cluster=group, y=y, position=None).select("term", "coef", F.concat(F.lit("fallback:"), "method").alias("method"))
-    return df.sparkSession.createDataFrame([(t, float(b), "group_intercepts") for t, b in zip(names, beta, strict=True)], "term string, coef double, method string")
+        return logit_with_clusters(df, factors, cluster=group, y=y, position=None).select("term", "coef", F.lit(None).cast("double").alias("group_sd"), F.concat(F.lit("fallback:"), "method").alias("method"))
+    return df.sparkSession.createDataFrame([(t, float(b), float(precision**-0.5), "group_intercepts") for t, b in zip(names, beta, strict=True)], "term string, coef double, group_sd double, method string")
 
 
 def slope(df: DataFrame, column: str = "target_position", y: str = "y") -> float:

@@ -188,7 +188,51 @@ def test_adjustment_dispatch(spark):
     assert by(I.backdoor_adjust(df, "S2", adjustment=["weather"])) == by(I.stratified_do(df, "S2", []))
     with pytest.raises(ValueError, match="no such method"):
         I.backdoor_adjust(df, "S2", "magic")
-    assert by(M.gcomp(df, "S2", "query_id", [0, 1], most=1)) == by(I.stratified_do(df, "S2", ["query_id"]))
+    apart = df.withColumn("y", F.col("S2"))  # no finite fit: stratification takes over
+    assert by(I.backdoor_adjust(apart, "S2")) == by(I.stratified_do(apart, "S2", ["query_id"])) == {0: 0.0, 1: 1.0}
+
+
+def dense_gcomp(x, y, n_levels, steps=60):
+    """Newton steps on all columns at once; x: level dummies first."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        beta = beta + np.clip(np.linalg.lstsq((x * (mu * (1 - mu))[:, None]).T @ x, x.T @ (y - mu), rcond=None)[0], -3, 3)
+    out = []
+    for v in range(n_levels):
+        z = x.copy()
+        z[:, : n_levels - 1] = 0
+        if v:
+            z[:, v - 1] = 1
+        out.append((1 / (1 + np.exp(-z @ beta))).mean())
+    return out
+
+
+def test_gcomp_of_many_categories_numbers_and_two_text_columns(spark):
+    """Against a dense fit: 60 groups, some of them all or none, a number and a second text column."""
+    rng = np.random.default_rng(12)
+    rows = [(f"q{g}", int(rng.integers(0, 3)), float(rng.integers(0, 3)), "abc"[rng.integers(0, 3)]) for g in range(60) for _ in range(12)]
+    lift = {f"q{g}": rng.normal() for g in range(60)}
+    p = [1 / (1 + np.exp(-(lift[q] + 0.7 * t - 0.4 * z + {"a": 0, "b": 0.5, "c": -0.5}[c]))) for q, t, z, c in rows]
+    y = [0 if q in ("q0", "q1") else 1 if q == "q2" else int(rng.random() < r) for (q, *_), r in zip(rows, p, strict=True)]
+    df = spark.createDataFrame([(*r, v) for r, v in zip(rows, y, strict=True)], "query_id string, S1 int, z double, c string, y int")
+    x = np.column_stack([[float(r[1] == v) for r in rows] for v in (1, 2)] + [[r[2] for r in rows]] + [[float(r[3] == c) for r in rows] for c in "bc"] + [[float(r[0] == f"q{g}") for r in rows] for g in range(60)])
+    got = {r["level"]: r["p"] for r in M.gcomp(df, "S1", ["query_id", "z", "c"], [0, 1, 2]).collect()}
+    assert [got[v] for v in range(3)] == pytest.approx(dense_gcomp(x, np.array(y, float), 3), abs=1e-6)
+    numbers = {r["level"]: r["p"] for r in I.backdoor_adjust(df, "S1", adjustment=["z", "S1", "weather"]).collect()}
+    assert [numbers[v] for v in range(3)] == pytest.approx(dense_gcomp(np.column_stack([x[:, :3], np.ones(len(y))]), np.array(y, float), 3), abs=1e-6)
+
+
+@pytest.mark.parametrize("sd", [0.0, 1.2])
+def test_mixed_logit_finds_the_groups_deviation(spark, sd):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(300):
+        u = sd * rng.normal()
+        rows += [(f"q{g}", int(i % 2), int(rng.random() < 1 / (1 + np.exp(-(-0.5 + 0.8 * (i % 2) + u))))) for i in range(30)]
+    got = {r["term"]: r for r in M.mixed_logit(spark.createDataFrame(rows, "query_id string, S2 int, y int"), ["S2"]).collect()}
+    assert got["S2"]["coef"] == pytest.approx(0.8, abs=0.12) and {r["method"] for r in got.values()} == {"group_intercepts"}
+    assert got["S2"]["group_sd"] == pytest.approx(sd, abs=0.15)
 
 
 def test_slope_is_the_logits(spark):
