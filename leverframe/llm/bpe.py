@@ -39,7 +39,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class TrieEncoder:
+class Specials:
+    """The special strings of a tokenizers file, which are cut out of a text before anything else."""
+
+    def __init__(self, data: dict):
+        self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
+        self.cut_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+
+    def segments(self, text: str) -> Iterator[str | int]:
+        """Ordinary text and the ids of special strings, in turn."""
+        at = 0
+        for m in self.cut_special.finditer(text) if self.cut_special else ():
+            if m.start() > at:
+                yield text[at : m.start()]
+            yield self.special[m[0]]
+            at = m.end()
+        if at < len(text):
+            yield text[at:]
+
+
+class TrieEncoder(Specials):
     """Encodes and decodes texts for one vocabulary, given as the JSON text of a tokenizers file.
 
     ``max_words`` bounds what a worker process remembers: beyond so many chunks a new generation begins, which takes
@@ -48,6 +67,7 @@ class TrieEncoder:
 
     def __init__(self, spec: str, max_words: int = 250_000):
         data = json.loads(spec)
+        super().__init__(data)
         model, alphabet = data["model"], byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         vocab, pairs = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -68,9 +88,7 @@ class TrieEncoder:
         self.begins: set[bytes] = set()
         self.nodes: dict[bytes, tuple[bytes, dict[int, tuple], list[tuple[int, int]]]] = {}
         self.id_bytes = dict(zip(self.id_of, self.bytes_of, strict=True))
-        self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         self.id_bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.cut_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.find_words = regex.compile(WORD_PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.apart_memo: dict[tuple[int, int], bool] = {}
         self.whole_memo: dict[int, bool] = {}
@@ -204,17 +222,6 @@ class TrieEncoder:
             return [chunk[:-1], chunk[-1]]
         return self.find_words(chunk)
 
-    def segments(self, text: str) -> Iterator[str | int]:
-        """Ordinary text and the ids of special strings, in turn."""
-        at = 0
-        for m in self.cut_special.finditer(text) if self.cut_special else ():
-            if m.start() > at:
-                yield text[at : m.start()]
-            yield self.special[m[0]]
-            at = m.end()
-        if at < len(text):
-            yield text[at:]
-
     def texts(self, texts: list[str], pack) -> list[list]:
         """For each text its chunks' packed ids, in order; ``pack`` turns the ids of a chunk into what is remembered of it."""
         cut = [[s if isinstance(s, int) else self.chunks(s) for s in self.segments(t or "")] for t in texts]

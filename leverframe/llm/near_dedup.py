@@ -144,7 +144,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (a[1].sum() + b[1].sum() - both)
 
 
-def _slices(frame: pd.DataFrame, text: str, chars: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _slices(frame: pd.DataFrame, text: str, chars: int = 400_000) -> Iterator[pd.DataFrame]:
     sizes = frame[text].str.len().fillna(0).cumsum() // chars
     for _, part in frame.groupby(sizes, sort=False):
         yield part
@@ -212,7 +212,7 @@ def similarities(bags: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame.assign(size=frame["text_a"].str.len() + frame["text_b"].str.len())
-            for _, part in frame.groupby(frame["size"].cumsum() // 2_000_000, sort=False):
+            for _, part in frame.groupby(frame["size"].cumsum() // 600_000, sort=False):
                 names = list(dict.fromkeys([*part["text_a"], *part["text_b"]]))
                 bag = dict(zip(names, shingles(names), strict=True))
                 yield part[["a", "b"]].assign(sim=[similarity(bag[x], bag[y]) for x, y in zip(part["text_a"], part["text_b"], strict=True)])

@@ -12,6 +12,7 @@ result has columns of its own and the id; other columns of ``docs``, whatever th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leverframe.llm.bpe import WORD_PATTERN, TrieEncoder, batches
+from leverframe.llm.bpe import WORD_PATTERN, Specials, batches, byte_alphabet
 
 #: A sequence id has 4 bits for the bucket, 26 for the task and 33 for the number in the task.
 TASK_BITS, NUMBER_BITS = 26, 33
@@ -34,16 +35,18 @@ def decompose(n: int, size: int) -> list[int]:
     return [size] * (n // size) + [1 << k for k in range(size.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-class Tokens:
+class Tokens(Specials):
     """Token ids of whole texts, as the tokenizers library gives them for a vocabulary file."""
 
     def __init__(self, spec: str):
-        self.parts = TrieEncoder(spec)
-        self.plain = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=dict(zip(self.parts.bytes_of, self.parts.id_of, strict=True)), special_tokens={}).encode_ordinary
+        data, alphabet = json.loads(spec), byte_alphabet()
+        super().__init__(data)
+        ranks = {bytes(map(alphabet.__getitem__, token)): i for token, i in data["model"]["vocab"].items() if token not in self.special}
+        self.plain = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self.parts.segments(text):
+        for part in self.segments(text):
             if isinstance(part, int):
                 out.append(part)
             else:
@@ -73,7 +76,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 1024, closing_id: int = 0
         names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
         for batch in given:
             at = 0
-            for texts in batches(batch.column(1), 1_000_000):
+            for texts in batches(batch.column(1), 300_000):
                 rows, ids_out, owners = [], [], []
                 for i, text in enumerate(texts):
                     ids = np.array([*tokens(text), closing_id], dtype="<u4")
