@@ -19,6 +19,7 @@ from leverframe.operators import information as I
 from leverframe.operators import models as M
 from leverframe.operators import retrieval as R
 from leverframe.operators import trials as D
+from leverframe.operators.prompts import CITED_SHARE
 
 #: Wordings of each part of an article; {core} is the question's topic. A caller may give its own.
 PHRASES = {
@@ -127,9 +128,11 @@ def assemble(queries: DataFrame, targets: DataFrame, size: int = 3, passages: Da
     return targets.select("article_id", "text").unionByName(pool.select("article_id", "text")), sets
 
 
-def run_trials(sets: DataFrame, texts: DataFrame, targets: DataFrame, models: Sequence[str], styles: Sequence[str] = ("neutral",), seeds: Sequence[int] = (0,), noise: float = 16.0) -> DataFrame:
+def run_trials(sets: DataFrame, texts: DataFrame, targets: DataFrame, models: Sequence[str], styles: Sequence[str] = ("neutral",), seeds: Sequence[int] = (0,), noise: float = 16.0, cite: float | None = None) -> DataFrame:
     """The trial frame: every set for every model, style and seed, decided by position, content markers and hashed noise.
 
+    One candidate is chosen, or with ``cite`` all are cited that score at least that share of the best one's score.
+
     A part of the answers is refused or can't be read, again by a hash, so that the frames' filters have work to do.
     """
     lists = {"model": models, "prompt_style": styles, "seed": seeds}
@@ -141,12 +144,14 @@ def run_trials(sets: DataFrame, texts: DataFrame, targets: DataFrame, models: Se
     long = grid.select("query_id", *key, F.posexplode("ordered_ids").alias("pos", "article_id"))
     long = long.join(texts.select("article_id", D.content_score(F.col("text")).alias("content")).dropDuplicates(["article_id"]), "article_id")
     score = D.POSITION_WEIGHT * F.pow(F.lit(D.POSITION_DECAY), F.col("pos")) + F.col("content") + noise * (uniform(*said, F.col("pos").cast("string")) - 0.5)
-    chosen = long.groupBy("query_id", *key).agg(F.max_by("article_id", F.struct(F.round(F.greatest(F.lit(1.0), score), 6), -F.col("pos"))).alias("chosen_id"))
+    scored = F.round(F.greatest(F.lit(1.0), score), 6)
+    best = F.max_by("article_id", F.struct(scored, -F.col("pos"))) if cite is None else F.max(F.when(F.col("article_id") == F.col("target_id"), scored)) >= cite * F.max(scored)
+    chosen = long.groupBy("query_id", *key).agg(best.alias("chosen_id"))
     bad, refused = uniform(*said, F.lit("parse")) < 0.05, uniform(*said, F.lit("api")) < 0.04
     frame = chosen.join(targets.drop("text", "query_id").withColumnRenamed("article_id", "target_id"), "target_id")
     return frame.select(
         *[c for c in frame.columns if c != "chosen_id"], F.when(bad | refused, 0).otherwise(1).alias("parse_ok"), F.when(refused, "content_filter").otherwise("").alias("api_error"),
-        F.when((F.col("chosen_id") == F.col("target_id")) & ~bad & ~refused, 1).otherwise(0).alias("y"),
+        F.when((F.col("chosen_id") == F.col("target_id") if cite is None else F.coalesce("chosen_id", F.lit(False))) & ~bad & ~refused, 1).otherwise(0).alias("y"),
     )
 
 
@@ -264,18 +269,18 @@ def _search_targets(targets: DataFrame, queries: DataFrame) -> tuple[DataFrame,
     return asked, targets.select(F.xxhash64("article_id").alias("target_id"), F.array(F.xxhash64("query_id")).alias("query_ids"), "text")
 
 
-def run_study5(queries: DataFrame, corpus: DataFrame, models: Sequence[str], k: int = 8, **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+def run_study5(queries: DataFrame, corpus: DataFrame, models: Sequence[str], k: int = 8, cite: float = CITED_SHARE, **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Is a target retrieved from its domain, and is it cited among its competitors wherever it stands? ``corpus``: doc_id, domain, text."""
     targets = build_targets(queries, D.ofat_design(queries.sparkSession))
     asked, own = _search_targets(targets, queries)
     found = _retrieval_frame(R.search(R.Index(corpus), asked, own, k=k), targets)
     sets = D.candidate_sets(found.select("query_id", F.col("article_id").alias("target_id"), F.col("competitor_ids").alias("competitors")), k)
     texts = targets.select("article_id", "text").unionByName(corpus.select(F.col("doc_id").cast("string").alias("article_id"), "text"))
-    frame = run_trials(sets, texts, targets, models, **grid)
+    frame = run_trials(sets, texts, targets, models, cite=cite, **grid)
     return found, frame, study5_tables(found, frame)
 
 
-def run_study6(queries: DataFrame, corpus: DataFrame, rewrites: DataFrame, models: Sequence[str], k: int = 8, pool: str = "max", **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+def run_study6(queries: DataFrame, corpus: DataFrame, rewrites: DataFrame, models: Sequence[str], k: int = 8, pool: str = "max", cite: float = CITED_SHARE, **grid) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Retrieval by rewritten queries (query_id, texts), then citation within the natural window: a target outside it can't be cited."""
     targets = build_targets(queries, D.ofat_design(queries.sparkSession))
     asked = rewrites.join(queries.select("query_id", "domain"), "query_id").select("query_id", F.explode(F.transform("texts", lambda t: F.struct(F.xxhash64("domain", t).alias("query_id"), t.alias("text"), F.lit(None).cast("array<float>").alias("embedding")))).alias("r"))
@@ -287,5 +292,5 @@ def run_study6(queries: DataFrame, corpus: DataFrame, rewrites: DataFrame, model
     window = F.when(rank < k, F.concat(F.slice("top_k_ids", F.lit(1), rank), F.array("article_id"), F.slice("top_k_ids", rank + 1, F.greatest(k - 1 - rank, F.lit(0))))).otherwise(F.col("top_k_ids"))
     sets = found.select("query_id", F.col("article_id").alias("target_id"), (F.array_position(window, F.col("article_id")) - 1).cast("int").alias("target_position"), window.alias("ordered_ids")).where(F.size("ordered_ids") >= 2)
     texts = targets.select("article_id", "text").unionByName(corpus.select(F.col("doc_id").cast("string").alias("article_id"), "text"))
-    frame = run_trials(sets, texts, targets, models, **grid)
+    frame = run_trials(sets, texts, targets, models, cite=cite, **grid)
     return found, frame, study6_tables(found, frame)

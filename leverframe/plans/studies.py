@@ -9,10 +9,12 @@ from leverframe.codebook import DOMAINS, FACTORS, TOP
 from leverframe.functions import text as T
 from leverframe.operators import information as I
 from leverframe.operators import models as M
+from leverframe.operators import prompts as P
 from leverframe.operators import studies as S
 from leverframe.operators import trials as D
 from leverframe.plans.effects import BD_EI, KL, _strata_sql, ate_sql, ei_sql, pate_sql
 from leverframe.plans.registry import query, rounded
+from leverframe.sources.files import scratch
 from leverframe.sources.tables import spread, table
 
 MODELS = ["model-a", "model-b"]
@@ -189,8 +191,8 @@ def study5(spark, sf_dir):
 def study6(spark, sf_dir):
     """Effects on retrieval by rewritten queries and on being cited in the end."""
     q = questions(spark, sf_dir)
-    words = F.split("core", " ")
-    rewrites = q.select("query_id", F.array("core", F.array_join(F.slice(words, 1, 2), " "), F.lit(" ")).alias("texts"))
+    asked = q.select("query_id", F.col("core").alias("question"), "domain")
+    rewrites = P.rewritten(asked, P.Answers(spark, scratch(spark, "rewrites")), MODELS[:1])[0].select("query_id", F.col("queries").alias("texts"))
     t = S.run_study6(q, _corpus(spark, sf_dir), rewrites, MODELS)[2]
     return rounded(t["ate_e2e"].select("model", "factor", F.col("paired_ate").alias("ate_e2e"), "n_pairs").join(t["ate_retrieved"].select("factor", F.col("ATE").alias("ate_retrieved")), "factor"))
 

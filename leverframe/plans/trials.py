@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from leverframe.codebook import FACTORS, TOP
 from leverframe.functions import text as T
 from leverframe.functions import textsim as S
+from leverframe.operators import prompts as P
 from leverframe.operators import trials as D
 from leverframe.operators.studies import with_points
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
+from leverframe.sources.files import scratch, stored
 from leverframe.sources.tables import spread, table
 
 A = f"WITH {ARTICLES_SQL}"
@@ -140,6 +142,48 @@ def build_messages(spark, sf_dir):
     return long.groupBy("query_id", "target_id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("prompt_hash"))
 
 
+def _json(x: str) -> str:
+    for raw, said in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+        x = f"replace({x}, {raw}, {said})"
+    return f"'\"' || {x} || '\"'"
+
+
+def _text(x: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in x.split("\n"))
+
+
+CHAIN_STYLES = ["neutral", "critical_eval"]
+SAID_SQL = "CASE style " + " ".join(f"WHEN '{k}' THEN {_text(P.STYLES[k])}" for k in CHAIN_STYLES) + " END"
+CHAIN_SQL = f"""{CHOICE_SQL}, tx AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM articles), sc AS (SELECT lg.*, text, round(greatest(1.0, 40.0 * pow(0.85, pos) + content), 6) AS s FROM lg JOIN ct USING (id) JOIN tx USING (id)),
+pm AS (SELECT query_id, target_id, target_position, string_agg('【候选 ' || chr(CAST(65 + pos AS INTEGER)) || '】' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS block, count(DISTINCT id) FILTER (s >= {P.CITED_SHARE} * top) AS n_chosen, bool_or(id = target_id AND s >= {P.CITED_SHARE} * top) AS y
+ FROM (SELECT *, max(s) OVER (PARTITION BY query_id, target_id, target_position) AS top FROM sc) GROUP BY 1, 2, 3),
+us AS (SELECT *, {_text("问题(d):")} || chr(10) || 'about ' || query_id || chr(10) || chr(10) || {SAID_SQL} || chr(10) || chr(10) || block || chr(10) || chr(10) || {_text(P.CONTRACTS["cite"])} AS said FROM pm, (SELECT unnest({CHAIN_STYLES}) AS style)),
+rq AS (SELECT *, sha256('{{"max_tokens": {P.MAX_TOKENS["cite"]}, "messages": [{{"content": ' || {_json(_text(P.ROLES["cite"] + P.CONTRACTS["cite"]))} || ', "role": "system"}}, {{"content": ' || {_json("said")} || ', "role": "user"}}], "model": "m", "seed": 0}}') AS request_hash FROM us)"""
+
+
+@query("answer_chain", f"{CHAIN_SQL} SELECT query_id, target_id, CAST(target_position AS INTEGER) AS target_position, style AS prompt_style, request_hash, CAST(y AS INTEGER) AS y, CAST(n_chosen AS INTEGER) AS n_chosen, 1 AS parse_ok, true AS all_decided_first, CAST(0 AS BIGINT) AS decided_again FROM rq")
+def answer_chain(spark, sf_dir):
+    """Prompts of all sets, answers by citing, parsed; run a second time, when every answer is stored already."""
+    questions = articles(spark, sf_dir).select("query_id").distinct().select("query_id", F.concat(F.lit("about "), "query_id").alias("question"), F.lit("d").alias("domain"))
+    requests = P.requests_of(_sets(spark, sf_dir), articles(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text"), questions, ["m"], CHAIN_STYLES, (0,), "cite")
+    requests = stored(requests, "requests")
+    answers = P.Answers(spark, scratch(spark, "answers"))
+    _, first = P.run_chain(answers, requests)
+    trials, again = P.run_chain(answers, requests)
+    n = requests.select("request_hash").distinct().count()
+    return trials.select("query_id", "target_id", "target_position", "prompt_style", "request_hash", "y", "n_chosen", "parse_ok", F.lit(first == n).alias("all_decided_first"), F.lit(again).cast("long").alias("decided_again"))
+
+
+@query("rewrite_chain", f"""WITH q AS (SELECT item_id, text AS question, trim(text, ' ') AS whole, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT *, greatest(1, CAST(ceil(len(w) / 2.0) AS BIGINT)) AS n FROM q), l AS (SELECT *, list_filter([whole, array_to_string(w[1:n], ' '), array_to_string(w[n + 1:2 * n], ' ')], lambda x: trim(x) <> '') AS qs FROM p)
+SELECT 'm' AS model, item_id, array_to_string(list_filter(qs, lambda x, i: list_position(qs, x) = i), ';') AS queries, len(qs) > 0 AS parse_ok FROM l""")
+def rewrite_chain(spark, sf_dir):
+    """Every question rewritten to search queries by prompt, stored answer and parser."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("").alias("domain"))
+    found, _ = P.rewritten(questions, P.Answers(spark, scratch(spark, "rewrites")), ["m"])
+    return found.select("model", F.col("query_id").alias("item_id"), F.array_join("queries", ";").alias("queries"), "parse_ok")
+
+
 @query("call_plan", f"{SETS_SQL}, m AS (SELECT CAST(floor(avg(length(text)) * 0.7) AS BIGINT) AS t FROM articles), n AS (SELECT count(*) AS n FROM st) SELECT n AS n_sets, t AS avg_input_tokens, n * 48 AS n_calls, t * n * 48 AS est_input_tokens, n * 48 * 16 AS est_output_tokens, round(t * n * 48 / 1e6 * 2 + n * 48 * 16 / 1e6 * 6, 6) AS est_cost_usd FROM m, n")
 def call_plan(spark, sf_dir):
     return rounded(D.call_plan(_sets(spark, sf_dir), articles(spark, sf_dir).select("n_chars"), 6, 4, 2))
