@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leverframe.functions import text as T
 from leverframe.operators import trials as D
+from leverframe.sources.files import exists
 
 MODES = ("minimal", "full", "cite")
 #: Most tokens of an answer in each mode.
@@ -108,7 +109,7 @@ def rewrite_reply(question: Column, most: int = 3) -> Column:
     parts = max(0, most - 1)
     length = F.greatest(F.lit(1), F.ceil(F.size(words) / max(1, parts)).cast("int"))
     pieces = [F.array_join(F.slice(words, F.lit(i) * length + 1, length), " ") for i in range(parts)]
-    return F.concat(F.lit('{"queries": ['), F.array_join(F.transform(F.array(F.trim(question), *pieces), T.json_text), ", "), F.lit("]}"))
+    return F.concat(F.lit('{"queries": ['), F.array_join(F.transform(F.array(F.regexp_replace(question, r"^\s+|\s+$", ""), *pieces), T.json_text), ", "), F.lit("]}"))
 
 
 class Answers:
@@ -118,8 +119,7 @@ class Answers:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if not exists(spark, path):
             spark.createDataFrame([], self.KIND).write.parquet(path)
 
     def table(self) -> DataFrame:

@@ -174,7 +174,7 @@ def answer_chain(spark, sf_dir):
     return trials.select("query_id", "target_id", "target_position", "prompt_style", "request_hash", "y", "n_chosen", "parse_ok", F.lit(first == n).alias("all_decided_first"), F.lit(again).cast("long").alias("decided_again"))
 
 
-@query("rewrite_chain", f"""WITH q AS (SELECT item_id, text AS question, trim(text, ' ') AS whole, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+@query("rewrite_chain", f"""WITH q AS (SELECT item_id, text AS question, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS whole, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
 p AS (SELECT *, greatest(1, CAST(ceil(len(w) / 2.0) AS BIGINT)) AS n FROM q), l AS (SELECT *, list_filter([whole, array_to_string(w[1:n], ' '), array_to_string(w[n + 1:2 * n], ' ')], lambda x: trim(x) <> '') AS qs FROM p)
 SELECT 'm' AS model, item_id, array_to_string(list_filter(qs, lambda x, i: list_position(qs, x) = i), ';') AS queries, len(qs) > 0 AS parse_ok FROM l""")
 def rewrite_chain(spark, sf_dir):

@@ -22,6 +22,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table to a new path, so that it is worked out once."""
     path = scratch(df.sparkSession, name)

@@ -411,6 +411,65 @@ def test_fractional_design_is_balanced_and_orthogonal(spark):
     assert (a.sum(axis=0) == 0).all() and np.array_equal(a.T @ a, 16 * np.eye(8))
 
 
+def test_stopped_stream_goes_on(spark, tmp_path):
+    """Files come in two lots with repeated keys; the run over the second has another column and lacks one; a new checkpoint adds nothing."""
+    from leverframe.streaming.trials import run_incremental, stream_of
+
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    df = spark.createDataFrame([(i, i % 3, "2024-01-01 00:00:00", "x") for i in range(60)], "k long, v int, t string, extra string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    df.where("k < 40").drop("extra").repartition(2).write.parquet(src)
+    first = stream_of(spark, src, "k LONG, v INT, t TIMESTAMP_NTZ", "t", files=1)
+
+    def stop(d):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        run_incremental(first, stop, every_rows=10**6, keys=["k"], out=out, state=state)
+    df.where("k >= 30").drop("v").repartition(2).write.mode("append").parquet(src)
+    run_incremental(stream_of(spark, src, "k LONG, t TIMESTAMP_NTZ, extra STRING", "t", files=1), lambda d: None, keys=["k"], out=out, state=state)
+    read = lambda: spark.read.option("basePath", out).parquet(out)
+    rows = {r["k"]: r["v"] for r in read().collect()}
+    assert read().count() == 60 and set(read().columns) == {"k", "v", "t", "run", "batch"}
+    assert rows == {k: k % 3 if k < 40 else None for k in range(60)}
+    seen = []
+    run_incremental(stream_of(spark, src, "k LONG, v INT, t TIMESTAMP_NTZ", "t"), lambda d: seen.append(d.count()), keys=["k"], out=out, state=state + "-new")
+    assert read().count() == 60 and seen == [60]
+
+
+def test_chain_decides_once(spark, tmp_path):
+    from leverframe.operators import prompts as P
+
+    sets = spark.createDataFrame([("q", "b", 1, ["a", "b"]), ("q", "a", 0, ["a", "b"]), ("r", "c", 0, ["c", "a"])], "query_id string, target_id string, target_position int, ordered_ids array<string>")
+    texts = spark.createDataFrame([("a", "plain"), ("b", "机构 12% 核心优势 但是 机制 (证据: x)"), ("c", "")], "id string, text string")
+    questions = spark.createDataFrame([("q", 'why "so"?\n', "d"), ("r", "what", None)], "query_id string, question string, domain string")
+    answers = P.Answers(spark, str(tmp_path / "answers"))
+    got = {}
+    for mode in P.MODES:
+        requests = P.requests_of(sets, texts, questions, ["m", "n"], ["neutral", "persona"], (0, 1), mode)
+        trials, decided = P.run_chain(answers, requests)
+        assert decided == requests.select("request_hash").distinct().count() == 16  # the set of q is asked once for two targets
+        again, none = P.run_chain(answers, requests)
+        assert none == 0 and sorted(map(tuple, again.collect())) == sorted(map(tuple, trials.collect()))
+        got[mode] = {(r["query_id"], r["target_id"]): r for r in trials.where("model = 'm' AND prompt_style = 'neutral' AND seed = 0").collect()}
+        assert all(r["parse_ok"] == 1 for r in got[mode].values())
+    assert {k: r["y"] for k, r in got["minimal"].items()} == {("q", "b"): 1, ("q", "a"): 0, ("r", "c"): 1}
+    assert got["full"]["q", "a"]["target_rank"] == 1 and got["full"]["q", "a"]["target_score"] == 40.0 and got["minimal"]["q", "a"]["target_rank"] == -1
+    assert {k: r["n_chosen"] for k, r in got["cite"].items()} == {("q", "b"): 1, ("q", "a"): 1, ("r", "c"): 2}
+    # an answer of another decider, stored beforehand, is what counts
+    other = P.Answers(spark, str(tmp_path / "other"))
+    requests = P.requests_of(sets, texts, questions, ["m"], mode="minimal")
+    other.fill(requests.select("request_hash", F.lit('I say ```json\n{"choice": "B"}\n```').alias("reply")))
+    trials, decided = P.run_chain(other, requests)
+    assert decided == 0 and {(r["query_id"], r["target_id"]): r["y"] for r in trials.collect()} == {("q", "b"): 1, ("q", "a"): 0, ("r", "c"): 0}
+    with pytest.raises(Exception, match="no such style"):
+        P.requests_of(sets, texts, questions, ["m"], ["loud"]).collect()
+    with pytest.raises(ValueError, match="no such mode"):
+        P.requests_of(sets, texts, questions, ["m"], mode="loud")
+    rewrites, n = P.rewritten(questions, answers, ["m"])
+    assert n == 2 and {r["query_id"]: r["queries"] for r in rewrites.collect()} == {"q": ['why "so"?', "why", '"so"?'], "r": ["what"]}
+    assert P.rewritten(questions, answers, ["m"])[1] == 0
+
+
 def test_stream_refreshes(spark, tmp_path):
     from leverframe.streaming.trials import run_incremental, trial_stream
 
