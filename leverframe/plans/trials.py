@@ -13,7 +13,7 @@ from leverframe.operators import trials as D
 from leverframe.operators.studies import with_points
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
-from leverframe.sources.files import scratch, stored
+from leverframe.sources.files import read_answer_files, scratch, stored, write_zipped_lines
 from leverframe.sources.tables import spread, table
 
 A = f"WITH {ARTICLES_SQL}"
@@ -335,6 +335,19 @@ def mrc_normalize(spark, sf_dir):
     return rows.select("conv_id", "turn", S.normalize(F.col("text")).alias("answer"), (F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn")) > 1).alias("repeated"))
 
 
+@query("mrc_files", "SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS question_id, role AS question_type, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS answer, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_yesno FROM conversations")
+def mrc_files(spark, sf_dir):
+    """Answers written as JSON lines, every third turn's in zip archives, and read back."""
+    rows = table(spark, sf_dir, "conversations")
+    yesno = F.when(F.col("turn") % 2 == 0, F.array(F.lit("Yes"))).otherwise(F.array().cast("array<string>"))
+    said = rows.select("turn", (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("question_id"), F.col("role").alias("question_type"), F.array(F.coalesce("text", F.lit(""))).alias("answers"), yesno.alias("yesno_answers"))
+    path = scratch(spark, "answer-files")
+    said.where("turn % 3 <> 0").drop("turn").write.json(f"{path}/plain")
+    write_zipped_lines(said.where("turn % 3 = 0").drop("turn"), f"{path}/zipped")
+    got = read_answer_files(spark, path)
+    return got.select("question_id", "question_type", S.normalize(F.get("answers", 0)).alias("answer"), F.size("yesno_answers").alias("n_yesno"))
+
+
 @query("char_ngrams", "SELECT n, gram, count(*) AS c FROM (SELECT n, unnest(list_transform(range(1, length(text) - n + 2), lambda i: substr(text, i, n))) AS gram FROM (SELECT regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS text FROM benchmark), (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY 1, 2")
 def char_ngrams(spark, sf_dir):
     return S.ngram_counts(table(spark, sf_dir, "benchmark").select(S.normalize(F.col("text")).alias("text")), [], "text")

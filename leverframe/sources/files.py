@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +123,54 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     """CSV with a header, in one folder for each value of ``by`` if given."""
     writer = df.write.mode("overwrite").option("header", True)
     (writer.partitionBy(by) if by else writer).csv(path)
+
+
+ANSWERS = "question_id STRING, question_type STRING, answers ARRAY<STRING>, yesno_answers ARRAY<STRING>, entity_answers ARRAY<ARRAY<STRING>>, source STRING"
+
+
+def read_answer_files(spark: SparkSession, path: str) -> DataFrame:
+    """Predicted or reference answers (ANSWERS) of a folder's JSON-lines files, which may also lie in zip archives.
+
+    Plain files (``*.json``, ``*.jsonl``, ``*.txt``) are split by Spark; an archive is opened in one task and read line by line.
+    A line that is no JSON object with a question_id, and a question_id that comes twice in all the files, are errors.
+    """
+    plain = spark.read.option("pathGlobFilter", "*.{json,jsonl,txt}").option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"))
+
+    def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for name in archive.namelist():
+                        with archive.open(name) as lines:
+                            while block := list(islice(lines, 10_000)):
+                                yield pa.RecordBatch.from_pydict({"line": [x.decode("utf-8").rstrip("\r\n") for x in block]})
+
+    zipped = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(unzipped, "line string")
+    row = F.from_json("line", f"{ANSWERS}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    rows = plain.unionByName(zipped).where("trim(line) <> ''").select(F.col("line"), row.alias("r"))
+    bad = F.raise_error(F.concat(F.lit("no JSON object with a question_id: "), F.substring("line", 1, 80)))
+    names = _names(ANSWERS)
+    checked = rows.select(F.when(F.col("r._bad").isNull() & F.col("r.question_id").isNotNull(), F.struct(*[F.col(f"r.{c}").alias(c) for c in names])).otherwise(bad).alias("r"))
+    once = checked.groupBy(F.col("r.question_id").alias("question_id")).agg(F.first("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    twice = F.raise_error(F.concat(F.lit("question_id comes twice: "), "question_id"))
+    return once.select(F.when(F.col("n") == 1, F.col("r")).otherwise(twice).alias("r")).select("r.*")
+
+
+def write_zipped_lines(rows: DataFrame, path: str) -> None:
+    """``rows`` as JSON lines in zip archives, one for each task, written by the tasks."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = fs.FileSystem.from_uri(path)
+        files.create_dir(at, recursive=True)
+        task = TaskContext.get()
+        final, n = f"{at}/part-{task.partitionId():05d}.zip", 0
+        temporary = f"{at}/_{task.taskAttemptId()}"
+        with files.open_output_stream(temporary) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open("lines.json", "w", force_zip64=True) as member:
+            for batch in batches:
+                for line in batch.column(0):
+                    member.write(line.as_py().encode() + b"\n")
+                    n += 1
+        files.move(temporary, final)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("line")).mapInArrow(write, "n long").agg(F.sum("n")).collect()

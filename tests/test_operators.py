@@ -411,6 +411,36 @@ def test_fractional_design_is_balanced_and_orthogonal(spark):
     assert (a.sum(axis=0) == 0).all() and np.array_equal(a.T @ a, 16 * np.eye(8))
 
 
+def test_answer_files_are_checked(spark, tmp_path):
+    from leverframe.sources.files import read_answer_files, write_zipped_lines
+
+    rows = spark.createDataFrame([(str(i), ["a b", "c"], None if i % 2 else ["Yes"]) for i in range(50)], "question_id string, answers array<string>, yesno_answers array<string>")
+    path = str(tmp_path / "in")
+    rows.where("question_id < 3").coalesce(1).write.json(path + "/plain")
+    write_zipped_lines(rows.where("question_id >= 3").repartition(3), path + "/zipped")
+    got = read_answer_files(spark, path)
+    assert {r["question_id"]: (r["answers"], r["yesno_answers"]) for r in got.collect()} == {r["question_id"]: (r["answers"], r["yesno_answers"]) for r in rows.collect()} and got.columns[-1] == "source"
+    (tmp_path / "in" / "more.json").write_text('{"question_id": "7", "answers": ["again"]}\n')
+    with pytest.raises(Exception, match="comes twice: 7"):
+        read_answer_files(spark, path).collect()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"question_id": "1"}\n{"answers": []}\n')
+    with pytest.raises(Exception, match="no JSON object with a question_id"):
+        read_answer_files(spark, str(tmp_path / "bad")).collect()
+
+
+def test_sql_functions_agree_with_the_expressions(spark):
+    from leverframe.functions.sql import register
+
+    register(spark)
+    df = spark.createDataFrame([([0.2, 0.8], [0.5, 0.5]), ([-1.0, 0.0], [1.0, 3.0]), ([1.0, 0.0, 3.0], [0.0, 2.0, 2.0])], "p array<double>, q array<double>")
+    both = df.selectExpr("*", "entropy_of(p) AS h", "kl_bits(p, q) AS k").select("h", "k", I.entropy_of(F.col("p")).alias("h2"), I.kl_bits(F.col("p"), F.col("q")).alias("k2")).collect()
+    assert all(r["h"] == pytest.approx(r["h2"]) and r["k"] == pytest.approx(r["k2"]) for r in both)
+    ei = lambda p: spark.sql(f"SELECT effective_information(array({', '.join(f'{x}D' for x in p)})) AS e").first()["e"]
+    assert ei([0.0, 1.0]) == pytest.approx(1.0) and ei([0.3, 0.3]) == pytest.approx(0.0) and ei([0.4]) is None
+    assert [tuple(r) for r in spark.sql("SELECT * FROM explode_candidates(array('x', 'y'))").collect()] == [(0, "A", "x"), (1, "B", "y")]
+
+
 def test_stopped_stream_goes_on(spark, tmp_path):
     """Files come in two lots with repeated keys; the run over the second has another column and lacks one; a new checkpoint adds nothing."""
     from leverframe.streaming.trials import run_incremental, stream_of
