@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leverframe.codebook import DOMAINS, FACTORS
 from leverframe.functions import text as T
 from leverframe.operators.effects import dedup_keep_first
+from leverframe.operators.numbering import numbered
 from leverframe.plans.registry import query, rounded
 from leverframe.sources.articles import ARTICLES_SQL, articles
 from leverframe.sources.files import jsonl_round_trip, parse_records, read_csv, read_lines, scan_records, scratch, write_csv
@@ -140,10 +141,7 @@ def audit_join(spark, sf_dir):
 @query("audit_group_no", f"{A}, g AS (SELECT DISTINCT domain, query_id FROM articles), n AS (SELECT *, row_number() OVER (ORDER BY domain, query_id) AS group_no FROM g) SELECT a.article_id, CAST(n.group_no AS INTEGER) AS group_no FROM articles a JOIN n USING (domain, query_id)")
 def audit_group_no(spark, sf_dir):
     rows = articles(spark, sf_dir).select("article_id", "domain", "query_id")
-    groups = rows.select("domain", "query_id").distinct().withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy("query_id")))
-    sizes = groups.groupBy("domain").agg(F.count(F.lit(1)).alias("size"))  # one row for each domain
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("domain")) - F.col("size")).select("domain", "before")
-    groups = groups.join(F.broadcast(before), "domain").withColumn("group_no", (F.col("place") + F.col("before")).cast("int"))
+    groups = numbered(rows.select("domain", "query_id").distinct(), [], ["domain", "query_id"], "group_no")
     return rows.join(groups, ["domain", "query_id"]).select("article_id", "group_no")
 
 
@@ -425,7 +423,7 @@ def institutions(spark, sf_dir):
 def abnormal_scan(spark, sf_dir):
     """Abnormal variants by the default limits, the shortest of each kind first."""
     v = articles(spark, sf_dir).select("article_id", F.length(F.trim("text")).cast("long").alias("n_chars"), T.variant_reason(F.col("generator"), F.col("text"), F.col("base_text")).alias("reason")).where("reason IS NOT NULL")
-    return v.select("article_id", "reason", "n_chars", F.row_number().over(Window.partitionBy("reason").orderBy("n_chars", "article_id")).alias("place"))
+    return numbered(v.select("article_id", "reason", "n_chars"), ["reason"], ["n_chars", "article_id"], "place")
 
 
 @query("pool_topn_per_domain", "SELECT lang AS domain, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 100")

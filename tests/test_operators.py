@@ -411,6 +411,22 @@ def test_fractional_design_is_balanced_and_orthogonal(spark):
     assert (a.sum(axis=0) == 0).all() and np.array_equal(a.T @ a, 16 * np.eye(8))
 
 
+def test_numbers_of_large_groups_and_null_groups(spark):
+    from leverframe.operators.numbering import numbered
+
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 7 == 0 else "big" if i % 7 < 5 else f"g{i % 3}", int(x), i) for i, x in enumerate(rng.integers(0, 20, 900))]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    for by in ([], ["g"]):
+        got = {r["i"]: r["no"] for r in numbered(df, by, ["x", "i"], "no").collect()}
+        want = {}
+        for g in {r[0] for r in rows} if by else {0}:
+            mine = sorted((x, i) for h, x, i in rows if not by or h == g)
+            want |= {i: k for k, (_, i) in enumerate(mine, 1)}
+        assert got == want
+    assert numbered(df.where("false"), ["g"], ["i"], "no").count() == 0
+
+
 def test_answer_files_are_checked(spark, tmp_path):
     from leverframe.sources.files import read_answer_files, write_zipped_lines
 
