@@ -237,6 +237,25 @@ def provider(model: Column) -> Column:
     )
 
 
+def service_model(model: Column) -> Column:
+    """The name that the service itself knows a model by: without the service's own prefix."""
+    prefixed = model.startswith("deepseek/") | F.lower(model).rlike("^(qwen|doubao|kimi|moonshot|minimax)/")
+    return F.when(prefixed, F.regexp_replace(model, "^[^/]*/", "")).otherwise(model)
+
+
+def thinking_can_stop(service: Column, name: Column) -> Column:
+    """Whether a model's thinking can be turned off: some of two services' models. ``name``: ``service_model``."""
+    m = F.lower(name)
+    kimi = ~m.contains("k2.7-code") & (m.contains("k2.6") | m.contains("k2.5") | m.startswith("kimi-k2"))
+    return F.when(service == "kimi", kimi).when(service == "minimax", m.contains("m3")).otherwise(False)
+
+
+def temperature_is_fixed(service: Column, name: Column) -> Column:
+    """Whether a model takes no temperature."""
+    m = F.lower(name)
+    return (service == "kimi") & (m.contains("k2.7-code") | m.contains("k2.5") | m.contains("k2.6") | m.startswith("kimi-k2"))
+
+
 def json_list(*parts: Column) -> Column:
     """JSON list of already encoded parts, with a space after each comma."""
     return F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]"))

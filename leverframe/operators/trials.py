@@ -94,6 +94,14 @@ def shared_competitors(pool: DataFrame, n: int) -> DataFrame:
     return kept.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("competitors"))
 
 
+def spread_map(rows: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
+    """``rows`` with a column for each key of a map column, in its place; without ``keys`` for all that occur. A column of that name is replaced, as the map is the later word."""
+    if keys is None:
+        keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(column))).distinct().collect())  # names of columns
+    rest = [c for c in rows.columns if c != column and c not in keys]
+    return rows.select(*rest, *[F.try_element_at(F.col(column), F.lit(k)).alias(k) for k in keys])
+
+
 def content_score(text: Column) -> Column:
     out = F.lit(0.0)
     for m, w in MARKER_WEIGHTS.items():

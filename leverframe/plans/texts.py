@@ -245,10 +245,16 @@ def model_slug(spark, sf_dir):
     return _models(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", T.model_slug(F.col("model")).alias("slug"), "n")
 
 
-@query("provider_route", f"""{MODELS_SQL} SELECT model, CASE WHEN model LIKE 'deepseek/%' OR model LIKE 'deepseek-%' THEN 'deepseek' WHEN lower(model) LIKE 'qwen%' THEN 'qwen' WHEN lower(model) LIKE 'doubao%' THEN 'doubao'
- WHEN lower(model) LIKE 'kimi%' OR lower(model) LIKE 'moonshot/%' OR lower(model) LIKE 'moonshot-%' THEN 'kimi' WHEN regexp_matches(lower(model), '^(minimax(/|[-_.]|$)|abab)') THEN 'minimax' ELSE 'default' END AS provider, count(*) AS n FROM m GROUP BY 1, 2""")
+@query("provider_route", f"""{MODELS_SQL}, p AS (SELECT model, CASE WHEN model LIKE 'deepseek/%' OR model LIKE 'deepseek-%' THEN 'deepseek' WHEN lower(model) LIKE 'qwen%' THEN 'qwen' WHEN lower(model) LIKE 'doubao%' THEN 'doubao'
+ WHEN lower(model) LIKE 'kimi%' OR lower(model) LIKE 'moonshot/%' OR lower(model) LIKE 'moonshot-%' THEN 'kimi' WHEN regexp_matches(lower(model), '^(minimax(/|[-_.]|$)|abab)') THEN 'minimax' ELSE 'default' END AS provider, count(*) AS n FROM m GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN starts_with(model, 'deepseek/') OR regexp_matches(lower(model), '^(qwen|doubao|kimi|moonshot|minimax)/') THEN substr(model, instr(model, '/') + 1) ELSE model END AS service_model FROM p), l AS (SELECT *, lower(service_model) AS i FROM r)
+SELECT model, provider, service_model, CASE provider WHEN 'kimi' THEN NOT contains(i, 'k2.7-code') AND (contains(i, 'k2.6') OR contains(i, 'k2.5') OR starts_with(i, 'kimi-k2')) WHEN 'minimax' THEN contains(i, 'm3') ELSE false END AS thinking_can_stop,
+ provider = 'kimi' AND (contains(i, 'k2.7-code') OR contains(i, 'k2.6') OR contains(i, 'k2.5') OR starts_with(i, 'kimi-k2')) AS temperature_is_fixed, n FROM l""")
 def provider_route(spark, sf_dir):
-    return _models(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", T.provider(F.col("model")).alias("provider"), "n")
+    """The service of each model, its name there, and what it can't be asked for."""
+    rows = _models(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", T.provider(F.col("model")).alias("provider"), T.service_model(F.col("model")).alias("service_model"), "n")
+    p, m = F.col("provider"), F.col("service_model")
+    return rows.select("model", "provider", "service_model", T.thinking_can_stop(p, m).alias("thinking_can_stop"), T.temperature_is_fixed(p, m).alias("temperature_is_fixed"), "n")
 
 
 @query("api_error_classify", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Content Filter hit' WHEN 1 THEN 'the request is HIGH RISK' WHEN 2 THEN 'data_inspection_failed: x' WHEN 3 THEN 'bad thing' WHEN 4 THEN 'timeout' ELSE 'content_filter' END AS msg, CASE WHEN event_id % 6 = 3 THEN 400 ELSE 500 END AS status FROM events)

@@ -189,10 +189,13 @@ def call_plan(spark, sf_dir):
     return rounded(D.call_plan(_sets(spark, sf_dir), articles(spark, sf_dir).select("n_chars"), 6, 4, 2))
 
 
-@query("trial_enrich_join", f"{CHOICE_SQL} SELECT c.query_id, target_id, CAST(target_position AS INTEGER) AS target_position, a.domain, a.dim, CASE WHEN chosen_id = target_id THEN 1 ELSE 0 END AS y FROM ch c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = target_id")
+@query("trial_enrich_join", f"{CHOICE_SQL} SELECT c.query_id, target_id, CAST(target_position AS INTEGER) AS target_position, a.domain, a.dim, a.generator, a.variant, CASE WHEN chosen_id = target_id THEN 1 ELSE 0 END AS y FROM ch c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = target_id")
 def trial_enrich_join(spark, sf_dir):
-    a = articles(spark, sf_dir).select(F.col("doc_id").cast("string").alias("target_id"), "domain", "dim")
-    return _chosen(spark, sf_dir).join(a, "target_id").select("query_id", "target_id", "target_position", "domain", "dim", F.when(F.col("chosen_id") == F.col("target_id"), 1).otherwise(0).alias("y"))
+    """Trials with their target's columns and the entries of its map of further ones."""
+    meta = F.create_map(F.lit("generator"), "generator", F.lit("variant"), "variant")
+    a = articles(spark, sf_dir).select(F.col("doc_id").cast("string").alias("target_id"), "domain", "dim", meta.alias("meta"))
+    rows = D.spread_map(_chosen(spark, sf_dir).join(a, "target_id"), "meta")
+    return rows.select("query_id", "target_id", "target_position", "domain", "dim", "generator", "variant", F.when(F.col("chosen_id") == F.col("target_id"), 1).otherwise(0).alias("y"))
 
 
 @query("trial_flatten", f"{CHOICE_SQL} SELECT query_id, target_id, CAST(target_position AS INTEGER) AS target_position, CASE WHEN chosen_id = target_id THEN 1 ELSE 0 END AS y, CASE WHEN chosen_id = target_id THEN 0 ELSE -1 END AS target_rank FROM ch")
