@@ -12,7 +12,8 @@ least hash of their id); it is a few hundred kB and is broadcast. Whole texts ar
 
 Results for odd input: a null text or one without letters is ``und`` with score 0; so is every text if nothing can be
 learned; with one learned language all other texts get it; very long texts are read whole; repeated rows each get a row;
-an empty table gives an empty result. Columns of ``docs`` called lang_pred or score are replaced by the results.
+of languages with the same score the first by name is predicted, of equal hashes of ids the lesser id is learned from; an
+empty table gives an empty result. Columns of ``docs`` called lang_pred or score are replaced by the results.
 """
 
 from __future__ import annotations

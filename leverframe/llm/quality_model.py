@@ -17,8 +17,8 @@ source's.
 
 Results for odd input: null and empty texts count as one text without n-grams; null hosts or paths form a group named
 ''; very long texts are read whole; without labels of both kinds the evidence is 0 and all are kept; of rows that repeat a
-labelled id the one with the least text hash is learned from; repeated rows each count and get a row; an empty table
-gives an empty result. ``classify`` has columns of its own only; ``keep`` keeps those of ``docs`` whatever their names.
+labelled id the one with the least text hash is learned from; a posterior of exactly a half is kept; repeated rows each
+count and get a row; an empty table gives an empty result. ``classify`` has columns of its own only; ``keep`` keeps those of ``docs`` whatever their names.
 """
 
 from __future__ import annotations

@@ -265,6 +265,27 @@ def test_features_are_written_out():
     assert np.array_equal(at, again[0]) and np.array_equal(x, again[1])
 
 
+def test_fit_is_written_out(monkeypatch):
+    """AdaGrad steps on dense vectors, one row after the other in the same order, the constant without penalty."""
+    monkeypatch.setattr(quality_model, "UPDATES", 60)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["good", "fine", "text", "bad", "spam", "word"], weights=[3, 3, 2, 1, 1, 2] if i % 2 else [1, 1, 2, 3, 3, 2], k=15)) for i in range(14)]
+    y = np.array([float(i % 2) for i in range(14)])
+    n = quality_model.DIMS + quality_model.SHAPE + 1
+    dense, has = np.zeros((14, n)), np.zeros((14, n), bool)
+    for i, (at, x) in enumerate(quality_model.features(texts)):
+        dense[i, at], has[i, at] = x.astype(np.float32), True
+    w, past, order = np.zeros(n), np.full(n, 1e-6), np.random.default_rng(0)
+    for _ in range(max(quality_model.EPOCHS, 60 // 14)):
+        for i in order.permutation(14):
+            rate = 1 / (1 + math.exp(-float(w @ dense[i])))
+            g = (rate - y[i]) * dense[i] + np.where(has[i] & (np.arange(n) < n - 1), quality_model.RIDGE * w, 0)
+            past += g * g
+            w -= quality_model.RATE * g / np.sqrt(past)
+    got = quality_model.fit(quality_model._packed(texts), y)
+    assert got["rate"] == 0.5 and np.allclose(got["w"], w, atol=1e-6) and np.abs(w).max() > 0.1
+
+
 def test_repeated_labelled_ids_are_learned_once(spark):
     rows = [(i, f"word{i % 7} good text {i}") for i in range(40)] + [(i, "$$ ## %% junk " * 3) for i in range(40, 60)]
     docs = spark.createDataFrame(rows + [(40, "zz")] * 50 + [(41, "$$ ## %% junk " * 3)] * 50, "doc_id long, text string")
