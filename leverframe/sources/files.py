@@ -17,6 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of intermediate tables by application, for ``clear``; the local folder of sessions without a shared one.
+_MADE: dict[str, list[str]] = {}
+_LOCAL: list[str] = []
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """``path``, remembered as an intermediate one."""
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this application has written so far; how many. For when all results that read them are written."""
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; in a temporary folder only where the session names none and runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -24,8 +44,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-files-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-files-"))
+        folder = "file://" + _LOCAL[0]
+    return made(spark, f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

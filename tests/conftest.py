@@ -15,4 +15,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from leverframe.sources.files import clear
+
+    clear(session)
     session.stop()

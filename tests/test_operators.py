@@ -427,6 +427,16 @@ def test_numbers_of_large_groups_and_null_groups(spark):
     assert numbered(df.where("false"), ["g"], ["i"], "no").count() == 0
 
 
+def test_intermediate_tables_are_cleared(spark):
+    from leverframe.sources.files import clear, exists, scratch, stored
+
+    clear(spark)
+    kept = stored(spark.range(3).toDF("x"), "some")
+    other = scratch(spark, "never-written")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert exists(spark, path) and clear(spark) == 2 and not exists(spark, path) and not exists(spark, other) and clear(spark) == 0
+
+
 def test_answer_files_are_checked(spark, tmp_path):
     from leverframe.sources.files import read_answer_files, write_zipped_lines
 
