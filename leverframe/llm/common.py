@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leverframe.sources.files import made
+
 #: White space between words, as a Java and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,8 +65,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, which ``leverframe.sources.files.clear`` deletes with the others."""
+    return made(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def partitions(spark: SparkSession) -> int:
