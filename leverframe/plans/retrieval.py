@@ -165,9 +165,17 @@ def _dense_index(spark, sf_dir) -> R.Index:
     return R.Index(dense_corpus(spark, sf_dir))
 
 
-@query("dense_topk", f"{DENSE_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM de QUALIFY rank <= {K}")
+#: Every question against every vector, whatever their domains.
+ALL_DENSE_SQL = f"""WITH dq AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+de AS (SELECT query_id, vec_id AS doc_id, {_cos('embedding', 'q')} AS score FROM embeddings, dq)"""
+
+
+@query("dense_topk", f"{ALL_DENSE_SQL} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM de QUALIFY rank <= {K}")
 def dense_topk(spark, sf_dir):
-    return R.top_k(R.ranked_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), "dense", K), K)
+    """The best vectors of each question that has one, among all of the table."""
+    vectors = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"))
+    asked = questions(spark, sf_dir).where("embedding IS NOT NULL")
+    return R.top_k(R.ranked_scores(R.Index(vectors), asked, "dense", K), K)
 
 
 def _norm(c: str) -> str:

@@ -55,10 +55,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table to a new path, so that it is worked out once."""
+def stored(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """``df`` written as a table to a new path, so that it is worked out once; ``options`` are those of the Parquet writer."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
