@@ -186,11 +186,22 @@ def _norm(c: str) -> str:
 HYBRID_SQL = BM25_SQL.replace("SELECT doc_id, coalesce(lang, '') AS domain, text FROM documents", f"SELECT * FROM {VECTORS}", 1) + ", " + DENSE_SQL[5:] + ", hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id))"
 
 
-@query("hybrid_fuse", f"""{HYBRID_SQL}, hf AS (SELECT query_id, doc_id, round({ALPHA} * {_norm('dense')} + (1 - {ALPHA}) * {_norm('bm25')} + 1e-9, 6) AS score FROM hb WINDOW w AS (PARTITION BY query_id))
-SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM hf QUALIFY rank <= {K}""")
+#: The same by both channels, whatever the domains.
+ALL_HYBRID_SQL = f"""WITH dw AS (SELECT doc_id, {TOK.format("coalesce(text, '')")} AS w FROM (SELECT vec_id AS doc_id, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id)), sz AS (SELECT count(*) AS n_docs, avg(len(w)) AS avgdl FROM dw),
+post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dw) GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, sz),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+bm AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN post USING (term) JOIN idf USING (term), sz GROUP BY 1, 2),
+{ALL_DENSE_SQL[5:]}, hb AS (SELECT de.query_id, de.doc_id, de.score AS dense, coalesce(bm.score, 0) AS bm25 FROM de LEFT JOIN bm USING (query_id, doc_id))"""
+
+
+@query("hybrid_fuse", f"""{ALL_HYBRID_SQL}, hf AS (SELECT query_id, doc_id, {ALPHA} * {_norm('dense')} + (1 - {ALPHA}) * {_norm('bm25')} AS score FROM hb WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, doc_id, round(score + 1e-9, 6) AS score FROM hf""")
 def hybrid_fuse(spark, sf_dir):
-    """The best documents of each question by both channels."""
-    return R.top_k(R.fused_scores(_dense_index(spark, sf_dir), questions(spark, sf_dir), ALPHA, K), K)
+    """Each question that has a vector with every document that has one, by both channels."""
+    asked = questions(spark, sf_dir).where("embedding IS NOT NULL")
+    return R.fused_scores(R.Index(dense_corpus(spark, sf_dir).drop("domain")), asked, ALPHA)
 
 
 def _fused(source: str) -> str:
