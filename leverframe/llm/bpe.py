@@ -17,9 +17,11 @@ The results have columns of their own and the id; other columns of ``docs``, wha
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -89,6 +91,7 @@ class TrieEncoder(Specials):
         self.nodes: dict[bytes, tuple[bytes, dict[int, tuple], list[tuple[int, int]]]] = {}
         self.id_bytes = dict(zip(self.id_of, self.bytes_of, strict=True))
         self.id_bytes |= {i: s.encode() for s, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.id_bytes}
         self.find_words = regex.compile(WORD_PATTERN.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
         self.apart_memo: dict[tuple[int, int], bool] = {}
         self.whole_memo: dict[int, bool] = {}
@@ -277,6 +280,33 @@ def batches(text: pa.Array, chars: int = 2_000_000) -> Iterator[list[str]]:
         yield out
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without Python's collector of reference cycles, which would go through the remembered chunks again and again; encoding makes no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def digest(enc: TrieEncoder, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+    """Of each text the number of its ids, the hash of these in decimal, joined by commas, and the hash of the text that they decode to."""
+    number, raw_of = enc.decimal, enc.id_bytes
+    pack = lambda ids: (",".join([number[i] for i in ids]), b"".join([raw_of[i] for i in ids]))
+    counts, ids, decoded = [], [], []
+    with uncollected():
+        for parts in enc.texts(texts, pack):
+            said, raw = zip(*parts, strict=True) if parts else ((), ())
+            line = ",".join(filter(None, said))
+            counts.append(line.count(",") + 1 if line else 0)
+            ids.append(hashlib.sha256(line.encode()).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+    return counts, ids, decoded
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, its token ids and the text that these decode to (columns id_col, ids, decoded)."""
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
@@ -286,7 +316,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         for batch in given:
             at = 0
             for texts in batches(batch.column(1)):
-                ids = [[i for part in parts for i in part] for parts in enc.texts(texts, list)]
+                with uncollected():
+                    ids = [[i for part in parts for i in part] for parts in enc.texts(texts, list)]
                 own = batch.column(0).slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())], ["k", "ids", "decoded"])
                 at += len(texts)
@@ -305,16 +336,11 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, "digest")
-        pack = lambda ids: (",".join(map(str, ids)), len(ids), b"".join([enc.id_bytes[i] for i in ids]))
         for batch in given:
             rows: tuple[list, list, list] = ([], [], [])
             for texts in batches(batch.column(1)):
-                for parts in enc.texts(texts, pack):
-                    said, sizes, raw = zip(*parts, strict=True) if parts else ((), (), ())
-                    whole = b"".join(raw).decode("utf-8", "replace").encode()
-                    rows[0].append(sum(sizes))
-                    rows[1].append(hashlib.sha256(",".join(filter(None, said)).encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(whole).hexdigest())
+                for all_rows, own in zip(rows, digest(enc, texts), strict=True):
+                    all_rows += own
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_col]

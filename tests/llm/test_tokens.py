@@ -1,5 +1,6 @@
 """Encoding, decoding and packing against the tokenizers library."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -62,6 +63,23 @@ def test_digests(spark, library):
     assert whole[3] == ODD[3] and whole[98] == ""
 
 
+def test_no_collection_of_cycles_while_encoding(library):
+    encoder = bpe.encoder(open(PATH, encoding="utf-8").read(), "digest")
+    rng, runs = random.Random(5), []
+    texts = [*ODD, *(" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(2000)) for _ in range(4))]
+    note = lambda phase, _: runs.append(phase)
+    gc.collect()
+    gc.callbacks.append(note)
+    try:
+        got = bpe.digest(encoder, texts)
+    finally:
+        gc.callbacks.remove(note)
+    assert gc.isenabled() and len(runs) <= 2  # at most one, when the collector is on again
+    for text, n, ids, _ in zip(texts, *got, strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1023, 1024, 1025, 5000])
 def test_decompose(n):
     parts = packing.decompose(n, 1024)
