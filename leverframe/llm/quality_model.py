@@ -124,7 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict
 
 
 def evidence(docs: DataFrame, text: Column, model: dict | None) -> Column:
-    """Log likelihood ratio of good to bad for a text column."""
+    """Log likelihood ratio of good to bad for a text column.
+
+    Marked as not deterministic so that Spark keeps it in one place of a plan: a filter on it would otherwise be repeated
+    below, as "is not null", with a second Python worker for each task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -137,7 +141,7 @@ def evidence(docs: DataFrame, text: Column, model: dict | None) -> Column:
                 base = np.log(known["rate"] / (1 - known["rate"]))
                 yield pd.Series([known["w"][at] @ x - base for part in slices(texts) for at, x in features(part)], dtype=float)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def logit(p: Column) -> Column:

@@ -298,6 +298,13 @@ def test_repeated_labelled_ids_are_learned_once(spark):
     assert spark.conf.get(key) == before
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_evidence_is_worked_out_in_one_place_of_a_plan(spark, bound):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plan = quality_model.keep(docs, labels, bound=bound)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_levels_are_named_where_they_are_described():
     assert "source stands in for the host and lang for the path" in " ".join(quality_model.__doc__.split())
 
