@@ -221,9 +221,9 @@ hr AS (SELECT target_id, any_value(t) AS t, count(*) FILTER (s > t) AS target_ra
 TARGET_DENSE_SQL = f"td AS (SELECT conv_id * 1000 + turn AS target_id, q.query_id, {_cos('e.embedding', 'q.q')} AS t_dense FROM conversations JOIN embeddings e ON vec_id = conv_id JOIN dq q ON q.query_id = conv_id % (SELECT count(*) FROM benchmark))"
 
 
-def _listed(found: DataFrame) -> DataFrame:
+def _listed(found: DataFrame, *more: str) -> DataFrame:
     ids = {c: F.array_join(c, ",") for c in ("top_k_ids", "competitor_ids")}
-    return found.select("target_id", F.round("target_score", 6).alias("target_score"), "target_rank", "retrieved", *[e.alias(c) for c, e in ids.items()])
+    return found.select(*more, "target_id", F.round("target_score", 6).alias("target_score"), "target_rank", "retrieved", *[e.alias(c) for c, e in ids.items()])
 
 
 LISTED_SQL = f"target_id, round(t, 6) AS target_score, target_rank, CASE WHEN target_rank < {K} THEN 1 ELSE 0 END AS retrieved, array_to_string(ids, ',') AS top_k_ids, array_to_string(ids[1:{K - 1}], ',') AS competitor_ids"
@@ -255,9 +255,13 @@ def _rewritten(spark, sf_dir) -> DataFrame:
     """Targets with rewritten queries: their own question and the next one of its domain; a third of the conversations have a blank instead of the second, some have blanks only."""
     t, q = targets(spark, sf_dir), questions(spark, sf_dir)
     c = F.col("conv_id")
-    asked = t.select("target_id", F.explode(F.array(F.struct(F.lit(0).alias("no"), (c % F.col("items")).alias("query_id"), (c % 7 != 0).alias("said")), F.struct(F.lit(1).alias("no"), ((c + len(LANGS)) % F.col("items")).alias("query_id"), ((c % 7 != 0) & (c % 3 != 0)).alias("said")))).alias("a")).select("target_id", "a.*")
-    asked = asked.join(q, "query_id").select("target_id", F.struct("query_id", F.when(F.col("said"), F.col("text")).otherwise(" ").alias("text"), "embedding").alias("r"))
-    return t.select("target_id", "domain", "text", "embedding").join(asked.groupBy("target_id").agg(F.collect_list("r").alias("rewrites")), "target_id")  # two each
+    said = [c % 7 != 0, (c % 7 != 0) & (c % 3 != 0)]
+    t = t.withColumns({"_0": c % F.col("items"), "_1": (c + len(LANGS)) % F.col("items")})
+    for i, told in enumerate(said):
+        one = q.select(F.col("query_id").alias(f"_{i}"), F.struct("query_id", "text", "embedding").alias(f"_q{i}"))
+        r = F.col(f"_q{i}")
+        t = R.with_small(t, one, f"_{i}", "left").withColumn(f"_r{i}", F.when(r.isNotNull(), F.struct(r["query_id"].alias("query_id"), F.when(told, r["text"]).otherwise(" ").alias("text"), r["embedding"].alias("embedding"))))
+    return t.select("target_id", "domain", "text", "embedding", F.filter(F.array("_r0", "_r1"), lambda x: x.isNotNull()).alias("rewrites")).where("size(rewrites) > 0")  # two each
 
 
 @query("retrieve_multi", HYBRID_SQL + f""", items AS (SELECT count(*) AS m FROM benchmark),
@@ -275,10 +279,8 @@ ow AS (SELECT pr.target_id, pr.query_id, {_cos('e.embedding', 'v2.q')} AS t_dens
 SELECT 'max' AS pool, {LISTED_SQL} FROM hr UNION ALL SELECT 'mean', {LISTED_SQL} FROM hr2""")
 def retrieve_multi(spark, sf_dir):
     """Several rewritten queries of a target, their normalised scores pooled for each document and the target."""
-    index = _dense_index(spark, sf_dir)
     queries, own = R.queries_of_targets(_rewritten(spark, sf_dir))
-    found = [_listed(R.search(index, queries, own, "hybrid", K, ALPHA, pool)).withColumn("pool", F.lit(pool)) for pool in ("max", "mean")]
-    return found[0].unionByName(found[1])
+    return _listed(R.searches(_dense_index(spark, sf_dir), queries, own, "hybrid", K, ALPHA), "pool")
 
 
 @query("rank_ecdf", f"""{BM25_SQL}, rs AS (SELECT unnest(range(1, {K} + 1)) AS r)
